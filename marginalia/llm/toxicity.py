@@ -5,9 +5,9 @@ of pairs with one word between; words are lower-cased and stripped of punctuatio
 keeps a rate for each coordinate and L1 leaves few weights, so the model is the list of
 buckets that are not 0 and travels with the scoring function.
 
-The model is fitted on a documented sample: at most ``SAMPLE_ROWS`` labelled documents in
-hash order of their id, of at most ``SAMPLE_CHARS`` characters each. Scoring reads every
-whole text, in a map without a shuffle.
+The model is fitted on a documented sample: of each class at most ``SAMPLE_ROWS`` labelled
+documents in hash order of their id, none longer than ``SAMPLE_CHARS`` characters. Scoring
+reads every whole text, in a map without a shuffle.
 
 Defined cases: null or empty text: the score of the bias alone. Conflicting labels of a
 document: toxic if any says so. No labels: every score is that of the prior of no toxic
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, joined, mixed, slices, split_words
 
-SAMPLE_ROWS = 6_000
-SAMPLE_CHARS = 20_000
+SAMPLE_ROWS = 8_000
+SAMPLE_CHARS = 10_000
 BUCKETS = 1 << 20
 STRIP = ".,;:!?\"'()[]{}<>|*#%&-_/\\"
 
@@ -57,7 +57,7 @@ class Model:
     bias: float
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.5, l2: float = 0.01, epochs: int = 4, seed: int = 5) -> Model:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.01, epochs: int = 6, seed: int = 5) -> Model:
     """Fit on lists of distinct buckets; the last coordinate is the bias, free of L1."""
     n, z = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     order = np.random.default_rng(seed)
@@ -87,18 +87,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, learns: Column | None = None, id_
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known if learns is None else known.filter(learns)
     known = known.groupBy(id_col).agg(F.max(label_col).alias("__label"))
-    known = known.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample_rows)
-    # at most sample_rows pairs of numbers are broadcast
-    rows = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars)).join(F.broadcast(known), id_col)
-    rows = rows.orderBy(F.xxhash64(F.col(id_col)), id_col, text_col).limit(sample_rows).select(text_col, "__label")
+    first = [known.filter(side).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample_rows) for side in (F.col("__label") > 0, F.col("__label") <= 0)]
+    # at most 2 * sample_rows pairs of numbers are broadcast
+    rows = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars)).join(F.broadcast(first[0].union(first[1])), id_col)
+    rows = rows.orderBy(F.xxhash64(F.col(id_col)), id_col, text_col).limit(2 * sample_rows).select(text_col, "__label")
     table = rows.toArrow()
-    y = np.array(table.column("__label").to_pylist(), float)
+    y = np.minimum(np.array(table.column("__label").to_pylist(), float), 1)
     found = []
     for part in slices(table, text_col):
         row, bucket = features(part.column(text_col))
         pairs = np.unique(row * BUCKETS + bucket)
         edges = np.searchsorted(pairs, np.arange(part.num_rows + 1) * BUCKETS)
-        found += [pairs[a:b] % BUCKETS for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        found += [(pairs[a:b] % BUCKETS).astype(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return ftrl(found, y)
 
 
