@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, toxicity, url_filter
+from . import decontaminate, langid, mixing, substring_dedup, toxicity, url_filter
 from .common import held_out, learns, read
 
 SITE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -53,6 +53,45 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    samples = langid.fit(docs, learns=learns())
+    judged = langid.identify_languages(docs.select("doc_id", "text"), samples)
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = substring_dedup.remove_repeated_spans(docs, window=20, with_text=False)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20
+), k AS (
+  SELECT s.doc_id, s.s, md5(array_to_string(d.w[s.s : s.s + 19], ' ')) AS k FROM s JOIN d USING (doc_id)
+), r AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM k
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS at FROM r WHERE nth > 1
+), l AS (
+  SELECT doc_id, list(at) AS gone FROM g GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(coalesce(gone, []))::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_items", "contaminated")
+
+
 #: Weights of the draw by a document's quality label.
 QUALITY = {1: 2.0, 0: 0.5}
 
@@ -103,8 +142,8 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_toxicity": op2_toxicity, "op9_source_mix": op9_source_mix}
+    return {"op1_url_filters": op1_url_filters, "op2_toxicity": op2_toxicity, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op6_decontamination": op6_decontamination, "op9_source_mix": op9_source_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op9_source_mix": OP9_SQL}
+    return {"op1_url_filters": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op9_source_mix": OP9_SQL}
