@@ -60,13 +60,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs:
     return out.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, source_col: str = "source", quality: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 17) -> DataFrame:
     """The documents with ``size``, ``source_size``, ``target`` and ``taken``.
 
-    ``quality`` is a column of positive weights (null or not positive: 1).
+    ``quality`` is a column of positive weights (null or not positive: 1). ``size_col``
+    holds sizes counted beforehand; without it the words of ``text_col`` are counted.
     """
     worth = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1.0)
-    keyed = docs.drop("size", "source_size", "target", "taken").withColumns({"size": word_count(F.col(text_col)), "__key": -F.log(uniform(F.col(id_col), seed)) / worth})
+    docs = docs.drop(*({"size", "source_size", "target", "taken"} - {text_col, size_col}))
+    size = word_count(F.col(text_col)) if size_col is None else F.coalesce(F.col(size_col), F.lit(0)).cast("long")
+    keyed = docs.withColumns({"size": size, "__key": -F.log(uniform(F.col(id_col), seed)) / worth})
     light = checkpointed(keyed.select(F.col(source_col).alias("source"), "size", "__key"))
     bins = max(64, light.count() // ROWS_PER_BIN)
     light = light.withColumn("bin", F.floor((1 - F.exp(-F.col("__key"))) * bins))

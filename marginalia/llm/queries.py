@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, mixing, substring_dedup, toxicity, url_filter
-from .common import held_out, learns, read
+from .common import checkpointed, held_out, learns, read
 
 SITE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -68,7 +68,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS w FROM documents
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-
+]+'), []) AS w FROM documents
 ), s AS (
   SELECT doc_id, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20
 ), k AS (
@@ -104,8 +105,10 @@ def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_quality(spark, read(spark, sf_dir, "documents").select("doc_id", "source", "text"), sf_dir)
-    mixed = mixing.mix_sources(docs, quality=F.col("__quality"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    # words are counted before the join with the labels, so no text is shuffled
+    docs = checkpointed(with_quality(spark, docs, sf_dir))
+    mixed = mixing.mix_sources(docs, size_col="size", quality=F.col("__quality"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
