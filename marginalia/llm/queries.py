@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, substring_dedup, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard_join, langid, mixing, substring_dedup, toxicity, url_filter
 from .common import checkpointed, held_out, learns, read
 
 SITE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -87,12 +87,22 @@ FROM d LEFT JOIN l USING (doc_id)
 """
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_join(docs).drop("text_key")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", "n_items", "contaminated")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicate_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 #: Weights of the draw by a document's quality label.
 QUALITY = {1: 2.0, 0: 0.5}
 
@@ -145,7 +155,7 @@ FROM r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_toxicity": op2_toxicity, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op6_decontamination": op6_decontamination, "op9_source_mix": op9_source_mix}
+    return {"op1_url_filters": op1_url_filters, "op2_toxicity": op2_toxicity, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_decontamination": op6_decontamination, "op8_embedding_dedup": op8_embedding_dedup, "op9_source_mix": op9_source_mix}
 
 
 def oracle_sql() -> dict[str, str]:
