@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard_join, langid, mixing, substring_dedup, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard_join, langid, licenses, mixing, substring_dedup, tool_calls, toxicity, url_filter
 from .common import checkpointed, held_out, learns, read
 
 SITE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -98,6 +98,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage", "n_items", "contaminated")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree source/lang/; every fiftieth is its folder's LICENSE."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    name = F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", name)
+    return licenses.scan_licenses(docs, licenses.fit(docs), path=path)
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.near_duplicate_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
@@ -154,8 +162,34 @@ FROM r
 """
 
 
+#: The tools of the derived calls of op10.
+REPLY_SCHEMAS = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn as a call of the tool ``reply``, each assistant turn as the result of the call before it."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    arguments = F.struct(F.coalesce("text", F.lit("")).alias("prompt"), F.col("turn").alias("turn"))
+    call = F.to_json(F.struct(F.array(F.struct(name(F.col("turn")).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
+    result = F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    text = F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text"))
+    return tool_calls.link_tool_calls(turns.withColumn("text", text), REPLY_SCHEMAS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_toxicity": op2_toxicity, "op3_language_id": op3_language_id, "op4_substring_dedup": op4_substring_dedup, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_decontamination": op6_decontamination, "op8_embedding_dedup": op8_embedding_dedup, "op9_source_mix": op9_source_mix}
+    return {
+        "op1_url_filters": op1_url_filters,
+        "op2_toxicity": op2_toxicity,
+        "op3_language_id": op3_language_id,
+        "op4_substring_dedup": op4_substring_dedup,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op6_decontamination": op6_decontamination,
+        "op7_license_scan": op7_license_scan,
+        "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_source_mix": op9_source_mix,
+        "op10_tool_calls": op10_tool_calls,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
