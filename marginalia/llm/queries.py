@@ -77,9 +77,9 @@ WITH d AS (
 ), r AS (
   SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM k
 ), g AS (
-  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS at FROM r WHERE nth > 1
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r WHERE nth > 1
 ), l AS (
-  SELECT doc_id, list(at) AS gone FROM g GROUP BY doc_id
+  SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, len(coalesce(gone, []))::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
