@@ -40,7 +40,7 @@ from .common import U64, among, hashed, input_bytes, one_array, partitions_for,
 
 BLOCK_BYTES = 600_000
 PARTITION_BYTES = 8_000_000
-BUCKETS_PER_PARTITION = 8
+BUCKET_BYTES = 2_000_000
 LAST_ID = np.iinfo(np.int64).max
 #: Perfect difference sets: every remainder is the difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -171,8 +171,9 @@ def remove_repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "d
     """The documents (``with_text=False``: less the original text) with ``kept_text``, ``n_words`` and ``n_removed``."""
     docs = docs.drop("kept_text", "n_words", "n_removed")
     n = partitions_for(docs, PARTITION_BYTES)
-    buckets = BUCKETS_PER_PARTITION * n
-    n_blocks = max(4 * n, min(input_bytes(docs) // BLOCK_BYTES, 1 << 24) if input_bytes(docs) < 1 << 60 else 0)
+    # from the input's size alone: a block sends at most one row to each bucket
+    size = min(input_bytes(docs), n * PARTITION_BYTES)
+    buckets, n_blocks = max(16, size // BUCKET_BYTES), max(16, size // BLOCK_BYTES)
     dealt = docs.withColumn("__block", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int")).repartition(n, "__block")
     sent, answer = "__bucket int, __block int, payload binary", "__block int, payload binary"
 
