@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,13 +91,43 @@ def split_words(texts) -> tuple[pa.Array, np.ndarray]:
     return one_array(flat), offsets
 
 
-def hashed(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word; every distinct word is hashed once."""
-    if not len(words):
-        return np.empty(0, U64)
-    coded = words.dictionary_encode()
-    vocabulary = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in coded.dictionary.to_pylist()), U64, len(coded.dictionary))
-    return vocabulary[coded.indices.to_numpy(zero_copy_only=False)]
+_POWER = 0x9E3779B97F4A7C17
+_BYTES = np.random.default_rng(64).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_tables: list[np.ndarray] = [np.empty(0, U64), np.empty(0, U64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the hash's base and of its inverse modulo 2**64."""
+    if len(_tables[0]) < n:
+        n = max(n, 1 << 16)
+        for i, base in enumerate((_POWER, pow(_POWER, -1, 1 << 64))):
+            steps = np.full(n, base, U64)
+            steps[0] = 1
+            _tables[i] = np.cumprod(steps)
+    return _tables
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: polynomials in its bytes from one running sum over all bytes."""
+    n = len(words)
+    out = np.empty(n, U64)
+    if not n:
+        return out
+    wide = pa.types.is_large_string(words.type)
+    _, places, data = words.buffers()
+    ends = np.frombuffer(places, np.int64 if wide else np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    start = 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES, side="right")) - 1)
+        at = ends[start : stop + 1] - ends[start]
+        power, inverse = _powers(int(at[-1]) + 1)
+        sums = np.zeros(at[-1] + 1, U64)
+        np.cumsum(_BYTES[data[ends[start] : ends[stop]]] * power[: at[-1]], out=sums[1:])
+        values = (sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]]
+        out[start:stop] = mixed(values + np.diff(at).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        start = stop
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, among, hashed, input_bytes, one_array, partitions_for, split_words, window_starts, windows
+from .common import U64, among, hashed, input_bytes, mixed, one_array, partitions_for, split_words, window_starts, windows
 
 BLOCK_BYTES = 600_000
 PARTITION_BYTES = 8_000_000
@@ -85,7 +85,7 @@ class _Block:
         out = np.empty(len(starts), PAIR)
         if len(starts):
             out["a"] = windows(self.first, self.window)[starts]
-            out["b"] = windows(hashed(self.words, 1), self.window)[starts]
+            out["b"] = windows(mixed(self.first ^ U64(0xA5A5A5A5A5A5A5A5)), self.window)[starts]
         return starts, out
 
 
@@ -200,8 +200,8 @@ def remove_repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "d
         starts, pairs = block.full()
         gone = starts[_repeats(pairs) | _among_pairs(pairs, _answered(answers, PAIR))]
         edge = np.zeros(len(block.first) + 1, np.int64)
-        np.add.at(edge, gone, 1)
-        np.add.at(edge, gone + window, -1)
+        edge[gone] += 1
+        edge[gone + window] -= 1
         kept = np.cumsum(edge)[:-1] == 0
         sums = np.concatenate(([0], np.cumsum(kept)))[block.offsets]
         lists = pa.ListArray.from_arrays(pa.array(sums, pa.int32()), block.words.filter(pa.array(kept)).cast(pa.string()))
