@@ -12,8 +12,8 @@ one exchange that all three passes read.
 1. Each block sends its distinct anchor hashes to buckets of hashes; a bucket answers
    each block with those that another block has too.
 2. Each block extends the windows around repeated anchors and sends, for each distinct
-   one (128 bits), its first place to buckets; a bucket answers every block but the
-   owner of the first place.
+   one (96 bits), its document to buckets; a bucket answers every block but the
+   owner of the first.
 3. Each block marks the words of windows that a bucket answered or that start earlier
    within the block, and keeps the rest.
 
@@ -45,8 +45,9 @@ LAST_ID = np.iinfo(np.int64).max
 #: Perfect difference sets: every remainder is the difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 LEAST_ANCHOR = 5
-PLACE = np.dtype([("a", "u8"), ("b", "u8"), ("id", "i8"), ("start", "i8")])
-PAIR = np.dtype([("a", "u8"), ("b", "u8")])
+#: Entries of payloads: 96 bits of a window's hash, and the document's id.
+PLACE = np.dtype([("a", "u8"), ("b", "u4"), ("id", "i8")])
+PAIR = np.dtype([("a", "u8"), ("b", "u4")])
 
 
 def cover_for(window: int) -> tuple[int, np.ndarray, int]:
@@ -76,7 +77,7 @@ class _Block:
         return starts, windows(self.first, width)[starts]
 
     def full(self, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and 128-bit hashes of the full windows, or of those that hold a marked anchor."""
+        """Starts and 96-bit hashes of the full windows, or of those that hold a marked anchor."""
         starts = window_starts(self.offsets, self.window)
         if near is not None:
             period = cover_for(self.window)[0]
@@ -85,17 +86,33 @@ class _Block:
         out = np.empty(len(starts), PAIR)
         if len(starts):
             out["a"] = windows(self.first, self.window)[starts]
-            out["b"] = windows(mixed(self.first ^ U64(0xA5A5A5A5A5A5A5A5)), self.window)[starts]
+            out["b"] = windows(mixed(self.first ^ U64(0xA5A5A5A5A5A5A5A5)), self.window)[starts] >> U64(32)
         return starts, out
 
 
+def _packed(entries: np.ndarray) -> bytes:
+    """Column by column: neighbouring windows have the same document, so ids compress."""
+    return b"".join(entries[name].tobytes() for name in entries.dtype.names) if entries.dtype.names else entries.tobytes()
+
+
+def _unpacked(payload: bytes, dtype: np.dtype | type) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    if not dtype.names:
+        return np.frombuffer(payload, dtype)
+    out, at = np.empty(len(payload) // dtype.itemsize, dtype), 0
+    for name in dtype.names:
+        out[name] = np.frombuffer(payload, dtype[name], len(out), at)
+        at += out[name].nbytes
+    return out
+
+
 def _dealt(block: int, keys: np.ndarray, payload: np.ndarray, buckets: int) -> pa.Table:
     """One row for each bucket with its share of the payload."""
     bucket = (keys % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     found, at = np.unique(bucket[order], return_index=True)
     parts = np.split(payload[order], at[1:]) if len(found) else []
-    return pa.table({"__bucket": pa.array(found, pa.int32()), "__block": pa.array(np.full(len(found), block), pa.int32()), "payload": pa.array([p.tobytes() for p in parts], pa.binary())})
+    return pa.table({"__bucket": pa.array(found, pa.int32()), "__block": pa.array(np.full(len(found), block), pa.int32()), "payload": pa.array([_packed(p) for p in parts], pa.binary())})
 
 
 def _gathered(batches, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +120,7 @@ def _gathered(batches, dtype) -> tuple[np.ndarray, np.ndarray]:
     blocks, values = [], []
     for batch in batches:
         for block, payload in zip(batch.column("__block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-            values.append(np.frombuffer(payload, dtype))
+            values.append(_unpacked(payload, dtype))
             blocks.append(np.full(len(values[-1]), block, np.int32))
     return (np.concatenate(blocks), np.concatenate(values)) if values else (np.empty(0, np.int32), np.empty(0, dtype))
 
@@ -112,7 +129,7 @@ def _answers(blocks: np.ndarray, values: np.ndarray):
     order = np.argsort(blocks, kind="stable")
     found, at = np.unique(blocks[order], return_index=True)
     for i, part in enumerate(np.split(values[order], at[1:]) if len(found) else []):
-        yield pa.RecordBatch.from_arrays([pa.array([found[i]], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["__block", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array([found[i]], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["__block", "payload"])
 
 
 def _shared(batches):
@@ -125,9 +142,9 @@ def _shared(batches):
 
 
 def _later(batches):
-    """Full windows of all blocks but the one with the first place."""
+    """Full windows of all blocks but the one with the first document."""
     blocks, values = _gathered(batches, PLACE)
-    order = np.lexsort((values["start"], values["id"], values["b"], values["a"]))
+    order = np.lexsort((values["id"], values["b"], values["a"]))
     v = values[order]
     later = order[1:][(v["a"][1:] == v["a"][:-1]) & (v["b"][1:] == v["b"][:-1])]
     out = np.empty(len(later), PAIR)
@@ -136,7 +153,7 @@ def _later(batches):
 
 
 def _answered(table: pa.Table, dtype) -> np.ndarray:
-    parts = [np.frombuffer(x, dtype) for x in table.column("payload").to_pylist()]
+    parts = [_unpacked(x, dtype) for x in table.column("payload").to_pylist()]
     return np.sort(np.concatenate(parts)) if parts else np.empty(0, dtype)
 
 
@@ -153,7 +170,7 @@ def _repeats(pairs: np.ndarray) -> np.ndarray:
 
 
 def _among_pairs(pairs: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Membership of 128-bit values in a sorted table of them."""
+    """Membership of 96-bit values in a sorted table of them."""
     out = np.zeros(len(pairs), bool)
     at = np.searchsorted(table["a"], pairs["a"])
     open_ = np.flatnonzero(at < len(table))
@@ -192,7 +209,8 @@ def remove_repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "d
         starts, pairs = starts[keep], pairs[keep]
         row = np.searchsorted(block.offsets, starts, side="right") - 1
         out = np.empty(len(starts), PLACE)
-        out["a"], out["b"], out["id"], out["start"] = pairs["a"], pairs["b"], block.ids[row], starts - block.offsets[row]
+        # documents with one id are in one block, so ids decide between blocks
+        out["a"], out["b"], out["id"] = pairs["a"], pairs["b"], block.ids[row]
         return _dealt(key[0].as_py(), out["a"], out, buckets)
 
     def keep_rest(key, table, answers):
