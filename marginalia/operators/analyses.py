@@ -320,8 +320,8 @@ CORRECTION = "raw_edits long, raw_total long, sys_edits long, sys_total long, sy
 
 
 def _correction_row(ref: str, raw: str, sys: str) -> dict:
-    def edits(a: str, b: str) -> tuple[int, int, int]:
-        h, s, d, i = counts(edit_blocks(a, b))
+    def edits(blocks) -> tuple[int, int, int]:
+        h, s, d, i = counts(blocks)
         return s + d + i, h + s + d + i, i
 
     def beside(a: list[str], b: list[str]) -> list[str | None]:
@@ -335,11 +335,12 @@ def _correction_row(ref: str, raw: str, sys: str) -> dict:
     before, after = beside(words, raw.split()), beside(words, sys.split())
     kept = [n for n, w in enumerate(words) if before[n] == w]
     undone = [{"reference": words[n][:64], "corrected": (after[n] or GONE)[:64]} for n in kept if after[n] != words[n]]
-    raw_e, raw_t, _ = edits(ref, raw)
-    sys_e, sys_t, sys_i = edits(ref, sys)
-    change_e, change_t, _ = edits(raw, sys)
+    result = edit_blocks(ref, sys)
+    raw_e, raw_t, _ = edits(edit_blocks(ref, raw))
+    sys_e, sys_t, sys_i = edits(result)
+    change_e, change_t, _ = edits(edit_blocks(raw, sys))
     row = dict(zip((p.split()[0] for p in CORRECTION.split(", ")), (raw_e, raw_t, sys_e, sys_t, sys_i, change_e, change_t, len(ref), len(sys), len(kept), len(undone)), strict=True))
-    return row | {"runs": edit_runs(edit_blocks(ref, sys)), "samples": undone}
+    return row | {"runs": edit_runs(result), "samples": undone}
 
 
 _CORRECTION_KIND = pa.struct([*[(p.split()[0], pa.int64()) for p in CORRECTION.split(", ")], ("runs", pa.list_(pa.int64())), ("samples", pa.list_(_strings("reference", "corrected")))])
