@@ -74,7 +74,7 @@ def _within(a: str, b: str, most: int) -> bool:
         new = {}
         for j in range(max(0, i - most), min(len(b), i + most) + 1):
             new[j] = i if j == 0 else min(row.get(j, most + 1) + 1, new.get(j - 1, most + 1) + 1, row.get(j - 1, most + 1) + (b[j - 1] != x))
-        if min(new.values()) > most:
+        if min(new.values(), default=most + 1) > most:
             return False
         row = new
     return row.get(len(b), most + 1) <= most

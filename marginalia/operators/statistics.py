@@ -88,7 +88,7 @@ def bootstrap(values: DataFrame, by: list[str], value: str = "value", order: str
     A group is the documents of one pipeline and metric, and is resampled as a whole.
     """
 
-    def interval(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def interval(key, pdf):
         xs = pdf.sort_values(order, kind="stable")[value].tolist()
         draw, n = random.Random(seed), len(xs)
         means = sorted(sum(xs[draw.randint(0, n - 1)] for _ in range(n)) / n for _ in range(rounds))
@@ -174,7 +174,7 @@ def wilcoxon_by(values: DataFrame, by: list[str], a: str, b: str, unit: str = "d
     cases = complete_cases(values.filter(F.col(name).isin(a, b)), by, unit, name, value)
     both = cases.groupBy(*by, unit).agg(*[F.max(F.when(F.col(name) == x, F.col(value))).alias(c) for x, c in ((a, "__a"), (b, "__b"))])
 
-    def test(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def test(key, pdf):
         found = wilcoxon(pdf["__a"].tolist(), pdf["__b"].tolist()) if len(pdf) >= LEAST_CASES else None
         return pd.DataFrame([(*key, len(pdf), *(found or (None, None)))])
 

@@ -13,7 +13,7 @@ from ..operators import aggregate, analyses, statistics
 from ..operators.metrics import METRIC_PROFILES, Metric, score
 from ..operators.relational import small
 from ..schema import TEXT_TYPES
-from ..sources.xml_layout import layout_rows, region_text
+from ..sources.xml_layout import layout_text
 
 #: Candidates in order of preference; others follow by name.
 PREFERENCE = ("corrected_text", "raw_text")
@@ -47,7 +47,7 @@ def projected(kind: str, wanted: str, content, projections: Mapping[str, str]):
         return content
     how = projections.get(kind)
     if how == "layout_to_text":
-        return region_text(layout_rows(F.encode(content, "UTF-8")))
+        return layout_text(F.encode(content, "UTF-8"))
     return content if how == "identity" else F.lit(None).cast("string")
 
 

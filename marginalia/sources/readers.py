@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import plain_text
-from .xml_layout import layout_rows, region_text
+from .xml_layout import layout_text
 
 #: Endings of reference files, the first that is there counts.
 REFERENCE_ENDINGS = (".gt.txt", ".txt", ".gt.xml", ".xml")
@@ -59,7 +59,7 @@ def paired_ground_truth(files: DataFrame) -> DataFrame:
         else:
             rank = F.when(F.lower("name").endswith(ending), n).otherwise(rank)
     best = given.groupBy("doc_id").agg(F.min(F.struct(rank.alias("rank"), "name", "content")).alias("b"))
-    text = F.when(F.lower("b.name").endswith(".xml"), region_text(layout_rows(F.encode("b.content", "UTF-8")))).otherwise(F.col("b.content"))
+    text = F.when(F.lower("b.name").endswith(".xml"), layout_text(F.encode("b.content", "UTF-8"))).otherwise(F.col("b.content"))
     return images.join(best, "doc_id", "left").select("doc_id", "image", text.alias("reference"))
 
 

@@ -11,7 +11,7 @@ import re
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -168,10 +168,17 @@ def regions(files: DataFrame, content: str = "content", *keep: str) -> DataFrame
     return files.select(*keep, F.inline(layout_rows(F.col(content))))
 
 
-def region_text(rows: Column) -> Column:
-    """Text of a layout: lines by newline, regions by a blank line, empty ones left out."""
-    lines = lambda r: F.array_join(F.filter(r["lines"], lambda x: x != ""), "\n")
-    tops = F.filter(rows, lambda r: r["depth"] == 0)
-    below = lambda top: F.filter(rows, lambda r: (r["dfs_pos"] >= top["dfs_pos"]) & (r["dfs_pos"] < F.coalesce(F.array_min(F.transform(F.filter(tops, lambda t: t["dfs_pos"] > top["dfs_pos"]), lambda t: t["dfs_pos"])), F.lit(1 << 30))))
-    text = lambda top: F.array_join(F.filter(F.transform(below(top), lines), lambda x: x != ""), "\n")
-    return F.array_join(F.filter(F.transform(tops, text), lambda x: x != ""), "\n\n")
+def text_of(rows: list[dict]) -> str:
+    """Text of a layout: lines and sub-regions by newline, top regions by a blank line, empty ones left out."""
+    tops: list[list[str]] = []
+    for row in rows:
+        if not row["depth"]:
+            tops.append([])
+        tops[-1] += [line for line in row["lines"] if line]
+    return "\n\n".join("\n".join(lines) for lines in tops if lines)
+
+
+@F.arrow_udf(T.StringType())
+def layout_text(content: pa.Array) -> pa.Array:
+    parsed = (parse(c) for c in content.to_pylist())
+    return pa.array([None if rows is None else text_of(rows) for rows in parsed], pa.string())
