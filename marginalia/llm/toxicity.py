@@ -7,7 +7,7 @@ buckets that are not 0 and travels with the scoring function.
 
 The model is fitted on a documented sample: of each class at most ``SAMPLE_ROWS`` labelled
 documents in hash order of their id, none longer than ``SAMPLE_CHARS`` characters. Scoring
-reads every whole text, in a map without a shuffle.
+reads every whole text, in a map without a shuffle. One task trains on the sample.
 
 Defined cases: null or empty text: the score of the bias alone. Conflicting labels of a
 document: toxic if any says so. No labels: every score is that of the prior of no toxic
@@ -57,6 +57,10 @@ class Model:
     bias: float
 
 
+#: What nothing is learnt from.
+NONE = Model(np.empty(0, np.int64), np.empty(0, np.float32), -4.0)
+
+
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.01, epochs: int = 6, seed: int = 5) -> Model:
     """Fit on lists of distinct buckets; the last coordinate is the bias, free of L1."""
     n, z = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
@@ -64,7 +68,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 2.0, beta
     penalty = np.full(BUCKETS + 1, l1)
     penalty[-1] = 0
     if not len(rows) or not labels.any():
-        return Model(np.empty(0, np.int64), np.empty(0), -4.0)
+        return NONE
 
     def weight(at):
         return np.where(np.abs(z[at]) <= penalty[at], 0, -(z[at] - np.sign(z[at]) * penalty[at]) / ((beta + np.sqrt(n[at])) / alpha + l2))
@@ -90,16 +94,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, learns: Column | None = None, id_
     first = [known.filter(side).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample_rows) for side in (F.col("__label") > 0, F.col("__label") <= 0)]
     # at most 2 * sample_rows pairs of numbers are broadcast
     rows = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars)).join(F.broadcast(first[0].union(first[1])), id_col)
-    rows = rows.orderBy(F.xxhash64(F.col(id_col)), id_col, text_col).limit(2 * sample_rows).select(text_col, "__label")
-    table = rows.toArrow()
-    y = np.minimum(np.array(table.column("__label").to_pylist(), float), 1)
-    found = []
-    for part in slices(table, text_col):
-        row, bucket = features(part.column(text_col))
-        pairs = np.unique(row * BUCKETS + bucket)
-        edges = np.searchsorted(pairs, np.arange(part.num_rows + 1) * BUCKETS)
-        found += [(pairs[a:b] % BUCKETS).astype(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return ftrl(found, y)
+    place = F.xxhash64(F.col(id_col))
+    rows = rows.orderBy(place, id_col, text_col).limit(2 * sample_rows).select(place.alias("place"), F.col(text_col).alias("text"), "__label")
+
+    def train(batches):
+        places, labels, edges, parts = [], [], [np.zeros(1, np.int64)], [np.empty(0, np.int32)]
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, bucket = features(part.column("text"))
+                pairs = np.unique(row * BUCKETS + bucket)
+                edges.append(edges[-1][-1] + np.searchsorted(pairs, (np.arange(part.num_rows) + 1) * BUCKETS))
+                parts.append((pairs % BUCKETS).astype(np.int32))
+                places += part.column("place").to_pylist()
+                labels += part.column("__label").to_pylist()
+        flat, edge = np.concatenate(parts), np.concatenate(edges)
+        order = np.argsort(np.array(places, np.int64), kind="stable")
+        model = ftrl([flat[edge[i] : edge[i + 1]] for i in order], np.minimum(np.array(labels, float), 1)[order])
+        yield pa.RecordBatch.from_arrays([pa.array([model.buckets.astype(np.int64).tobytes()], pa.binary()), pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["buckets", "weights", "bias"])
+
+    # the sample is bounded, so one task trains on it, and the driver sees the weights alone
+    found = rows.coalesce(1).mapInArrow(train, "buckets binary, weights binary, bias double").first()
+    return Model(np.frombuffer(found["buckets"], np.int64), np.frombuffer(found["weights"], np.float32), found["bias"]) if found else NONE
 
 
 def scorer(model: Model):
