@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions import fixed_values as fixed
 from ..functions import scanners
-from ..functions.align import counts, edit_blocks, positions_kept
+from ..functions.align import counts, distance, edit_blocks, positions_kept
 from ..functions.text import safe_ratio
 
 CHARS = "h long, s long, d long, i long, marks long, marks_kept long, glyphs long, glyphs_kept long, archaic long, archaic_kept long, archaic_out long, archaic_true long, grams long, grams_new long"
@@ -131,9 +131,23 @@ def _share(part: str, whole: str, turned: bool = False):
     return safe_ratio(b - a if turned else a, b)
 
 
-def _edit_rate(ref: Column, hyp: Column) -> Column:
-    edits = F.levenshtein(ref, hyp)
-    return F.when(F.length(ref) > 0, edits / F.length(ref)).when(edits == 0, 0.0).when(edits > 0, 1.0)
+def _edit_rate(edits: Column, length: Column) -> Column:
+    return F.when(length > 0, edits / length).when(edits == 0, 0.0).when(edits > 0, 1.0)
+
+
+#: Cells of a distance matrix up to which the built-in is quicker than columns of bits.
+SHORT_CELLS = 40_000
+
+
+@F.arrow_udf(from_arrow_type(pa.int64()))
+def _long_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array([None if a is None or b is None else distance(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], pa.int64())
+
+
+def edit_distance(ref: Column, hyp: Column) -> Column:
+    """Least edits between two texts: the built-in for short ones, columns of bits for long ones."""
+    long = F.length(ref).cast("long") * F.length(hyp) > SHORT_CELLS
+    return F.coalesce(F.when(~long, F.levenshtein(ref, hyp).cast("long")), _long_distance(F.when(long, ref), F.when(long, hyp)))
 
 
 def _rate(part: Callable[[], Column], whole: Callable[[], Column]):
@@ -156,8 +170,8 @@ def _plain(c: str) -> Column:
 METRICS = {
     m.name: m
     for m in (
-        Metric("cer", False, "", lambda: _edit_rate(F.col("ref"), F.col("hyp")), lambda: F.length("ref")),
-        Metric("cer_diplo", False, "nfc", lambda: _edit_rate(_plain("ref_nfc"), _plain("hyp_nfc")), lambda: F.length("ref_nfc")),
+        Metric("cer", False, "edits", lambda: _edit_rate(F.col("edits"), F.length("ref")), lambda: F.length("ref")),
+        Metric("cer_diplo", False, "nfc", lambda: _edit_rate(F.col("edits_nfc"), F.length("ref_nfc")), lambda: F.length("ref_nfc")),
         Metric("wer", False, "words", _rate(_word_edits, _col("words.n")), _col("words.n")),
         Metric("mer", False, "words", lambda: F.coalesce(safe_ratio(_word_edits(), _word_total()), F.when(_word_total() == 0, 0.0)), _word_total),
         Metric("del_rate", False, "words", _rate(_col("words.d"), _col("words.n")), _col("words.n")),
@@ -205,6 +219,9 @@ def measured(pairs: DataFrame, needs: set[str], archaic: str = fixed.ARCHAIC_COR
         pairs = pairs.withColumn("seqs", pair_function(_sequence_row, SEQUENCES)(F.col("ref"), F.col("hyp")))
     if "nfc" in needs:
         pairs = pairs.withColumns({f"{c}_nfc": PROFILES["nfc"].column(F.col(c)) for c in ("ref", "hyp")})
+        pairs = pairs.withColumn("edits_nfc", edit_distance(_plain("ref_nfc"), _plain("hyp_nfc")))
+    if "edits" in needs:
+        pairs = pairs.withColumn("edits", edit_distance(F.col("ref"), F.col("hyp")))
     return pairs
 
 

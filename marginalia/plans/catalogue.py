@@ -502,7 +502,10 @@ def entity_scores(spark, sf_dir):
 
 @query()
 def char_confusions(spark, sf_dir):
-    return analyses.confusions(derived.pairs(spark, sf_dir))
+    """Confusions within words, of the engines that keep their number."""
+    both = F.explode(F.arrays_zip(F.split("ref", " ").alias("ref"), F.split("hyp", " ").alias("hyp"))).alias("w")
+    words = derived.pairs(spark, sf_dir, ("alpha", "beta")).select("view", "pipeline", both).select("view", "pipeline", "w.ref", "w.hyp")
+    return analyses.confusions(words.filter("ref <> hyp"))
 
 
 @query()
