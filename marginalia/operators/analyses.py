@@ -19,7 +19,7 @@ from ..functions import scanners
 from ..functions.align import EQUAL, REPLACE, counts, distance, edit_blocks, edit_runs, matching_blocks
 from ..functions.text import excerpt, f1, line_array, quality_gain, safe_ratio, token_array, zero_safe_ratio
 from . import aggregate, relational
-from .metrics import list_function
+from .metrics import list_function, pair_function
 
 KEY = ["view", "pipeline"]
 GONE = "∅"
@@ -180,15 +180,23 @@ def missed_rare_tokens(pairs: DataFrame, most: int = 2, k: int = 20, tokens=toke
     return aggregate.collected_samples(kept.filter("kept < n"), KEY, "token", k)
 
 
-def hallucination(pairs: DataFrame, n: int = 3) -> DataFrame:
-    """Trigrams of the hypotheses that their references lack, without Python: exploded and anti-joined."""
-    from ..functions.text import char_ngrams
+def _new_grams(ref: str, hyp: str, n: int = 3) -> tuple[int, int]:
+    known = {ref[i : i + n] for i in range(len(ref) - n + 1)}
+    grams = [hyp[i : i + n] for i in range(len(hyp) - n + 1)]
+    return len(grams), sum(g not in known for g in grams)
 
-    keys = [*KEY, "doc_id", "gram"]
-    made = pairs.select(*keys[:3], F.explode(char_ngrams(F.col("hyp"), n)).alias("gram")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    known = pairs.select(*keys[:3], F.explode(F.array_distinct(char_ngrams(F.col("ref"), n))).alias("gram")).withColumn("known", F.lit(True))
-    out = made.join(known, keys, "left").groupBy(*KEY).agg(F.sum("n").alias("grams"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("new"))
-    return out.withColumn("value", F.col("new") / F.col("grams"))
+
+new_grams = pair_function(_new_grams, "grams long, new long")
+
+
+def hallucination(pairs: DataFrame) -> DataFrame:
+    """Trigrams of the hypotheses that their references lack.
+
+    Counted within a pair, so that trigrams, many times the text, are never shuffled.
+    """
+    rows = pairs.select(*KEY, new_grams("ref", "hyp").alias("g"))
+    out = rows.groupBy(*KEY).agg(F.sum("g.grams").alias("grams"), F.sum("g.new").alias("new"))
+    return out.withColumn("value", safe_ratio(F.col("new"), F.col("grams")))
 
 
 # -- lines ---------------------------------------------------------------------------
