@@ -198,3 +198,15 @@ def test_image_measures():
     lines = np.tile(np.repeat([0.0, 255.0], 4), 8)[:, None] * np.ones((1, 40))
     assert image_measures(lines)["sharpness"] == 1 and image_measures(lines)["contrast"] == 1
     assert image_measures(np.array([[7.0]]))["rotation"] == 0
+
+
+def test_matching_blocks_are_those_of_the_standard_matcher():
+    rng = random.Random(3)
+    for n in [*range(60), 700, 1500]:
+        a = "".join(rng.choices("abcu ", k=n))
+        b = "".join(c for c in a.replace("u", "n") if rng.random() > 0.05) + "".join(rng.choices("abcu ", k=n % 7))
+        for x, y in ((a, b), (b, a), (a.split(), b.split()), (a, a[::-1])):
+            for small in (0, align._Matcher.SMALL):
+                matcher = align._Matcher(None, x, y, autojunk=False)
+                matcher.SMALL = small
+                assert matcher.get_opcodes() == SequenceMatcher(None, x, y, autojunk=False).get_opcodes()

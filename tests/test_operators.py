@@ -302,3 +302,8 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_char_confusions_cover_every_engine(spark, tiny):
+    rows = catalogue.queries()["char_confusions"](spark, tiny).filter("place = 1").collect()
+    assert {r.pipeline: (r.expected, r.observed) for r in rows} == {"alpha": ("r", "m"), "beta": ("E", "e"), "gamma": ("u", "n")}
