@@ -1,13 +1,16 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a text and the text as a whole are compared with license templates: sparse
-vectors of word counts times idf, cosine. idf comes from document frequencies of the
-templates' words over the whole corpus; a word of no template counts as one that a single
-document has. Only lines that keep enough of their weight in template words are compared
-exactly, which loses none over the threshold.
-
-A file states a license if a line (a header) or the whole text (a licence file) reaches
-``threshold``. A licence file, by its name or by its whole text, speaks for its directory.
+Texts are compared with license templates: sparse vectors of word counts times idf,
+cosine. Lines, and runs of consecutive lines of up to ``SPAN`` times the longest notice's
+words, are compared with notices, so a notice may be wrapped and have comment marks; the
+text as a whole is also compared with the licenses' full texts. idf comes from document
+frequencies over the whole corpus. A first pass keeps what could reach the threshold if
+its other words had the least idf there is, 1, which loses none over the threshold; then
+the frequencies of the kept words are looked up and the cosine is exact.
+
+A file states a license if a run of lines (a header) or the whole text (a licence file)
+reaches ``threshold``. A licence file, by its name or by its whole text, speaks for its
+directory.
 A file that states none inherits from the nearest directory above it that has one: paths
 are exploded to their ancestors, joined by equality and the longest wins; a file has few
 ancestors, and one row a directory is joined to them.
@@ -20,9 +23,12 @@ Other columns pass through; those named like a result column are replaced.
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+import re
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 from math import log, sqrt
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, one_array, slices, split_words
 
 THRESHOLD = 0.8
+SPAN = 0
 STRIP = ".,;:!?\"'()[]{}<>|*#%&/\\"
 FILE_NAMES = ("license", "licence", "copying", "notice")
 
@@ -57,42 +64,99 @@ TEMPLATES = (
 )
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """The full texts of licenses, by identifier."""
+    return tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
+def cleaned(word: str) -> str:
+    """A word without the marks around it; nothing if only hyphens are left."""
+    w = word.lower().strip(STRIP)
+    return w if w.strip("-") else ""
+
+
 def words(text: str) -> list[str]:
-    return [w for w in (x.lower().strip(STRIP) for x in text.split()) if w]
+    return [w for w in map(cleaned, re.split(r"[ \t-\r]+", text)) if w]
 
 
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Text and word number of every token, and the words by number."""
     flat, offsets = split_words(texts)
     coded = flat.dictionary_encode()
-    clean = [w.lower().strip(STRIP) for w in coded.dictionary.to_pylist()]
+    clean = [cleaned(w) for w in coded.dictionary.to_pylist()]
     number = {w: i for i, w in enumerate(dict.fromkeys(w for w in clean if w))}
     word = np.array([number.get(w, -1) for w in clean], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if clean else np.empty(0, np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     return row[word >= 0], word[word >= 0], list(number)
 
 
-def _may_match(weights: Weights, texts, threshold: float) -> np.ndarray:
-    """Texts with enough of their weight in template words: a cosine can't be higher than that share."""
-    row, word, clean = _tokens(texts)
+def _reaching(weights: Weights, row, word, clean: list[str], texts: int, threshold: float, notices: bool) -> np.ndarray:
+    """The rows whose cosine to a template (a notice) can reach the threshold, from their tokens."""
     if not len(row):
         return np.empty(0, np.int64)
-    known = np.array([w in weights.idf for w in clean])
+    numbers, matrix = weights.matrices[notices]
+    known = np.array([numbers.get(w, -1) for w in clean])
     idf = np.array([weights.idf.get(w, weights.unseen) for w in clean])
     pairs, n = np.unique(row * len(clean) + word, return_counts=True)
     row, word = pairs // len(clean), pairs % len(clean)
-    squares = (n * idf[word]) ** 2
-    size = np.bincount(row, squares, len(texts))
-    return np.flatnonzero((np.bincount(row, squares * known[word], len(texts)) >= threshold**2 * size - 1e-9) & (size > 0))
+    values = n * idf[word]
+    size = np.bincount(row, values**2, texts)
+    # a cosine can't be higher than the share of the weight in template words
+    may = (np.bincount(row, values**2 * (known[word] >= 0), texts) >= threshold**2 * size - 1e-9) & (size > 0)
+    at = np.flatnonzero(may[row] & (known[word] >= 0))
+    rows, first = np.unique(row[at], return_index=True)
+    if not len(rows):
+        return rows
+    best = np.zeros(len(rows))
+    for lo in range(0, matrix.shape[1], 8):
+        dots = np.add.reduceat(values[at, None] * matrix[known[word[at]], lo : lo + 8], first)
+        best = np.maximum(best, dots.max(axis=1))
+    return rows[best >= threshold * np.sqrt(size[rows]) - 1e-9]
+
+
+def _may_match(weights: Weights, texts, threshold: float) -> np.ndarray:
+    row, word, clean = _tokens(texts)
+    return _reaching(weights, row, word, clean, len(texts), threshold, False)
 
 
 @dataclass(frozen=True)
 class Weights:
-    """idf of the templates' words, and the templates as unit vectors."""
+    """idf of words, and the templates as unit vectors; how many of them, the first, are notices.
+
+    ``counted`` has the document frequencies of all words (word, n) of ``rows`` documents.
+    """
 
     idf: dict[str, float]
     unseen: float
     templates: tuple[tuple[str, dict[str, float]], ...]
+    notices: int | None = None
+    span: int = 0
+    rows: int = 0
+    counted: DataFrame | None = field(default=None, compare=False)
+
+    @cached_property
+    def matrices(self) -> dict[bool, tuple[dict[str, int], np.ndarray]]:
+        """Words by number and their weight in each template: of all, and of the notices."""
+        out = {}
+        for notices, some in ((False, self.templates), (True, self.templates[: self.notices])):
+            numbers = {w: i for i, w in enumerate(sorted({w for _, t in some for w in t}))}
+            matrix = np.zeros((len(numbers), len(some)))
+            for k, (_, t) in enumerate(some):
+                for w, x in t.items():
+                    matrix[numbers[w], k] = x
+            out[notices] = numbers, matrix
+        return out
+
+    @cached_property
+    def postings(self) -> dict[str, list[tuple[int, float]]]:
+        out = defaultdict(list)
+        for k, (_, t) in enumerate(self.templates):
+            for w, x in t.items():
+                out[w].append((k, x))
+        return dict(out)
+
+    def idf_of(self, n: int) -> float:
+        return 1 + log((1 + self.rows) / (1 + n))
 
     def vector(self, tokens: list[str]) -> dict[str, float]:
         v = {w: n * self.idf.get(w, self.unseen) for w, n in Counter(tokens).items()}
@@ -100,72 +164,117 @@ class Weights:
         return {w: x / size for w, x in v.items()}
 
     def best(self, tokens: list[str]) -> tuple[float, str] | None:
-        v = self.vector(tokens)
-        found = [(-sum(x * v.get(w, 0.0) for w, x in t.items()), name) for name, t in self.templates]
-        score, name = min(found)
+        scores = [0.0] * len(self.templates)
+        for w, x in sorted(self.vector(tokens).items()):
+            for k, y in self.postings.get(w, ()):
+                scores[k] += x * y
+        score, name = min((-x, name) for x, (name, _) in zip(scores, self.templates, strict=True))
         return (-score, name)
 
 
-def fit(docs: DataFrame, templates=TEMPLATES, *, text_col: str = "text") -> Weights:
-    """Document frequencies of the templates' words over all documents."""
-    vocabulary = sorted({w for _, t in templates for w in words(t)})
-    known = {w: i for i, w in enumerate(vocabulary)}
+def fit(docs: DataFrame, templates=TEMPLATES, full=None, *, text_col: str = "text") -> Weights:
+    """Document frequencies of all words over all documents, and the templates weighted by them."""
+    every = (*templates, *(full_texts() if full is None else full))
 
     def count(batches):
-        total, rows = np.zeros(len(known), np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 row, word, clean = _tokens(part.column("text"))
-                number = np.array([known.get(w, -1) for w in clean], np.int64)[word] if len(clean) else word
-                pairs = np.unique(row[number >= 0] * len(known) + number[number >= 0])
-                total += np.bincount(pairs % len(known), minlength=len(known))
-                rows += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(known)), -1], pa.int32()), pa.array([*total, rows], pa.int64())], names=["word", "n"])
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = {r["word"]: r["n"] for r in counted}
-    rows = df.get(-1, 0)
-    idf = {w: 1 + log((1 + rows) / (1 + df.get(i, 0))) for w, i in known.items()}
-    weights = Weights(idf, 1 + log((1 + rows) / 2), ())
-    return Weights(idf, weights.unseen, tuple((name, weights.vector(words(t))) for name, t in templates))
-
-
-def stated_license(weights: Weights, threshold: float):
-    """A scalar function from text to the license it states: name, score, and whether the whole text is it."""
-
-    @F.arrow_udf("name string, score double, whole boolean")
-    def state(text: pa.Array) -> pa.Array:
-        names, scores, whole = [], [], []
+                n = np.bincount(np.unique(row * len(clean) + word) % len(clean), minlength=len(clean)) if len(row) else []
+                yield pa.RecordBatch.from_arrays([pa.array([*clean, None], pa.string()), pa.array([*n, part.num_rows], pa.int64())], names=["word", "n"])
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = checkpointed(counted)
+    vocabulary = sorted({w for _, t in every for w in words(t)})
+    df = {r["word"]: r["n"] for r in counted.filter(F.col("word").isNull() | F.col("word").isin(vocabulary)).collect()}
+    span = int(SPAN * max((len(words(t)) for _, t in templates), default=0))
+    weights = Weights({}, 1.0, (), len(templates), span, df.get(None, 0), counted)
+    weights = replace(weights, idf={w: weights.idf_of(df.get(w, 0)) for w in vocabulary})
+    return replace(weights, templates=tuple((name, weights.vector(words(t))) for name, t in every))
+
+
+def _runs(owner: np.ndarray, ends: np.ndarray, known: np.ndarray, span: int):
+    """(first line, one after the last) of the runs of lines of one text with at most ``span`` tokens, by number of lines.
+
+    A line without a known word at an end only lowers the cosine, so runs begin and end with one.
+    """
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    first = np.flatnonzero(known)
+    size = 1
+    while len(first):
+        last = first + size - 1
+        yield first[known[last]], last[known[last]] + 1
+        first = first[last + 1 < len(owner)]
+        last = first + size
+        first = first[(owner[last] == owner[first]) & (ends[last] - starts[first] <= span)]
+        size += 1
+
+
+def candidates(weights: Weights, threshold: float):
+    """A scalar function from text to what may reach the threshold: runs of lines, and the whole text."""
+
+    @F.arrow_udf("array<struct<text: string, whole: boolean>>")
+    def near(text: pa.Array) -> pa.Array:
+        out: list[list[dict]] = []
         for part in slices(pa.table({"t": text}), "t"):
             texts = pc.fill_null(one_array(part.column("t")), "")
             lists = pc.split_pattern(texts, "\n")
             lines, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
-            best: list[tuple[float, str] | None] = [None] * len(texts)
-            entire = np.zeros(len(texts), bool)
-
-            def offer(i, value, best=best):
-                found = weights.best(words(value))
-                if found[0] >= threshold and (best[i] is None or (-found[0], found[1]) < (-best[i][0], best[i][1])):
-                    best[i] = found
-                return found[0] >= threshold
-
-            for i in _may_match(weights, lines, threshold):
-                offer(of[i], lines[i].as_py())
-            for i in _may_match(weights, texts, threshold):
-                entire[i] = offer(i, texts[i].as_py())
-            names += [b and b[1] for b in best]
-            scores += [b and b[0] for b in best]
-            whole += entire.tolist()
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(whole, pa.bool_())], names=["name", "score", "whole"])
+            kept: list[list[dict]] = [[] for _ in range(len(texts))]
+            row, word, clean = _tokens(lines)
+            if len(row):
+                line, starts = np.unique(row, return_index=True)
+                ends, owner = np.append(starts[1:], len(row)), of[line]
+                numbers, _ = weights.matrices[True]
+                has = np.logical_or.reduceat(np.array([w in numbers for w in clean])[word], starts)
+                for a, b in _runs(owner, ends, has, weights.span):
+                    lengths = ends[b - 1] - starts[a]
+                    at = np.repeat(starts[a] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                    for k in _reaching(weights, np.repeat(np.arange(len(a)), lengths), word[at], clean, len(a), threshold, True).tolist():
+                        kept[owner[a[k]]].append({"text": " ".join(lines[int(x)].as_py() for x in line[a[k] : b[k]]), "whole": False})
+                for k in _reaching(weights, of[row], word, clean, len(texts), threshold, False).tolist():
+                    kept[k].append({"text": texts[k].as_py(), "whole": True})
+            out += kept
+        return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("whole", pa.bool_())])))
+
+    return near
+
+
+def looked_up(weights: Weights, near: DataFrame) -> Weights:
+    """The weights with the idf of all words of the candidates (text)."""
+    idf = weights.idf
+
+    def others(batches):
+        for batch in batches:
+            found = sorted({w for t in batch.column("text").to_pylist() for w in words(t or "")} - idf.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
+
+    more = weights.counted.join(near.mapInArrow(others, "word string").distinct(), "word").collect()
+    return replace(weights, idf=idf | {r["word"]: weights.idf_of(r["n"]) for r in more}, counted=None)
+
+
+def stated_license(weights: Weights, threshold: float):
+    """A scalar function from candidates to the license a text states: name, score, and whether the whole text is it."""
+
+    @F.arrow_udf("struct<name: string, score: double, whole: boolean>")
+    def state(near: pa.Array) -> pa.Array:
+        out = []
+        for some in near.to_pylist():
+            found = [(*weights.best(words(x["text"])), x["whole"]) for x in some or ()]
+            found = [(-score, name, whole) for score, name, whole in found if score >= threshold]
+            score, name, _ = min(found, default=(None, None, False))
+            out.append({"name": name, "score": score and -score, "whole": any(x[2] for x in found)})
+        return pa.array(out, pa.struct([("name", pa.string()), ("score", pa.float64()), ("whole", pa.bool_())]))
 
     return state
 
 
 def scan_licenses(docs: DataFrame, weights: Weights, *, id_col: str = "doc_id", text_col: str = "text", path: Column, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with ``path``, ``stated``, ``score``, ``license``, ``from_dir`` and ``how`` (own, inherited or none)."""
-    found = stated_license(weights, threshold)(F.col(text_col))
-    out = docs.withColumn("__path", path).withColumn("__found", found)
-    light = checkpointed(out.select(id_col, "__path", "__found"))
+    near = candidates(replace(weights, counted=None), threshold)(F.col(text_col))
+    near = checkpointed(docs.select(id_col, path.alias("__path"), near.alias("__near")))
+    weights = looked_up(weights, near.select(F.explode("__near.text").alias("text")))
+    light = checkpointed(near.select(id_col, "__path", stated_license(weights, threshold)(F.col("__near")).alias("__found")))
     steps = F.split("__path", "/")
     name = F.regexp_extract(F.lower(F.element_at(steps, -1)), r"^[a-z]*", 0)
     speaks = F.col("__found.name").isNotNull() & (F.col("__found.whole") | name.isin(*FILE_NAMES))

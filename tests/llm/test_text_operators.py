@@ -219,6 +219,18 @@ def test_license_cosine_is_that_of_all_lines():
     assert {i for i, t in enumerate(lines) if licenses.words(t) and weights.best(licenses.words(t))[0] >= 0.8} <= may
 
 
+def stated(spark, texts):
+    docs = spark.createDataFrame([(i, f"{i}.txt", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    return {r.doc_id: r.stated for r in licenses.scan_licenses(docs, licenses.fit(docs), path=F.col("path")).collect()}
+
+
+def test_license_lines_count_common_words_as_common(spark):
+    some = {"released": 166, "mit": 165, "license": 83, "under": 50, "the": 3, "project": 5}
+    other = [" ".join(w for w, n in some.items() if i % n == 1) + f" a{i} b{i} c{i}" for i in range(10_000)]
+    got = stated(spark, ["Project released under the MIT License.", *other])
+    assert got[0] == "MIT" and set(list(got.values())[1:]) == {None}
+
+
 def filled(sizes, weights=(1, 2, 3), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
