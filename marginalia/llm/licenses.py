@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, one_array, slices, split_words
 
 THRESHOLD = 0.8
-SPAN = 0
+SPAN = 1.5
 STRIP = ".,;:!?\"'()[]{}<>|*#%&/\\"
 FILE_NAMES = ("license", "licence", "copying", "notice")
 

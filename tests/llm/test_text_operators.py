@@ -231,6 +231,16 @@ def test_license_lines_count_common_words_as_common(spark):
     assert got[0] == "MIT" and set(list(got.values())[1:]) == {None}
 
 
+def test_license_notices_may_be_wrapped(spark):
+    texts = dict(licenses.full_texts())
+    body = "\n".join(f"x{i} = call{i}(y{i})" for i in range(400))
+    wrapped = "\n".join(f"# {line}" for line in texts["MIT"].splitlines()[:6])
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n */"
+    got = stated(spark, [f"{wrapped}\n{body}", f"{body}\n{bsd}\n{body}", *texts.values(), *[body.replace("x", f"z{i}") for i in range(500)]])
+    assert (got[0], got[1]) == ("MIT", "BSD-3-Clause")
+    assert [got[i + 2] for i in range(len(texts))] == list(texts)
+
+
 def filled(sizes, weights=(1, 2, 3), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
