@@ -297,7 +297,7 @@ def wilcoxon_test(spark, sf_dir):
 def bootstrap_intervals(spark, sf_dir):
     """Means of documents with resampled intervals."""
     docs = doc_scores(spark, sf_dir).withColumn("doc_pos", F.col("doc_id"))
-    return rounded(statistics.bootstrap(docs, ["pipeline"], rounds=200), "mean", "lower", "upper")
+    return rounded(statistics.bootstrap(docs, ["pipeline"]), "mean", "lower", "upper")
 
 
 @query("WITH v AS (SELECT l_returnflag AS pipeline, l_orderkey AS doc_id, avg(l_discount) AS value FROM lineitem GROUP BY ALL), k AS (SELECT count(DISTINCT pipeline) AS k FROM v), c AS (SELECT doc_id FROM v, k GROUP BY doc_id, k HAVING count(*) = k) SELECT pipeline, count(*) AS n, round(avg(value), 6) AS value FROM v SEMI JOIN c USING (doc_id) GROUP BY pipeline")

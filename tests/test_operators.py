@@ -307,3 +307,9 @@ def test_entry(spark):
 def test_char_confusions_cover_every_engine(spark, tiny):
     rows = catalogue.queries()["char_confusions"](spark, tiny).filter("place = 1").collect()
     assert {r.pipeline: (r.expected, r.observed) for r in rows} == {"alpha": ("r", "m"), "beta": ("E", "e"), "gamma": ("u", "n")}
+
+
+def test_bootstrap_query_resamples_as_often_as_the_operator(spark, tiny):
+    docs = catalogue.doc_scores(spark, tiny).withColumn("doc_pos", F.col("doc_id"))
+    expected = {r.pipeline: (round(r.lower, 6), round(r.upper, 6)) for r in statistics.bootstrap(docs, ["pipeline"], rounds=1000).collect()}
+    assert {r.pipeline: (r.lower, r.upper) for r in catalogue.queries()["bootstrap_intervals"](spark, tiny).collect()} == expected
