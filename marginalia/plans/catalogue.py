@@ -245,8 +245,8 @@ def worst_lines(spark, sf_dir):
 
 @query()
 def aligned_line_summary(spark, sf_dir):
-    """Lines of whole documents aligned as sequences; the engine loses every seventh line."""
-    rows = derived.pairs(spark, sf_dir, ("alpha",))
+    """Lines of whole documents aligned as sequences; each engine loses every seventh line."""
+    rows = derived.pairs(spark, sf_dir)
     at = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "\n")
     kept = F.when(F.col("line") % 7 != 3, F.struct("line", F.col("hyp").alias("t")))
     docs = rows.groupBy("view", "pipeline", "doc_id").agg(at(F.struct("line", F.col("ref").alias("t"))).alias("ref"), at(kept).alias("hyp"))
@@ -485,7 +485,7 @@ def image_quality(spark, sf_dir):
 @query()
 def entity_scores(spark, sf_dir):
     """Capitalised words as entities; the hypothesis has half of them, on spoilt text."""
-    rows = derived.pairs(spark, sf_dir, ("gamma",))
+    rows = derived.pairs(spark, sf_dir)
 
     def spans(text: str):
         words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\b([A-Z][a-z]+)\b"), 1))

@@ -313,3 +313,8 @@ def test_bootstrap_query_resamples_as_often_as_the_operator(spark, tiny):
     docs = catalogue.doc_scores(spark, tiny).withColumn("doc_pos", F.col("doc_id"))
     expected = {r.pipeline: (round(r.lower, 6), round(r.upper, 6)) for r in statistics.bootstrap(docs, ["pipeline"], rounds=1000).collect()}
     assert {r.pipeline: (r.lower, r.upper) for r in catalogue.queries()["bootstrap_intervals"](spark, tiny).collect()} == expected
+
+
+@pytest.mark.parametrize("name", ["aligned_line_summary", "entity_scores"])
+def test_queries_cover_every_engine(spark, tiny, name):
+    assert {r.pipeline for r in catalogue.queries()[name](spark, tiny).collect()} == {"alpha", "beta", "gamma"}
