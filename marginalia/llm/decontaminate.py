@@ -11,7 +11,8 @@ if an item is covered to ``threshold`` or more.
 The benchmark is shipped in passes of at most ``PASS_CHARS`` characters (an item that is
 longer is a pass of its own); a pass is a map over the documents without a shuffle.
 
-Defined cases: null or empty text, null or empty item: no match. Items shorter than a
+Defined cases: null or empty text, null or empty item text: no match.
+An item without an id counts like any other and is named ``NO_ID``. Items shorter than a
 seed are matched as a whole. Repeated items count once each. Of items covered alike the
 smallest id is named. No benchmark: nothing is contaminated. Other columns pass through;
 those named like a result column are replaced.
@@ -33,6 +34,7 @@ from .common import U64, among, slices, split_words, window_starts, windows
 LEAST = 4
 THRESHOLD = 0.5
 PASS_CHARS = 4_000_000
+NO_ID = (1 << 63) - 1
 STRIP = ".,;:!?\"'()[]{}<>|*#%&-_/\\«»“”‘’"
 RESULT = "item_id long, coverage double, n_items long"
 
@@ -137,7 +139,7 @@ def _better(a: Column, b: Column) -> Column:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, threshold: float = THRESHOLD, pass_chars: int = PASS_CHARS) -> DataFrame:
     """The documents with ``item_id`` (best covered, null below half of the threshold's seeds), ``coverage``, ``n_items`` and ``contaminated``."""
-    items = benchmark.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(item_text).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-2 * total // pass_chars) if total > pass_chars else 1
     results = []

@@ -284,3 +284,11 @@ def test_quality_is_drawn_first(spark):
 def test_query_names(spark):
     names = [n for n in queries.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+
+
+def test_items_without_an_id_are_leaks_too(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"so {item} so"), (2, "nothing of it at all")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, item), (5, None)], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.n_items, r.contaminated) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert got == {1: (decontaminate.NO_ID, 1, 1), 2: (None, 0, 0)}
