@@ -167,16 +167,67 @@ REPLY_SCHEMAS = {"reply": {"prompt": ("string", True), "turn": ("integer", True)
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn as a call of the tool ``reply``, each assistant turn as the result of the call before it."""
+    """Each user turn as a call of a tool, each assistant turn as the result of the call before it.
+
+    A call waits for the conversation's call before it, some also for the one before that;
+    some wait for a call that is not there, some for the next, which makes a circle. Some
+    arguments lack one, have one of another type, one too many, or come as a string, and
+    some calls are of a tool that is not known.
+    """
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
-    arguments = F.struct(F.coalesce("text", F.lit("")).alias("prompt"), F.col("turn").alias("turn"))
-    call = F.to_json(F.struct(F.array(F.struct(name(F.col("turn")).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
-    result = F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    turn, conv = F.col("turn"), F.col("conv_id")
+    name = lambda turn: F.concat_ws("-", conv.cast("string"), turn.cast("string"))
+    bent = lambda n: (conv * 7 + turn) % n == 0
+    kind = (conv * 3 + turn) % 10
+    prompt = F.coalesce("text", F.lit(""))
+    arguments = (
+        F.when(kind == 1, F.to_json(F.struct(prompt.alias("prompt"), turn.cast("string").alias("turn"))))
+        .when(kind == 2, F.to_json(F.struct(turn.alias("turn"))))
+        .when(kind == 3, F.to_json(F.struct(F.lit(True).alias("loud"), prompt.alias("prompt"), turn.alias("turn"))))
+        .otherwise(F.to_json(F.struct(prompt.alias("prompt"), turn.alias("turn"))))
+    )
+    after = F.array_compact(F.array(F.when(turn >= 2, name(turn - 2)), F.when((turn >= 4) & ((conv + turn) % 5 == 0), name(turn - 4)), F.when(bent(41), F.lit("nowhere")), F.when(bent(43), name(turn + 2))))
+    tool = F.when((conv + turn) % 61 == 0, "shout").otherwise("reply")
+    # arguments are JSON already, so the call is put together around them; some have them as a string
+    quoted = F.regexp_extract(F.to_json(F.struct(arguments.alias("a"))), r'(?s)^\{"a":(.*)\}$', 1)
+    given = F.when(kind % 5 == 4, quoted).otherwise(arguments)
+    call = F.concat(F.lit('{"tool_calls":[{"after":'), F.to_json(after), F.lit(',"arguments":'), given, F.lit(',"id":"'), name(turn), F.lit('","name":"'), tool, F.lit('"}]}'))
+    result = F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), prompt.alias("content")))
     text = F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text"))
     return tool_calls.link_tool_calls(turns.withColumn("text", text), REPLY_SCHEMAS)
 
 
+OP10_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(text, '') AS prompt, conv_id || '-' || turn AS id, (conv_id * 3 + turn) % 10 AS kind,
+    CASE WHEN (conv_id + turn) % 61 = 0 THEN 'shout' ELSE 'reply' END AS name,
+    (conv_id * 7 + turn) % 41 = 0 OR (conv_id * 7 + turn) % 43 = 0 OR (turn >= 2 AND lag(turn) OVER w IS DISTINCT FROM turn - 2)
+      OR (turn >= 4 AND (conv_id + turn) % 5 = 0 AND lag(turn, 2) OVER w IS DISTINCT FROM turn - 4) AS bad,
+    row_number() OVER w AS nth
+  FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), k AS (
+  SELECT *, CASE WHEN bool_or(bad) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) THEN NULL ELSE (2 * (nth - 1))::INT END AS level FROM c
+), r AS (
+  SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS id, coalesce(text, '') AS content FROM conversations WHERE role = 'assistant'
+), x AS (
+  SELECT k.conv_id, k.turn, 'user' AS role, 'call' AS kind, k.id AS call_id, k.name,
+    CASE WHEN level IS NULL THEN 'blocked' WHEN r.id IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
+    CASE WHEN level IS NOT NULL THEN k.turn END AS order_turn, level,
+    CASE WHEN k.name = 'shout' THEN ['unknown_tool'] WHEN k.kind = 1 THEN ['type:turn'] WHEN k.kind = 2 THEN ['missing:prompt'] WHEN k.kind = 3 THEN ['unexpected:loud'] ELSE [] END AS errors,
+    json_object('arguments', CASE k.kind WHEN 1 THEN json_object('prompt', prompt, 'turn', k.turn::VARCHAR) WHEN 2 THEN json_object('turn', k.turn) WHEN 3 THEN json_object('loud', true, 'prompt', prompt, 'turn', k.turn) ELSE json_object('prompt', prompt, 'turn', k.turn) END, 'id', k.id, 'name', k.name, 'role', 'user')::VARCHAR AS json
+  FROM k LEFT JOIN r ON k.id = r.id
+  UNION ALL
+  SELECT r.conv_id, r.turn, 'assistant', 'result', r.id, NULL, CASE WHEN k.id IS NULL THEN 'orphan' ELSE 'linked' END, r.turn,
+    CASE WHEN k.id IS NULL THEN 0 ELSE level + 1 END, NULL, json_object('content', content, 'role', 'assistant', 'tool_call_id', r.id)::VARCHAR
+  FROM r LEFT JOIN k ON k.id = r.id
+  UNION ALL
+  SELECT conv_id, turn, role, 'text', NULL, NULL, 'text', turn, 0, NULL, json_object('role', role, 'text', text)::VARCHAR
+  FROM conversations WHERE role NOT IN ('user', 'assistant')
+)
+SELECT conv_id::VARCHAR AS conv, turn, 0 AS part, role, kind, call_id, name, status, order_turn, level, len(errors) = 0 AS valid, errors, json FROM x
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -193,4 +244,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op9_source_mix": OP9_SQL}
+    return {"op1_url_filters": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op9_source_mix": OP9_SQL, "op10_tool_calls": OP10_SQL}

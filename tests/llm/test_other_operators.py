@@ -153,7 +153,7 @@ def test_call_chains_are_layered(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, tiny, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
     expected = con.sql(queries.oracle_sql()[name])
     columns = sorted(expected.columns)
@@ -161,15 +161,50 @@ def test_queries_against_sql(spark, tiny, name):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall())
 
 
-def test_op10_answers_every_user_turn(spark, tiny):
+def test_op10_keeps_every_turn_and_its_order(spark, tiny):
     out = queries.op10_tool_calls(spark, tiny)
     turns = spark.read.parquet(f"{tiny}/conversations.parquet")
     assert out.count() == turns.count()
-    assert out.filter("kind = 'call' and not valid").count() == 0
-    late = out.filter("kind = 'result'").alias("r").join(out.filter("kind = 'call'").alias("c"), ["conv", "call_id"])
+    assert {r.status for r in out.select("status").distinct().collect()} >= {"answered", "blocked", "linked", "text"}
+    assert out.filter("kind = 'call' and not valid").count() > 0
+    placed = out.filter("level is not null")
+    late = placed.filter("kind = 'result'").alias("r").join(placed.filter("kind = 'call'").alias("c"), ["conv", "call_id"])
     assert late.filter("(r.order_turn, r.level) <= (c.order_turn, c.level)").count() == 0
 
 
+def levels(calls):
+    """(turn, level) by call id of what can be placed, layer by layer."""
+    done, last = {}, None
+    while last != len(done):
+        last = len(done)
+        for name, (turn, after) in calls.items():
+            if name not in done and all(d in done for d in after):
+                done[name] = (max([turn, *[done[d][0] for d in after]]), max([-2, *[done[d][1] for d in after]]) + 2)
+    return done
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_calls_are_placed_as_layer_by_layer(spark, seed):
+    rng = random.Random(seed)
+    rows, expected = [], {}
+    for conv in range(6):
+        n = rng.choice((1, 12, 40))
+        names = [f"c{i}" for i in range(n)]
+        calls = {}
+        for i, name in enumerate(names):
+            kind = rng.random()
+            after = [] if i == 0 or kind < 0.1 else [names[i - 1]] if kind < 0.75 else rng.sample(names[:i], min(i, rng.randint(1, 3)))
+            if rng.random() < 0.03:
+                after = [*after, rng.choice([*names, "nowhere"])]
+            calls[name] = (rng.randint(0, 30), list(dict.fromkeys(after)))
+        expected |= {(str(conv), k): v for k, v in levels(calls).items()}
+        rows += [(conv, turn, "assistant", json.dumps({"tool_calls": [{"id": k, "name": "f", "arguments": {}, "after": after}]})) for k, (turn, after) in calls.items()]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = tool_calls.link_tool_calls(df, {"f": {}}).collect()
+    assert {(r.conv, r.call_id): (r.order_turn, r.level) for r in out if r.level is not None} == expected
+    assert {r.status for r in out if r.level is None} <= {"blocked"}
+
+
 def test_pipeline_stages(spark, tiny):
     import corpus_pipeline as p
 
