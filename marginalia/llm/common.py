@@ -7,6 +7,7 @@ memory of a Python worker does not depend on the size of a partition.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -21,10 +22,17 @@ U64 = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; one of its own only where none is set."""
+    """The checkpoint folder that all executors share.
+
+    Where none is set, one of its own if driver and executors are one process, else an error:
+    a folder of one machine is of no use to the others.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marginalia-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marginalia-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -47,6 +55,26 @@ def partitions_for(df: DataFrame, per_partition: int = 8_000_000, most: int = 10
     return least if size > 1 << 60 else max(least, min(most, -(-size // per_partition)))
 
 
+#: A key with more than one in so many rows is heavy, so there are fewer heavy keys than this.
+HEAVY_KEYS = 4096
+LEAST_HEAVY = 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:
+    """``left`` joined to ``right`` (one row a key), though one key may hold much of ``left``.
+
+    The heavy keys, fewer than ``HEAVY_KEYS``, are joined by broadcast where their rows are;
+    rows with a null key have no partner and are not dealt out. ``left`` is read three times.
+    """
+    rows = left.count() if rows is None else rows
+    limit = max(LEAST_HEAVY, rows // HEAVY_KEYS)
+    heavy = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(key)
+    marked = left.filter(F.col(key).isNotNull()).join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), key, "left")
+    hot = marked.filter("__heavy").drop("__heavy").join(F.broadcast(right.join(F.broadcast(heavy), key, "left_semi")), key, how)
+    out = hot.unionByName(marked.filter("__heavy is null").drop("__heavy").join(right, key, how))
+    return out.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -179,3 +207,15 @@ def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def binary(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in parts], pa.binary())
+
+
+def words_of_bytes(values: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as binaries."""
+    n, width = values.shape
+    places = np.arange(0, (n + 1) * width, width, dtype=np.int32) if width else np.zeros(n + 1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def byte_rows(column, width: int) -> np.ndarray:
+    """Binaries of one length as a byte matrix."""
+    return np.frombuffer(b"".join(one_array(column).to_pylist()), np.uint8).reshape(-1, width)

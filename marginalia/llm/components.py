@@ -1,7 +1,9 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Every step is a minimum by key and a join, so no component is ever gathered in a task or
-on the driver. The number of steps grows with the logarithm of the longest path.
+on the driver. Nodes with very many links, of which there are few, meet their minimum by
+broadcast (see ``spread_join``). The number of steps grows with the logarithm of the
+longest path.
 """
 
 from __future__ import annotations
@@ -9,29 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, spread_join
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """The smaller of each node and its least neighbour."""
-    return edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): m is the smaller of u and its least neighbour."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return spread_join(edges, least, "u", "inner", rows).withColumn("m", F.least("u", "m"))
 
 
 def components(links: DataFrame, most_steps: int = 100) -> DataFrame:
     """(u, v) links to (node, root) for every node of a link; root is the least node of its component."""
     edges = links.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct()
-    edges, seen = checkpointed(edges), None
+    edges = checkpointed(edges)
+    n, seen = edges.count(), None
     for _ in range(most_steps):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        stars = both.join(_least(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smaller = stars.filter(F.col("u") > F.col("v"))
-        small = smaller.join(_least(smaller), "u").select("u", "v", "m")
+        stars = _with_least(both, 2 * n).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        smaller = checkpointed(stars.filter(F.col("u") > F.col("v")))
+        small = _with_least(smaller, n)
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         edges = checkpointed(moved.filter(F.col("u") > F.col("v")).distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == seen:
+        n, mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if (n, mark) == seen:
             break
-        seen = now
+        seen = (n, mark)
     else:
         raise RuntimeError(f"components did not settle in {most_steps} steps")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

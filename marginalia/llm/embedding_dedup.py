@@ -11,7 +11,8 @@ chunks, no pairs are written out).
 
 Defined cases: null or empty vectors, zero vectors and those with a null or non-finite
 component link with nothing. Vectors of different lengths never link. Repeated rows (same
-id and vector) are one vector. Null id: a vector like any. Empty table: no rows.
+id and vector) are one vector. Null id: a vector like any. Empty table: no rows. Other
+columns are not read, whatever their names. Very long vectors are rows like any.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bucket_join import NULL_ID, bucket_members, compared, resolved
+from .bucket_join import NULL_ID, PAIRS, bucket_tasks, compared, node_of, paired, resolved
 from .common import U64, checkpointed, joined, mixed, one_array, partitions_for
 
 THRESHOLD = 0.95
 RECALL = 0.995
 WIDTH = 1.5
 STRANGERS = 16
-CHUNK = 256
+CHUNK = 1024
+#: Components of the vectors in a chunk.
+WEIGHT = 2_000_000
+#: Members up to which the pairs of buckets are checked side by side.
+FEW = 48
 
 
 def shares(distance: float, width: float = WIDTH) -> float:
@@ -50,7 +55,43 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
 
 
-def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
+def alike_vectors(threshold: float):
+    """Finds the pairs of rows of a group with a cosine of at least the threshold."""
+
+    def checked(v, i, j):
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            near = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
+            yield a[near], b[near]
+
+    def alike(table: pa.Table, starts: np.ndarray):
+        lists = one_array(table.column("vector"))
+        lengths = np.asarray(lists.value_lengths())
+        flat, at = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths)))
+        sizes = np.diff(starts)
+        for dim in np.unique(lengths):
+            here = np.flatnonzero(lengths == dim)
+            raw = flat[at[here][:, None] + np.arange(dim)]
+            v = np.zeros((len(lengths), dim)) if len(here) < len(lengths) else raw
+            v[here] = unit(raw / np.abs(raw).max(1, keepdims=True))
+            # rows of other lengths are zero here, so no pair with one is near
+            for size in np.unique(sizes[sizes > 1]):
+                first = starts[:-1][sizes == size]
+                if size <= FEW:
+                    a, b = np.triu_indices(size, 1)
+                    most = max(1, PAIRS // len(a))
+                    for n in range(0, len(first), most):
+                        some = first[n : n + most, None]
+                        yield from checked(v, (some + a).ravel(), (some + b).ravel())
+                else:
+                    for x in first:
+                        i, j = np.nonzero(np.triu(v[x : x + size] @ v[x : x + size].T >= threshold, 1))
+                        yield i + x, j + x
+
+    return alike
+
+
+def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, chunk: int = CHUNK, weight: int = WEIGHT) -> DataFrame:
     """One row a vector: ``id``, ``key``, ``class_id``, ``n_links``, ``component_id`` and ``kept``."""
     n = partitions_for(vectors)
     vector = F.col(vector_col).cast("array<double>")
@@ -62,7 +103,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
     rows = checkpointed(rows)
     light = rows.select("id", "key")
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"), F.first("vector").alias("vector"))
-    classes = checkpointed(classes)
+    classes = checkpointed(classes.withColumn("node", node_of(F.col("class_id"), F.col("key"))))
     k, tables = plan(classes.count(), threshold, recall)
 
     def bucketed(batches):
@@ -87,20 +128,8 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
             buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables), pa.int32()), pa.array(out.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, buckets], names=[*batch.schema.names, "buckets"])
 
-    hashed = checkpointed(classes.mapInArrow(bucketed, "key binary, class_id long, size long, vector array<double>, buckets array<long>"))
-    members = bucket_members(hashed, chunk)
-
-    def alike(table: pa.Table) -> np.ndarray:
-        lists = one_array(table.column("vector"))
-        lengths = np.asarray(lists.value_lengths())
-        out = np.zeros((len(lengths), len(lengths)), bool)
-        flat, starts = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths)))
-        for dim in np.unique(lengths):
-            here = np.flatnonzero(lengths == dim)
-            raw = flat[starts[here][:, None] + np.arange(dim)]
-            v = unit(raw / np.abs(raw).max(1, keepdims=True))
-            out[np.ix_(here, here)] = v @ v.T >= threshold
-        return out
-
-    tasks = members.join(hashed.select("key", "size", "buckets", "vector"), "key")
-    return resolved(light, hashed, compared(tasks, alike, n))
+    hashed = checkpointed(classes.select("node", "key", "class_id", "size", "vector").mapInArrow(bucketed, "node binary, key binary, class_id long, size long, vector array<double>, buckets array<long>"))
+    members = hashed.select("node", F.size("vector").cast("long").alias("n"), F.posexplode("buckets").alias("table", "bucket"))
+    tasks = bucket_tasks(members, chunk, weight).drop("pivot")
+    found = compared(paired(tasks.join(hashed.select("node", "size", "buckets", "vector"), "node")), alike_vectors(threshold), n)
+    return resolved(light, hashed, found)

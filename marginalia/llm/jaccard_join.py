@@ -1,33 +1,50 @@
 """N-gram Jaccard self-join: a MinHash LSH forest with exact verification.
 
 Texts become sets of runs of ``width`` words (a shorter text is one run). Each of
-``TREES`` tries holds the texts under labels of MinHash values. Prefixes of the labels are
-shortened from ``DEEPEST`` values until two texts at the threshold share a prefix in some
-tree with the target recall; the texts under one such prefix are a node of the trie. The
-pairs in a node are compared exactly by their sets (see ``bucket_join``: identical texts
-are one class, hot nodes are cut into chunks, no pairs are written out).
+``TREES`` tries holds the texts under labels of ``DEEPEST`` MinHash values. The labels of a
+trie are sorted over range partitions; the longest prefix that a text shares with any
+other is the one it shares with a neighbour in that order.
+
+A text starts with its longest matched prefixes and shortens them adaptively. It stops
+at once if they are so short in all trees together that a text with a partner at the
+threshold has such matches only with a chance of ``MISSED`` (``least_matched``). The others
+shorten to the length at which a pair at the threshold shares a prefix in some tree with
+the target recall (``prefix_length``); no trie node is read below it. Texts under one such
+prefix are compared exactly by their sets (see ``bucket_join``: identical texts are one
+class, hot nodes are cut into chunks, no pairs are written out).
+
+The members of a hot node are shipped as what they lack of, and have beyond, the set of
+one of them, the pivot: near copies differ from it in a few runs, so that the chunks a
+member meets get those few numbers and not its text.
 
 Defined cases: null text or no words: links with nothing. Repeated rows (same id, same
 text) are one document; one id with several texts is several documents. Null id: a
-document like any, its id is least in order. Empty table: no rows.
+document like any, its id is least in order. Very long texts: their sets are built whole,
+one text at a time. Empty table: no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bucket_join import NULL_ID, bucket_members, compared, resolved
-from .common import U64, checkpointed, hashed, joined, mixed, one_array, partitions_for, slices, split_words, window_starts, windows
+from .bucket_join import NULL_ID, bucket_tasks, compared, groups, node_of, paired, resolved
+from .common import U64, byte_rows, checkpointed, hashed, joined, mixed, one_array, partitions_for, slices, split_words, window_starts, windows, words_of_bytes
 
 WIDTH = 5
 THRESHOLD = 0.8
 TREES = 16
 DEEPEST = 8
 RECALL = 0.9995
-CHUNK = 256
+#: The chance that a text with one partner at the threshold stops at once.
+MISSED = 1e-4
+CHUNK = 1024
+#: Runs of words in a chunk.
+WEIGHT = 2_000_000
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 
@@ -37,6 +54,15 @@ def prefix_length(threshold: float, trees: int = TREES, recall: float = RECALL)
     return next((d for d in range(DEEPEST, 0, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
 
 
+def least_matched(threshold: float, trees: int = TREES, missed: float = MISSED) -> int:
+    """The matched lengths of all trees together that a pair at the threshold falls short of with a chance of ``missed`` at most."""
+    each = np.array([threshold**d * (1 - threshold) for d in range(DEEPEST)] + [threshold**DEEPEST])
+    total = np.ones(1)
+    for _ in range(trees):
+        total = np.convolve(total, each)
+    return int(np.searchsorted(np.cumsum(total), missed, side="right"))
+
+
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -57,66 +83,200 @@ def shingles(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     return values[order], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(lengths)))))
 
 
-def nodes_of(values: np.ndarray, offsets: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The node of each text in each tree: a hash of its first ``depth`` MinHash values there."""
+def labels_of(values: np.ndarray, offsets: np.ndarray, trees: int) -> np.ndarray:
+    """For each text and tree the label: ``DEEPEST`` MinHash values of 32 bits."""
     draw = np.random.default_rng(20)
     full = np.flatnonzero(np.diff(offsets))
-    out = np.zeros((len(offsets) - 1, trees), U64)
-    if not len(full):
-        return out
+    out = np.zeros((len(offsets) - 1, trees, DEEPEST), np.uint32)
     for tree in range(trees):
-        label = np.full(len(full), tree, U64)
-        for _ in range(depth):
+        for depth in range(DEEPEST):
             flip, odd = draw.integers(0, 1 << 63, 2, dtype=np.uint64)
-            label = joined(label, mixed(np.minimum.reduceat((values ^ flip) * (odd | U64(1)), offsets[full])))
-        out[full, tree] = label
+            if len(full):
+                out[full, tree, depth] = mixed(np.minimum.reduceat((values ^ flip) * (odd | U64(1)), offsets[full])) >> U64(32)
+    return out
+
+
+def nodes_of(labels: np.ndarray, depth: int) -> np.ndarray:
+    """The trie node of each text in each tree: a hash of the first ``depth`` values there."""
+    out = np.broadcast_to(np.arange(labels.shape[1], dtype=U64), labels.shape[:2])
+    for d in range(depth):
+        out = joined(out, mixed(labels[:, :, d].astype(U64)))
     return out
 
 
-def alike_texts(members: pa.Table, width: int, threshold: float) -> np.ndarray:
-    """Which of the texts have a Jaccard similarity of at least the threshold, as a matrix."""
-    sets: list[np.ndarray] = []
-    for part in slices(members, "text"):
-        values, offsets = shingles(part.column("text"), width)
-        sets += [np.unique(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    counts = np.array([len(s) for s in sets])
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
+def signed(id_key_texts, width: int, trees: int, depth: int):
+    for batch in id_key_texts:
+        for part in slices(batch, "text"):
+            values, offsets = shingles(part.column("text"), width)
+            labels = labels_of(values, offsets, trees)
+            n, places = part.num_rows, np.arange(0, (part.num_rows + 1) * trees, trees, dtype=np.int32)
+            buckets = pa.ListArray.from_arrays(places, pa.array(nodes_of(labels, depth).view(np.int64).ravel()))
+            paths = pa.ListArray.from_arrays(places, words_of_bytes(labels.astype(">u4").reshape(n * trees, -1).view(np.uint8)))
+            yield pa.RecordBatch.from_arrays([one_array(part.column("id")), one_array(part.column("key")), pa.array(np.diff(offsets)), buckets, paths], names=["id", "key", "n", "buckets", "labels"])
+
+
+def _paths(batch: pa.RecordBatch) -> np.ndarray:
+    """Tree and label of each row, as numbers whose common prefix tells how far labels agree."""
+    label = byte_rows(batch.column("label"), 4 * DEEPEST).view(">u4").astype(np.int64)
+    return np.concatenate((np.asarray(batch.column("table"))[:, None].astype(np.int64), label), axis=1)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values of their labels the rows share; 0 in different trees."""
+    return np.maximum(np.cumprod(a == b, axis=1).sum(1) - 1, 0)
+
+
+def longest_matches(sorted_labels: DataFrame) -> DataFrame:
+    """(node, table, bucket, n, matched) of the rows (node, table, bucket, n, label) that share a prefix with another.
+
+    The rows are checkpointed in order of (table, label) over their partitions. The first
+    and last label of each partition, a hundred bytes, go to the driver, so that neighbours
+    across partitions are compared too.
+    """
+
+    def ends(batches):
+        first = last = None
+        for batch in batches:
+            if batch.num_rows:
+                paths = _paths(pa.RecordBatch.from_arrays([batch.column(c).take(pa.array([0, batch.num_rows - 1])) for c in ("table", "label")], names=["table", "label"]))
+                first, last = (paths[0] if first is None else first), paths[1]
+        if first is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "first": [first.tolist()], "last": [last.tolist()]})
+
+    edges = sorted(map(tuple, sorted_labels.select("table", "label").mapInArrow(ends, "part int, first array<long>, last array<long>").collect()))
+    before = {p: edges[n - 1][2] for n, (p, _, _) in enumerate(edges) if n}
+    after = {p: edges[n + 1][1] for n, (p, _, _) in enumerate(edges) if n + 1 < len(edges)}
+    names = ["node", "table", "bucket", "n"]
+
+    def match(batches):
+        part = TaskContext.get().partitionId()
+        nothing = np.full(DEEPEST + 1, -1, np.int64)
+        past, held = np.array(before.get(part, nothing)), None
+
+        def matched(batch, following):
+            paths = _paths(batch)
+            around = np.concatenate((past[None], paths, following[None]))
+            far = np.maximum(_shared(around[:-2], paths), _shared(paths, around[2:]))
+            at = np.flatnonzero(far)
+            rows = [batch.column(c).take(pa.array(at)) for c in names]
+            return paths[-1], pa.RecordBatch.from_arrays([*rows, pa.array(far[at].astype(np.int32))], names=[*names, "matched"])
+
+        for batch in batches:
+            if batch.num_rows:
+                if held is not None:
+                    past, out = matched(held, _paths(batch.slice(0, 1))[0])
+                    yield out
+                held = batch
+        if held is not None:
+            yield matched(held, np.array(after.get(part, nothing)))[1]
+
+    return sorted_labels.mapInArrow(match, "node binary, table int, bucket long, n long, matched int")
+
+
+def set_rows(batches, width: int):
+    """The set of each text, sorted, in place of the text."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            values, offsets = shingles(part.column("text"), width)
+            sets = [np.unique(values[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            columns = {c: one_array(part.column(c)) for c in ("node", "size", "buckets")}
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(sets, pa.binary())], names=[*columns, "sketch"])
+
+
+SKETCH = "node binary, size long, buckets array<long>, sketch binary"
+
+
+def from_pivot(batches):
+    """Members of a chunk as their difference to the pivot, which is the first row of its group."""
+    for table, starts in groups(batches, ("bucket", "chunk")):
+        sets = [np.frombuffer(x, U64) for x in table.column("sketch").to_pylist()]
+        own, shares, pivots, differ = [], [], [], []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            pivot = sets[a]
+            for k in range(a + 1, b):
+                same = np.intersect1d(sets[k], pivot, assume_unique=True)
+                own.append(k)
+                shares.append(len(same))
+                pivots.append(len(pivot))
+                differ.append(np.setxor1d(sets[k], pivot, assume_unique=True).tobytes())
+        kept = table.take(pa.array(own, pa.int64())).drop_columns(["member", "sketch"])
+        counts = pa.array([len(sets[k]) for k in own], pa.int64())
+        yield from kept.append_column("count", counts).append_column("shared", pa.array(shares, pa.int64())).append_column("pivot_count", pa.array(pivots, pa.int64())).append_column("sketch", pa.array(differ, pa.binary())).to_batches()
+
+
+def alike_sets(threshold: float):
+    """Finds the pairs of rows of a group with a Jaccard similarity of at least the threshold.
+
+    A and B share |A n P| + |B n P| - |P| members and those that their differences to P
+    share; where there is no pivot P is empty and the differences are the sets.
+    """
+
+    def alike(table: pa.Table, starts: np.ndarray):
+        count, shared, pivot = (np.asarray(one_array(table.column(c))) for c in ("count", "shared", "pivot_count"))
+        sketches = one_array(table.column("sketch"))
+        sizes = np.asarray(pc.binary_length(sketches)) // 8
+        for first, last in zip(starts[:-1], starts[1:], strict=True):
+            if last - first < 2:
+                continue
+            owner = np.repeat(np.arange(last - first), sizes[first:last])
+            values = np.frombuffer(b"".join(sketches[first:last].to_pylist()), U64)
+            common = incidence(values, owner, last - first) + shared[first:last, None] + shared[None, first:last] - pivot[first]
+            both = count[first:last, None] + count[None, first:last] - common
+            i, j = np.nonzero(np.triu(common >= threshold * both - 1e-9, 1))
+            yield i + first, j + first
+
+    return alike
+
+
+def incidence(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many values each two owners share."""
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
+    common = np.zeros((n, n))
+    if not len(values):
+        return common
     code = np.concatenate(([0], np.cumsum(values[1:] != values[:-1])))
-    shared = np.bincount(code)[code] > 1
-    code, owner = code[shared], owner[shared]
+    several = np.bincount(code)[code] > 1
+    code, owner = code[several], owner[several]
     code = np.unique(code, return_inverse=True)[1]
-    common = np.zeros((len(sets), len(sets)))
     for low in range(0, int(code.max(initial=-1)) + 1, COLUMNS):
         a, b = np.searchsorted(code, (low, low + COLUMNS))
-        dense = np.zeros((len(sets), int(code[b - 1]) - low + 1), np.float32)
+        dense = np.zeros((n, int(code[b - 1]) - low + 1), np.float32)
         dense[owner[a:b], code[a:b] - low] = 1
         common += dense @ dense.T
-    return common >= threshold * (counts[:, None] + counts[None, :] - common) - 1e-9
+    return common
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, chunk: int = CHUNK, weight: int = WEIGHT) -> DataFrame:
     """One row a document: ``doc_id``, ``text_key``, ``class_id`` (least id with the same text), ``n_links``, ``component_id`` (least id that links lead to) and ``kept``."""
-    depth = prefix_length(threshold, trees, recall)
+    depth, least = prefix_length(threshold, trees, recall), least_matched(threshold, trees)
     n = partitions_for(docs)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
 
-    def signed(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                values, offsets = shingles(part.column("text"), width)
-                nodes = nodes_of(values, offsets, trees, depth)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, nodes.size + 1, trees), pa.int32()), pa.array(nodes.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([one_array(part.column("id")), one_array(part.column("key")), pa.array(np.diff(offsets)), lists], names=["id", "key", "n", "buckets"])
-
-    light = rows.mapInArrow(signed, "id long, key binary, n long, buckets array<long>")
+    light = rows.mapInArrow(lambda batches: signed(batches, width, trees, depth), "id long, key binary, n long, buckets array<long>, labels array<binary>")
     light = checkpointed(light.dropDuplicates(["id", "key"]))
-    classes = checkpointed(light.filter("n > 0").groupBy("key", "buckets").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")))
-    members = checkpointed(bucket_members(classes, chunk))
+    classes = light.filter("n > 0").groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("labels").alias("labels"))
+    classes = checkpointed(classes.withColumn("node", node_of(F.col("class_id"), F.col("key"))))
+
+    forest = classes.select("node", "n", F.posexplode(F.arrays_zip("buckets", "labels")).alias("table", "x")).select("node", "table", F.col("x.buckets").alias("bucket"), "n", F.col("x.labels").alias("label"))
+    forest = checkpointed(forest.repartitionByRange(n, "table", "label", "node").sortWithinPartitions("table", "label", "node"))
+    near = checkpointed(longest_matches(forest))
+    hopeful = near.groupBy("node").agg(F.sum("matched").alias("s")).filter(F.col("s") >= least).select("node")
+    members = near.filter(F.col("matched") >= depth).join(hopeful, "node", "left_semi").select("node", "table", "bucket", "n")
+    tasks = bucket_tasks(members, chunk, weight)
 
     # the text of a class is fetched from the one row that has its least id
-    wanted = members.select("key").distinct().join(classes, "key")
-    texts = rows.join(wanted.withColumnRenamed("class_id", "id"), ["key", "id"]).dropDuplicates(["key"]).select("key", "size", "buckets", "text")
-    found = compared(members.join(texts, "key"), lambda table: alike_texts(table, width, threshold), n)
+    wanted = tasks.select("node").distinct().join(classes, "node").select("node", "key", F.col("class_id").alias("id"), "size", "buckets")
+    texts = rows.join(wanted, ["key", "id"]).dropDuplicates(["node"]).select("node", "size", "buckets", "text")
+    sets = checkpointed(texts.mapInArrow(lambda batches: set_rows(batches, width), SKETCH))
+
+    whole = {"count": F.floor(F.length("sketch") / 8).cast("long"), "shared": F.lit(0).cast("long"), "pivot_count": F.lit(0).cast("long")}
+    cold = tasks.filter("chunks = 1").drop("pivot").join(sets, "node").withColumns(whole)
+    hot = tasks.filter("chunks > 1")
+    chunked = hot.drop("pivot").join(sets, "node").withColumn("member", F.lit(1))
+    pivots = hot.filter("node = pivot").drop("pivot").join(sets, "node").withColumns({"member": F.lit(0), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+    chunked = chunked.unionByName(pivots).repartition(n, "bucket", "chunk").sortWithinPartitions("bucket", "chunk", "member")
+    fields = "node binary, table int, bucket long, chunks int, chunk int, size long, buckets array<long>, count long, shared long, pivot_count long, sketch binary"
+    differing = chunked.select("node", "table", "bucket", "chunks", "chunk", "size", "buckets", "member", "sketch").mapInArrow(from_pivot, fields)
+    found = compared(paired(cold.unionByName(checkpointed(differing))), alike_sets(threshold), n)
     return resolved(light, classes, found).withColumnsRenamed({"id": "doc_id", "key": "text_key"})

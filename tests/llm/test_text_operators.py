@@ -112,6 +112,7 @@ def test_jaccard_join_of_nothing(docs):
 
 def test_prefixes_are_as_long_as_recall_allows():
     depth = jaccard_join.prefix_length(0.8)
+    assert depth <= jaccard_join.DEEPEST
     assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
 
 
