@@ -14,8 +14,10 @@ longer is a pass of its own); a pass is a map over the documents without a shuff
 Defined cases: null or empty text, null or empty item text: no match.
 An item without an id counts like any other and is named ``NO_ID``. Items shorter than a
 seed are matched as a whole. Repeated items count once each. Of items covered alike the
-smallest id is named. No benchmark: nothing is contaminated. Other columns pass through;
-those named like a result column are replaced.
+smallest id is named. No benchmark: nothing is contaminated. Repeated rows are judged
+alike. Very long texts are read whole, one at a time; a tiling takes memory by the text's
+length, also where text and item repeat themselves. Empty table: no rows. Other columns
+pass through; those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import U64, among, slices, split_words, window_starts, windows
 LEAST = 4
 THRESHOLD = 0.5
 PASS_CHARS = 4_000_000
+#: Seeds of a pair that are looked at together.
+PAIRS = 1_000_000
 NO_ID = (1 << 63) - 1
 STRIP = ".,;:!?\"'()[]{}<>|*#%&-_/\\«»“”‘’"
 RESULT = "item_id long, coverage double, n_items long"
@@ -52,39 +56,70 @@ def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     return values[full], np.concatenate(([0], np.cumsum(full)))[offsets]
 
 
+def _runs(i: np.ndarray, j: np.ndarray, n: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+    """Matches that follow one another on a diagonal as one: starts in item and document, and how many."""
+    if not len(i):
+        return i, j, n
+    order = np.lexsort((j, j - i))
+    i, j, n = i[order], j[order], n[order]
+    new = np.ones(len(i), bool)
+    new[1:] = ((j - i)[1:] != (j - i)[:-1]) | (j[1:] > j[:-1] + n[:-1] - step + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(i)) - 1
+    return i[first], j[first], (j + n)[last] - j[first]
+
+
+def matches(item: np.ndarray, doc: np.ndarray, least: int, pairs: int = PAIRS) -> tuple[np.ndarray, ...]:
+    """The longest matches of at least ``least`` tokens: starts in item and document, and lengths.
+
+    Seeds are looked up in a Karp-Rabin table of the item, ``pairs`` of them at a time, and
+    kept as runs on a diagonal; so repetitive texts take memory by their length.
+    """
+    table, found = windows(item, least), windows(doc, least)
+    order = np.argsort(table, kind="stable")
+    low = np.searchsorted(table[order], found, side="left")
+    each = np.searchsorted(table[order], found, side="right") - low
+    ends = np.cumsum(each)
+    runs = [(np.empty(0, np.int64),) * 3]
+    start = 0
+    while start < len(found):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + pairs, side="right")))
+        n = each[start:stop]
+        j = np.repeat(np.arange(start, stop), n)
+        i = order[np.repeat(low[start:stop], n) + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)]
+        same = np.logical_and.reduce([item[i + d] == doc[j + d] for d in range(least)])
+        if same.any():
+            i, j = i[same], j[same]
+            runs.append(_runs(i, j, np.full(len(i), least, np.int64), least))
+        start = stop
+    return _runs(*(np.concatenate([r[x] for r in runs]) for x in range(3)), least)
+
+
+def _without(start: np.ndarray, other: np.ndarray, n: np.ndarray, low: int, high: int, least: int) -> tuple[np.ndarray, ...]:
+    """The matches without what starts from ``low`` to ``high`` on the side of ``start``: a part before and one after."""
+    before = np.clip(low - start, 0, n)
+    skip = np.clip(high - start, 0, n)
+    clear = (skip == 0) | (before == n)
+    parts = [(start, other, np.where(clear, n, before)), (start + skip, other + skip, np.where(clear, 0, n - skip))]
+    start, other, n = (np.concatenate([p[x] for p in parts]) for x in range(3))
+    keep = n >= least
+    return start[keep], other[keep], n[keep]
+
+
 def tiled(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> int:
-    """Tokens of the item in the tiles of a greedy string tiling."""
+    """Tokens of the item in the tiles of a greedy string tiling: longest first, at a tie the first in item, then document."""
     least = min(least, len(item))
     if not least or len(doc) < least:
         return 0
-    a, b = item.tolist(), doc.tolist()
-    table = defaultdict(list)
-    for i, h in enumerate(windows(item, least).tolist()):
-        table[h].append(i)
-    pairs = [(i, j) for j, h in enumerate(windows(doc, least).tolist()) for i in table.get(h, ())]
-    free_a, free_b = [True] * len(a), [True] * len(b)
+    i, j, n = matches(item, doc, least)
     total = 0
-    while pairs:
-        here, matches, next_pairs = set(pairs), [], []
-        for i, j in pairs:
-            if not (free_a[i] and free_b[j]) or ((i - 1, j - 1) in here and free_a[i - 1] and free_b[j - 1]):
-                continue
-            n = 0
-            while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                n += 1
-            if n >= least:
-                matches.append((-n, i, j))
-        longest = min(matches, default=(0,))[0]
-        for n, i, j in sorted(matches):
-            # only the longest of this round; the rest may be cut by these and come again
-            if n == longest and all(free_a[i : i - n]) and all(free_b[j : j - n]):
-                free_a[i : i - n] = [False] * -n
-                free_b[j : j - n] = [False] * -n
-                total -= n
-        if not matches:
-            break
-        next_pairs = [(i, j) for i, j in pairs if all(free_a[i : i + least]) and all(free_b[j : j + least])]
-        pairs = next_pairs
+    while len(n):
+        longest = np.flatnonzero(n == n.max())
+        at = longest[np.lexsort((j[longest], i[longest]))[0]]
+        a, b, size = int(i[at]), int(j[at]), int(n[at])
+        total += size
+        i, j, n = _without(i, j, n, a, a + size, least)
+        j, i, n = _without(j, i, n, b, b + size, least)
     return total
 
 
