@@ -6,17 +6,21 @@ transition. Phrases are normalised to bits a character, phrases * log2(sample le
 characters, and the language that needs fewest wins (at a tie the smaller name).
 
 Texts are lower-cased and runs of characters other than letters are one space. A text is
-parsed in blocks of ``BLOCK`` characters, a phrase never spans two, and all blocks of a
-slice advance together through a transition table, one numpy step a character.
+parsed in blocks of ``BLOCK`` characters, a phrase never spans two (which adds at most one
+phrase a block, in every language alike), and the blocks of up to ``TOGETHER`` characters
+advance together through a transition table, one numpy step a character; so a text of any
+length takes the memory of its characters and of one such group.
 
 The sample is documented: whole documents in hash order of the id, none longer than
 ``SAMPLE_DOC_CHARS``, until ``SAMPLE_CHARS`` characters a language are reached (fewer when
-there are more than ``FULL_LANGUAGES`` languages). Workers get the samples and build the
+there are more than ``FULL_LANGUAGES`` languages; the ``MOST_LANGUAGES`` with most rows are
+learnt, so a dirty column can't make the samples large). Workers get the samples and build the
 automata themselves, once. Every text is then parsed whole, in a map without a shuffle.
 
 Defined cases: null text or no letter: ``und`` with score 0. No labelled text: ``und``
 with score 0 for all. One language: it, with score 1. Rows with a null language teach
-nothing. Repeated rows are judged alike; other columns pass through.
+nothing. Repeated rows are judged alike. Very long texts are parsed whole. Empty table: no
+rows. Other columns pass through; those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +37,9 @@ from .common import slices
 SAMPLE_CHARS = 40_000
 SAMPLE_DOC_CHARS = 20_000
 FULL_LANGUAGES = 12
+MOST_LANGUAGES = 256
 BLOCK = 256
+TOGETHER = 2_000_000
 SLICE = 2_000_000
 UNSEEN, PAD = 0, 1
 _built: dict[tuple, list[_Parser]] = {}
@@ -106,31 +112,46 @@ def _parsers(samples: tuple[tuple[str, str], ...]) -> list[_Parser]:
     return _built[samples]
 
 
+def _pieces(clean: list[str]):
+    """Texts in lists of (row, characters) of about ``TOGETHER`` characters; a longer text in several, cut between blocks."""
+    some, size = [], 0
+    most = TOGETHER // BLOCK * BLOCK
+    for row, text in enumerate(clean):
+        for at in range(0, len(text), most):
+            some.append((row, text[at : at + most]))
+            size += len(some[-1][1])
+            if size >= TOGETHER:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
 def bits_a_character(texts: list[str | None], parsers: list[_Parser]) -> np.ndarray:
     """One row a text, one column a language."""
     clean = [simplified(t or "") for t in texts]
-    sizes = np.array([len(t) for t in clean], np.int64)
-    flat = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32)
-    blocks = -(-sizes // BLOCK)
-    row = np.repeat(np.arange(len(clean)), blocks)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    start = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
-    size = np.minimum(BLOCK, np.repeat(sizes, blocks) - nth * BLOCK)
     out = np.zeros((len(clean), len(parsers)))
-    if len(row):
+    for some in _pieces(clean):
+        sizes = np.array([len(t) for _, t in some], np.int64)
+        flat = np.frombuffer("".join(t for _, t in some).encode("utf-32-le", "surrogatepass"), np.uint32)
+        blocks = -(-sizes // BLOCK)
+        row = np.repeat([r for r, _ in some], blocks)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        start = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
+        size = np.minimum(BLOCK, np.repeat(sizes, blocks) - nth * BLOCK)
         step = np.arange(BLOCK)[:, None]
         real = step < size
         chars = flat[np.where(real, start + step, 0)]
         for k, parser in enumerate(parsers):
-            out[:, k] = np.bincount(row, parser.phrases(chars, real), len(clean)) * parser.bits
-    return out / np.maximum(sizes, 1)[:, None]
+            out[:, k] += np.bincount(row, parser.phrases(chars, real), len(clean)) * parser.bits
+    return out / np.maximum([len(t) for t in clean], 1)[:, None]
 
 
 def fit(docs: DataFrame, *, learns: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
     """(language, sample) in order of language."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known if learns is None else known.filter(learns)
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
     if not counts:
         return ()
     budget = sample_chars * min(1.0, FULL_LANGUAGES / len(counts))
