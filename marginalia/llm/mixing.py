@@ -7,15 +7,18 @@ target is drawn without replacement: each document has the key ``-ln(u) / qualit
 are taken in ascending order, and the prefix sum of sizes stops at the budget; the
 document on the edge gives only the words that are still wanted.
 
-No source is ever sorted as a whole. Keys are quantised into bins, bins are summed, and
-only the bin that holds the edge is ordered, so a source with a third of all rows costs
-one bin. What is joined back to the documents has one row per source.
+No source is ever sorted as a whole. A source's range of keys is cut into ``BINS``, the
+bins are summed, and the one that holds the edge is cut again, until it has no more than
+``ROWS`` rows (or one key); only those are ordered. So it does not matter how the keys lie
+or how large the source is. What is joined back to the documents has one row per source;
+the sources themselves, one row each, are filled in one task and should be thousands at
+most.
 
 Defined cases: null text or no words: size 0, takes 0. Null source: a source of its own,
 last in order. Null id: drawn with the key of the empty id. Repeated rows: each counts;
-rows that tie on the edge key share what is left in proportion to their size. Empty
-table: no rows. Other columns are passed through, those named like a result column are
-replaced.
+rows that tie on the edge key share what is left in proportion to their size. Very long
+texts: only their words are counted. Empty table: no rows. Other columns are passed
+through, those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-ROWS_PER_BIN = 20_000
+ROWS = 100
+BINS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,22 +75,29 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     size = word_count(F.col(text_col)) if size_col is None else F.coalesce(F.col(size_col), F.lit(0)).cast("long")
     keyed = docs.withColumns({"size": size, "__key": -F.log(uniform(F.col(id_col), seed)) / worth})
     light = checkpointed(keyed.select(F.col(source_col).alias("source"), "size", "__key"))
-    bins = max(64, light.count() // ROWS_PER_BIN)
-    light = light.withColumn("bin", F.floor((1 - F.exp(-F.col("__key"))) * bins))
-    binned = checkpointed(light.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
+    measures = [F.sum("size").alias("bin_size"), F.count(F.lit(1)).alias("n"), F.min("__key").alias("low"), F.max("__key").alias("high")]
+    sources = checkpointed(light.groupBy("source").agg(*measures).withColumnRenamed("bin_size", "source_size"))
 
-    goal = targets(binned.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most_epochs)
+    goal = targets(sources.select("source", "source_size"), weights, most_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")))
     goal = checkpointed(goal)
 
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    edge = sources.alias("s").join(goal.alias("g"), same("s.source", "g.source")).filter("s.source_size > 0")
+    edge = checkpointed(edge.select(F.col("s.source").alias("of"), "low", "high", "n", F.lit(0).cast("long").alias("before"), "rest"))
+    near = light
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    edge = binned.withColumn("before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
-    edge = edge.alias("e").join(goal.alias("g"), F.col("e.source").eqNullSafe(F.col("g.source")))
-    edge = edge.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest")))
-    edge = edge.select("e.source", "bin", "before", "rest")
-    near = light.alias("l").join(edge.alias("e"), F.col("l.source").eqNullSafe(F.col("e.source")) & (F.col("l.bin") == F.col("e.bin")))
-    near = near.groupBy("l.source", "__key", "before", "rest").agg(F.sum("size").alias("tied"))
+    while not edge.filter((F.col("n") > ROWS) & (F.col("low") < F.col("high"))).isEmpty():
+        near = near.select("source", "size", "__key").join(edge, same("source", "of")).filter(F.col("__key").between(F.col("low"), F.col("high")))
+        place = F.when(F.col("low") < F.col("high"), F.floor((F.col("__key") - F.col("low")) / (F.col("high") - F.col("low")) * BINS)).otherwise(0)
+        near = checkpointed(near.withColumn("bin", F.least(place, F.lit(BINS - 1))))
+        binned = near.groupBy("source", "bin", "before", "rest").agg(*measures)
+        binned = binned.withColumn("before", F.col("before") + F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
+        found = binned.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest")))
+        edge = checkpointed(found.select(F.col("source").alias("of"), "low", "high", "n", "before", "rest"))
+    near = near.select("source", "size", "__key").join(edge, same("source", "of")).filter(F.col("__key").between(F.col("low"), F.col("high")))
+    near = near.groupBy("source", "__key", "before", "rest").agg(F.sum("size").alias("tied"))
     run = Window.partitionBy("source").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("before", F.col("before") + F.coalesce(F.sum("tied").over(run), F.lit(0)))
     near = near.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("tied") > F.col("rest")))
