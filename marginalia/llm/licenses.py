@@ -18,7 +18,8 @@ ancestors, and one row a directory is joined to them.
 Defined cases: null or empty text: states nothing, may inherit. Null path: inherits
 nothing. Several licenses in a text, or several licence files in a directory: the highest
 cosine, then the first name, then the smallest id. Repeated rows: each gets its result.
-Other columns pass through; those named like a result column are replaced.
+Very long texts are read whole, in slices of their own. Empty table: no rows. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations

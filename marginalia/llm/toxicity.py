@@ -11,7 +11,9 @@ reads every whole text, in a map without a shuffle. One task trains on the sampl
 
 Defined cases: null or empty text: the score of the bias alone. Conflicting labels of a
 document: toxic if any says so. No labels: every score is that of the prior of no toxic
-document seen (below 0.5). Repeated rows are scored alike; other columns pass through.
+document seen (below 0.5). Repeated rows are scored alike. Very long texts are scored
+whole, one at a time. Empty table: no rows. Other columns pass through; those named like a
+result column are replaced.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ pass, so no shipped index outgrows that bound and nothing is shuffled.
 
 Defined cases: null URL, or one without ``://``: host and path are empty, no rule,
 allowed. Other columns pass through; those named like a result column are replaced.
-Repeated rows are judged alike. Empty table or no rules: no rows, or all allowed.
+Repeated rows are judged alike, and very long URLs whole. Empty table or no rules: no
+rows, or all allowed.
 """
 
 from __future__ import annotations

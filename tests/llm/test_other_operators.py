@@ -234,3 +234,93 @@ def test_pipeline_runs_whole(spark, tiny):
     out = p.run(spark, tiny)
     assert out.count() > 0 and "taken" in out.columns
     assert out.agg(F.sum("taken")).first()[0] > 0
+
+
+def pipeline_tables(seed=4):
+    """Documents with toxic words, near copies, shared passages and leaks."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(400)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passages, items = [text(30) for _ in range(3)], [(i, " ".join(text(12))) for i in range(4)]
+    docs = []
+    for i in range(150):
+        kind = rng.random()
+        body = text(rng.randint(20, 80))
+        if kind < 0.25 and docs:
+            body = list(rng.choice(docs)[1].split()) or body
+            body[rng.randrange(len(body))] = "edited"
+        elif kind < 0.4:
+            body[5:5] = rng.choice(passages)
+        elif kind < 0.5:
+            body[7:7] = rng.choice(items)[1].split()
+        elif kind < 0.65:
+            body[rng.randrange(len(body))] = "vile"
+        docs.append((i, " ".join(body), "en", rng.choice(["a", "a", "b", "c"]), 0))
+    docs = [(i, t, lang, source, len(t)) for i, t, lang, source, _ in docs]
+    docs += [(150, None, "en", "a", None), (151, "", "en", None, 0), docs[3]]
+    labels = [(d[0], rng.choice([0, 1]), int("vile" in d[1].split())) for d in docs[:150] if rng.random() < 0.8]
+    return docs, labels, items
+
+
+def test_pipeline_is_that_of_brute_force(spark, tmp_path):
+    import corpus_pipeline as p
+    import naive
+
+    from marginalia.llm import decontaminate, toxicity
+
+    docs, labels, items = pipeline_tables()
+    tables = {
+        "documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": (labels, "doc_id long, quality int, toxic int"),
+        "benchmark": (items, "item_id long, text string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    cut = lambda t: naive.buckets(t or "", toxicity.STRIP, toxicity.BUCKETS)
+    place = {r[0]: r[1] for r in spark.range(200).select("id", F.xxhash64("id")).collect()}
+    toxic, text = {i: t for i, _, t in labels}, {d[0]: d[1] for d in docs}
+    # the repeated document is learnt twice
+    order = sorted((d[0] for d in docs if d[0] in toxic), key=place.__getitem__)
+    model = naive.Ftrl([sorted(cut(text[i])) for i in order], [toxic[i] for i in order])
+    left = [d for d in docs if model.chance(cut(d[1])) < 0.5]
+    assert len(left) < len(docs)
+    rows, links = naive.jaccard_links(left)
+    keep = {rows[i][0] for i in links if rows[i][0] == min(rows[j][0] for j in naive.component_of(links, i))}
+    near = [d for d in dict.fromkeys(left) if d[0] in keep]
+    assert len(near) < len(left)
+    cuts = naive.spans(near, 20)
+    spans = [d if not cuts[d[0]][0][1] else (d[0], cuts[d[0]][0][2], *d[2:]) for d in near]
+    assert spans != near
+    leaks = naive.leaks([(d[0], d[1]) for d in spans], items, decontaminate.LEAST, decontaminate.THRESHOLD, decontaminate.STRIP)
+    clean = [d for d in spans if not leaks[d[0]][0]]
+    assert len(clean) < len(spans)
+    worth = {i: queries.QUALITY[q] for i, q, _ in labels}
+    taken = naive.mixed([(d[0], d[3], len(naive.words(d[1]))) for d in clean], worth)
+    assert {r.doc_id: r.taken for r in p.run(spark, str(tmp_path)).collect()} == {i: n for i, n in taken.items() if n > 0}
+
+
+def test_stages_keep_columns_that_clash(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs, labels, items = pipeline_tables(5)
+    for name, rows, schema in (("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    clashing = ("score", "kept", "n_removed", "coverage", "size", "key", "node")
+    df = spark.createDataFrame(docs[:40], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in clashing})
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns and all(r[c] == c for r in out.select(*clashing).distinct().collect() for c in clashing)
+    assert p.mix(spark, df, str(tmp_path)).count() > 0
+
+
+def test_very_long_urls(spark):
+    rules = [url_filter.UrlRule(*r) for r in queries.SITE_RULES]
+    pages = spark.createDataFrame([(1, "http://x.net/fr/" + "a/" * 200_000), (1, "http://x.net/fr/" + "a/" * 200_000)], "page_id long, url string")
+    assert [r.verdict for r in url_filter.filter_urls(pages, rules).collect()] == ["block", "block"]
+
+
+def test_vectors_with_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], "x"), (2, [1.0, 0.01], "x"), (1, [1.0, 0.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string").withColumns({"node": F.lit(1), "kept": F.lit(2), "id": F.lit(3)})
+    assert {(r.id, r.n_links, r.kept) for r in embedding_dedup.near_duplicate_vectors(df).collect()} == {(1, 1, True), (2, 1, False)}

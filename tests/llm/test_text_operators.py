@@ -5,17 +5,14 @@ import random
 import re
 import zlib
 
+import naive
 import pytest
+from naive import component_of, filled, jaccard_links, spans, words
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, jaccard_join, langid, licenses, mixing, queries, substring_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def words(text):
-    return WORD.findall(text or "")
 
 
 def some_docs(seed=1, n=60, vocabulary=40):
@@ -38,22 +35,6 @@ def docs(spark):
     return spark.createDataFrame(some_docs(), DOCS).repartition(3)
 
 
-def spans(rows, window):
-    first, out = {}, {}
-    ordered = sorted(rows, key=lambda r: (r[0], r[1] or "\U0010ffff"))
-    for place, r in enumerate(ordered):
-        w = words(r[1])
-        for s in range(len(w) - window + 1):
-            first.setdefault(tuple(w[s : s + window]), (place, s))
-    for place, r in enumerate(ordered):
-        w, gone = words(r[1]), set()
-        for s in range(len(w) - window + 1):
-            if first[tuple(w[s : s + window])] != (place, s):
-                gone |= set(range(s, s + window))
-        out.setdefault(r[0], []).append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    return {k: sorted(v) for k, v in out.items()}
-
-
 @pytest.mark.parametrize("window", [1, 6, 11, 20, 30])
 def test_spans_are_those_of_brute_force(spark, docs, window):
     found = {}
@@ -75,26 +56,6 @@ def test_spans_pass_other_columns_and_replace_clashing_ones(spark, docs):
     assert substring_dedup.remove_repeated_spans(docs.limit(0)).count() == 0
 
 
-def jaccard_links(rows, threshold=0.8):
-    rows = sorted({(r[0], r[1]) for r in rows}, key=str)
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t in rows]
-    links = {i: set() for i in range(len(rows))}
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            if i != j and a and len(a & b) >= threshold * len(a | b):
-                links[i].add(j)
-    return rows, links
-
-
-def component_of(links, i):
-    seen, todo = {i}, [i]
-    while todo:
-        new = links[todo.pop()] - seen
-        seen |= new
-        todo += new
-    return seen
-
-
 @pytest.mark.parametrize("chunk", [3, 256])
 def test_jaccard_join_is_that_of_brute_force(docs, chunk):
     rows, links = jaccard_links(some_docs())
@@ -242,20 +203,6 @@ def test_license_notices_may_be_wrapped(spark):
     assert [got[i + 2] for i in range(len(texts))] == list(texts)
 
 
-def filled(sizes, weights=(1, 2, 3), cap=3):
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    target, left, total = {}, set(names), sum(sizes.values())
-    while left:
-        free = total - sum(target.values())
-        over = {s for s in left if free * weight[s] / sum(weight[t] for t in left) > cap * sizes[s]}
-        if not over:
-            return target | {s: free * weight[s] / sum(weight[t] for t in left) for s in left}
-        target |= {s: cap * sizes[s] for s in over}
-        left -= over
-    return target
-
-
 def test_mixing_fills_targets(spark, docs):
     rows = [r for r in some_docs(n=200)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -293,3 +240,171 @@ def test_items_without_an_id_are_leaks_too(spark):
     benchmark = spark.createDataFrame([(None, item), (5, None)], "item_id long, text string")
     got = {r.doc_id: (r.item_id, r.n_items, r.contaminated) for r in decontaminate.find_leaks(docs, benchmark).collect()}
     assert got == {1: (decontaminate.NO_ID, 1, 1), 2: (None, 0, 0)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tiling_is_that_of_brute_force(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    for _ in range(30):
+        letters = rng.choice((2, 4, 30))
+        item, doc = ([rng.randrange(letters) for _ in range(rng.randint(0, n))] for n in (25, 60))
+        if rng.random() < 0.5:
+            doc[5:5] = item[len(item) // 2 :] + item[: len(item) // 2]
+        least = rng.choice((1, 2, 4))
+        a, b = (np.array(x, np.uint64) for x in (item, doc))
+        assert decontaminate.tiled(a, b, least) == naive.tiled(item, doc, least)
+        few = [tuple(map(int, m)) for m in zip(*decontaminate.matches(a, b, 2, pairs=3))] if min(len(a), len(b)) >= 2 else []
+        assert few == ([tuple(map(int, m)) for m in zip(*decontaminate.matches(a, b, 2))] if few else [])
+
+
+def test_tiling_of_repetitive_texts_is_bounded():
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    item, doc = np.zeros(50, np.uint64), np.zeros(300_000, np.uint64)
+    start = time.perf_counter()
+    tracemalloc.start()
+    assert decontaminate.tiled(item, doc) == 50
+    assert tracemalloc.get_traced_memory()[1] < 300_000_000 and time.perf_counter() - start < 60
+    tracemalloc.stop()
+
+
+def leak_tables(seed=9):
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(60)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(text(rng.randint(1, 14)))) for i in range(12)]
+    docs = []
+    for i in range(40):
+        body = text(rng.randint(0, 40))
+        if rng.random() < 0.6:
+            w = rng.choice(items)[1].split()
+            cut = rng.randint(0, len(w))
+            body[len(body) // 2 : len(body) // 2] = [*w[cut:], "x", *w[:cut]][: rng.randint(1, 16)]
+        docs.append((i, " ".join(body).title() if i % 3 else " ".join(body) + "!"))
+    return docs, items
+
+
+def test_leaks_are_those_of_brute_force(spark):
+    docs, items = leak_tables()
+    expected = naive.leaks(docs, items, decontaminate.LEAST, decontaminate.THRESHOLD, decontaminate.STRIP)
+    assert 8 < sum(n > 0 for n, _ in expected.values()) < len(docs)
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_items, r.item_id if r.n_items else None) for r in found} == expected
+
+
+def test_toxicity_is_that_of_dictionaries(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["vile!", "Calm", "so", "it", "is,", "was", f"n{i % 7}"]) for _ in range(rng.randint(1, 12)))) for i in range(120)]
+    labels = [(i, int("vile!" in t and "so" in t)) for i, t in rows if i % 4]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    place = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("doc_id")).collect()}
+    order = sorted((i for i, _ in labels), key=place.__getitem__)
+    texts, toxic = dict(rows), dict(labels)
+    cut = lambda t: naive.buckets(t, toxicity.STRIP, toxicity.BUCKETS)
+    twin = naive.Ftrl([sorted(cut(texts[i])) for i in order], [toxic[i] for i in order])
+    out = toxicity.score_toxicity(docs, toxicity.fit(docs, known)).collect()
+    assert all(abs(r.score - twin.chance(cut(r.text))) < 1e-5 for r in out)
+    assert {r.predicted for r in out} == {0, 1}
+
+
+def test_toxicity_of_empty_tables_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000 + "vile"), (2, "calm")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.limit(0), labels)
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+    assert toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).filter("score between 0 and 1").count() == 2
+
+
+def test_licenses_are_those_of_brute_force(spark):
+    rng = random.Random(12)
+    notices = (("MIT", "Released under the MIT License."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."))
+    full = (("ISC", "permission to use copy modify is hereby granted provided that the notice appears in all copies of it"),)
+    other = [f"o{i}" for i in range(30)] + ["the", "license", "under", "work"]
+
+    def wrapped(text):
+        w = text.split()
+        for _ in range(rng.randint(0, 2)):
+            w.insert(rng.randrange(len(w)), rng.choice(other))
+        cut = rng.randint(1, len(w))
+        return "# " + " ".join(w[:cut]) + "\n# " + " ".join(w[cut:])
+
+    docs = []
+    for i in range(60):
+        lines = [" ".join(rng.choice(other) for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(0, 4))]
+        if rng.random() < 0.4:
+            lines.insert(rng.randint(0, len(lines)), wrapped(rng.choice(notices)[1]))
+        text = full[0][1] if rng.random() < 0.1 else "\n".join(lines)
+        folder = "/".join(rng.choice("abc") for _ in range(rng.randint(0, 3)))
+        name = rng.choice(["LICENSE", "COPYING.txt", f"f{i}.py", f"g{i}.py"])
+        docs.append((i, None if i % 17 == 5 else f"{folder}/{name}" if folder else name, None if i % 19 == 3 else text))
+    df = spark.createDataFrame(docs, "doc_id long, path string, text string")
+    found = licenses.scan_licenses(df, licenses.fit(df, notices, full), path=F.col("path")).collect()
+    expected = naive.licensed(docs, notices, full, licenses.THRESHOLD, licenses.SPAN, licenses.words, licenses.FILE_NAMES)
+    assert {r.doc_id: (r.license, r.how, r.from_dir) for r in found} == expected
+    assert {h for _, h, _ in expected.values()} == {"own", "inherited", "none"}
+
+
+@pytest.mark.parametrize("language", range(2))
+def test_long_texts_are_parsed_in_groups(language, monkeypatch):
+    rng = random.Random(language)
+    parser = langid._Parser("".join(rng.choice("abc ") for _ in range(300)))
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (10, 3000, 0, 700)]
+    once = langid.bits_a_character(texts, [parser])
+    monkeypatch.setattr(langid, "TOGETHER", 600)
+    assert (once == langid.bits_a_character(texts, [parser])).all()
+
+
+def test_language_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "un deux trois", "fr", "x"), (1, "un deux trois", "fr", "x"), (2, "eins zwei drei", "de", "y")], "doc_id long, text string, lang string, score string")
+    out = langid.identify_languages(docs, langid.fit(docs)).collect()
+    assert [r.lang_pred for r in sorted(out, key=lambda r: r.doc_id)] == ["fr", "fr", "de"] and all(isinstance(r.score, float) for r in out)
+    assert langid.identify_languages(docs.limit(0), langid.fit(docs)).count() == 0
+
+
+def test_labels_are_those_of_plain_parsing(spark):
+    samples = (("de", "der hund und die katze laufen über die straße nach haus"), ("fr", "le chien et le chat courent dans la rue vers la maison"))
+    texts = ["die katze und der hund", "le chat et le chien", "la rue", "nach haus"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = lambda t, s: longest_phrases(langid.simplified(t), s) * math.log2(len(s) + 1) / len(langid.simplified(t))
+    expected = {i: min(samples, key=lambda x: (bits(t, x[1]), x[0]))[0] for i, t in enumerate(texts)}
+    assert {r.doc_id: r.lang_pred for r in langid.identify_languages(docs, samples).collect()} == expected
+
+
+def test_forest_stops_only_where_no_partner_is_likely():
+    least = jaccard_join.least_matched(0.8)
+    draw = random.Random(1)
+    sums = [sum(next((d for d in range(jaccard_join.DEEPEST) if draw.random() >= 0.8), jaccard_join.DEEPEST) for _ in range(jaccard_join.TREES)) for _ in range(20_000)]
+    assert sum(s < least for s in sums) <= 20_000 * 5e-4 and least >= jaccard_join.TREES
+
+
+def test_hot_nodes_are_compared_by_their_pivot(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(rng.randint(0, 5)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    named, links = jaccard_links(rows)
+    expected = {(named[i][0], len(links[i])) for i in links}
+    for chunk, weight in ((16, 10**9), (10**6, 4000)):
+        found = jaccard_join.jaccard_join(docs, chunk=chunk, weight=weight).collect()
+        assert {(r.doc_id, r.n_links) for r in found} == expected
+
+
+def test_mixing_draws_as_by_full_order(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 30)) for i in range(900)]
+    worth = {i: rng.choice([0.001, 0.5, 2.0]) for i, _, _ in docs}
+    df = spark.createDataFrame([(*d, worth[d[0]], "x") for d in docs], "doc_id long, source string, size long, q double, taken string")
+    monkeypatch.setattr(mixing, "ROWS", 5)
+    monkeypatch.setattr(mixing, "BINS", 4)
+    out = mixing.mix_sources(df, size_col="size", quality=F.col("q")).collect()
+    assert {r.doc_id: r.taken for r in out} == naive.mixed(docs, worth)
