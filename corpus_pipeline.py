@@ -5,11 +5,15 @@ returns the documents its stage keeps, with the columns of ``documents``. ``run`
 them in order and writes the result of each as Parquet, which the next one reads; so no
 stage is computed twice and a lost executor costs tasks of one stage only. The last stage
 returns the mix: its documents with their sizes, the target of their source and the words
-taken.
+taken. What a stage wrote is removed when the next one is written.
 
 Defined cases: a stage that is given an empty table returns one. Documents with null or
 empty text are kept until the mix, which takes nothing of them. Repeated rows (same id and
-text) are one document from the second stage on.
+text) are one document from the second stage on. At a tie the least id stays: of equally
+near copies, of repeated passages, of rows with one key in the mix (which share what is
+left). Very long texts pass whole through every stage. Extra columns are kept up to the
+mix, also those named like a column that an operator adds: a stage returns the columns it
+was given.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import decontaminate, jaccard_join, mixing, queries, substring_dedup, toxicity
 from marginalia.llm.common import checkpointed, read, shared_folder
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages; a test holds the whole against a plain version of each.
 ORACLE_SQL = None
 
 
@@ -34,7 +38,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id."""
-    kept = jaccard_join.jaccard_join(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    kept = jaccard_join.jaccard_join(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     docs = docs.withColumn("__text_key", jaccard_join.text_key(F.col("text")))
     found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text_key").eqNullSafe(F.col("__key")), "left_semi")
     return found.dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
@@ -42,14 +46,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the runs of 20 words that stand earlier in the corpus; texts without any are unchanged."""
-    found = substring_dedup.remove_repeated_spans(docs)
+    found = substring_dedup.remove_repeated_spans(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row")))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return found.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")).filter("contaminated = 0").select(docs.columns)
+    found = decontaminate.find_leaks(docs.select("text", F.struct(*docs.columns).alias("__row")), read(spark, sf_dir, "benchmark"))
+    return found.filter("contaminated = 0").select("__row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +75,18 @@ STAGES = [
 ]
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder, last = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for n, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{n}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            removed(spark, last)
+        last = path
     return docs
