@@ -31,7 +31,7 @@ THRESHOLD = 0.95
 RECALL = 0.995
 WIDTH = 1.5
 STRANGERS = 16
-CHUNK = 1024
+CHUNK = 256
 #: Components of the vectors in a chunk.
 WEIGHT = 2_000_000
 #: Members up to which the pairs of buckets are checked side by side.

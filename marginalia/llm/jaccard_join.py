@@ -38,11 +38,11 @@ from .common import U64, byte_rows, checkpointed, hashed, joined, mixed, one_arr
 WIDTH = 5
 THRESHOLD = 0.8
 TREES = 16
-DEEPEST = 8
+DEEPEST = 6
 RECALL = 0.9995
 #: The chance that a text with one partner at the threshold stops at once.
 MISSED = 1e-4
-CHUNK = 1024
+CHUNK = 256
 #: Runs of words in a chunk.
 WEIGHT = 2_000_000
 #: Columns of the incidence matrix that are multiplied at a time.
@@ -96,29 +96,31 @@ def labels_of(values: np.ndarray, offsets: np.ndarray, trees: int) -> np.ndarray
     return out
 
 
-def nodes_of(labels: np.ndarray, depth: int) -> np.ndarray:
-    """The trie node of each text in each tree: a hash of the first ``depth`` values there."""
-    out = np.broadcast_to(np.arange(labels.shape[1], dtype=U64), labels.shape[:2])
+def nodes_of(labels: np.ndarray, trees: np.ndarray, depth: int) -> np.ndarray:
+    """The trie nodes that labels of the trees are under: a hash of tree and first ``depth`` values."""
+    out = trees.astype(U64)
     for d in range(depth):
-        out = joined(out, mixed(labels[:, :, d].astype(U64)))
-    return out
+        out = joined(out, mixed(labels[..., d].astype(U64)))
+    return out.view(np.int64)
+
+
+def as_labels(column) -> np.ndarray:
+    return byte_rows(column, 4 * DEEPEST).view(">u4")
 
 
-def signed(id_key_texts, width: int, trees: int, depth: int):
-    for batch in id_key_texts:
+def signed(batches, width: int, trees: int):
+    for batch in batches:
         for part in slices(batch, "text"):
             values, offsets = shingles(part.column("text"), width)
-            labels = labels_of(values, offsets, trees)
-            n, places = part.num_rows, np.arange(0, (part.num_rows + 1) * trees, trees, dtype=np.int32)
-            buckets = pa.ListArray.from_arrays(places, pa.array(nodes_of(labels, depth).view(np.int64).ravel()))
-            paths = pa.ListArray.from_arrays(places, words_of_bytes(labels.astype(">u4").reshape(n * trees, -1).view(np.uint8)))
-            yield pa.RecordBatch.from_arrays([one_array(part.column("id")), one_array(part.column("key")), pa.array(np.diff(offsets)), buckets, paths], names=["id", "key", "n", "buckets", "labels"])
+            labels = labels_of(values, offsets, trees).astype(">u4").reshape(part.num_rows * trees, -1)
+            places = np.arange(0, len(labels) + 1, trees, dtype=np.int32)
+            paths = pa.ListArray.from_arrays(places, words_of_bytes(labels.view(np.uint8)))
+            yield pa.RecordBatch.from_arrays([one_array(part.column("id")), one_array(part.column("key")), pa.array(np.diff(offsets)), paths], names=["id", "key", "n", "labels"])
 
 
 def _paths(batch: pa.RecordBatch) -> np.ndarray:
     """Tree and label of each row, as numbers whose common prefix tells how far labels agree."""
-    label = byte_rows(batch.column("label"), 4 * DEEPEST).view(">u4").astype(np.int64)
-    return np.concatenate((np.asarray(batch.column("table"))[:, None].astype(np.int64), label), axis=1)
+    return np.concatenate((np.asarray(batch.column("table"))[:, None].astype(np.int64), as_labels(batch.column("label")).astype(np.int64)), axis=1)
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,8 +128,10 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(np.cumprod(a == b, axis=1).sum(1) - 1, 0)
 
 
-def longest_matches(sorted_labels: DataFrame) -> DataFrame:
-    """(node, table, bucket, n, matched) of the rows (node, table, bucket, n, label) that share a prefix with another.
+def longest_matches(sorted_labels: DataFrame, depth: int) -> DataFrame:
+    """(key, table, bucket, matched) of the rows (key, table, label) that share a prefix with another.
+
+    ``bucket`` is the trie node of the first ``depth`` values.
 
     The rows are checkpointed in order of (table, label) over their partitions. The first
     and last label of each partition, a hundred bytes, go to the driver, so that neighbours
@@ -146,7 +150,6 @@ def longest_matches(sorted_labels: DataFrame) -> DataFrame:
     edges = sorted(map(tuple, sorted_labels.select("table", "label").mapInArrow(ends, "part int, first array<long>, last array<long>").collect()))
     before = {p: edges[n - 1][2] for n, (p, _, _) in enumerate(edges) if n}
     after = {p: edges[n + 1][1] for n, (p, _, _) in enumerate(edges) if n + 1 < len(edges)}
-    names = ["node", "table", "bucket", "n"]
 
     def match(batches):
         part = TaskContext.get().partitionId()
@@ -158,8 +161,9 @@ def longest_matches(sorted_labels: DataFrame) -> DataFrame:
             around = np.concatenate((past[None], paths, following[None]))
             far = np.maximum(_shared(around[:-2], paths), _shared(paths, around[2:]))
             at = np.flatnonzero(far)
-            rows = [batch.column(c).take(pa.array(at)) for c in names]
-            return paths[-1], pa.RecordBatch.from_arrays([*rows, pa.array(far[at].astype(np.int32))], names=[*names, "matched"])
+            rows = [batch.column(c).take(pa.array(at)) for c in ("key", "table")]
+            node = nodes_of(paths[at, 1:], paths[at, 0], depth)
+            return paths[-1], pa.RecordBatch.from_arrays([*rows, pa.array(node), pa.array(far[at].astype(np.int32))], names=["key", "table", "bucket", "matched"])
 
         for batch in batches:
             if batch.num_rows:
@@ -170,17 +174,20 @@ def longest_matches(sorted_labels: DataFrame) -> DataFrame:
         if held is not None:
             yield matched(held, np.array(after.get(part, nothing)))[1]
 
-    return sorted_labels.mapInArrow(match, "node binary, table int, bucket long, n long, matched int")
+    return sorted_labels.mapInArrow(match, "key binary, table int, bucket long, matched int")
 
 
-def set_rows(batches, width: int):
-    """The set of each text, sorted, in place of the text."""
+def set_rows(batches, width: int, depth: int):
+    """The set of each text, sorted, in place of the text; trie nodes in place of labels."""
     for batch in batches:
         for part in slices(batch, "text"):
             values, offsets = shingles(part.column("text"), width)
             sets = [np.unique(values[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            columns = {c: one_array(part.column(c)) for c in ("node", "size", "buckets")}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(sets, pa.binary())], names=[*columns, "sketch"])
+            lists = one_array(part.column("labels"))
+            trees = len(lists.flatten()) // max(len(lists), 1)
+            nodes = nodes_of(as_labels(lists.flatten()), np.tile(np.arange(trees), len(lists)), depth)
+            buckets = pa.ListArray.from_arrays(np.arange(0, len(nodes) + 1, trees, dtype=np.int32), pa.array(nodes))
+            yield pa.RecordBatch.from_arrays([one_array(part.column("node")), one_array(part.column("size")), buckets, pa.array(sets, pa.binary())], names=["node", "size", "buckets", "sketch"])
 
 
 SKETCH = "node binary, size long, buckets array<long>, sketch binary"
@@ -253,22 +260,23 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     n = partitions_for(docs)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
 
-    light = rows.mapInArrow(lambda batches: signed(batches, width, trees, depth), "id long, key binary, n long, buckets array<long>, labels array<binary>")
-    light = checkpointed(light.dropDuplicates(["id", "key"]))
-    classes = light.filter("n > 0").groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("labels").alias("labels"))
-    classes = checkpointed(classes.withColumn("node", node_of(F.col("class_id"), F.col("key"))))
-
-    forest = classes.select("node", "n", F.posexplode(F.arrays_zip("buckets", "labels")).alias("table", "x")).select("node", "table", F.col("x.buckets").alias("bucket"), "n", F.col("x.labels").alias("label"))
-    forest = checkpointed(forest.repartitionByRange(n, "table", "label", "node").sortWithinPartitions("table", "label", "node"))
-    near = checkpointed(longest_matches(forest))
-    hopeful = near.groupBy("node").agg(F.sum("matched").alias("s")).filter(F.col("s") >= least).select("node")
-    members = near.filter(F.col("matched") >= depth).join(hopeful, "node", "left_semi").select("node", "table", "bucket", "n")
-    tasks = bucket_tasks(members, chunk, weight)
-
-    # the text of a class is fetched from the one row that has its least id
-    wanted = tasks.select("node").distinct().join(classes, "node").select("node", "key", F.col("class_id").alias("id"), "size", "buckets")
-    texts = rows.join(wanted, ["key", "id"]).dropDuplicates(["node"]).select("node", "size", "buckets", "text")
-    sets = checkpointed(texts.mapInArrow(lambda batches: set_rows(batches, width), SKETCH))
+    light = checkpointed(rows.select("id", "key").distinct())
+    first = light.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
+    # a class has the labels, and later the text, of the one row with its least id
+    labelled = rows.mapInArrow(lambda batches: signed(batches, width, trees), "id long, key binary, n long, labels array<binary>").filter("n > 0")
+    classes = labelled.join(first, ["key", "id"]).dropDuplicates(["key", "id"])
+    classes = checkpointed(classes.select(node_of(F.col("id"), F.col("key")).alias("node"), "key", F.col("id").alias("class_id"), "size", "n", "labels"))
+
+    forest = classes.select("key", F.posexplode("labels").alias("table", "label"))
+    forest = checkpointed(forest.repartitionByRange(n, "table", "label", "key").sortWithinPartitions("table", "label", "key"))
+    near = checkpointed(longest_matches(forest, depth))
+    hopeful = near.groupBy("key").agg(F.sum("matched").alias("s")).filter(F.col("s") >= least).select("key")
+    members = near.filter(F.col("matched") >= depth).join(hopeful, "key", "left_semi").join(classes.select("key", "node", "n"), "key")
+    tasks = bucket_tasks(members.select("node", "table", "bucket", "n"), chunk, weight)
+
+    wanted = tasks.select("node").distinct().join(classes, "node").select("node", "key", F.col("class_id").alias("id"), "size", "labels")
+    texts = rows.join(wanted, ["key", "id"]).dropDuplicates(["key", "id"]).select("node", "size", "labels", "text")
+    sets = checkpointed(texts.mapInArrow(lambda batches: set_rows(batches, width, depth), SKETCH))
 
     whole = {"count": F.floor(F.length("sketch") / 8).cast("long"), "shared": F.lit(0).cast("long"), "pivot_count": F.lit(0).cast("long")}
     cold = tasks.filter("chunks = 1").drop("pivot").join(sets, "node").withColumns(whole)
