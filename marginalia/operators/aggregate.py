@@ -34,19 +34,46 @@ def composition(documents: DataFrame, stratum: str = "stratum") -> DataFrame:
     return groups.crossJoin(F.broadcast(groups.agg(F.sum("n").alias("total")))).select(stratum, "n", (F.col("n") / F.col("total")).alias("share"))
 
 
-def gini(values: DataFrame, value: str, by: list[str], cells: int = 1000) -> DataFrame:
-    """Gini index of each group; negatives count as 0, an empty sum gives 0.
+def place_bin(x: Column) -> Column:
+    """A number that grows with x, the same for values within half a percent of each other."""
+    size = lambda v: F.floor(F.log(v) * 256) + 200_000
+    return F.when(x > 0, size(x)).when(x < 0, -size(-x)).otherwise(F.lit(0).cast("long"))
 
-    Values are first counted by value, so ties are one row and a group is summed over its
-    distinct values.
+
+def rank_sums(counted: DataFrame, by: list[str], x: str, n: str, **weights: Column) -> DataFrame:
+    """Over the values of each group, counted by value: ``total``, and for each weight the sum of weight * mean rank of the value.
+
+    Ranks are summed within bins of values, and the bins' results, a few thousand a group,
+    are put together; so no group is sorted as a whole. ``ties`` is the sum of t^3 - t.
     """
-    counted = values.filter(F.col(value).isNotNull()).groupBy(*by, F.greatest(F.col(value), F.lit(0.0)).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
-    below = Window.partitionBy(*by).orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn("__b", F.coalesce(F.sum("__n").over(below), F.lit(0)))
-    # ranks of a value are b + 1 .. b + n
-    weighted = F.col("__x") * (F.col("__n") * F.col("__b") + F.col("__n") * (F.col("__n") + 1) / 2)
-    out = ranked.groupBy(*by).agg(F.sum(weighted).alias("w"), F.sum(F.col("__x") * F.col("__n")).alias("s"), F.sum("__n").alias("n"))
-    raw = 2 * F.col("w") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")
+    inside = Window.partitionBy(*by, "__bin").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    rows = counted.withColumn("__bin", place_bin(F.col(x)))
+    rank = F.coalesce(F.sum(n).over(inside), F.lit(0)) + (F.col(n) + 1) / F.lit(2.0)
+    rows = rows.withColumn("__rank", rank)
+    t = F.col(n).cast("double")
+    parts = {f"__w_{k}": F.sum(w).alias(f"__w_{k}") for k, w in weights.items()} | {f"__r_{k}": F.sum(w * F.col("__rank")).alias(f"__r_{k}") for k, w in weights.items()}
+    bins = rows.groupBy(*by, "__bin").agg(F.sum(n).alias("__n"), F.sum(t * t * t - t).alias("__t"), *parts.values())
+    below = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("__b", F.coalesce(F.sum("__n").over(below), F.lit(0)))
+    sums = [F.sum(F.col(f"__r_{k}") + F.col("__b") * F.col(f"__w_{k}")).alias(f"ranked_{k}") for k in weights]
+    return bins.groupBy(*by).agg(F.sum("__n").alias("total"), F.sum("__t").alias("ties"), *[F.sum(f"__w_{k}").alias(k) for k in weights], *sums)
+
+
+def counted_values(values: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, value, n): known values counted by value, so that ties are one row."""
+    return values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gini(values: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Gini index of each group; negatives count as 0, an empty sum gives 0."""
+    return counted_gini(counted_values(values, value, by), value, by)
+
+
+def counted_gini(counted: DataFrame, value: str, by: list[str]) -> DataFrame:
+    rows = counted.groupBy(*by, F.greatest(F.col(value), F.lit(0.0)).alias("__x")).agg(F.sum("n").alias("__n"))
+    # the ranks of tied values sum up to their number times the mean rank
+    out = rank_sums(rows, by, "__x", "__n", s=F.col("__x") * F.col("__n"))
+    raw = 2 * F.col("ranked_s") / (F.col("total") * F.col("s")) - (F.col("total") + 1) / F.col("total")
     return out.select(*by, F.when(F.col("s") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).alias("gini"))
 
 

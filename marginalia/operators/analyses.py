@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,7 @@ from ..functions import scanners
 from ..functions.align import EQUAL, REPLACE, counts, distance, edit_blocks, edit_runs, matching_blocks
 from ..functions.text import excerpt, f1, line_array, quality_gain, safe_ratio, token_array, zero_safe_ratio
 from . import aggregate, relational
-from .metrics import list_function, pair_function
+from .metrics import list_function, pair_function, with_distance
 
 KEY = ["view", "pipeline"]
 GONE = "∅"
@@ -129,34 +130,79 @@ def modernisation(pairs: DataFrame, k: int = 20, variants: int = 5) -> DataFrame
 # -- tokens as multisets -------------------------------------------------------------
 
 
+_TOKEN = pa.struct([("token", pa.string()), ("n", pa.int64()), ("kept", pa.int64())])
+
+
+@F.arrow_udf(from_arrow_type(pa.list_(_TOKEN)))
+def multiset_rows(ours: pa.Array, theirs: pa.Array) -> pa.Array:
+    """Each distinct token of the first list: how often it is there, and how many of those the second has too."""
+    out = []
+    for a, b in zip(ours.to_pylist(), theirs.to_pylist(), strict=True):
+        have = Counter(b or ())
+        out.append([{"token": t, "n": n, "kept": min(n, have[t])} for t, n in Counter(a or ()).items()])
+    return pa.array(out, pa.list_(_TOKEN))
+
+
+def token_counts(pairs: DataFrame, tokens=token_array) -> DataFrame:
+    """(view, doc_id, pipeline, xs): tokens of the reference, counted within the pair, so that no token is shuffled."""
+    return pairs.select("view", "doc_id", "pipeline", multiset_rows(tokens(F.col("ref")), tokens(F.col("hyp"))).alias("xs"))
+
+
 def kept_tokens(pairs: DataFrame, tokens=token_array) -> DataFrame:
     """(view, doc_id, pipeline, token, n, kept): tokens of the reference and how many the hypothesis has too."""
-    keys = ["view", "doc_id", "pipeline", "token"]
-    ours = pairs.select(*keys[:3], F.explode(tokens(F.col("ref"))).alias("token"))
-    theirs = pairs.select(*keys[:3], F.explode(tokens(F.col("hyp"))).alias("token"))
-    return relational.multiset_overlap(ours, theirs, keys)
+    return token_counts(pairs, tokens).select("view", "doc_id", "pipeline", F.inline("xs"))
+
+
+def _recall(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("recall", F.col("kept") / F.col("n"))
 
 
 def token_recall(pairs: DataFrame, tokens=token_array) -> DataFrame:
-    return kept_tokens(pairs, tokens).groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")).withColumn("recall", F.col("kept") / F.col("n"))
+    total = lambda k: F.aggregate("xs", F.lit(0).cast("long"), lambda s, x: s + x[k])
+    rows = token_counts(pairs, tokens).select(*KEY, total("n").alias("n"), total("kept").alias("kept")).filter("n > 0")
+    return _recall(rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")))
+
+
+_BEST = pa.struct([("n", pa.int64()), ("oracle", pa.int64()), ("best", pa.int64())])
+
+
+@F.arrow_udf(from_arrow_type(_BEST))
+def best_of_pipelines(lists: pa.Array) -> pa.Array:
+    """Of the token lists of a document's pipelines: tokens, tokens that some pipeline kept, tokens of the best one."""
+    out = []
+    for doc in lists.to_pylist():
+        n, kept = {}, {}
+        for xs in doc:
+            for x in xs:
+                n[x["token"]] = max(n.get(x["token"], 0), x["n"])
+                kept[x["token"]] = max(kept.get(x["token"], 0), x["kept"])
+        out.append({"n": sum(n.values()), "oracle": sum(kept.values()), "best": max((sum(x["kept"] for x in xs) for xs in doc), default=0)})
+    return pa.array(out, _BEST)
+
+
+def _documents(pairs: DataFrame, tokens) -> DataFrame:
+    """One row a document with the token lists of its pipelines, and what they come to."""
+    rows = token_counts(pairs, tokens).groupBy("view", "doc_id").agg(F.collect_list(F.struct("pipeline", "xs")).alias("each"))
+    return rows.withColumn("b", best_of_pipelines(F.transform("each", lambda e: e["xs"])))
 
 
 def complementarity_by_doc(pairs: DataFrame, tokens=token_array) -> DataFrame:
     """Per document: tokens, tokens that some pipeline kept, tokens that its best pipeline kept."""
-    kept = kept_tokens(pairs, tokens)
-    by = ["view", "doc_id"]
-    oracle = kept.groupBy(*by, "token").agg(F.max("n").alias("n"), F.max("kept").alias("kept")).groupBy(*by).agg(F.sum("n").alias("n"), F.sum("kept").alias("oracle"))
-    single = kept.groupBy(*by, "pipeline").agg(F.sum("kept").alias("kept")).groupBy(*by).agg(F.max("kept").alias("best"))
-    return oracle.join(single, by)
+    return _documents(pairs, tokens).select("view", "doc_id", "b.*").filter("n > 0")
 
 
 def complementarity(pairs: DataFrame, tokens=token_array) -> DataFrame:
-    """Recall of an oracle that picks each token's best pipeline, of the best single one, and the gap."""
-    docs = complementarity_by_doc(pairs, tokens).groupBy("view").agg(F.sum("n").alias("n"), F.sum("oracle").alias("oracle"))
-    best = aggregate.best_of(token_recall(pairs, tokens), ["view"], "recall", "pipeline")
-    out = docs.join(best, "view").withColumn("oracle_recall", F.col("oracle") / F.col("n"))
-    gap = F.greatest(F.lit(0.0), F.col("oracle_recall") - F.col("recall"))
-    return out.select("view", "oracle_recall", F.col("pipeline").alias("best_pipeline"), F.col("recall").alias("best_recall"), gap.alias("gap"), F.when(1 - F.col("recall") > 1e-12, gap / (1 - F.col("recall"))).otherwise(0.0).alias("relative_gap"))
+    """Recall of an oracle that picks each token's best pipeline, of the best single one, and the gap; one pass."""
+    total = lambda xs, k: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x[k])
+    oracle = F.struct(F.lit(None).cast("string").alias("pipeline"), F.col("b.n").alias("n"), F.col("b.oracle").alias("kept"))
+    each = F.transform("each", lambda e: F.struct(e["pipeline"].alias("pipeline"), total(e["xs"], "n").alias("n"), total(e["xs"], "kept").alias("kept")))
+    rows = _documents(pairs, tokens).select("view", F.inline(F.concat(F.array(oracle), each)))
+    sums = _recall(rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")).filter("n > 0"))
+    single = F.min(F.when(F.col("pipeline").isNotNull(), F.struct((-F.col("recall")).alias("r"), "pipeline")))
+    out = sums.groupBy("view").agg(F.max(F.when(F.col("pipeline").isNull(), F.col("recall"))).alias("oracle_recall"), single.alias("s"))
+    out = out.select("view", "oracle_recall", F.col("s.pipeline").alias("best_pipeline"), (-F.col("s.r")).alias("best_recall"))
+    gap = F.greatest(F.lit(0.0), F.col("oracle_recall") - F.col("best_recall"))
+    return out.withColumns({"gap": gap, "relative_gap": F.when(1 - F.col("best_recall") > 1e-12, gap / (1 - F.col("best_recall"))).otherwise(0.0)})
 
 
 def complementary_documents(pairs: DataFrame, k: int = 20, tokens=token_array) -> DataFrame:
@@ -164,20 +210,28 @@ def complementary_documents(pairs: DataFrame, k: int = 20, tokens=token_array) -
     return aggregate.top(docs, k, F.desc("gap"), F.col("doc_id"), by=["view"])
 
 
-def rare_tokens(documents: DataFrame, most: int = 2, tokens=token_array, text: str = "ref") -> DataFrame:
-    """Tokens that the references have at most so often; a reference counts once a document."""
-    each = documents.groupBy("view", "doc_id").agg(F.min(text).alias(text))
-    return each.select("view", F.explode(tokens(F.col(text))).alias("token")).groupBy("view", "token").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") <= most)
+def one_per_document(pairs: DataFrame) -> DataFrame:
+    """(view, doc_id, ref): the reference of each document once, where there is no table of them."""
+    return pairs.groupBy("view", "doc_id").agg(F.min("ref").alias("ref"))
+
+
+def rare_tokens(references: DataFrame, most: int = 2, tokens=token_array, text: str = "ref") -> DataFrame:
+    """Tokens that the references (a row a document) have at most so often."""
+    return references.select("view", F.explode(tokens(F.col(text))).alias("token")).groupBy("view", "token").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") <= most)
+
+
+def _rare_counts(pairs: DataFrame, most: int, tokens, references: DataFrame | None) -> DataFrame:
+    """(view, pipeline, token, n, kept) of the rare tokens; counted by token before they are looked up."""
+    counted = kept_tokens(pairs, tokens).groupBy(*KEY, "token").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
+    return counted.join(rare_tokens(one_per_document(pairs) if references is None else references, most, tokens), ["view", "token"], "left_semi")
 
 
-def rare_token_recall(pairs: DataFrame, most: int = 2, tokens=token_array) -> DataFrame:
-    kept = kept_tokens(pairs, tokens).join(rare_tokens(pairs, most, tokens), ["view", "token"], "left_semi")
-    return kept.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")).withColumn("recall", F.col("kept") / F.col("n"))
+def rare_token_recall(pairs: DataFrame, most: int = 2, tokens=token_array, references: DataFrame | None = None) -> DataFrame:
+    return _recall(_rare_counts(pairs, most, tokens, references).groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")))
 
 
-def missed_rare_tokens(pairs: DataFrame, most: int = 2, k: int = 20, tokens=token_array) -> DataFrame:
-    kept = kept_tokens(pairs, tokens).join(rare_tokens(pairs, most, tokens), ["view", "token"], "left_semi")
-    return aggregate.collected_samples(kept.filter("kept < n"), KEY, "token", k)
+def missed_rare_tokens(pairs: DataFrame, most: int = 2, k: int = 20, tokens=token_array, references: DataFrame | None = None) -> DataFrame:
+    return aggregate.collected_samples(_rare_counts(pairs, most, tokens, references).filter("kept < n"), KEY, "token", k)
 
 
 def _new_grams(ref: str, hyp: str, n: int = 3) -> tuple[int, int]:
@@ -206,7 +260,7 @@ def lines_by_index(pairs: DataFrame) -> DataFrame:
     """Lines of the reference that are not empty, with the hypothesis' line of the same number and its error rate."""
     ours = pairs.select("view", "pipeline", "doc_id", F.posexplode(line_array(F.col("ref"))).alias("line", "ref_line"), line_array(F.col("hyp")).alias("__h")).filter("ref_line <> ''")
     theirs = ours.withColumn("hyp_line", F.coalesce(F.get("__h", F.col("line")), F.lit(""))).drop("__h")
-    return theirs.withColumn("cer", F.levenshtein("ref_line", "hyp_line") / F.length("ref_line"))
+    return with_distance(theirs, "edits", F.col("ref_line"), F.col("hyp_line")).withColumn("cer", F.col("edits") / F.length("ref_line")).drop("edits")
 
 
 def worst_lines(pairs: DataFrame, k: int = 5) -> DataFrame:
@@ -235,9 +289,14 @@ def aligned_lines(pairs: DataFrame) -> DataFrame:
 
 
 def line_summary(lines: DataFrame, thresholds=(0.3, 0.5, 1.0)) -> DataFrame:
-    catastrophic = [F.avg((F.col("cer") >= t).cast("int")).alias(f"over_{round(100 * t)}") for t in thresholds]
-    out = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_lines"), F.avg("cer").alias("mean"), *catastrophic)
-    return out.join(aggregate.percentiles(lines, "cer", KEY), KEY).join(aggregate.gini(lines, "cer", KEY), KEY)
+    """Lines are counted by their rate once; all figures of a pipeline come from those counts."""
+    counted = aggregate.counted_values(lines, "cer", KEY)
+    n = F.sum("n")
+    catastrophic = [(F.sum(F.when(F.col("cer") >= t, F.col("n")).otherwise(0)) / n).alias(f"over_{round(100 * t)}") for t in thresholds]
+    points = (0.5, 0.75, 0.9, 0.95, 0.99)
+    out = counted.groupBy(*KEY).agg(n.alias("n_lines"), (F.sum(F.col("cer") * F.col("n")) / n).alias("mean"), *catastrophic, F.percentile("cer", F.array(*map(F.lit, points)), F.col("n")).alias("p"))
+    out = out.select(*[c for c in out.columns if c != "p"], *[F.col("p")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(points)])
+    return out.join(aggregate.counted_gini(counted, "cer", KEY), KEY)
 
 
 def line_heatmap(lines: DataFrame, bins: int = 10) -> DataFrame:
@@ -400,21 +459,25 @@ def correction(triples: DataFrame, catastrophic: float = 0.10, overedit: float =
     return out.join(runs, "pipeline", "left").join(absorption(triples), "pipeline", "left")
 
 
+ABSORBED = ("errors_before", "errors_after", "corrected", "introduced", "kept_wrong")
+
+
+@F.arrow_udf(from_arrow_type(pa.struct([(c, pa.int64()) for c in ABSORBED])))
+def absorbed(ref: pa.Array, raw: pa.Array, corrected: pa.Array) -> pa.Array:
+    """Words of the reference, as multisets, that are missing before and after a correction."""
+    out = []
+    for texts in zip(ref.to_pylist(), raw.to_pylist(), corrected.to_pylist(), strict=True):
+        want, had, has = (Counter((t or "").split()) for t in texts)
+        gaps = [(max(0, n - had[w]), max(0, n - has[w])) for w, n in want.items()]
+        sums = [(a, b, max(0, a - b), max(0, b - a), min(a, b)) for a, b in gaps]
+        out.append(dict(zip(ABSORBED, map(sum, zip(*sums)) if sums else (0,) * 5)))
+    return pa.array(out, pa.struct([(c, pa.int64()) for c in ABSORBED]))
+
+
 def absorption(triples: DataFrame) -> DataFrame:
-    """Words of the references that are missing before and after, as multisets."""
-    words = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+"), lambda w: w != "")
-    keys = ["pipeline", "doc_id", "word"]
-    each = [triples.select(*keys[:2], F.explode(words(c)).alias("word")).groupBy(*keys).agg(F.count(F.lit(1)).alias(c)) for c in ("ref", "raw", "corrected")]
-    both = each[0].join(each[1], keys, "left").join(each[2], keys, "left")
-    lacking = lambda c: F.greatest(F.lit(0), F.col("ref") - F.coalesce(c, F.lit(0)))
-    both = both.withColumns({"before": lacking("raw"), "after": lacking("corrected")})
-    sums = both.groupBy("pipeline").agg(
-        F.sum("before").alias("errors_before"),
-        F.sum("after").alias("errors_after"),
-        F.sum(F.greatest(F.lit(0), F.col("before") - F.col("after"))).alias("corrected"),
-        F.sum(F.greatest(F.lit(0), F.col("after") - F.col("before"))).alias("introduced"),
-        F.sum(F.least("before", "after")).alias("kept_wrong"),
-    )
+    """Words of the references that are missing before and after, counted within the document."""
+    rows = triples.select("pipeline", absorbed("ref", "raw", "corrected").alias("a"))
+    sums = rows.groupBy("pipeline").agg(*[F.sum(f"a.{c}").alias(c) for c in ABSORBED])
     return sums.withColumns({"correction_rate": safe_ratio(F.col("corrected"), F.col("errors_before")), "introduction_rate": safe_ratio(F.col("introduced"), F.col("errors_after")), "net_improvement": F.col("corrected") - F.col("introduced")})
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions.align import DELETE, edit_blocks
-from .metrics import edit_distance
+from .metrics import with_distance
 
 IOU = 0.5
 BOX = pa.list_(pa.float64())
@@ -63,7 +63,7 @@ def region_cer(ref: DataFrame, hyp: DataFrame, by: list[str]) -> DataFrame:
     """Edits over characters of the reference's regions by id; a region the other side lacks is all edits."""
     both = ref.select(*by, "region_id", F.col("text").alias("a")).join(hyp.select(*by, "region_id", F.col("text").alias("b")), [*by, "region_id"], "left")
     text = lambda c: F.coalesce(c, F.lit(""))
-    out = both.groupBy(*by).agg(F.sum(edit_distance(text("a"), text("b"))).alias("edits"), F.sum(F.length(text("a"))).alias("weight"))
+    out = with_distance(both, "edits", text("a"), text("b")).groupBy(*by).agg(F.sum("edits").alias("edits"), F.sum(F.length(text("a"))).alias("weight"))
     return out.filter("weight > 0").select(*by, (F.col("edits") / F.col("weight")).alias("value"), F.col("weight").cast("long").alias("weight"))
 
 

@@ -135,8 +135,8 @@ def _edit_rate(edits: Column, length: Column) -> Column:
     return F.when(length > 0, edits / length).when(edits == 0, 0.0).when(edits > 0, 1.0)
 
 
-#: Cells of a distance matrix up to which the built-in is quicker than columns of bits.
-SHORT_CELLS = 40_000
+#: Cells of a distance matrix, in a band, up to which the built-in is quicker than columns of bits.
+BAND_CELLS = 4_000_000
 
 
 @F.arrow_udf(from_arrow_type(pa.int64()))
@@ -144,10 +144,20 @@ def _long_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return pa.array([None if a is None or b is None else distance(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], pa.int64())
 
 
-def edit_distance(ref: Column, hyp: Column) -> Column:
-    """Least edits between two texts: the built-in for short ones, columns of bits for long ones."""
-    long = F.length(ref).cast("long") * F.length(hyp) > SHORT_CELLS
-    return F.coalesce(F.when(~long, F.levenshtein(ref, hyp).cast("long")), _long_distance(F.when(long, ref), F.when(long, hyp)))
+def with_distance(rows: DataFrame, name: str, ref: Column, hyp: Column) -> DataFrame:
+    """Adds the least edits between two texts.
+
+    Equal texts take none. The built-in looks in a band about the diagonal that is as wide
+    as one edit in sixteen characters; the few pairs further apart, and those too long for
+    it, go through columns of bits in Python.
+    """
+    band = (F.length(ref) / 16).cast("int") + 8
+    fits = F.length(ref).cast("long") * (2 * band + 1) <= BAND_CELLS
+    near = F.when(ref == hyp, 0).when(fits, F.call_function("levenshtein", ref, hyp, band))
+    rows = rows.withColumns({"__near": near, "__ref": ref, "__hyp": hyp})
+    far = F.col("__near").isNull() | (F.col("__near") < 0)
+    rows = rows.withColumn(name, F.coalesce(F.when(~far, F.col("__near").cast("long")), _long_distance(F.when(far, F.col("__ref")), F.when(far, F.col("__hyp")))))
+    return rows.drop("__near", "__ref", "__hyp")
 
 
 def _rate(part: Callable[[], Column], whole: Callable[[], Column]):
@@ -219,9 +229,9 @@ def measured(pairs: DataFrame, needs: set[str], archaic: str = fixed.ARCHAIC_COR
         pairs = pairs.withColumn("seqs", pair_function(_sequence_row, SEQUENCES)(F.col("ref"), F.col("hyp")))
     if "nfc" in needs:
         pairs = pairs.withColumns({f"{c}_nfc": PROFILES["nfc"].column(F.col(c)) for c in ("ref", "hyp")})
-        pairs = pairs.withColumn("edits_nfc", edit_distance(_plain("ref_nfc"), _plain("hyp_nfc")))
+        pairs = with_distance(pairs, "edits_nfc", _plain("ref_nfc"), _plain("hyp_nfc"))
     if "edits" in needs:
-        pairs = pairs.withColumn("edits", edit_distance(F.col("ref"), F.col("hyp")))
+        pairs = with_distance(pairs, "edits", F.col("ref"), F.col("hyp"))
     return pairs
 
 

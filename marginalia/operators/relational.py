@@ -20,11 +20,11 @@ def every_combination(documents: DataFrame, views: DataFrame, pipelines: DataFra
 
 
 def complete_cases(values: DataFrame, by: list[str], unit: str = "doc_id", name: str = "pipeline", value: str = "value") -> DataFrame:
-    """Rows of units for which every name of the group has a value."""
+    """Rows of units for which every name of the group has a value; a unit has a row a name, so few rows."""
     known = values.filter(F.col(value).isNotNull())
     k = known.groupBy(*by).agg(F.countDistinct(name).alias("__k"))
-    whole = known.groupBy(*by, unit).agg(F.countDistinct(name).alias("__n")).join(k, by).filter("__n = __k").select(*by, unit)
-    return known.join(whole, [*by, unit], "left_semi")
+    named = known.withColumn("__n", F.size(F.collect_set(name).over(Window.partitionBy(*by, unit))))
+    return named.join(small(k), by).filter("__n = __k").select(*values.columns)
 
 
 def multiset_matches(left: DataFrame, right: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

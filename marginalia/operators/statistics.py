@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import random
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import RANK_CRITICAL
+from .aggregate import rank_sums
 from .relational import complete_cases
 
 LEAST_CASES = 6
@@ -28,19 +28,43 @@ def critical_value(k: int, alpha: float = 0.05) -> tuple[float, bool]:
     return q[-1] + (q[-1] - q[-2]) / (at[-1] - at[-2]) * (k - at[-1]), True
 
 
+def _units(values: DataFrame, by: list[str], unit: str, name: str, value: str) -> DataFrame:
+    """One row a unit: its names with values and ranks, ``xs``, and the sorted ``names``. A unit has a row a name."""
+    known = values.filter(F.col(value).isNotNull())
+    units = known.groupBy(*by, unit).agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col(name).alias("n"))).alias("__xs"))
+    count = lambda test: F.size(F.filter("__xs", test))
+
+    def ranked(x):
+        tied = count(lambda y: y["v"] == x["v"])
+        rank = count(lambda y: y["v"] < x["v"]) + (tied + 1) / F.lit(2.0)
+        return F.struct(x["n"].alias("name"), x["v"].alias("value"), rank.alias("rank"), (tied * tied - 1).cast("double").alias("ties"))
+
+    return units.select(*by, unit, F.transform("__xs", ranked).alias("xs"), F.array_sort(F.transform("__xs", lambda x: x["n"])).alias("names"))
+
+
 def ranks(values: DataFrame, by: list[str], unit: str = "doc_id", name: str = "pipeline", value: str = "value") -> DataFrame:
     """Average rank of each name within each unit for which all have a value; the smallest is 1."""
     cases = complete_cases(values, by, unit, name, value)
-    one = [*by, unit]
-    rank = F.rank().over(Window.partitionBy(*one).orderBy(value))
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*one, value))
-    return cases.withColumn("rank", rank + (tied - 1) / F.lit(2.0))
+    rows = _units(cases, by, unit, name, value).select(*by, unit, F.explode("xs").alias("x"))
+    return rows.select(*by, unit, F.col("x.name").alias(name), F.col("x.value").alias(value), F.col("x.rank").alias("rank"))
+
+
+def rank_totals(values: DataFrame, by: list[str], unit: str = "doc_id", name: str = "pipeline", value: str = "value") -> DataFrame:
+    """Over the complete cases, for each name: sum of ranks ``s``, cases ``n``, ``ties``, and how many names ``k``.
+
+    One pass: units are summed by the set of names they have, and the few sets that lack one
+    are left out at the end.
+    """
+    rows = _units(values, by, unit, name, value).select(*by, "names", F.explode("xs").alias("x"))
+    sums = rows.groupBy(*by, "names", F.col("x.name").alias(name)).agg(F.sum("x.rank").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("x.ties").alias("ties"))
+    every = F.size(F.array_distinct(F.flatten(F.collect_set("names").over(Window.partitionBy(*by)))))
+    return sums.withColumn("k", every.cast("long")).filter(F.size("names") == F.col("k")).drop("names")
 
 
 def mean_ranks(values: DataFrame, by: list[str], unit: str = "doc_id", name: str = "pipeline", value: str = "value") -> DataFrame:
     """mean_rank and n of each name, with the critical distance of its group (from three names and six cases on)."""
-    means = ranks(values, by, unit, name, value).groupBy(*by, name).agg(F.avg("rank").alias("mean_rank"), F.count(F.lit(1)).alias("n"))
-    means = means.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*by))).filter((F.col("k") >= 2) & (F.col("n") >= LEAST_CASES))
+    means = rank_totals(values, by, unit, name, value).filter((F.col("k") >= 2) & (F.col("n") >= LEAST_CASES))
+    means = means.select(*by, name, (F.col("s") / F.col("n")).alias("mean_rank"), "n", "k")
     return means.withColumn("critical_distance", F.when(F.col("k") >= 3, critical_column(F.col("k")) * F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n")))))
 
 
@@ -127,12 +151,10 @@ def chi_square_tail(x: float, freedom: int) -> float:
     return out * scale
 
 
-def friedman(ranked: DataFrame, by: list[str], unit: str = "doc_id", name: str = "pipeline") -> DataFrame:
+def friedman(values: DataFrame, by: list[str], unit: str = "doc_id", name: str = "pipeline", value: str = "value") -> DataFrame:
     """Friedman's statistic with the correction for ties, and its p-value; from three names on."""
-    sums = ranked.groupBy(*by, name).agg(F.sum("rank").alias("s"), F.count(F.lit(1)).alias("n"))
-    groups = sums.groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    ties = ranked.groupBy(*by, unit, "rank").agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    out = groups.join(ties, by) if by else groups.crossJoin(F.broadcast(ties))
+    sums = rank_totals(values, by, unit, name, value)
+    out = sums.groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").alias("n"), F.max("k").alias("k"), F.sum("ties").alias("ties"))
     k, n = F.col("k"), F.col("n")
     raw = 12.0 / (n * k * (k + 1)) * F.col("ss") - 3 * n * (k + 1)
     even = 1 - F.col("ties") / (n * (k * k * k - k))
@@ -145,41 +167,41 @@ def friedman(ranked: DataFrame, by: list[str], unit: str = "doc_id", name: str =
     return out.select(*by, "n", "k", "chi2", tail("chi2", k - 1).alias("p"))
 
 
-def wilcoxon(xs: list[float], ys: list[float]) -> tuple[float, float] | None:
-    """Signed-rank statistic and two-sided p: exact for up to 50 differences without ties or zeros, else normal."""
-    gaps = [x - y for x, y in zip(xs, ys, strict=True)]
-    kept = sorted((abs(g), g) for g in gaps if g)
-    n = len(kept)
-    if not n:
-        return None
-    rank: dict[float, float] = {}
-    at = 0
-    for size, t in sorted(Counter(a for a, _ in kept).items()):
-        rank[size] = at + (t + 1) / 2
-        at += t
-    plus = sum(rank[a] for a, g in kept if g > 0)
-    low = min(plus, n * (n + 1) / 2 - plus)
-    if n <= 50 and len(rank) == n == len(gaps):
+def signed_rank_tail(n: int, low: float, cases: int, ties: float) -> float:
+    """Two-sided p of the smaller rank sum of n differences: exact for up to 50 without ties or zeros, else normal."""
+    if n <= 50 and not ties and n == cases:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for r in range(1, n + 1):
             ways[r:] += ways[:-r].copy()
-        return low, min(1.0, float(2 * ways[: int(low) + 1].sum() / 2**n))
-    spread = n * (n + 1) * (2 * n + 1) / 24 - sum(t**3 - t for t in Counter(a for a, _ in kept).values()) / 48
-    return low, math.erfc(abs(low - n * (n + 1) / 4) / math.sqrt(spread) / math.sqrt(2)) if spread else 1.0
+        return min(1.0, float(2 * ways[: int(low) + 1].sum() / 2**n))
+    spread = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    return math.erfc(abs(low - n * (n + 1) / 4) / math.sqrt(spread) / math.sqrt(2)) if spread else 1.0
 
 
-def wilcoxon_by(values: DataFrame, by: list[str], a: str, b: str, unit: str = "doc_id", name: str = "pipeline", value: str = "value") -> DataFrame:
-    """Signed-rank test between two names of each group."""
-    cases = complete_cases(values.filter(F.col(name).isin(a, b)), by, unit, name, value)
-    both = cases.groupBy(*by, unit).agg(*[F.max(F.when(F.col(name) == x, F.col(value))).alias(c) for x, c in ((a, "__a"), (b, "__b"))])
+def wilcoxon(values: DataFrame, by: list[str], a: str, b: str, unit: str = "doc_id", name: str = "pipeline", value: str = "value") -> DataFrame:
+    """Signed-rank test between two names of each group: cases ``n``, ``statistic`` and ``p`` (null for few cases or no difference).
 
-    def test(key, pdf):
-        found = wilcoxon(pdf["__a"].tolist(), pdf["__b"].tolist()) if len(pdf) >= LEAST_CASES else None
-        return pd.DataFrame([(*key, len(pdf), *(found or (None, None)))])
+    Differences are counted by size and ranked in bins (see ``rank_sums``).
+    """
+    known = values.filter(F.col(name).isin(a, b) & F.col(value).isNotNull())
+    both = known.groupBy(*by, unit).agg(*[F.max(F.when(F.col(name) == x, F.col(value))).alias(c) for x, c in ((a, "__a"), (b, "__b"))])
+    gaps = both.select(*by, (F.col("__a") - F.col("__b")).alias("g")).filter("g is not null")
+    sizes = gaps.groupBy(*by, F.abs("g").alias("size")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("g") > 0).alias("up"))
+    # a difference of nothing has no rank, but is a case
+    zero = F.col("size") == 0
+    sizes = sizes.withColumns({"__zeros": F.when(zero, F.col("t")).otherwise(0), "t": F.when(zero, 0).otherwise(F.col("t"))})
+    out = rank_sums(sizes, by, "size", "t", up=F.col("up"), zeros=F.col("__zeros"))
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in both.select(*by).schema)
-    return both.groupBy(*by).applyInPandas(test, f"{fields}n long, statistic double, p double")
+    @F.pandas_udf("double")
+    def tail(n: pd.Series, low: pd.Series, cases: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([None if not a or pd.isna(b) else signed_rank_tail(int(a), b, int(c), d) for a, b, c, d in zip(n, low, cases, ties, strict=True)], dtype="float64")
+
+    cases = F.col("total") + F.col("zeros")
+    tested = (cases >= LEAST_CASES) & (F.col("total") > 0)
+    low = F.when(tested, F.least(F.col("ranked_up"), F.col("total") * (F.col("total") + 1) / 2 - F.col("ranked_up")))
+    out = out.select(*by, cases.alias("n"), "total", "ties", low.alias("statistic"))
+    return out.select(*by, "n", "statistic", tail("total", "statistic", "n", "ties").alias("p"))
 
 
 # -- time ------------------------------------------------------------------------------

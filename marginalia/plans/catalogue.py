@@ -118,7 +118,7 @@ def corpus_composition(spark, sf_dir):
     return rounded(aggregate.composition(table(spark, sf_dir, "documents").withColumnRenamed("lang", "stratum")), "share")
 
 
-@query(f"WITH {SCORES_SQL} SELECT 'aggregate' AS scope, pipeline, NULL::VARCHAR AS document_id, 'cer' AS metric, round(sum(edits) / sum(weight), 6) AS value, count(*) AS support FROM scores GROUP BY pipeline UNION ALL SELECT 'document', pipeline, line_id::VARCHAR, 'cer', round(value, 6), weight FROM scores")
+@query(f"WITH {SCORES_SQL} SELECT 'aggregate' AS scope, pipeline, NULL::VARCHAR AS document_id, 'cer' AS metric, round(sum(edits) / sum(weight), 6) AS value, count(*) AS support FROM scores GROUP BY pipeline UNION ALL SELECT 'document', pipeline, line_id, 'cer', round(value, 6), weight FROM scores")
 def result_csv_rows(spark, sf_dir):
     scores = derived.by_line(line_scores(spark, sf_dir))
     rows = sinks.result_rows(aggregate.micro(scores), scores)
@@ -205,7 +205,8 @@ def complementary_lines(spark, sf_dir):
 f AS (SELECT token FROM (SELECT line_id, token, max(n) AS n FROM kept GROUP BY ALL) GROUP BY token HAVING sum(n) <= 2)
 SELECT pipeline, sum(n)::BIGINT AS n, sum(kept)::BIGINT AS kept, round(sum(kept) / sum(n)::DOUBLE, 6) AS recall FROM kept SEMI JOIN f USING (token) GROUP BY pipeline""")
 def rare_token_recall(spark, sf_dir):
-    return rounded(analyses.rare_token_recall(_units(spark, sf_dir), 2, ascii_tokens), "recall").drop("view")
+    references = derived.lines(spark, sf_dir).select(F.lit("text").alias("view"), "ref")
+    return rounded(analyses.rare_token_recall(_units(spark, sf_dir), 2, ascii_tokens, references), "recall").drop("view")
 
 
 # -- lines -----------------------------------------------------------------------------
@@ -285,12 +286,12 @@ def tied_groups(spark, sf_dir):
 @query()
 def friedman_test(spark, sf_dir):
     docs = doc_scores(spark, sf_dir).withColumn("value", F.round("value", 9))
-    return statistics.friedman(statistics.ranks(docs, ["view"]), ["view"])
+    return statistics.friedman(docs, ["view"])
 
 
 @query()
 def wilcoxon_test(spark, sf_dir):
-    return statistics.wilcoxon_by(doc_scores(spark, sf_dir), ["view"], "alpha", "gamma")
+    return statistics.wilcoxon(doc_scores(spark, sf_dir), ["view"], "alpha", "gamma")
 
 
 @query()
@@ -539,9 +540,9 @@ def roman_numerals(spark, sf_dir):
 @query()
 def correction_balance(spark, sf_dir):
     """A second stage that restores capitals and spoils u."""
-    rows = derived.lines(spark, sf_dir).select(F.lit("two-stage").alias("pipeline"), (F.col("doc_id") * 1_000_000 + F.col("line")).alias("doc_id"), F.col("line").alias("doc_pos"), "ref")
+    rows = derived.lines(spark, sf_dir).select(F.lit("two-stage").alias("pipeline"), derived.line_id().alias("doc_id"), F.col("line").alias("doc_pos"), "ref")
     triples = rows.withColumns({"raw": F.lower("ref"), "corrected": F.translate("ref", "u", "n")})
-    return analyses.correction(triples.repartition(2 * spark.sparkContext.defaultParallelism))
+    return analyses.correction(triples)
 
 
 @query(f"""WITH {LINES_SQL}, w AS (SELECT line_id, unnest(regexp_extract_all(ref, '[^ ]+')) AS w, 'ref' AS s FROM lines UNION ALL SELECT line_id, unnest(regexp_extract_all(lower(ref), '[^ ]+')), 'raw' FROM lines UNION ALL SELECT line_id, unnest(regexp_extract_all(translate(ref, 'u', 'n'), '[^ ]+')), 'sys' FROM lines),
@@ -549,7 +550,7 @@ c AS (SELECT line_id, w, count(*) FILTER (WHERE s = 'ref') AS r, count(*) FILTER
 d AS (SELECT greatest(0, r - a) AS before, greatest(0, r - b) AS after FROM c WHERE r > 0)
 SELECT sum(before)::BIGINT AS errors_before, sum(after)::BIGINT AS errors_after, sum(greatest(0, before - after))::BIGINT AS corrected, sum(greatest(0, after - before))::BIGINT AS introduced, sum(least(before, after))::BIGINT AS kept_wrong FROM d""")
 def correction_absorption(spark, sf_dir):
-    rows = derived.lines(spark, sf_dir).select(F.lit("x").alias("pipeline"), (F.col("doc_id") * 1_000_000 + F.col("line")).alias("doc_id"), "ref")
+    rows = derived.lines(spark, sf_dir).select(F.lit("x").alias("pipeline"), derived.line_id().alias("doc_id"), "ref")
     out = analyses.absorption(rows.withColumns({"raw": F.lower("ref"), "corrected": F.translate("ref", "u", "n")}))
     return out.select("errors_before", "errors_after", "corrected", "introduced", "kept_wrong")
 

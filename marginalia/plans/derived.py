@@ -25,13 +25,25 @@ def spoilt(ref: Column, engine: str) -> Column:
     return F.replace(F.translate(ref, "u", "n"), F.lit(" th"), F.lit(" "))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt out anew; a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, stratum, line, ref)."""
     ascii_text = F.regexp_replace("text", "[^ -~\n]", "?")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("stratum"), F.posexplode(F.split(ascii_text, "\n")).alias("line", "ref"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    docs = docs.select("doc_id", F.col("lang").alias("stratum"), F.posexplode(F.split(ascii_text, "\n")).alias("line", "ref"))
     return docs.filter("ref <> ''")
 
 
+def line_id() -> Column:
+    """Sorts and names lines by document and place."""
+    return F.format_string("%d:%d", "doc_id", "line")
+
+
 def pairs(spark: SparkSession, sf_dir: str, engines=ENGINES) -> DataFrame:
     """(view, pipeline, doc_id, stratum, line, doc_pos, ref, hyp), a row for each engine and line.
 
@@ -39,10 +51,7 @@ def pairs(spark: SparkSession, sf_dir: str, engines=ENGINES) -> DataFrame:
     """
     both = F.explode(F.array(*[F.struct(F.lit(e).alias("pipeline"), spoilt(F.col("ref"), e).alias("hyp")) for e in engines]))
     rows = lines(spark, sf_dir).select("doc_id", "stratum", "line", "ref", both.alias("e"))
-    # the size of a table's files says little of the work a line takes: spread it first
-    n = 2 * spark.sparkContext.defaultParallelism
-    spread = rows.repartition(n)
-    return spread.select(F.lit("text").alias("view"), "e.pipeline", "doc_id", "stratum", "line", (F.col("doc_id") * 1_000_000 + F.col("line")).alias("doc_pos"), "ref", "e.hyp")
+    return rows.select(F.lit("text").alias("view"), "e.pipeline", "doc_id", "stratum", "line", line_id().alias("doc_pos"), "ref", "e.hyp")
 
 
 def by_line(df: DataFrame) -> DataFrame:
@@ -54,7 +63,7 @@ def by_line(df: DataFrame) -> DataFrame:
 LINES_SQL = r"""
 L AS (SELECT doc_id, lang, string_split(regexp_replace(text, '[^ -~\n]', '?', 'g'), chr(10)) AS ls FROM documents),
 N AS (SELECT doc_id, lang, ls, unnest(range(1, len(ls) + 1)) AS i FROM L),
-lines AS (SELECT doc_id, lang AS stratum, i - 1 AS line, doc_id * 1000000 + i - 1 AS line_id, ls[i] AS ref FROM N WHERE ls[i] <> '')
+lines AS (SELECT doc_id, lang AS stratum, i - 1 AS line, doc_id || ':' || (i - 1) AS line_id, ls[i] AS ref FROM N WHERE ls[i] <> '')
 """
 PAIRS_SQL = f"""{LINES_SQL},
 pairs AS (

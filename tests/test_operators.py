@@ -97,10 +97,39 @@ def test_ranks(spark):
     assert means.first().critical_distance == pytest.approx(distance)
     assert [r.names for r in statistics.tied_groups(means, ["view"]).orderBy("group").collect()] == [["alpha", "gamma"], ["beta"]]
     assert {(r.a, r.b): r.significant for r in statistics.rank_gaps(means, ["view"]).collect()} == {("alpha", "beta"): True, ("alpha", "gamma"): False, ("beta", "gamma"): True}
-    test = statistics.friedman(statistics.ranks(rows, ["view"]), ["view"]).first()
+    test = statistics.friedman(rows, ["view"]).first()
     assert test.k == 3 and 0 < test.p < 0.01
 
 
+def signed_rank(spark, xs, ys):
+    rows = [("v", p, i, float(x)) for p, values in (("a", xs), ("b", ys)) for i, x in enumerate(values)]
+    df = spark.createDataFrame([*rows, ("v", "a", 99, 1.0), ("v", "c", 1, 0.5)], "view string, pipeline string, doc_id int, value double")
+    return statistics.wilcoxon(df, ["view"], "a", "b").first()
+
+
+def test_wilcoxon(spark):
+    r = signed_rank(spark, [1, 2, 3, 4, 5, 6], [2, 4, 6, 8, 10, 12.5])
+    assert (r.n, r.statistic) == (6, 0) and r.p == pytest.approx(2 / 64)
+    assert signed_rank(spark, [1] * 6, [1] * 6).p is None
+    # textbook: differences 15 -7 5 20 0 -9 17 -12 5 -10 have W = 18
+    a = [125, 115, 130, 140, 140, 115, 140, 125, 140, 135]
+    b = [110, 122, 125, 120, 140, 124, 123, 137, 135, 145]
+    r = signed_rank(spark, a, b)
+    assert (r.n, r.statistic) == (10, 18) and 0.5 < r.p < 0.7
+
+
+def test_distances_in_and_out_of_the_band(spark):
+    from marginalia.functions.align import distance
+    from marginalia.operators.metrics import with_distance
+
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    rows = [(text(n), text(m)) for n, m in ((0, 0), (0, 9), (9, 0), (40, 41), (300, 20), (9000, 60))]
+    rows += [(t, t[:50] + "x" + t[60:]) for t in (text(200), text(3000))] + [("same", "same"), (None, "a"), ("a", None)]
+    out = with_distance(spark.createDataFrame(rows, "a string, b string"), "d", F.col("a"), F.col("b")).collect()
+    assert {(r.a, r.b): r.d for r in out} == {(a, b): None if a is None or b is None else distance(a, b) for a, b in rows}
+
+
 def test_bootstrap_is_repeatable(spark):
     rows = spark.createDataFrame([("p", i, i / 10) for i in range(20)], "pipeline string, doc_pos int, value double")
     a, b = (statistics.bootstrap(rows.repartition(n), ["pipeline"]).first() for n in (1, 3))
