@@ -7,15 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fixed
 from ..functions.normalize import PROFILES
-from ..functions.text import ascii_tokens
-from ..operators import aggregate, analyses, layout, relational, statistics
+from ..functions.text import ascii_tokens, canonical_hash
+from ..operators import aggregate, analyses, layout, relational, reports, statistics
 from ..operators.metrics import HCPR, registry, score
 from ..sources import sinks
 from ..streaming import incremental
 from . import derived
-from .derived import LINES_SQL, PAIRS_SQL, SCORES_SQL, SERIES_SQL, table
+from .derived import ITEM_SCORES_SQL, LINES_SQL, PAIRS_SQL, SCORES_SQL, SERIES_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -278,20 +277,30 @@ def rank_gaps(spark, sf_dir):
     return rounded(statistics.rank_gaps(_means(spark, sf_dir), ["view"]), "gap").drop("view")
 
 
-@query()
+@query(f"""WITH {_RANKS_SQL}, o AS (SELECT list(pipeline ORDER BY mean_rank, pipeline) AS p, list(mean_rank ORDER BY mean_rank, pipeline) AS r, 2.343 * sqrt(12 / (6.0 * max(n))) AS cd FROM m),
+g AS (SELECT CASE WHEN r[2] - r[1] > cd AND r[3] - r[2] > cd THEN [p[1:1], p[2:2], p[3:3]] WHEN r[2] - r[1] > cd THEN [p[1:1], p[2:3]] WHEN r[3] - r[1] > cd THEN [p[1:2], p[3:3]] ELSE [p] END AS g FROM o)
+SELECT 'text' AS view, (i - 1)::INT AS "group", g[i] AS names FROM (SELECT g, unnest(range(1, len(g) + 1)) AS i FROM g)""")
 def tied_groups(spark, sf_dir):
     return statistics.tied_groups(_means(spark, sf_dir), ["view"])
 
 
-@query()
+@query(f"""WITH {_RANKS_SQL}, t AS (SELECT sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT doc_id, rank, count(*) AS c FROM r GROUP BY ALL)), s AS (SELECT sum(rank) AS s, count(*) AS n FROM r GROUP BY pipeline),
+f AS (SELECT max(n) AS n, (12.0 / (max(n) * 12) * sum(s * s) - 3 * max(n) * 4) / (1 - max(ties) / (max(n) * 24)) AS chi2 FROM s, t)
+SELECT 'text' AS view, n, 3::BIGINT AS k, round(chi2, 4) AS chi2, round(exp(-chi2 / 2), 6) AS p FROM f""")
 def friedman_test(spark, sf_dir):
     docs = doc_scores(spark, sf_dir).withColumn("value", F.round("value", 9))
-    return statistics.friedman(docs, ["view"])
+    return rounded(statistics.friedman(docs, ["view"]), "p").withColumn("chi2", F.round("chi2", 4))
 
 
-@query()
+@query(f"""WITH {SCORES_SQL}, d AS (SELECT doc_id, round(max(value) FILTER (WHERE pipeline = 'alpha'), 9) - round(max(value) FILTER (WHERE pipeline = 'gamma'), 9) AS g FROM docs GROUP BY doc_id),
+a AS (SELECT abs(g) AS x, g > 0 AS up FROM d WHERE g <> 0), c AS (SELECT x, count(*) AS t, count(*) FILTER (WHERE up) AS u FROM a GROUP BY x),
+b AS (SELECT *, coalesce(sum(t) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0::DOUBLE AS r FROM c),
+w AS (SELECT sum(u * r) AS up, sum(t)::DOUBLE AS n, sum(t * t * t - t)::DOUBLE AS ties FROM b),
+z AS (SELECT *, least(up, n * (n + 1) / 2 - up) AS low FROM w), y AS (SELECT *, abs(low - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2) AS e FROM z)
+SELECT 'text' AS view, (SELECT count(*) FROM d) AS n, round(low, 1) AS statistic, round(list_sum(list_transform(range(8000), lambda k: exp(-pow(e + (k + 0.5) * 0.001, 2)))) * 0.001 * 2 / sqrt(pi()), 6) AS p FROM y""")
 def wilcoxon_test(spark, sf_dir):
-    return statistics.wilcoxon(doc_scores(spark, sf_dir), ["view"], "alpha", "gamma")
+    docs = doc_scores(spark, sf_dir).withColumn("value", F.round("value", 9))
+    return rounded(statistics.wilcoxon(docs, ["view"], "alpha", "gamma"), "p").withColumn("statistic", F.round("statistic", 1))
 
 
 @query()
@@ -476,7 +485,14 @@ def region_detection(spark, sf_dir):
     return rounded(layout.region_detection(_boxes(spark, sf_dir), ["doc_id"]), "value")
 
 
-@query()
+@query("""WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE + 1) * 127.5) AS g FROM embeddings),
+m AS (SELECT vec_id,
+  least(1.0, list_aggregate(list_transform(range(36), lambda k: g[(k // 6) * 8 + k % 6 + 2] + g[(k // 6) * 8 + k % 6 + 18] + g[(k // 6) * 8 + k % 6 + 9] + g[(k // 6) * 8 + k % 6 + 11] - 4 * g[(k // 6) * 8 + k % 6 + 10]), 'var_pop') / 500) AS sharpness,
+  least(1.0, list_aggregate(list_concat(list_transform(range(56), lambda k: abs(g[(k // 7) * 8 + k % 7 + 2] - g[(k // 7) * 8 + k % 7 + 1])), list_transform(range(56), lambda k: abs(g[k + 9] - g[k + 1]))), 'median') / 30) AS noise,
+  list_aggregate(g, 'quantile_cont', 0.05) AS dark, list_aggregate(g, 'quantile_cont', 0.95) AS light FROM g),
+c AS (SELECT *, CASE WHEN light + dark > 0 THEN greatest(0.0, least(1.0, (light - dark) / (light + dark))) ELSE 0.0 END AS contrast FROM m),
+q AS (SELECT *, greatest(0.0, least(1.0, 0.4 * sharpness + 0.3 * contrast + 0.2 * (1 - noise) + 0.1)) AS quality FROM c)
+SELECT vec_id, 8 AS width, round(sharpness, 6) AS sharpness, round(noise, 6) AS noise, round(contrast, 6) AS contrast, 0.0::DOUBLE AS rotation, round(quality, 6) AS quality, CASE WHEN quality >= 0.7 THEN 'good' WHEN quality >= 0.4 THEN 'medium' ELSE 'poor' END AS tier FROM q""")
 def image_quality(spark, sf_dir):
     """Vectors of 64 values as grey images of 8 x 8."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x.cast("double") + 1) * 127.5).alias("pixels"), F.lit(8).alias("width"))
@@ -529,7 +545,8 @@ def philology(spark, sf_dir):
     return rounded(analyses.philology(rows.withColumn("hyp", F.translate("ref", "ñ’‘—–", "n''--"))), "strict", "expanded")
 
 
-@query()
+@query("""WITH n AS (SELECT o_orderpriority AS pipeline, (['II', 'III', 'IV', 'VI', 'VII', 'VIII', 'IX', 'XI', 'XII', 'XIV'])[o_custkey % 10 + 1] AS form FROM orders)
+SELECT 'text' AS view, pipeline, CASE WHEN contains(form, 'V') THEN 'lost' ELSE 'strict_preserved' END AS status, count(*) AS n FROM n GROUP BY ALL""")
 def roman_numerals(spark, sf_dir):
     """Regnal years from orders; the engine writes V as U."""
     digits = F.element_at(F.array(*[F.lit(x) for x in ("II", "III", "IV", "VI", "VII", "VIII", "IX", "XI", "XII", "XIV")]), (F.col("o_custkey") % 10 + 1).cast("int"))
@@ -555,6 +572,17 @@ def correction_absorption(spark, sf_dir):
     return out.select("errors_before", "errors_after", "corrected", "introduced", "kept_wrong")
 
 
+@query("""WITH t AS (SELECT text, nfc_normalize(text) AS n FROM documents),
+p AS (SELECT 'nfc' AS profile, text, n AS out FROM t UNION ALL SELECT 'no_apostrophes', text, translate(n, chr(39) || '’', '') FROM t UNION ALL SELECT 'flat_text', text, trim(regexp_replace(n, '\\s+', ' ', 'g')) FROM t
+  UNION ALL SELECT 'minimal', text, replace(n, 'ſ', 's') FROM t UNION ALL SELECT 'no_diacritics', text, strip_accents(n) FROM t)
+SELECT profile, count(*) FILTER (WHERE out <> text) AS changed, sum(length(out))::BIGINT AS chars FROM p GROUP BY profile""")
+def lever_profiles(spark, sf_dir):
+    """Profiles of one lever: how many texts each changes, and the characters left."""
+    docs, names = table(spark, sf_dir, "documents").select("text"), ("nfc", "no_apostrophes", "flat_text", "minimal", "no_diacritics")
+    rows = docs.select("text", F.inline(F.array(*[F.struct(F.lit(n).alias("profile"), PROFILES[n].column(F.col("text")).alias("out")) for n in names])))
+    return rows.groupBy("profile").agg(F.count_if(F.col("out") != F.col("text")).alias("changed"), F.sum(F.length("out")).alias("chars"))
+
+
 @query()
 def normalisation_profiles(spark, sf_dir):
     """How many texts each profile changes."""
@@ -572,14 +600,161 @@ def diplomatic_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, text, lower(text) AS raw, CASE WHEN doc_id % 3 = 0 THEN text ELSE lower(text) END AS out FROM documents WHERE text IS NOT NULL)
+SELECT 'two-stage' AS pipeline, doc_id, doc_id AS doc_pos, json_object('document_metadata', json_object('corpus', 'derived', 'document_id', doc_id::VARCHAR, 'language', 'und'), 'ground_truth', json_object('transcription_unit', text), 'ocr_hypothesis', json_object('transcription_unit', raw), 'ocr_postcorrection_output', json_object('transcription_unit', out))::VARCHAR AS json FROM d""")
 def system_records(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.lit("two-stage").alias("pipeline"), "doc_id", F.col("doc_id").alias("doc_pos"), F.col("text").alias("ref"))
     rows = docs.withColumns({"raw": F.lower("ref"), "corrected": F.when(F.col("doc_id") % 3 == 0, F.col("ref"))})
     return sinks.system_records(rows, "derived", "und")
 
 
-@query("SELECT sha256(array_to_string(list_sort(list_distinct(string_split('" + fixed.ARCHAIC_CORE + "', ''))), '')) AS fingerprint")
-def archaic_fingerprint(spark, sf_dir):
-    chars = F.array_sort(F.array_distinct(F.array(*[F.lit(c) for c in fixed.ARCHAIC_CORE])))
-    return spark.range(1).select(F.sha2(F.array_join(chars, ""), 256).alias("fingerprint"))
+@query("SELECT doc_id, sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source})::VARCHAR) AS unit_key FROM documents")
+def unit_keys(spark, sf_dir):
+    """Keys by which finished units of a run are found again."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", canonical_hash("doc_id", "lang", "n_chars", "source").alias("unit_key"))
+
+
+# -- reports ---------------------------------------------------------------------------
+
+_NAMES = [(p, m) for p in "ANR" for m in ("cer", "wer")]
+_SCORE_COLUMNS = ", ".join(f"max(value) FILTER (WHERE pipeline = '{p}' AND metric = '{m}') AS \"{p}_{m}\"" for p, m in _NAMES)
+
+
+@query(f"WITH {ITEM_SCORES_SQL} SELECT doc_id, {_SCORE_COLUMNS} FROM s GROUP BY doc_id")
+def report_documents(spark, sf_dir):
+    return reports.score_table(derived.item_scores(spark, sf_dir), _NAMES).drop("view")
+
+
+@query(f"WITH {ITEM_SCORES_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY value, pipeline)::INT AS place, pipeline, value FROM s WHERE metric = 'wer' AND value IS NOT NULL")
+def report_engines_of_documents(spark, sf_dir):
+    return reports.ordered_engines(derived.item_scores(spark, sf_dir), "wer").drop("view")
+
+
+@query(f"WITH {ITEM_SCORES_SQL}, w AS (SELECT doc_id, max(value) FILTER (WHERE metric = 'wer') AS worst FROM s GROUP BY doc_id) SELECT doc_id, worst FROM w ORDER BY worst DESC NULLS LAST, doc_id LIMIT 60")
+def report_worst_first(spark, sf_dir):
+    return reports.worst_first(derived.item_scores(spark, sf_dir), "wer").limit(60)
+
+
+@query(f"WITH {ITEM_SCORES_SQL}, m AS (SELECT pipeline, metric, avg(value) AS value FROM s GROUP BY ALL) SELECT pipeline, metric, round(value, 6) AS value, round(max(value) OVER (PARTITION BY metric), 6) AS top, round(value / max(value) OVER (PARTITION BY metric), 6) AS bar FROM m")
+def report_bars(spark, sf_dir):
+    means = derived.item_scores(spark, sf_dir).groupBy("pipeline", "metric").agg(F.avg("value").alias("value"))
+    return rounded(reports.share_of_top(means, ["metric"]), "value", "top", "bar")
+
+
+@query("SELECT event_type AS pipeline, count(*) AS errors, round(count(*) FILTER (WHERE user_id % 3 = 0) / count(*)::DOUBLE, 6) AS c0, round(count(*) FILTER (WHERE user_id % 3 = 1) / count(*)::DOUBLE, 6) AS c1, round(count(*) FILTER (WHERE user_id % 3 = 2) / count(*)::DOUBLE, 6) AS c2 FROM events GROUP BY ALL")
+def report_class_shares(spark, sf_dir):
+    counted = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("pipeline"), F.concat(F.lit("c"), F.col("user_id") % 3).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(reports.class_table(counted, ["c0", "c1", "c2"]), "c0", "c1", "c2")
+
+
+@query(f"WITH {ITEM_SCORES_SQL} SELECT count(DISTINCT pipeline) AS engines, 1::BIGINT AS views, count(DISTINCT metric) AS metrics, count(DISTINCT doc_id) AS documents, (SELECT count(DISTINCT lang) FROM documents) AS strata FROM s")
+def report_header(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "stratum")
+    return reports.report_header(derived.item_scores(spark, sf_dir), docs)
+
+
+@query("SELECT source AS corpus, count(*) AS documents, count(*) FILTER (WHERE quality IS NOT NULL) AS with_reference, sum(ceil(n_chars / 2000.0))::BIGINT AS pages FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY source")
+def corpus_summaries(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents").drop("text").join(known, "doc_id", "left")
+    docs = docs.select(F.col("source").alias("corpus"), F.col("quality").isNotNull().alias("has_reference"), F.ceil(F.col("n_chars") / 2000.0).alias("pages"))
+    return reports.corpus_summary(docs)
+
+
+@query(f"WITH {ITEM_SCORES_SQL} SELECT doc_id, arg_min(stratum, pipeline) AS stratum FROM i GROUP BY doc_id")
+def document_strata(spark, sf_dir):
+    return reports.first_strata(derived.item_scores(spark, sf_dir), "pipeline")
+
+
+@query(f"""WITH {ITEM_SCORES_SQL}, c AS (SELECT pipeline, list(value ORDER BY value DESC) AS v, sum(value * weight) / sum(weight) AS value, count(*) AS support FROM s WHERE metric = 'cer' GROUP BY pipeline),
+b AS (SELECT l_returnflag AS pipeline, least(floor(l_discount * 100), 9)::INT AS bin, count(*) AS n, avg(l_discount * 10) AS confidence, avg((l_quantity > 25)::INT) AS accuracy FROM lineitem GROUP BY ALL),
+e AS (SELECT pipeline, sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM b GROUP BY pipeline),
+k AS (SELECT l_returnflag AS pipeline, l_linestatus AS class, count(*) AS n FROM lineitem GROUP BY ALL),
+m AS (SELECT pipeline, first(class ORDER BY n DESC, class) AS commonest FROM k GROUP BY pipeline)
+SELECT pipeline, round(value, 6) AS value, support, v[1:5] AS worst, round(ece, 6) AS ece, commonest FROM c JOIN e USING (pipeline) JOIN m USING (pipeline)""")
+def engine_profiles(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "pipeline")
+    judged = items.select("pipeline", (F.col("l_discount") * 10).alias("confidence"), (F.col("l_quantity") > 25).cast("int").alias("correct"))
+    classes = items.groupBy("pipeline", F.col("l_linestatus").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(reports.engine_profiles(derived.item_scores(spark, sf_dir), analyses.calibration(judged, ["pipeline"]), classes, 5), "value", "ece")
+
+
+_MATRIX_SQL = f"""{ITEM_SCORES_SQL},
+x AS (SELECT metric, doc_id, pipeline, value FROM s WHERE value IS NOT NULL QUALIFY count(*) OVER (PARTITION BY metric, doc_id) = 3),
+q AS (SELECT *, rank() OVER (PARTITION BY metric, doc_id ORDER BY value) + (count(*) OVER (PARTITION BY metric, doc_id, value) - 1) / 2.0::DOUBLE AS rank, count(*) OVER (PARTITION BY metric, doc_id, value) AS t FROM x),
+z AS (SELECT metric, pipeline, sum(rank) AS s, avg(rank) AS mean_rank, count(*) AS n, sum(t * t - 1)::DOUBLE AS ties FROM q GROUP BY ALL),
+f AS (SELECT metric, (12.0 / (max(n) * 12) * sum(s * s) - 3 * max(n) * 4) / (1 - sum(ties) / (max(n) * 24)) AS chi2, max(n) AS n FROM z GROUP BY metric)
+"""
+
+
+@query(f"WITH {_MATRIX_SQL} SELECT 'text:' || metric || ':friedman' AS metric, round(exp(-chi2 / 2), 6) AS value, n::BIGINT AS support FROM f UNION ALL SELECT 'text:' || metric || ':spread', round(avg(d), 6), count(*) FROM (SELECT metric, doc_id, max(value) - min(value) AS d FROM s WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY metric")
+def cross_engine_metrics(spark, sf_dir):
+    return rounded(reports.cross_engine(derived.item_scores(spark, sf_dir)), "value")
+
+
+@query(f"""WITH {_MATRIX_SQL}, v AS (SELECT metric AS view, pipeline, sum(value * weight) / sum(weight) FILTER (WHERE value IS NOT NULL) AS value FROM s GROUP BY ALL),
+o AS (SELECT view, pipeline, value, lead(pipeline) OVER w AS runner_up, lead(value) OVER w - value AS behind, row_number() OVER w AS nth FROM v WINDOW w AS (PARTITION BY view ORDER BY value, pipeline)),
+d AS (SELECT o.*, f.chi2, abs(a.mean_rank - b.mean_rank) <= 2.343 * sqrt(12 / (6.0 * f.n)) AS near,
+  (SELECT count(*) FROM z c WHERE c.metric = o.view AND c.mean_rank < least(a.mean_rank, b.mean_rank) AND greatest(a.mean_rank, b.mean_rank) - c.mean_rank > 2.343 * sqrt(12 / (6.0 * f.n)) AND least(a.mean_rank, b.mean_rank) - c.mean_rank <= 2.343 * sqrt(12 / (6.0 * f.n))) = 0 AS whole
+  FROM o JOIN f ON f.metric = o.view JOIN z a ON a.metric = o.view AND a.pipeline = o.pipeline JOIN z b ON b.metric = o.view AND b.pipeline = o.runner_up WHERE nth = 1)
+SELECT view, pipeline, round(value, 6) AS value, runner_up, round(behind, 6) AS behind, round(exp(-chi2 / 2), 6) AS p, CASE WHEN near AND whole THEN 'tie' ELSE 'confirmed' END AS verdict FROM d""")
+def report_verdicts(spark, sf_dir):
+    """Each metric as a view of its own."""
+    scores = derived.item_scores(spark, sf_dir).withColumn("view", F.col("metric"))
+    means = aggregate.micro(scores, ["view", "pipeline"])
+    tied = statistics.tied_groups(statistics.mean_ranks(scores, ["view"]), ["view"])
+    return rounded(reports.verdicts(means, tied, statistics.friedman(scores, ["view"])), "value", "behind", "p")
+
+
+_RUNS_SQL = "h AS (SELECT 'r' || (user_id % 7) AS run_id, event_type AS pipeline, CASE WHEN user_id % 2 = 0 THEN 'text' ELSE 'raw' END AS view, 'm' || (user_id % 3) AS metric, max(ts) AS completed_at, max(value) AS value FROM events GROUP BY ALL)"
+
+
+def _runs(spark, sf_dir):
+    one = F.col("user_id")
+    keys = [F.concat(F.lit("r"), one % 7).alias("run_id"), F.col("event_type").alias("pipeline"), F.when(one % 2 == 0, "text").otherwise("raw").alias("view"), F.concat(F.lit("m"), one % 3).alias("metric")]
+    return table(spark, sf_dir, "events").groupBy(*keys).agg(F.max("ts").alias("completed_at"), F.max("value").alias("value"))
+
+
+@query(f"WITH {_RUNS_SQL} SELECT run_id, pipeline, view, metric, strftime(completed_at, '%Y-%m-%d %H:%M:%S') AS completed_at, value FROM h ORDER BY h.completed_at DESC, run_id, pipeline, view, metric LIMIT 100")
+def history_recent(spark, sf_dir):
+    return reports.recent_history(_runs(spark, sf_dir), 100).withColumn("completed_at", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"WITH {_RUNS_SQL} SELECT DISTINCT view, metric FROM h")
+def history_measures(spark, sf_dir):
+    return reports.measured_pairs(_runs(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS doc_id, coalesce(max(CASE WHEN l_orderkey % 3 = 0 THEN 60 END), max(l_quantity::BIGINT + 4))::BIGINT AS width, coalesce(max(CASE WHEN l_orderkey % 4 = 0 THEN 9 END), max(l_linenumber + 1))::BIGINT AS height FROM lineitem GROUP BY l_orderkey")
+def page_extents(spark, sf_dir):
+    """An order as a page, its items as boxes; some pages declare their size."""
+    items = table(spark, sf_dir, "lineitem")
+    key, long = F.col("l_orderkey"), lambda c: F.col(c).cast("long")
+    box = F.struct(long("l_quantity").alias("x"), long("l_linenumber").alias("y"), F.lit(4).cast("long").alias("width"), F.lit(1).cast("long").alias("height"))
+    rows = items.select(key.alias("doc_id"), F.when(key % 3 == 0, 60).cast("long").alias("page_width"), F.when(key % 4 == 0, 9).cast("long").alias("page_height"), box.alias("bbox"))
+    return reports.page_extents(rows, ["doc_id"])
+
+
+@query("""WITH p AS (SELECT s_name AS pipeline, CASE s_suppkey % 4 WHEN 0 THEN 'cloud' WHEN 1 THEN 'pages' WHEN 2 THEN 'local' ELSE 'other' END AS kind, 'm' || (s_nationkey % 3) AS model FROM supplier),
+t(kind, model, paid, valid_until, a, b, c) AS (VALUES ('cloud', 'm0', true, DATE '2030-01-01', 1.0, 2.0, NULL), ('cloud', 'm1', true, DATE '2020-01-01', 3.0, 4.0, NULL), ('cloud', NULL, true, NULL, NULL, NULL, NULL), ('pages', NULL, true, DATE '2030-01-01', NULL, NULL, 0.001))
+SELECT p.*, coalesce(e.a, k.a)::DOUBLE AS per_million_in, coalesce(e.b, k.b)::DOUBLE AS per_million_out, coalesce(e.c, k.c)::DOUBLE AS per_page,
+  CASE WHEN e.a IS NOT NULL OR k.c IS NOT NULL THEN CASE WHEN coalesce(e.valid_until, k.valid_until) < DATE '2026-01-01' THEN 'outdated' ELSE 'tariff' END WHEN k.paid THEN 'unknown tariff' ELSE 'machine' END AS basis
+FROM p LEFT JOIN t e ON e.kind = p.kind AND e.model = p.model LEFT JOIN t k ON k.kind = p.kind AND k.model IS NULL""")
+def tariff_lookup(spark, sf_dir):
+    """Prices by kind and model, else by kind."""
+    key = F.col("s_suppkey") % 4
+    pipelines = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("pipeline"), F.when(key == 0, "cloud").when(key == 1, "pages").when(key == 2, "local").otherwise("other").alias("kind"), F.concat(F.lit("m"), F.col("s_nationkey") % 3).alias("model"))
+    rows = [("cloud", "m0", True, "2030-01-01", 1.0, 2.0, None), ("cloud", "m1", True, "2020-01-01", 3.0, 4.0, None), ("cloud", None, True, None, None, None, None), ("pages", None, True, "2030-01-01", None, None, 0.001)]
+    tariffs = spark.createDataFrame(rows, "kind string, model string, paid boolean, valid_until string, per_million_in double, per_million_out double, per_page double")
+    return reports.with_tariffs(pipelines, tariffs.withColumn("valid_until", F.to_date("valid_until")), "2026-01-01")
+
+
+@query("SELECT o_orderpriority AS pipeline, o_orderkey AS doc_id, 'ref' || o_custkey AS ref, CASE WHEN o_orderkey % 3 > 0 THEN 'raw' || o_custkey ELSE '' END AS raw, CASE WHEN o_orderkey % 2 = 0 AND o_orderpriority <> '5-LOW' THEN 'fix' || o_custkey ELSE '' END AS corrected FROM orders WHERE o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 AND o_orderpriority <> '5-LOW')")
+def two_stage_triples(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("pipeline"), F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("c"))
+    raw = orders.filter("doc_id % 3 > 0").select("pipeline", "doc_id", F.lit("raw_text").alias("artifact_type"), F.concat(F.lit("raw"), "c").alias("content"))
+    fixed_ = orders.filter("doc_id % 2 = 0 and pipeline <> '5-LOW'").select("pipeline", "doc_id", F.lit("corrected_text").alias("artifact_type"), F.concat(F.lit("fix"), "c").alias("content"))
+    references = orders.select("doc_id", F.lit(0).alias("doc_pos"), F.concat(F.lit("ref"), "c").alias("ref"))
+    triples = reports.two_stage_triples(references, raw.unionByName(fixed_)).join(orders.select("pipeline", "doc_id"), ["pipeline", "doc_id"], "left_semi")
+    return triples.drop("doc_pos")

@@ -92,3 +92,17 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     ref = F.concat(F.lit("en "), F.year("o_orderdate").cast("string"), F.lit(" fol. "), (F.col("o_custkey") % 50).cast("string"), F.lit("r"))
     return orders.select(F.lit("text").alias("view"), F.col("o_orderpriority").alias("pipeline"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("doc_pos"), ref.alias("ref")).withColumn("hyp", F.replace("ref", F.lit("9"), F.lit("4")))
+
+
+def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of three engines over orders, from ``lineitem``: two metrics, weights, and an order's status as stratum."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("pipeline"), F.col("l_orderkey").alias("doc_id"))
+    rows = items.agg(F.round(F.avg("l_discount"), 6).alias("cer"), F.round(F.avg("l_tax"), 6).alias("wer"), F.sum("l_linenumber").cast("long").alias("weight"), F.max("l_linestatus").alias("stratum"))
+    each = F.inline(F.array(F.struct(F.lit("cer").alias("metric"), F.col("cer").alias("value")), F.struct(F.lit("wer").alias("metric"), F.when(F.col("doc_id") % 5 > 0, F.col("wer")).alias("value"))))
+    return rows.select(F.lit("text").alias("view"), "pipeline", "doc_id", "stratum", "weight", each)
+
+
+ITEM_SCORES_SQL = """
+i AS (SELECT l_returnflag AS pipeline, l_orderkey AS doc_id, round(avg(l_discount), 6) AS cer, round(avg(l_tax), 6) AS wer, sum(l_linenumber)::BIGINT AS weight, max(l_linestatus) AS stratum FROM lineitem GROUP BY ALL),
+s AS (SELECT pipeline, doc_id, stratum, weight, 'cer' AS metric, cer AS value FROM i UNION ALL SELECT pipeline, doc_id, stratum, weight, 'wer', CASE WHEN doc_id % 5 > 0 THEN wer END FROM i)
+"""
