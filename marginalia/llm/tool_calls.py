@@ -9,7 +9,7 @@ Calls and results are hash-joined by conversation and identifier. The order is
 topological: (order_turn, level, turn, part) sorts a call after the calls it names and a
 result after its call, wherever they stood, and keeps the turns otherwise. Levels are found
 by raking and compressing the graph: calls whose dependencies are all placed come next,
-and chains of calls that wait for one other are shortened by pointer doubling, so a chain
+and along chains of calls that wait for one other pointers double their reach, so a chain
 of n calls takes log n rounds (see ``placed``). Arguments are checked
 against the schema of their tool. Events are serialised as JSON with sorted keys and no
 spaces. Everything is DataFrame functions; no conversation is gathered, so one that holds a
@@ -29,10 +29,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, spread_join
+from .common import checkpointed
 
 #: JSON type to the prefixes of Spark's names for variant types.
 TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"], "null": ["VOID"]}
@@ -84,73 +84,41 @@ def argument_errors(arguments: Column, params: Column) -> Column:
     return F.when(params.isNull(), F.array(F.lit("unknown_tool"))).when(given.isNull(), F.array(F.lit("arguments_not_object"))).otherwise(found)
 
 
-def _compressed(singles: DataFrame) -> DataFrame:
-    """Chains of calls (k, o, l, dep, x) that wait for one other, each pointed to the end of its chain.
-
-    A call's level is the larger of l and its dependency's level + x, its turn that of o and
-    its dependency's. Every round doubles how far a call points. Calls that still point into
-    a chain after as many rounds as any chain takes are in a circle, or wait for one; they
-    are left out.
-    """
-    n, rows = singles.count(), checkpointed(singles)
-    for _ in range(n.bit_length() + 1):
-        nexts = rows.select(F.col("k").alias("dep"), F.col("o").alias("o2"), F.col("l").alias("l2"), F.col("dep").alias("dep2"), F.col("x").alias("x2"))
-        met = spread_join(rows, nexts, "dep", rows=n)
-        rows = checkpointed(
-            met.select(
-                "k",
-                F.greatest("o", "o2").alias("o"),
-                F.greatest("l", F.col("l2") + F.col("x")).alias("l"),
-                F.when(F.col("x2").isNotNull(), F.col("dep2")).otherwise(F.col("dep")).alias("dep"),
-                (F.col("x") + F.coalesce("x2", F.lit(0))).alias("x"),
-                F.col("x2").isNotNull().alias("moved"),
-            )
-        )
-        if rows.filter("moved").isEmpty():
-            break
-        rows = rows.drop("moved")
-    else:
-        return rows.join(singles.select(F.col("k").alias("dep")), "dep", "left_anti").select("k", "o", "l", "dep", "x")
-    return rows.drop("moved")
-
-
 def placed(calls: DataFrame) -> DataFrame:
     """(conv, call_id, order_turn, level) of the calls (conv, call_id, turn, after) that can be placed.
 
-    A round places the calls all of whose dependencies are placed and shortens chains (see
-    ``_compressed``); dependencies on a call within a chain move to the chain's end. So
-    rounds grow only with how deep calls wait for several that are not placed themselves.
+    A row of ``waiting`` says that the level of a call (key k) is at least l, and at least
+    its dependency's plus x; likewise its turn. A round places the calls all of whose
+    dependencies are placed, then moves each dependency on a call that waits for one other
+    to that other, so pointers along a chain double their reach. While anything can be
+    placed, a round places something; the rest wait for a missing call or in a circle.
+    Many calls may wait for one: that join is split by Spark's handling of skew.
     """
-    k, long = F.struct("conv", "call_id"), lambda c: F.col(c).cast("long")
-    first = calls.filter(F.coalesce(F.size("after"), F.lit(0)) <= 0).select(k.alias("k"), long("turn").alias("o"), F.lit(0).cast("long").alias("l"))
-    waiting = calls.filter(F.size("after") > 0).select(k.alias("k"), long("turn").alias("o"), F.lit(0).cast("long").alias("l"), F.explode("after").alias("d"), F.lit(2).cast("long").alias("x"))
+    key = lambda conv, call: F.md5(F.to_json(F.struct(conv, call), {"ignoreNullFields": "false"}))
+    long = lambda c: F.col(c).cast("long")
+    most = F.lit(1 << 60)  # what goes round in circles stops here
+    keyed = checkpointed(calls.withColumn("k", key(F.col("conv"), F.col("call_id"))))
+    last = keyed.filter(F.coalesce(F.size("after"), F.lit(0)) <= 0).select("k", long("turn").alias("o"), F.lit(0).cast("long").alias("l"))
     # a result stands between a call and what waits for it, so levels go up by two
-    waiting = checkpointed(waiting.select("k", "o", "l", F.struct(F.col("k.conv").alias("conv"), F.col("d").alias("call_id")).alias("dep"), "x"))
-    done, last, rows = [], checkpointed(first), waiting.count()
-    while rows:
-        done.append(last)
-        met = spread_join(waiting, last.select(F.col("k").alias("dep"), F.col("o").alias("o2"), F.col("l").alias("l2")), "dep", rows=rows)
+    waiting = keyed.filter(F.size("after") > 0).select("k", "conv", long("turn").alias("o"), F.explode("after").alias("d"))
+    waiting = waiting.select("k", key(F.col("conv"), F.col("d").alias("call_id")).alias("dep"), "o", F.lit(0).cast("long").alias("l"), F.lit(2).cast("long").alias("x"))
+    waiting, done = checkpointed(waiting), [checkpointed(last)]
+    mine = Window.partitionBy("k")
+    while not waiting.isEmpty():
+        met = waiting.join(done[-1].select(F.col("k").alias("dep"), F.col("o").alias("o2"), F.col("l").alias("l2")), "dep", "left")
+        met = met.withColumns({"o": F.max(F.greatest("o", "o2")).over(mine), "l": F.max(F.greatest("l", F.col("l2") + F.col("x"))).over(mine), "left": F.count_if(F.col("l2").isNull()).over(mine), "nth": F.row_number().over(mine.orderBy("dep"))})
         met = checkpointed(met)
-        folded = met.groupBy("k").agg(F.greatest(F.max("o"), F.max("o2")).alias("o"), F.greatest(F.max("l"), F.max(F.col("l2") + F.col("x"))).alias("l"), F.count_if(F.col("l2").isNull()).alias("left"))
-        folded = checkpointed(folded)
-        last = checkpointed(folded.filter("left = 0").drop("left"))
-        rest = checkpointed(met.filter("l2 is null").select("k", "dep", "x").join(folded.filter("left > 0"), "k"))
-        single = rest.filter("left = 1").select("k", "o", "l", "dep", "x")
-        ends = _compressed(single)
-        many = rest.filter("left > 1").select("k", "o", "l", "dep", "x")
-        to = ends.select(F.col("k").alias("dep"), F.col("o").alias("o2"), F.col("l").alias("l2"), F.col("dep").alias("dep2"), F.col("x").alias("x2"))
-        moved = spread_join(checkpointed(many), to, "dep").select("k", F.greatest("o", "o2").alias("o"), F.greatest("l", F.col("l2") + F.col("x")).alias("l"), F.coalesce("dep2", "dep").alias("dep"), (F.col("x") + F.coalesce("x2", F.lit(0))).alias("x"))
-        moved = moved.groupBy("k", "dep").agg(F.max("o").alias("o"), F.max("l").alias("l"), F.max("x").alias("x")).select("k", "o", "l", "dep", "x")
-        waiting = checkpointed(ends.unionByName(moved))
-        before, rows = rows, waiting.count()
-        if rows == before and last.isEmpty():
+        done.append(checkpointed(met.filter("left = 0 and nth = 1").select("k", "o", "l")))
+        if done[-1].isEmpty():
             break
-    else:
-        done.append(last)
+        rest = met.filter("l2 is null").select("k", "dep", "o", "l", "x", "left")
+        one = rest.filter("left = 1").select(F.col("k").alias("dep"), F.col("dep").alias("dep2"), F.col("o").alias("o2"), F.col("l").alias("l2"), F.col("x").alias("x2"))
+        rest = rest.join(one, "dep", "left").select("k", F.coalesce("dep2", "dep").alias("dep"), F.greatest("o", "o2").alias("o"), F.least(most, F.greatest("l", F.col("l2") + F.col("x"))).alias("l"), F.least(most, F.col("x") + F.coalesce("x2", F.lit(0))).alias("x"))
+        waiting = checkpointed(rest.groupBy("k", "dep").agg(F.max("o").alias("o"), F.max("l").alias("l"), F.max("x").alias("x")))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("k.conv", "k.call_id", F.col("o").alias("order_turn"), F.col("l").cast("int").alias("level"))
+    return keyed.join(out, "k").select("conv", "call_id", F.col("o").alias("order_turn"), F.col("l").cast("int").alias("level"))
 
 
 def link_tool_calls(messages: DataFrame, schemas: Schemas, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
