@@ -209,6 +209,11 @@ def registry(extra: Iterable[Metric] = ()) -> dict[str, Metric]:
     return METRICS | {m.name: m for m in extra}
 
 
+def for_input_types(reference: str, hypothesis: str, metrics: dict[str, Metric] | None = None) -> list[Metric]:
+    """The metrics that compare artifacts of these types, in order of name."""
+    return [m for _, m in sorted((METRICS if metrics is None else metrics).items()) if m.inputs == (reference, hypothesis)]
+
+
 def chosen(names: Iterable[str], metrics: dict[str, Metric] | None = None) -> list[Metric]:
     metrics = METRICS if metrics is None else metrics
     if unknown := [n for n in names if n not in metrics]:

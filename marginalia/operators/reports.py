@@ -127,6 +127,16 @@ def _friedman(scores: DataFrame) -> DataFrame:
     return friedman(scores, ["view", "metric"]).select("view", "metric", F.col("p").alias("value"), F.col("n").alias("support"))
 
 
+@cross_engine_metric("wilcoxon")
+def _wilcoxon(scores: DataFrame) -> DataFrame:
+    """Where exactly two engines are compared."""
+    from .statistics import wilcoxon
+
+    two = scores.filter("value is not null").groupBy("view", "metric").agg(F.min("pipeline").alias("__a"), F.countDistinct("pipeline").alias("__k")).filter("__k = 2")
+    named = scores.join(small(two), ["view", "metric"]).withColumn("pipeline", F.when(F.col("pipeline") == F.col("__a"), "a").otherwise("b"))
+    return wilcoxon(named, ["view", "metric"], "a", "b").select("view", "metric", F.col("p").alias("value"), F.col("n").alias("support"))
+
+
 @cross_engine_metric("spread")
 def _spread(scores: DataFrame) -> DataFrame:
     """Mean distance of a document's best and worst engine."""

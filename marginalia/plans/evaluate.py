@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import PROFILES, Profile, newline_preserved, prepare
-from ..operators import aggregate, analyses, statistics
+from ..operators import aggregate, analyses, layout, reports, statistics
 from ..operators.metrics import METRIC_PROFILES, Metric, score
 from ..operators.relational import small
 from ..schema import TEXT_TYPES
+from ..sources.readers import confidence_tokens
 from ..sources.xml_layout import layout_text
 
 #: Candidates in order of preference; others follow by name.
@@ -90,15 +91,57 @@ class Run:
     analyses: Mapping[str, DataFrame]
 
 
-def run(documents: DataFrame, ground_truth: DataFrame, outputs: DataFrame, views: Iterable[View], metrics: Mapping[str, Metric] | None = None) -> Run:
-    """Plans of a run. Nothing is computed before a table is read or written; ``pairs`` is worth persisting."""
+def _kept(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """Computed once: written to the run's folder, or persisted where it has none."""
+    if folder is None:
+        return df.persist()
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
+def token_confidences(outputs: DataFrame, references: DataFrame) -> DataFrame:
+    """(pipeline, doc_id, pos, text, confidence, correct) from the outputs' sidecars of confidences."""
+    rows = outputs.filter("artifact_type = 'confidences'").select("pipeline", "doc_id", F.posexplode(confidence_tokens(F.col("content"))).alias("pos", "t"))
+    return analyses.matched_tokens(rows.select("pipeline", "doc_id", "pos", "t.*"), references)
+
+
+def entity_pairs(ground_truth: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(pipeline, doc_id, ref, hyp): entities of the references beside those of the outputs."""
+    ref = ground_truth.filter("gt_type = 'entities'").select("doc_id", layout.parse_entities(F.col("content")).alias("ref")).filter("ref is not null")
+    hyp = outputs.filter("artifact_type = 'entities'").select("pipeline", "doc_id", layout.parse_entities(F.col("content")).alias("hyp"))
+    return ref.join(hyp, "doc_id")
+
+
+def _verdicts(scored: DataFrame, means: DataFrame) -> DataFrame:
+    rates = scored.filter("metric = 'cer'")
+    tied = statistics.tied_groups(means.filter("metric = 'cer'"), ["view"])
+    tested = reports.cross_engine(rates, ["friedman", "wilcoxon"]).filter("value is not null").select(F.split("metric", ":")[0].alias("view"), F.col("value").alias("p"))
+    return reports.verdicts(aggregate.micro(rates, ["view", "pipeline"]), tied, tested)
+
+
+def run(
+    documents: DataFrame,
+    ground_truth: DataFrame,
+    outputs: DataFrame,
+    views: Iterable[View],
+    metrics: Mapping[str, Metric] | None = None,
+    *,
+    usage: DataFrame | None = None,
+    tariffs: DataFrame | None = None,
+    images: DataFrame | None = None,
+    folder: str | None = None,
+) -> Run:
+    """Plans of a run. Pairs and scores are computed once (see ``_kept``), the analyses when they are read or written."""
     views = list(views)
-    prepared = pairs(documents, ground_truth, outputs, views)
+    prepared = _kept(pairs(documents, ground_truth, outputs, views), folder, "pairs")
     scored = None
     for view in views:
         rows = score(prepared.filter(F.col("view") == view.name), view.metrics, metrics)
         scored = rows if scored is None else scored.unionByName(rows)
+    scored = _kept(scored, folder, "scores")
     both = prepared.filter("ref is not null and hyp is not null")
+    plain = documents.select("doc_id", "doc_pos").join(ground_truth.filter("gt_type = 'raw_text'").select("doc_id", F.col("content").alias("ref")), "doc_id")
+    triples = reports.two_stage_triples(plain, outputs)
     lined = [v.name for v in views if newline_preserved(v.profile, v.char_exclude)]
     lines = analyses.aligned_lines(both.filter(F.col("view").isin(lined)))
     by_rank = statistics.mean_ranks(scored, ["view", "metric"])
@@ -123,5 +166,19 @@ def run(documents: DataFrame, ground_truth: DataFrame, outputs: DataFrame, views
         "intervals": statistics.bootstrap(scored, ["view", "metric", "pipeline"]),
         "document_texts": analyses.document_texts(both, scored),
         "conformity": analyses.conformity(scored),
+        "cross_engine": reports.cross_engine(scored),
+        "verdicts": _verdicts(scored, by_rank),
+        "correction": analyses.correction(triples),
+        "worst_regressions": analyses.worst_regressions(triples),
+        "calibration": analyses.calibration(token_confidences(outputs, plain), ["pipeline"]),
+        "entities": analyses.entity_scores(layout.entity_counts(entity_pairs(ground_truth, outputs), ["pipeline"]), ["pipeline", "label"]),
     }
+    if usage is not None:
+        none = usage.sparkSession.createDataFrame([], "pipeline string, per_million_in double, per_million_out double, per_page double")
+        first = scored.filter(F.col("view") == views[0].name)
+        found["economics"] = analyses.economics(usage, first, none if tariffs is None else tariffs)
+        found["marginal_cost"] = analyses.marginal_cost(found["economics"])
+    if images is not None:
+        found["images"] = layout.image_quality(images)
+        found["image_summary"] = layout.image_summary(found["images"])
     return Run(prepared, scored, aggregate.micro(scored), found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import plain_text
+from .sinks import F_SCHEMA
 from .xml_layout import layout_text
 
 #: Endings of reference files, the first that is there counts.
@@ -119,5 +121,24 @@ def dataset_pages(spark: SparkSession, path: str, limit: int | None = None, most
     return pages if limit is None else pages.limit(limit)
 
 
+def read_result(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A table of a result that ``write_result`` wrote, with its columns and types."""
+    lines = spark.read.text(path).select(F.from_json("value", "kind string, schema_version int, json string").alias("x")).select("x.*").filter(F.col("kind") == kind)
+    head = lines.filter(F.col("json").startswith(F_SCHEMA)).select("json", "schema_version").first()
+    if head is None:
+        raise ValueError(f"no table {kind!r} in {path}")
+    columns = ", ".join(f"`{name}` {kind_}" for name, kind_ in json.loads(head["json"].removeprefix(F_SCHEMA)))
+    return lines.filter(~F.col("json").startswith(F_SCHEMA)).select(F.from_json("json", columns).alias("r")).select("r.*")
+
+
+def page_stream(spark: SparkSession, path: str, limit: int | None = None, most_bytes: int = 50_000_000, files_per_batch: int = 10) -> DataFrame:
+    """The pages of ``dataset_pages`` as a stream that ends after ``limit`` pages."""
+    columns = spark.read.parquet(path).schema
+    if missing := {"image", "ground_truth"} - set(columns.names):
+        raise ValueError(f"columns missing: {sorted(missing)}")
+    pages = spark.readStream.schema(columns).option("maxFilesPerTrigger", files_per_batch).parquet(path).filter(F.octet_length("image") <= most_bytes)
+    return pages if limit is None else pages.limit(limit)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.HISTORY).parquet(path)

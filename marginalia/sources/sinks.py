@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
 from ..schema import HISTORY_KEY
 
+#: What the line with a table's columns begins with.
+F_SCHEMA = "columns "
 CSV_COLUMNS = ("scope", "view", "pipeline", "document_id", "metric", "value", "support")
 
 
@@ -37,9 +41,9 @@ def system_records(triples: DataFrame, corpus: str, language: str) -> DataFrame:
 
 
 def write_jsonl(records: DataFrame, path: str) -> None:
-    """A folder for each pipeline."""
+    """A folder for each pipeline, whose files are in order of documents; a pipeline may be many tasks."""
     named = records.withColumn("pipeline", slug(F.col("pipeline")))
-    named.repartition("pipeline").sortWithinPartitions("pipeline", "doc_pos").select("pipeline", "json").write.mode("overwrite").partitionBy("pipeline").text(path)
+    named.repartitionByRange("pipeline", "doc_pos").sortWithinPartitions("pipeline", "doc_pos").select("pipeline", "json").write.mode("overwrite").partitionBy("pipeline").text(path)
 
 
 def history_records(aggregates: DataFrame, run_id: str, completed_at: str, corpus: str, code_version: str) -> DataFrame:
@@ -53,6 +57,14 @@ def upserted(history: DataFrame, new: DataFrame, key=HISTORY_KEY) -> DataFrame:
     return history.join(new.select(*key), list(key), "left_anti").unionByName(new)
 
 
+def write_result(path: str, **tables: DataFrame) -> None:
+    """A folder of JSON lines, one for each row of each table, in order of kind and row, and one a table with its columns."""
+    columns = [(kind, 2, f"{F_SCHEMA}{json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema])}") for kind, df in sorted(tables.items())]
+    rows = result_json(**tables)
+    every = rows.unionByName(rows.sparkSession.createDataFrame(columns, "kind string, schema_version int, json string"))
+    every.orderBy("kind", "json").select(F.to_json(F.struct("kind", "schema_version", "json")).alias("value")).write.mode("overwrite").text(path)
+
+
 def result_json(**tables: DataFrame) -> DataFrame:
     """(kind, json): the rows of each table as JSON, schema version 2."""
     parts = [df.select(F.lit(kind).alias("kind"), F.lit(2).alias("schema_version"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("json")) for kind, df in sorted(tables.items())]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.aggregate import GROUP
 from ..operators.metrics import score
@@ -37,7 +37,10 @@ def upsert_batches(records: DataFrame, path: str, checkpoint: str, key=("run_id"
     """Each batch once, under its number; readers keep the record of the latest batch (``latest_records``)."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(list(key)).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # of several records of a key the largest, so that a replay writes the same
+        rest = [c for c in batch.columns if c not in key]
+        batch = batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("r")).select(*key, "r.*")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -55,8 +58,9 @@ def journal(events: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("t
     return events.withColumn("seq", F.row_number().over(Window.partitionBy(job).orderBy(*order)))
 
 
-def replay(journal_rows: DataFrame, job_id, after: int) -> DataFrame:
-    return journal_rows.filter((F.col("job_id") == job_id) & (F.col("seq") > after)).orderBy("seq")
+def replay(journal_rows: DataFrame, job_id, after: int, job: str = "job_id") -> DataFrame:
+    """Events of a job after the one with that number."""
+    return journal_rows.filter((F.col(job) == job_id) & (F.col("seq") > after)).orderBy("seq")
 
 
 def job_states(events: DataFrame) -> DataFrame:
@@ -81,3 +85,44 @@ def rate_limited(requests: DataFrame, most: int, seconds: int = 60, key: str = "
     source = requests.withWatermark(ts, f"{seconds} seconds") if requests.isStreaming else requests
     counted = source.groupBy(F.window(ts, f"{seconds} seconds"), key).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(key, F.col("window.start").alias("start"), "n", F.greatest(F.lit(0), F.col("n") - most).alias("refused"))
+
+
+def progress(units: DataFrame, by: str, order: tuple[str, ...]) -> DataFrame:
+    """Finished units with how many of their run are ``done`` and how many there are in ``total``."""
+    from pyspark.sql import Window
+
+    run = Window.partitionBy(by)
+    return units.withColumns({"done": F.row_number().over(run.orderBy(*order)), "total": F.count(F.lit(1)).over(run)})
+
+
+class ProgressLog(StreamingQueryListener):
+    """Counts the rows that streams have taken in: query name to (batches, rows); hand it to ``spark.streams.addListener``."""
+
+    def __init__(self):
+        self.seen: dict[str, tuple[int, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.seen.setdefault(event.name or str(event.id), (0, 0))
+
+    def onQueryProgress(self, event) -> None:
+        name = event.progress.name or str(event.progress.id)
+        batches, rows = self.seen.get(name, (0, 0))
+        self.seen[name] = (batches + 1, rows + event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def sessions(events: DataFrame, key: str, ts: str = "ts", idle: int = 30) -> DataFrame:
+    """A client's events between pauses of ``idle`` seconds: start, end (the pause included) and number."""
+    source = events.withWatermark(ts, f"{idle} seconds") if events.isStreaming else events
+    rows = source.groupBy(F.session_window(ts, f"{idle} seconds").alias("s"), key).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+
+
+def misses(requests: DataFrame, key: str, ts: str = "ts", ttl: int = 300) -> DataFrame:
+    """Of a stream of requests those that a cache, which forgets after ``ttl`` seconds of event time, has no answer for."""
+    return requests.withWatermark(ts, f"{ttl} seconds").dropDuplicatesWithinWatermark([key])
