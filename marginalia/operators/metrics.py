@@ -8,7 +8,6 @@ metric does not apply; a weight is what the value is a share of.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -52,16 +51,24 @@ def _char_row(ref: str, hyp: str, archaic: frozenset[str]) -> tuple:
 
 
 def _found_words(ref: list[str], hyp: list[str], most: int = 2) -> int:
-    """Words of the reference that take, in order, the first unused word within two edits."""
-    used, found, failed = [False] * len(hyp), 0, Counter()
+    """Words of the reference that take, in order, the first unused word within two edits.
+
+    Which words are that close is looked up once for each two different ones; letters that
+    only one of two words has tell most apart.
+    """
+    letters = {w: sum({1 << (ord(c) % 61) for c in w}) for w in {*ref, *hyp}}
+    places: dict[str, list[int]] = {}
+    for n in range(len(hyp) - 1, -1, -1):
+        places.setdefault(hyp[n], []).append(n)
+    near: dict[str, list[list[int]]] = {}
+    found = 0
     for word in ref:
-        for n in range(failed[word], len(hyp)):
-            if not used[n] and abs(len(word) - len(hyp[n])) <= most and _within(word, hyp[n], most):
-                used[n], found = True, found + 1
-                failed[word] = n + 1
-                break
-        else:
-            failed[word] = len(hyp)
+        if word not in near:
+            near[word] = [at for w, at in places.items() if w == word or (abs(len(word) - len(w)) <= most and (letters[word] ^ letters[w]).bit_count() <= 2 * most and _within(word, w, most))]
+        free = min((at for at in near[word] if at), key=lambda at: at[-1], default=None)
+        if free:
+            free.pop()
+            found += 1
     return found
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import PROFILES
-from ..functions.text import ascii_tokens, canonical_hash
+from ..functions.text import ascii_tokens, canonical_hash, char_ngrams, excerpt, line_array, substring_count, token_array, word_array
 from ..operators import aggregate, analyses, layout, relational, reports, statistics
 from ..operators.metrics import HCPR, registry, score
 from ..sources import sinks
@@ -456,12 +456,38 @@ def calibration(spark, sf_dir):
     return rounded(analyses.calibration(_judged(spark, sf_dir), ["lang"]), "ece", "mce")
 
 
-@query("""WITH t AS (SELECT o_orderpriority AS pipeline, year(o_orderdate)::VARCHAR AS y, (o_custkey % 50)::VARCHAR || 'r' AS f FROM orders)
-SELECT pipeline, 'year' AS category, count(*) AS n_total, count(*) FILTER (WHERE NOT contains(y, '9')) AS n_value FROM t GROUP BY pipeline
-UNION ALL SELECT pipeline, 'foliation', count(*), count(*) FILTER (WHERE NOT contains(f, '9')) FROM t GROUP BY pipeline""")
+@query("""WITH t AS (SELECT o_orderpriority AS pipeline, {'year': year(o_orderdate)::VARCHAR, 'foliation': (o_custkey % 50)::VARCHAR, 'currency': (o_orderkey % 30)::VARCHAR, 'regnal': (o_custkey % 20)::VARCHAR} AS v FROM orders),
+c AS (SELECT pipeline, 'year' AS category, v.year AS x FROM t UNION ALL SELECT pipeline, 'foliation', v.foliation FROM t UNION ALL SELECT pipeline, 'currency', v.currency FROM t UNION ALL SELECT pipeline, 'regnal', v.regnal FROM t)
+SELECT pipeline, category, count(*) AS n_total, count(*) FILTER (WHERE NOT contains(x, '9')) AS n_strict, count(*) FILTER (WHERE NOT contains(x, '9')) AS n_value FROM c GROUP BY ALL""")
 def numeric_sequences(spark, sf_dir):
     out = analyses.structured_data(derived.order_texts(spark, sf_dir))
-    return out.select("pipeline", "category", "n_total", "n_value")
+    return out.select("pipeline", "category", "n_total", "n_strict", "n_value")
+
+
+@query(r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:[' || chr(39) || '’\-][\p{L}\p{M}\p{N}_]+)*'))::INT AS tokens, len(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:[' || chr(39) || '’\-][\p{L}\p{M}\p{N}_]+)*'), lambda t: lower(t))))::INT AS kinds,
+  len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::INT AS words, (len(string_split(text, chr(10))) - (ends_with(text, chr(10)) OR text = '')::INT)::INT AS lines,
+  CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS head, ((length(text) - length(replace(text, 'en', ''))) / 2)::INT AS parts, CASE WHEN length(text) >= 3 THEN [substr(text, 1, 3)] ELSE [] END AS gram FROM d""")
+def text_functions(spark, sf_dir):
+    """Tokens, words, lines, excerpts and n-grams of the texts as they are."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    tokens, t = token_array(F.col("text")), F.col("text")
+    grams = F.slice(F.array_distinct(char_ngrams(F.substring(t, 1, 50))), 1, 1)
+    return docs.select("doc_id", F.size(tokens).alias("tokens"), F.size(F.array_distinct(tokens)).alias("kinds"), F.size(word_array(t)).alias("words"), F.size(line_array(t)).alias("lines"), excerpt(t, 40).alias("head"), substring_count(t, "en").alias("parts"), grams.alias("gram"))
+
+
+@query("WITH e AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), s AS (SELECT *, sum((before IS NULL OR epoch(ts) - epoch(before) >= 86400)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM e) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)))::BIGINT + 86400 AS ends, count(*) AS n FROM s GROUP BY user_id, nth")
+def idle_sessions(spark, sf_dir):
+    """A client's events between pauses of a day."""
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = incremental.sessions(rows, "user_id", idle=86400)
+    return out.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("ends"), "n")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS done, count(*) OVER (PARTITION BY user_id) AS total FROM events")
+def unit_progress(spark, sf_dir):
+    return incremental.progress(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id")).select("user_id", "event_id", "done", "total")
 
 
 @query(f"WITH {LINES_SQL}, r AS (SELECT doc_id, ref AS a, CASE WHEN line % 3 = 0 THEN '' ELSE lower(ref) END AS b FROM lines) SELECT doc_id, round(sum(levenshtein(a, b)) / sum(length(a))::DOUBLE, 6) AS value, sum(length(a))::BIGINT AS weight FROM r GROUP BY doc_id")

@@ -88,9 +88,10 @@ SERIES_SQL = "series AS (SELECT event_type AS pipeline, ts::DATE AS ts, round(av
 
 
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with years and folios from ``orders``; the hypothesis reads every 9 as 4."""
+    """Texts with years, folios, amounts and regnal years from ``orders``; the hypothesis reads every 9 as 4."""
     orders = table(spark, sf_dir, "orders")
-    ref = F.concat(F.lit("en "), F.year("o_orderdate").cast("string"), F.lit(" fol. "), (F.col("o_custkey") % 50).cast("string"), F.lit("r"))
+    number = lambda c, n: (F.col(c) % n).cast("string")
+    ref = F.concat(F.lit("en "), F.year("o_orderdate").cast("string"), F.lit(" fol. "), number("o_custkey", 50), F.lit("r, pour "), number("o_orderkey", 30), F.lit(" livres l'an "), number("o_custkey", 20))
     return orders.select(F.lit("text").alias("view"), F.col("o_orderpriority").alias("pipeline"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("doc_pos"), ref.alias("ref")).withColumn("hyp", F.replace("ref", F.lit("9"), F.lit("4")))
 
 

@@ -239,3 +239,17 @@ def test_upserts_keep_the_largest_record(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     incremental.upsert_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert {r.pipeline: r.value for r in incremental.latest_records(spark, str(tmp_path / "out")).collect()} == {"p": 3.0, "q": 2.0}
+
+
+def test_data_sets_and_catalogues(spark, tmp_path):
+    pages = spark.createDataFrame([(bytearray(b"x" * n), f"t{n}") for n in (1, 2, 9)], "image binary, ground_truth string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    assert readers.dataset_pages(spark, str(tmp_path / "pages"), most_bytes=4).count() == 2
+    assert readers.dataset_pages(spark, str(tmp_path / "pages"), limit=1).count() == 1
+    pages.drop("image").write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(ValueError):
+        readers.dataset_pages(spark, str(tmp_path / "bad"))
+    kind = "id string, title string, description string, languages array<string>"
+    own = spark.createDataFrame([("a", "Old Books", None, ["fr"]), ("b", "Maps", "of old towns", [])], kind)
+    found = spark.createDataFrame([("a", "Old again", None, None), ("c", "x", None, ["Old Norse"]), ("d", "new", None, None)], kind)
+    assert [(r.id, r.source) for r in readers.catalogue_search(own, found, "OLD", 5).collect()] == [("a", 0), ("b", 0), ("c", 1)]
