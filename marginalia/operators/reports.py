@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from html import escape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
+from ..functions.align import EQUAL, matching_blocks
 from .aggregate import micro
 from .relational import leaders, small
 
@@ -81,6 +86,24 @@ def verdicts(means: DataFrame, tied: DataFrame, tested: DataFrame, level: float
     return out.select("view", "pipeline", "value", "runner_up", "behind", "p", verdict.alias("verdict"))
 
 
+MARKED = pa.struct([("ref", pa.string()), ("hyp", pa.string())])
+
+
+def _marked(ref: str, hyp: str) -> dict[str, str]:
+    left, right = [], []
+    for op, i, i2, j, j2 in matching_blocks(ref, hyp):
+        a, b = escape(ref[i:i2]), escape(hyp[j:j2])
+        left.append(a if op == EQUAL or not a else f"<del>{a}</del>")
+        right.append(b if op == EQUAL or not b else f"<ins>{b}</ins>")
+    return {"ref": "".join(left), "hyp": "".join(right)}
+
+
+@F.arrow_udf(from_arrow_type(MARKED))
+def marked_texts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Both texts as HTML, what only one of them has marked as deleted or inserted."""
+    return pa.array([None if a is None or b is None else _marked(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], MARKED)
+
+
 def recent_history(history: DataFrame, k: int = 1000) -> DataFrame:
     """The latest records, newest first."""
     return history.orderBy(F.desc("completed_at"), "run_id", "pipeline", "view", "metric").limit(k)

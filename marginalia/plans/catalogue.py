@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fixed
 from ..functions.normalize import PROFILES
 from ..functions.text import ascii_tokens, canonical_hash, char_ngrams, excerpt, line_array, substring_count, token_array, word_array
 from ..operators import aggregate, analyses, layout, relational, reports, statistics
@@ -134,7 +135,23 @@ def alignment_metrics(spark, sf_dir):
     return rounded(aggregate.micro(line_scores(spark, sf_dir, names), ["pipeline", "metric"]), "value")
 
 
-@query()
+def _chars(signs: str) -> str:
+    return "[" + ", ".join(f"'{c}'" for c in sorted(set(signs)) if c != "'") + "]"
+
+
+_GLYPHS = " OR ".join([f"list_contains({_chars(fixed.GLYPH_LETTERS)}, c)", *[f"unicode(c) BETWEEN {a} AND {b}" for a, b in fixed.GLYPH_RANGES]])
+# every sign is replaced by one of the same length, so texts are aligned place by place
+_HERITAGE_SQL = f"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS ref FROM documents WHERE text IS NOT NULL),
+h AS (SELECT string_split(ref, '') AS a, string_split(translate(ref, 'éèêëàâîôûüöäßñçœæſ', 'eeeeaaiouuoasnc'), '') AS b, ref FROM l),
+z AS (SELECT *, list_transform(range(1, len(a) + 1), lambda i: {{'c': a[i], 'k': NOT list_contains({_chars("éèêëàâîôûüöäßñçœæſ")}, a[i])}}) AS p FROM h),
+n AS (SELECT len(list_filter(p, lambda x: strip_accents(x.c) <> x.c)) AS marks, len(list_filter(p, lambda x: strip_accents(x.c) <> x.c AND x.k)) AS marks_kept,
+  len(list_filter(p, lambda x: ({_GLYPHS.replace("c)", "x.c)")}))) AS glyphs, len(list_filter(p, lambda x: ({_GLYPHS.replace("c)", "x.c)")}) AND x.k)) AS glyphs_kept,
+  len(list_filter(p, lambda x: list_contains({_chars(fixed.ARCHAIC_CORE)}, x.c))) AS archaic, len(list_filter(p, lambda x: list_contains({_chars(fixed.ARCHAIC_CORE)}, x.c) AND x.k)) AS archaic_kept FROM z),
+m AS (SELECT 'diacritic_err' AS metric, marks AS w, marks - marks_kept AS v FROM n UNION ALL SELECT 'mufi_err', glyphs, glyphs - glyphs_kept FROM n UNION ALL SELECT 'hcpr', archaic, archaic_kept FROM n UNION ALL SELECT 'air', archaic_kept, 0 FROM n)
+SELECT 'plain' AS pipeline, metric, round(sum(v) FILTER (WHERE w > 0) / nullif(sum(w) FILTER (WHERE w > 0), 0)::DOUBLE, 6) AS value, count(*) FILTER (WHERE w > 0) AS support FROM m GROUP BY metric"""
+
+
+@query(_HERITAGE_SQL)
 def heritage_metrics(spark, sf_dir):
     """Marks, glyphs and archaic characters on the texts as they are; the engine drops accents and ligatures."""
     docs = table(spark, sf_dir, "documents")
@@ -506,7 +523,13 @@ def _boxes(spark, sf_dir):
     return box("ref", F.lit(0.0)).unionByName(box("hyp", F.col("l_tax") * 40))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_tax) AS i, l_quantity / 60.0::DOUBLE AS x0, (l_quantity + 4) / 60.0::DOUBLE AS x1, (l_quantity + l_tax * 40) / 60.0::DOUBLE AS u0, (l_quantity + l_tax * 40 + 4) / 60.0::DOUBLE AS u1, l_linenumber / 9.0::DOUBLE AS y0, (l_linenumber + 1) / 9.0::DOUBLE AS y1, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+o AS (SELECT a.doc_id, a.i, c.i AS j, greatest(0, least(a.x1, c.u1) - greatest(a.x0, c.u0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS s, (a.x1 - a.x0) * (a.y1 - a.y0) + (c.u1 - c.u0) * (c.y1 - c.y0) AS t FROM b a JOIN b c USING (doc_id)),
+m AS (SELECT doc_id, i, list({'v': s / (t - s), 'j': j}) AS l FROM o GROUP BY ALL),
+r AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, n, range(1, n + 1) AS free, 0 AS tp FROM b
+  UNION ALL SELECT q.doc_id, q.i + 1, q.n, CASE WHEN q.best.v >= 0.5 THEN list_filter(q.free, lambda x: x <> q.best.j) ELSE q.free END, q.tp + (q.best.v >= 0.5)::INT
+    FROM (SELECT r.*, list_max(list_filter(m.l, lambda x: list_contains(r.free, x.j))) AS best FROM r JOIN m ON m.doc_id = r.doc_id AND m.i = r.i + 1) q)
+SELECT doc_id, round(tp / n::DOUBLE, 6) AS value, n AS weight FROM r WHERE i = n""")
 def region_detection(spark, sf_dir):
     return rounded(layout.region_detection(_boxes(spark, sf_dir), ["doc_id"]), "value")
 
@@ -662,6 +685,14 @@ def report_worst_first(spark, sf_dir):
     return reports.worst_first(derived.item_scores(spark, sf_dir), "wer").limit(60)
 
 
+@query("SELECT o_orderkey, replace(o_orderpriority, '-', '<del>-</del>') AS ref, replace(o_orderpriority, '-', '<ins>&amp;</ins>') AS hyp FROM orders WHERE o_orderpriority NOT LIKE '%NOT%'")
+def report_marked_texts(spark, sf_dir):
+    """Priorities of orders as texts; the hypothesis writes & for the hyphen."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority not like '%NOT%'")
+    marked = reports.marked_texts(F.col("o_orderpriority"), F.replace("o_orderpriority", F.lit("-"), F.lit("&")))
+    return orders.select("o_orderkey", marked.alias("m")).select("o_orderkey", "m.ref", "m.hyp")
+
+
 @query(f"WITH {ITEM_SCORES_SQL}, m AS (SELECT pipeline, metric, avg(value) AS value FROM s GROUP BY ALL) SELECT pipeline, metric, round(value, 6) AS value, round(max(value) OVER (PARTITION BY metric), 6) AS top, round(value / max(value) OVER (PARTITION BY metric), 6) AS bar FROM m")
 def report_bars(spark, sf_dir):
     means = derived.item_scores(spark, sf_dir).groupBy("pipeline", "metric").agg(F.avg("value").alias("value"))
