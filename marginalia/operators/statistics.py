@@ -106,18 +106,42 @@ def tied_groups(means: DataFrame, by: list[str], name: str = "pipeline") -> Data
     return placed.filter("critical_distance is not null").select(*by, F.posexplode(groups).alias("group", "g")).select(*by, "group", "g.names")
 
 
+def draws(n: int, seed: int, size: int = 1 << 16):
+    """Arrays of numbers below n, drawn one after the other as the standard library's generator does."""
+    key = random.Random(seed).getstate()[1]
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key[:-1], np.uint32), "pos": key[-1]}}
+    while True:
+        some = bits.random_raw(size) >> np.uint64(32 - n.bit_length())
+        yield some[some < n].astype(np.int64)
+
+
+def resampled_means(xs: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """Means of as many resamples, each of as many values as there are."""
+    sums, at, left, n = np.zeros(rounds), 0, len(xs), len(xs)
+    for some in draws(n, seed):
+        while len(some):
+            now, some = some[:left], some[left:]
+            sums[at] += xs[now].sum()
+            left -= len(now)
+            if not left:
+                at, left = at + 1, n
+                if at == rounds:
+                    return sums / n
+
+
 def bootstrap(values: DataFrame, by: list[str], value: str = "value", order: str = "doc_pos", rounds: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean of each group, resampled in document order with a fixed seed.
 
-    A group is the documents of one pipeline and metric, and is resampled as a whole.
+    A group is the values of one pipeline and metric, and is resampled as a whole: its
+    intervals are those of one sequence of draws. It takes the memory of its values.
     """
 
     def interval(key, pdf):
-        xs = pdf.sort_values(order, kind="stable")[value].tolist()
-        draw, n = random.Random(seed), len(xs)
-        means = sorted(sum(xs[draw.randint(0, n - 1)] for _ in range(n)) / n for _ in range(rounds))
+        xs = pdf.sort_values(order, kind="stable")[value].to_numpy(float)
+        means = np.sort(resampled_means(xs, rounds, seed))
         at = [min(max(round(q * (rounds - 1)), 0), rounds - 1) for q in ((1 - level) / 2, (1 + level) / 2)]
-        return pd.DataFrame([(*key, sum(xs) / n, means[at[0]], means[at[1]], n)])
+        return pd.DataFrame([(*key, xs.mean(), means[at[0]], means[at[1]], len(xs))])
 
     known = values.filter(F.col(value).isNotNull()).select(*by, order, value)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.select(*by).schema)

@@ -167,6 +167,18 @@ def test_tail_of_chi_square():
     assert statistics.chi_square_tail(0.0, 3) == 1.0
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_draws_are_those_of_the_standard_library(n):
+    import random
+
+    import numpy as np
+
+    one = random.Random(42)
+    assert np.concatenate([x for x, _ in zip(statistics.draws(n, 42, 500), range(4))])[:300].tolist() == [one.randint(0, n - 1) for _ in range(300)]
+    xs, one = np.arange(n) / 7, random.Random(5)
+    assert statistics.resampled_means(xs, 20, 5).tolist() == pytest.approx([sum(xs[one.randint(0, n - 1)] for _ in range(n)) / n for _ in range(20)])
+
+
 def test_tail_of_signed_ranks():
     assert statistics.signed_rank_tail(6, 0, 6, 0) == pytest.approx(2 / 64)
     # the normal form for nine differences, one more being none
