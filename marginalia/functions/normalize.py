@@ -13,8 +13,10 @@ import unicodedata
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 from functools import cached_property
+from pathlib import Path
 
 import pyarrow as pa
+import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,6 +104,14 @@ def profile_from(settings: Mapping, name: str = "custom") -> Profile:
     return Profile(**{"name": name} | given)
 
 
+def load_profiles(path: str) -> dict[str, Profile]:
+    """Profiles from a YAML file: name to settings."""
+    given = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    if not isinstance(given, dict):
+        raise ValueError(f"{path}: names with settings are expected")
+    return {name: profile_from(settings or {}, name) for name, settings in given.items()}
+
+
 PROFILES = {
     p.name: p
     for p in (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions.align import DELETE, edit_blocks
+from .aggregate import first_samples
 from .metrics import with_distance
 
 IOU = 0.5
@@ -124,6 +125,12 @@ def entity_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "label").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")])
 
 
+def entity_samples(pairs: DataFrame, by: list[str], k: int = 10) -> DataFrame:
+    """The first ``k`` missed and spurious entities of each group, by document and place; pairs have ``doc_pos``."""
+    rows = pairs.select(*by, "doc_pos", F.inline(entity_rows("ref", "hyp"))).filter("kind <> 'tp'")
+    return first_samples(rows, [*by, "kind"], "text", ["doc_pos", "start", "text"], k)
+
+
 # -- images ----------------------------------------------------------------------------
 
 QUALITY = pa.struct([(n, pa.float64()) for n in ("sharpness", "noise", "contrast", "rotation")])

@@ -92,6 +92,12 @@ def unseen(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys), keys, "left_anti")
 
 
+def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that only one of the tables has, with its ``side``."""
+    one = lambda a, b, side: a.select(*keys).distinct().join(b.select(*keys), keys, "left_anti").withColumn("side", F.lit(side))
+    return one(left, right, "left").unionByName(one(right, left, "right"))
+
+
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     """The second ``X`` becomes ``X #2``."""
     nth = F.row_number().over(Window.partitionBy(name).orderBy(order))

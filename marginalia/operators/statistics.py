@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import RANK_CRITICAL
+from ..functions.text import iso_timestamp
 from .aggregate import rank_sums
 from .relational import complete_cases
 
@@ -261,6 +262,18 @@ def change_point(series: DataFrame, by: list[str], order: list[str], value: str
     return best.select(*by, n.alias("n"), t.alias("boundary"), k.alias("u"), p.alias("p"), (p <= alpha).alias("significant"), before.alias("mean_before"), after.alias("mean_after"), (after - before).alias("delta"))
 
 
+def series_insight(history: DataFrame, by: list[str]) -> DataFrame:
+    """Trend of each series of (by, run_id, completed_at, value) and, where its level shifts significantly, the first run after.
+
+    Times are ISO text, UTC where they name no zone; rows whose time can't be read are left out.
+    """
+    rows = history.withColumn("ts", iso_timestamp(F.col("completed_at").cast("string"))).filter("ts is not null")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("ts", "run_id"))
+    shift = change_point(rows, by, ["ts", "run_id"]).filter("significant").select(*by, "boundary")
+    at = rows.filter(F.col("value").isNotNull()).withColumn("__n", place).join(shift, by).filter(F.col("__n") == F.col("boundary") + 1).select(*by, F.col("run_id").alias("shift_run"))
+    return trend(rows, by).join(at, by, "left")
+
+
 def last_two(history: DataFrame, by: list[str], order: list[str], value: str = "value", threshold: float = 0.0, higher_is_better: bool = False) -> DataFrame:
     """The latest two values of each series, their difference and whether it is for the worse beyond the threshold."""
     up = Window.partitionBy(*by).orderBy(*order)

@@ -431,6 +431,12 @@ def multiset_matching(spark, sf_dir):
     return rows.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_if("matched").alias("matched"))
 
 
+@query("SELECT c_nationkey AS nation, 'left' AS side FROM customer WHERE c_custkey % 7 = 0 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier) GROUP BY ALL UNION ALL SELECT s_nationkey, 'right' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 7 = 0) GROUP BY ALL")
+def unmatched_keys(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("nation"))
+    return relational.unmatched(a, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")), ["nation"])
+
+
 @query("SELECT p_partkey, CASE WHEN n > 1 THEN p_name || ' #' || n ELSE p_name END AS p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
 def unique_names(spark, sf_dir):
     return relational.unique_names(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fixed
 from ..functions.normalize import PROFILES, Profile, newline_preserved, prepare
 from ..operators import aggregate, analyses, layout, reports, statistics
 from ..operators.metrics import METRIC_PROFILES, Metric, score
@@ -32,6 +33,7 @@ class View:
     candidates: tuple[str, ...] = ("corrected_text", "raw_text")
     projections: Mapping[str, str] = field(default_factory=dict)
     metrics: tuple[str, ...] = METRIC_PROFILES["standard"]
+    archaic: str = fixed.ARCHAIC_CORE
 
 
 def default_views(gt_types: Iterable[str], metrics: tuple[str, ...] = METRIC_PROFILES["standard"]) -> list[View]:
@@ -73,7 +75,10 @@ def references(ground_truth: DataFrame, view: View) -> DataFrame:
 def pairs(documents: DataFrame, ground_truth: DataFrame, outputs: DataFrame, views: Iterable[View]) -> DataFrame:
     """Prepared texts of every view, pipeline and document; a missing side is null."""
     pipelines = outputs.select("pipeline").distinct()
-    every = documents.select("doc_id", "doc_pos", "stratum").crossJoin(small(pipelines))
+    stratum = F.col("stratum")
+    if "metadata" in documents.columns:
+        stratum = F.coalesce(stratum, F.try_element_at("metadata", F.lit("stratum")))
+    every = documents.select("doc_id", "doc_pos", stratum.alias("stratum")).crossJoin(small(pipelines))
     out = None
     for view in views:
         rows = every.join(references(ground_truth, view), "doc_id", "left").join(candidates(outputs, view), ["pipeline", "doc_id"], "left")
@@ -130,13 +135,19 @@ def run(
     tariffs: DataFrame | None = None,
     images: DataFrame | None = None,
     folder: str | None = None,
+    sink: Callable[[DataFrame], None] | None = None,
 ) -> Run:
-    """Plans of a run. Pairs and scores are computed once (see ``_kept``), the analyses when they are read or written."""
+    """Plans of a run. Pairs and scores are computed once (see ``_kept``), the analyses when they are read or written.
+
+    ``sink`` gets the outputs before anything is compared, to write what is to be kept of them.
+    """
     views = list(views)
+    if sink is not None:
+        sink(outputs)
     prepared = _kept(pairs(documents, ground_truth, outputs, views), folder, "pairs")
     scored = None
     for view in views:
-        rows = score(prepared.filter(F.col("view") == view.name), view.metrics, metrics)
+        rows = score(prepared.filter(F.col("view") == view.name), view.metrics, metrics, view.archaic)
         scored = rows if scored is None else scored.unionByName(rows)
     scored = _kept(scored, folder, "scores")
     both = prepared.filter("ref is not null and hyp is not null")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from importlib.metadata import entry_points
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,20 @@ class Modules:
         return module
 
 
+def discover(modules: Modules, group: str = "marginalia.modules", trusted: bool = False) -> dict[str, str]:
+    """Registers the builders that installed packages offer in an entry point group; the problems of those that don't load, by name.
+
+    Code of others is only loaded where it is trusted.
+    """
+    problems: dict[str, str] = {}
+    for entry in sorted(entry_points(group=group), key=lambda e: e.name) if trusted else ():
+        try:
+            modules.register(entry.name, entry.load())
+        except Exception as problem:  # noqa: BLE001 - whatever a plug-in raises must not end the others
+            problems[entry.name] = repr(problem)
+    return problems
+
+
 def column_module(name: str, version: str, column: Callable[[Column], Column], inputs=("raw_text",), outputs=("corrected_text",)) -> Module:
     """A module that is one expression over the content; null content is a problem."""
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import plain_text
+from ..operators.layout import parse_entities
 from .sinks import F_SCHEMA
-from .xml_layout import layout_text
+from .xml_layout import ROWS, layout_rows, layout_text
 
 #: Endings of reference files, the first that is there counts.
 REFERENCE_ENDINGS = (".gt.txt", ".txt", ".gt.xml", ".xml")
@@ -82,6 +83,19 @@ def representation(content: Column, kind: Column) -> Column:
     return F.when(text, "text").when(kind == "entities", "entities").when(F.ltrim(content).startswith("<"), F.when(F.lower(F.substring(content, 1, 4096)).rlike("pcgts|pagecontent"), "pagexml").otherwise("alto")).otherwise("json")
 
 
+def represented(content: Column, kind: Column) -> Column:
+    """An artifact's content as what it is: ``text``, ``layout`` (rows of regions) or ``entities``; null in the other fields."""
+    what, none = representation(content, kind), F.lit(None)
+    xml = layout_rows(F.when(what.isin("alto", "pagexml"), F.encode(content, "UTF-8")))
+    rows = F.coalesce(xml, F.from_json(F.when(what == "json", content), ROWS))
+    return F.struct(F.when(what == "text", content).otherwise(none).alias("text"), rows.alias("layout"), parse_entities(F.when(what == "entities", content)).alias("entities"))
+
+
+def read_tariffs(spark: SparkSession, path: str) -> DataFrame:
+    """Prices (kind, model, paid, valid_until, per_million_in, per_million_out, per_page) from JSON lines of those names; a price of a kind has no model."""
+    return spark.read.schema("kind string, model string, paid boolean, valid_until date, per_million_in double, per_million_out double, per_page double").json(path)
+
+
 def manifest_pages(manifests: DataFrame, content: str = "content", *keep: str) -> DataFrame:
     """Canvases of presentation manifests of either version: position, label and image address; those without one are left out."""
     v = F.try_parse_json(F.col(content))

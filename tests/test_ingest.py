@@ -253,3 +253,53 @@ def test_data_sets_and_catalogues(spark, tmp_path):
     own = spark.createDataFrame([("a", "Old Books", None, ["fr"]), ("b", "Maps", "of old towns", [])], kind)
     found = spark.createDataFrame([("a", "Old again", None, None), ("c", "x", None, ["Old Norse"]), ("d", "new", None, None)], kind)
     assert [(r.id, r.source) for r in readers.catalogue_search(own, found, "OLD", 5).collect()] == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_representations_and_tables_of_prices(spark, tmp_path):
+    region = {"page_no": 0, "region_id": "r1", "depth": 0, "dfs_pos": 0, "leaf": True, "lines": ["a"]}
+    rows = [("x", "raw_text"), (ALTO.decode(), "layout"), (json.dumps([region]), "layout"), ('{"text":"ab","entities":[{"label":"X","start":0,"end":1}]}', "entities")]
+    out = spark.createDataFrame(rows, "c string, k string").select(readers.represented(F.col("c"), F.col("k")).alias("r")).select("r.*").collect()
+    assert [r.text for r in out] == ["x", None, None, None]
+    assert [[x.region_id for x in r.layout] if r.layout else None for r in out] == [None, ["b1", "c", "b2", "i"], ["r1"], None]
+    assert [r.entities is not None for r in out] == [False, False, False, True]
+    (tmp_path / "t.json").write_text('{"kind": "cloud", "model": "m", "paid": true, "valid_until": "2030-01-01", "per_million_in": 1.5}\n')
+    tariffs = readers.read_tariffs(spark, str(tmp_path / "t.json"))
+    pipelines = spark.createDataFrame([("p", "cloud", "m"), ("q", "cloud", "n")], "pipeline string, kind string, model string")
+    assert {r.pipeline: (r.per_million_in, r.basis) for r in reports.with_tariffs(pipelines, tariffs, "2026-01-01").collect()} == {"p": (1.5, "tariff"), "q": (None, "machine")}
+
+
+def test_plug_ins_profiles_and_sinks(spark, tmp_path, monkeypatch):
+    from marginalia.functions.normalize import load_profiles
+
+    class Entry:
+        def __init__(self, name, value):
+            self.name, self.value = name, value
+
+        def load(self):
+            if isinstance(self.value, Exception):
+                raise self.value
+            return self.value
+
+    build = lambda label: modules.column_module(f"good:{label}", "1", F.lower)
+    monkeypatch.setattr(modules, "entry_points", lambda group: [Entry("good", build), Entry("bad", ImportError("gone"))])
+    known = modules.Modules()
+    assert modules.discover(known) == {} and known.kinds() == []
+    assert list(modules.discover(known, trusted=True)) == ["bad"] and known.build("good:x").name == "good:x"
+    (tmp_path / "p.yaml").write_text("own: {nfc: true, caseless: true, diplomatic: {ſ: s}}\n")
+    assert load_profiles(str(tmp_path / "p.yaml"))["own"].apply("ſÉ") == "sé"
+    documents, truths, outputs = cli.demo_tables(spark)
+    seen = []
+    views = [evaluate.View("text", archaic="q", metrics=("air",))]
+    documents = documents.drop("metadata", "stratum").withColumns({"stratum": F.lit(None).cast("string"), "metadata": F.create_map(F.lit("stratum"), F.lit("old"))})
+    run = evaluate.run(documents, truths, outputs, views, sink=lambda df: seen.append(df.count()))
+    assert seen == [6] and {r.stratum for r in run.pairs.collect()} == {"old"}
+    assert all(r.value is None for r in run.scores.collect())
+
+
+def test_insights_and_samples(spark):
+    rows = [(f"r{d}", f"2024-01-{d:02d}T00:00:00", "p", v) for d, v in enumerate([1.0, 1.1, 1.2, 1.0, 1.1, 1.2, 5.0, 5.1, 5.2, 5.0, 5.1, 5.2], 1)] + [("x", "no time", "p", 9.0)]
+    out = statistics.series_insight(spark.createDataFrame(rows, "run_id string, completed_at string, pipeline string, value double"), ["pipeline"]).first()
+    assert (out.n, out.shift_run) == (12, "r7") and out.slope > 0
+    entity = "struct<text:string,entities:array<struct<label:string,start:int,end:int,text:string>>>"
+    pairs = spark.createDataFrame([("p", 0, ("abc def", [("X", 0, 3, "abc")]), ("abc def", [("Y", 4, 7, "def")]))], f"pipeline string, doc_pos int, ref {entity}, hyp {entity}")
+    assert {r.kind: r.samples for r in layout.entity_samples(pairs, ["pipeline"]).collect()} == {"fn": ["abc"], "fp": ["def"]}

@@ -301,7 +301,7 @@ def test_job_states(spark, tmp_path):
 @pytest.fixture(scope="module")
 def sql(tiny):
     con = duckdb.connect()
-    for t in ("documents", "labels", "events", "orders", "lineitem", "supplier", "part", "embeddings"):
+    for t in ("documents", "labels", "events", "orders", "lineitem", "supplier", "part", "embeddings", "customer"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
     return con
 
