@@ -188,7 +188,7 @@ def test_whole_runs(spark, tmp_path):
     usage = spark.createDataFrame([(p, f"page_{n}", 2.0, 1000, 10) for p in ("one", "two") for n in (1, 2, 3)], "pipeline string, doc_id string, duration_seconds double, tokens_in long, tokens_out long")
     images = spark.createDataFrame([("page_1", [float(i % 7) for i in range(64)], 8)], "doc_id string, pixels array<double>, width int")
     run = evaluate.run(documents, truths, outputs.union(more), evaluate.default_views(["raw_text"]), usage=usage, images=images, folder=str(tmp_path / "run"))
-    found = {k: v.collect() for k, v in run.analyses.items()}
+    found = {k: run.analyses[k].collect() for k in ("calibration", "entities", "correction", "cross_engine", "verdicts", "economics", "marginal_cost", "image_summary")}
     assert {r.pipeline: r.n for r in found["calibration"]} == {"two": 2}
     assert [(r.pipeline, r.f1) for r in found["entities"]] == [("one", 1.0)]
     assert [r.pipeline for r in found["correction"]] == ["two"] and found["correction"][0].n_documents == 3
