@@ -23,8 +23,9 @@ documents costs one entry for each block, and nothing is ever paired.
 Defined cases: null or empty text: no words, nothing removed, null or empty kept text.
 Fewer words than a window: kept. Null id: after all other ids. Rows with the same id:
 one after the other in order of text, so of exact repeats the later one goes. Ids are
-integers. Words are joined by one space in the kept text, also where none is removed.
-Other columns pass through; those named like a result column are replaced.
+integers. Words are joined by one space in the kept text, also where none is removed. Very
+long texts are hashed whole, and are one row of their block. Empty table: no rows. Other
+columns pass through; those named like a result column are replaced.
 """
 
 from __future__ import annotations
