@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.normalize import PROFILES
+from ..functions.normalize import PROFILES, Profile
 from ..functions.text import ascii_tokens, canonical_hash, char_ngrams, excerpt, line_array, substring_count, token_array, word_array
 from ..operators import aggregate, analyses, layout, relational, reports, statistics
 from ..operators.metrics import HCPR, registry, score
@@ -648,11 +648,10 @@ def normalisation_profiles(spark, sf_dir):
 
 @query("SELECT doc_id, regexp_replace(translate(replace(replace(text, 'æ', 'ae'), 'œ', 'oe'), 'ſ', 's'), '&', 'et', 'g') AS text FROM documents")
 def diplomatic_texts(spark, sf_dir):
-    """A table of single characters that never feed each other, without Python."""
-    text = F.col("text")
-    for old, new in (("æ", "ae"), ("œ", "oe"), ("ſ", "s"), ("&", "et")):
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    """A profile of a diplomatic table alone; its signs never feed each other."""
+    table_ = {"æ": "ae", "œ": "oe", "ſ": "s", "&": "et"}
+    profile = Profile("four_signs", unicode_form="none", table=table_)
+    return table(spark, sf_dir, "documents").select("doc_id", profile.column(F.col("text")).alias("text"))
 
 
 @query("""WITH d AS (SELECT doc_id, text, lower(text) AS raw, CASE WHEN doc_id % 3 = 0 THEN text ELSE lower(text) END AS out FROM documents WHERE text IS NOT NULL)
