@@ -60,18 +60,25 @@ HEAVY_KEYS = 4096
 LEAST_HEAVY = 64
 
 
+def heavy_limit(rows: int) -> int:
+    return max(LEAST_HEAVY, rows // HEAVY_KEYS)
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:
     """``left`` joined to ``right`` (one row a key), though one key may hold much of ``left``.
 
     The heavy keys, fewer than ``HEAVY_KEYS``, are joined by broadcast where their rows are;
-    rows with a null key have no partner and are not dealt out. ``left`` is read three times.
+    rows with a null key have no partner and are not dealt out. ``left`` is read several
+    times.
     """
-    rows = left.count() if rows is None else rows
-    limit = max(LEAST_HEAVY, rows // HEAVY_KEYS)
-    heavy = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(key)
-    marked = left.filter(F.col(key).isNotNull()).join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), key, "left")
-    hot = marked.filter("__heavy").drop("__heavy").join(F.broadcast(right.join(F.broadcast(heavy), key, "left_semi")), key, how)
-    out = hot.unionByName(marked.filter("__heavy is null").drop("__heavy").join(right, key, how))
+    known = left.filter(F.col(key).isNotNull())
+    limit = heavy_limit(left.count() if rows is None else rows)
+    heavy = checkpointed(known.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(key))
+    if heavy.isEmpty():
+        out = known.join(right, key, how)
+    else:
+        hot = known.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(right.join(F.broadcast(heavy), key, "left_semi")), key, how)
+        out = hot.unionByName(known.join(F.broadcast(heavy), key, "left_anti").join(right, key, how))
     return out.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
 
 

@@ -1,9 +1,9 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Every step is a minimum by key and a join, so no component is ever gathered in a task or
-on the driver. Nodes with very many links, of which there are few, meet their minimum by
-broadcast (see ``spread_join``). The number of steps grows with the logarithm of the
-longest path.
+on the driver. Nodes with very many links, fewer than ``common.HEAVY_KEYS`` of them, meet
+their minimum by broadcast. The number of steps grows with the logarithm of the longest
+path.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, spread_join
+from .common import checkpointed, heavy_limit
 
 
 def _with_least(edges: DataFrame, rows: int) -> DataFrame:
     """(u, v, m): m is the smaller of u and its least neighbour."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return spread_join(edges, least, "u", "inner", rows).withColumn("m", F.least("u", "m"))
+    least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    heavy = least.filter(F.col("n") > heavy_limit(rows)).drop("n")
+    out = edges.join(least.drop("n"), "u") if heavy.isEmpty() else edges.join(F.broadcast(heavy), "u").unionByName(edges.join(F.broadcast(heavy), "u", "left_anti").join(least.drop("n"), "u"))
+    return out.withColumn("m", F.least("u", "m"))
 
 
 def components(links: DataFrame, most_steps: int = 100) -> DataFrame:

@@ -45,6 +45,8 @@ MISSED = 1e-4
 CHUNK = 256
 #: Runs of words in a chunk.
 WEIGHT = 2_000_000
+#: Bytes of a run's hash in a set: two sets of a thousand runs share one by accident in one of 280 million comparisons.
+HASH = 6
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 
@@ -177,12 +179,24 @@ def longest_matches(sorted_labels: DataFrame, depth: int) -> DataFrame:
     return sorted_labels.mapInArrow(match, "key binary, table int, bucket long, matched int")
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Sorted distinct hashes, the first ``HASH`` bytes of each."""
+    bytes_ = np.unique(values >> U64(64 - 8 * HASH)).astype(">u8").view(np.uint8)
+    return bytes_.reshape(-1, 8)[:, 8 - HASH :].tobytes()
+
+
+def unpacked(sketch: bytes) -> np.ndarray:
+    whole = np.zeros((len(sketch) // HASH, 8), np.uint8)
+    whole[:, 8 - HASH :] = np.frombuffer(sketch, np.uint8).reshape(-1, HASH)
+    return whole.view(">u8").ravel().astype(U64)
+
+
 def set_rows(batches, width: int, depth: int):
     """The set of each text, sorted, in place of the text; trie nodes in place of labels."""
     for batch in batches:
         for part in slices(batch, "text"):
             values, offsets = shingles(part.column("text"), width)
-            sets = [np.unique(values[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            sets = [packed(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             lists = one_array(part.column("labels"))
             trees = len(lists.flatten()) // max(len(lists), 1)
             nodes = nodes_of(as_labels(lists.flatten()), np.tile(np.arange(trees), len(lists)), depth)
@@ -196,7 +210,7 @@ SKETCH = "node binary, size long, buckets array<long>, sketch binary"
 def from_pivot(batches):
     """Members of a chunk as their difference to the pivot, which is the first row of its group."""
     for table, starts in groups(batches, ("bucket", "chunk")):
-        sets = [np.frombuffer(x, U64) for x in table.column("sketch").to_pylist()]
+        sets = [unpacked(x) for x in table.column("sketch").to_pylist()]
         own, shares, pivots, differ = [], [], [], []
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             pivot = sets[a]
@@ -205,7 +219,7 @@ def from_pivot(batches):
                 own.append(k)
                 shares.append(len(same))
                 pivots.append(len(pivot))
-                differ.append(np.setxor1d(sets[k], pivot, assume_unique=True).tobytes())
+                differ.append(packed(np.setxor1d(sets[k], pivot, assume_unique=True) << U64(64 - 8 * HASH)))
         kept = table.take(pa.array(own, pa.int64())).drop_columns(["member", "sketch"])
         counts = pa.array([len(sets[k]) for k in own], pa.int64())
         yield from kept.append_column("count", counts).append_column("shared", pa.array(shares, pa.int64())).append_column("pivot_count", pa.array(pivots, pa.int64())).append_column("sketch", pa.array(differ, pa.binary())).to_batches()
@@ -221,12 +235,12 @@ def alike_sets(threshold: float):
     def alike(table: pa.Table, starts: np.ndarray):
         count, shared, pivot = (np.asarray(one_array(table.column(c))) for c in ("count", "shared", "pivot_count"))
         sketches = one_array(table.column("sketch"))
-        sizes = np.asarray(pc.binary_length(sketches)) // 8
+        sizes = np.asarray(pc.binary_length(sketches)) // HASH
         for first, last in zip(starts[:-1], starts[1:], strict=True):
             if last - first < 2:
                 continue
             owner = np.repeat(np.arange(last - first), sizes[first:last])
-            values = np.frombuffer(b"".join(sketches[first:last].to_pylist()), U64)
+            values = unpacked(b"".join(sketches[first:last].to_pylist()))
             common = incidence(values, owner, last - first) + shared[first:last, None] + shared[None, first:last] - pivot[first]
             both = count[first:last, None] + count[None, first:last] - common
             i, j = np.nonzero(np.triu(common >= threshold * both - 1e-9, 1))
@@ -278,7 +292,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(wanted, ["key", "id"]).dropDuplicates(["key", "id"]).select("node", "size", "labels", "text")
     sets = checkpointed(texts.mapInArrow(lambda batches: set_rows(batches, width, depth), SKETCH))
 
-    whole = {"count": F.floor(F.length("sketch") / 8).cast("long"), "shared": F.lit(0).cast("long"), "pivot_count": F.lit(0).cast("long")}
+    whole = {"count": F.floor(F.length("sketch") / HASH).cast("long"), "shared": F.lit(0).cast("long"), "pivot_count": F.lit(0).cast("long")}
     cold = tasks.filter("chunks = 1").drop("pivot").join(sets, "node").withColumns(whole)
     hot = tasks.filter("chunks > 1")
     chunked = hot.drop("pivot").join(sets, "node").withColumn("member", F.lit(1))
