@@ -60,13 +60,14 @@ def test_projections_by_source_come_before_the_default():
 
 def test_command_line(spark, tmp_path, capsys):
     path = corpus_folder(tmp_path)
-    for name in ("a", "b"):
-        cli.main(["run", str(path), "-o", str(tmp_path / name), "--history", str(tmp_path / "history"), "--csv", str(tmp_path / f"{name}.csv")])
+    cli.main(["run", str(path), "-o", str(tmp_path / "a"), "--history", str(tmp_path / "history"), "--csv", str(tmp_path / "a.csv")])
+    spark.read.parquet(str(tmp_path / "history")).withColumns({"run_id": F.lit("later"), "completed_at": F.col("completed_at") + F.expr("interval 1 day")}).write.mode("append").parquet(str(tmp_path / "history2"))
+    spark.read.parquet(str(tmp_path / "history")).write.mode("append").parquet(str(tmp_path / "history2"))
     back = readers.read_result(spark, str(tmp_path / "a"), "aggregates")
     assert {(r.view, r.pipeline, r.metric): r.support for r in back.collect()} == {("text", "eng", "cer"): 2, ("text", "eng", "wer"): 2}
-    cli.main(["compare", str(tmp_path / "a"), str(tmp_path / "b")])
-    cli.main(["history", str(tmp_path / "history"), "--pipeline", "eng"])
-    cli.main(["history", str(tmp_path / "history"), "--threshold", "-1"])
+    cli.main(["compare", str(tmp_path / "a"), str(tmp_path / "a")])
+    cli.main(["history", str(tmp_path / "history2"), "--pipeline", "eng"])
+    cli.main(["history", str(tmp_path / "history2"), "--threshold", "-1"])
     out = capsys.readouterr().out
     assert "value_a" in out and out.count("eng") >= 4
     with pytest.raises(ValueError):
