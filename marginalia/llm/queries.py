@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard_join, langid, licenses, mixing, substring_dedup, tool_calls, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard_join, langid, licenses, merkle, mixing, substring_dedup, tool_calls, toxicity, url_filter
 from .common import checkpointed, held_out, learns, read
 
 SITE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -228,6 +229,45 @@ SELECT conv_id::VARCHAR AS conv, turn, 0 AS part, role, kind, call_id, name, sta
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of its source's tree, checked after tampering with some texts."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", ascii_uppercase, ascii_lowercase)
+    fields = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    carry = {"doc_id": F.col("doc_id"), "seen": F.when(tampered, merkle.leaf_digest(fields(lower)))}
+    made = merkle.merkle_manifest(docs, fields(F.col("text")), group=F.col("source"), order=F.col("doc_id"), carry=carry)
+    folded = merkle.as_text(merkle.fold(F.coalesce("carry.seen", F.unhex("leaf")), F.col("path")))
+    made = made.select("carry.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def merkle_sql(levels: int = 6) -> str:
+    """Trees of 16 in SQL, level by level: a node that is alone in its tree stays and has no siblings."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    bit = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    crc = f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: {bit})))"
+    lower = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+    parts = [f"l AS (SELECT *, {leaf('text')} AS leaf, {crc} AS crc, {lower} AS lower_text FROM documents)"]
+    parts.append(f"x AS (SELECT *, CASE WHEN crc % 5 = 0 THEN {leaf('lower_text')} ELSE leaf END AS seen, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l)")
+
+    def up(name: str) -> None:
+        for n in range(levels):
+            run = f"SELECT grp, idx // 16 AS up, list(d ORDER BY idx) AS run, count(*) OVER (PARTITION BY grp) = 1 AND count(*) = 1 AS lone FROM (SELECT DISTINCT grp, idx, d FROM {name}{n}) GROUP BY grp, idx // 16"
+            left, right = "array_to_string(run[1 : (idx % 16)::INT], '')", "array_to_string(run[(idx % 16)::INT + 2 :], '')"
+            parts.append(
+                f"{name}{n + 1} AS (SELECT doc_id, leaf, of, sub, a.grp, up AS idx, CASE WHEN lone THEN d ELSE sha256(array_to_string(run, '')) END AS d, CASE WHEN lone THEN seen ELSE sha256({left} || seen || {right}) END AS seen, "
+                f"proof || {left} || {right} AS proof FROM {name}{n} a JOIN ({run}) r ON a.grp IS NOT DISTINCT FROM r.grp AND idx // 16 = up)"
+            )
+
+    parts.append("s0 AS (SELECT doc_id, leaf, source AS of, NULL AS sub, source AS grp, place AS idx, leaf AS d, seen, '' AS proof FROM x)")
+    up("s")
+    parts.append(f"t0 AS (SELECT doc_id, leaf, of, d AS sub, 0 AS grp, dense_rank() OVER (ORDER BY of NULLS FIRST) - 1 AS idx, d, seen, proof FROM s{levels})")
+    up("t")
+    return "WITH " + ", ".join(parts) + f" SELECT doc_id, leaf, sub AS subroot, d AS root, sha256(proof) AS proof_sha256, seen AS folded_root, seen = d AS verified FROM t{levels}"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -240,8 +280,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_source_mix": op9_source_mix,
         "op10_tool_calls": op10_tool_calls,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op9_source_mix": OP9_SQL, "op10_tool_calls": OP10_SQL}
+    return {"op1_url_filters": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op9_source_mix": OP9_SQL, "op10_tool_calls": OP10_SQL, "op11_merkle_manifest": merkle_sql()}
