@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard_join, langid, licenses, merkle, mixing, substring_dedup, tool_calls, toxicity, url_filter
-from .common import checkpointed, held_out, learns, read
+from . import decontaminate, embedding_dedup, hard_negatives, jaccard_join, langid, licenses, merkle, mixing, substring_dedup, token_counts, tool_calls, toxicity, url_filter
+from .common import checkpointed, held_out, learns, read, shared_folder
 
 SITE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -268,6 +269,47 @@ def merkle_sql(levels: int = 6) -> str:
     return "WITH " + ", ".join(parts) + f" SELECT doc_id, leaf, sub AS subroot, d AS root, sha256(proof) AS proof_sha256, seen AS folded_root, seen = d AS verified FROM t{levels}"
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector's negatives, with the labels of every seventh moved on."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0, label=label)
+
+
+OP12_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+  (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+#: The vocabulary of op13, and the tokens over which a document is marked.
+VOCABULARY = "byte_bpe_50k.json"
+TOKEN_LIMIT = 512
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents through a store of their own, which is empty at first: each distinct text is encoded."""
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    store = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    counted = token_counts.count_tokens(docs, token_counts.Vocabulary(public_tokenizers.path(VOCABULARY)), store)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -281,8 +323,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_source_mix": op9_source_mix,
         "op10_tool_calls": op10_tool_calls,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op9_source_mix": OP9_SQL, "op10_tool_calls": OP10_SQL, "op11_merkle_manifest": merkle_sql()}
+    return {"op1_url_filters": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op9_source_mix": OP9_SQL, "op10_tool_calls": OP10_SQL, "op11_merkle_manifest": merkle_sql(), "op12_hard_negatives": OP12_SQL}
