@@ -82,6 +82,14 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return out.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, longer by underscores until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

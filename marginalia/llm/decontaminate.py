@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, among, slices, split_words, window_starts, windows
+from .common import U64, among, slices, split_words, unused, window_starts, windows
 
 LEAST = 4
 THRESHOLD = 0.5
@@ -138,7 +138,7 @@ def _matcher(items: list[tuple[int, str]], least: int, threshold: float):
 
     @F.arrow_udf(RESULT)
     def match(text: pa.Array) -> pa.Array:
-        best, coverage, over = np.full(len(text), -1, np.int64), np.zeros(len(text)), np.zeros(len(text), np.int64)
+        best, coverage, over = np.full(len(text), NO_ID, np.int64), np.zeros(len(text)), np.zeros(len(text), np.int64)
         base = 0
         for part in slices(pa.table({"t": text}), "t"):
             doc_tokens, doc_at = tokens(part.column("t"))
@@ -158,10 +158,10 @@ def _matcher(items: list[tuple[int, str]], least: int, threshold: float):
                 share = tiled(parts[n], doc_tokens[doc_at[row] : doc_at[row + 1]], least) / len(parts[n])
                 i = base + row
                 over[i] += share >= threshold
-                if (share, -ids[n]) > (coverage[i], -best[i]):
+                if share > coverage[i] or (share == coverage[i] and ids[n] < best[i]):
                     best[i], coverage[i] = ids[n], share
             base += part.num_rows
-        return pa.StructArray.from_arrays([pa.array(best, pa.int64(), mask=best < 0), pa.array(coverage), pa.array(over)], names=["item_id", "coverage", "n_items"])
+        return pa.StructArray.from_arrays([pa.array(best, pa.int64(), mask=coverage == 0), pa.array(coverage), pa.array(over)], names=["item_id", "coverage", "n_items"])
 
     return match
 
@@ -177,14 +177,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(item_text).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-2 * total // pass_chars) if total > pass_chars else 1
-    results = []
+    passed: list[str] = []
     out = docs.drop(*({"item_id", "coverage", "n_items", "contaminated"} - {text_col}))
     for n in range(passes):
         some = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == n) if passes > 1 else items
         if rows := [(r["id"], r["text"]) for r in some.orderBy("id", "text").collect()]:
-            out = out.withColumn(f"__pass{n}", _matcher(rows, least, threshold)(F.col(text_col)))
-            results.append(F.col(f"__pass{n}"))
-    found = reduce(_better, results) if results else F.lit(None).cast("struct<item_id:long,coverage:double,n_items:long>")
-    out = out.withColumn("__found", found)
-    out = out.withColumns({"item_id": F.col("__found.item_id"), "coverage": F.coalesce("__found.coverage", F.lit(0.0)), "n_items": F.coalesce("__found.n_items", F.lit(0).cast("long"))})
-    return out.withColumn("contaminated", (F.col("n_items") > 0).cast("int")).drop("__found", *[f"__pass{n}" for n in range(passes)])
+            passed.append(unused(out, f"__pass{n}"))
+            out = out.withColumn(passed[-1], _matcher(rows, least, threshold)(F.col(text_col)))
+    found = reduce(_better, map(F.col, passed)) if passed else F.lit(None).cast("struct<item_id:long,coverage:double,n_items:long>")
+    best = unused(out, "__found")
+    out = out.withColumn(best, found)
+    out = out.withColumns({"item_id": F.col(f"{best}.item_id"), "coverage": F.coalesce(f"{best}.coverage", F.lit(0.0)), "n_items": F.coalesce(f"{best}.n_items", F.lit(0).cast("long"))})
+    return out.withColumn("contaminated", (F.col("n_items") > 0).cast("int")).drop(best, *passed)
