@@ -11,7 +11,8 @@ chunks, no pairs are written out).
 
 Defined cases: null or empty vectors, zero vectors and those with a null or non-finite
 component link with nothing. Vectors of different lengths never link. Repeated rows (same
-id and vector) are one vector. Null id: a vector like any. Empty table: no rows. Other
+id and vector) are one vector; different vectors of one id are a row each, kept if that id is
+their component's. Null id: a vector like any. Empty table: no rows. Other
 columns are not read, whatever their names. Very long vectors are rows like any.
 """
 
@@ -132,4 +133,5 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
     members = hashed.select("node", F.size("vector").cast("long").alias("n"), F.posexplode("buckets").alias("table", "bucket"))
     tasks = bucket_tasks(members, chunk, weight).drop("pivot")
     found = compared(paired(tasks.join(hashed.select("node", "size", "buckets", "vector"), "node")), alike_vectors(threshold), n)
-    return resolved(light, hashed, found)
+    # vectors that share an id are different rows of one name, so the id decides what is kept
+    return resolved(light, hashed, found).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
