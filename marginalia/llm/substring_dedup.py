@@ -21,8 +21,9 @@ A block sends a hash once however often it has it, so a passage in a third of al
 documents costs one entry for each block, and nothing is ever paired.
 
 Defined cases: null or empty text: no words, nothing removed, null or empty kept text.
-Fewer words than a window: kept. Null id: after all other ids. Rows with the same id:
-one after the other in order of text, so of exact repeats the later one goes. Ids are
+Fewer words than a window: kept. Null id: after all other ids, in an order that
+their texts fix. Rows with the same id: one after the other in order of text, so of exact
+repeats the later one goes. Ids are
 integers. Words are joined by one space in the kept text, also where none is removed. Very
 long texts are hashed whole, and are one row of their block. Empty table: no rows. Other
 columns pass through; those named like a result column are replaced.
@@ -62,11 +63,11 @@ def cover_for(window: int) -> tuple[int, np.ndarray, int]:
 class _Block:
     """The words of one block in order of (id, text), and its windows."""
 
-    def __init__(self, table: pa.Table, id_col: str, text_col: str, window: int):
+    def __init__(self, table: pa.Table, window: int):
         self.window = window
-        self.table = table.take(pc.sort_indices(table, sort_keys=[(id_col, "ascending"), (text_col, "ascending")]))
-        self.ids = one_array(pc.fill_null(self.table.column(id_col).cast(pa.int64()), LAST_ID)).to_numpy(zero_copy_only=False)
-        self.words, self.offsets = split_words(self.table.column(text_col))
+        self.table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")]))
+        self.ids = one_array(pc.fill_null(self.table.column("id").cast(pa.int64()), LAST_ID)).to_numpy(zero_copy_only=False)
+        self.words, self.offsets = split_words(self.table.column("text"))
         self.first = hashed(self.words)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +146,8 @@ def _shared(batches):
 def _later(batches):
     """Full windows of all blocks but the one with the first document."""
     blocks, values = _gathered(batches, PLACE)
-    order = np.lexsort((values["id"], values["b"], values["a"]))
+    # blocks decide between rows without an id
+    order = np.lexsort((blocks, values["id"], values["b"], values["a"]))
     v = values[order]
     later = order[1:][(v["a"][1:] == v["a"][:-1]) & (v["b"][1:] == v["b"][:-1])]
     out = np.empty(len(later), PAIR)
@@ -187,20 +189,23 @@ def _among_pairs(pairs: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def remove_repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """The documents (``with_text=False``: less the original text) with ``kept_text``, ``n_words`` and ``n_removed``."""
-    docs = docs.drop("kept_text", "n_words", "n_removed")
+    docs = docs.drop(*({"kept_text", "n_words", "n_removed"} - {id_col, text_col}))
     n = partitions_for(docs, PARTITION_BYTES)
     # from the input's size alone: a block sends at most one row to each bucket
     size = min(input_bytes(docs), n * PARTITION_BYTES)
     buckets, n_blocks = max(16, size // BUCKET_BYTES), max(16, size // BLOCK_BYTES)
-    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int")).repartition(n, "__block")
+    # rows without an id are dealt out by their text, so they may be any number
+    dealt_by = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
+    others = [c for c in docs.columns if c != text_col]
+    dealt = docs.select(F.pmod(dealt_by, F.lit(n_blocks)).cast("int").alias("__block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")).repartition(n, "__block")
     sent, answer = "__bucket int, __block int, payload binary", "__block int, payload binary"
 
     def send_anchors(key, table):
-        found = np.unique(_Block(table, id_col, text_col, window).anchors()[1])
+        found = np.unique(_Block(table, window).anchors()[1])
         return _dealt(key[0].as_py(), found, found, buckets)
 
     def send_windows(key, table, answers):
-        block = _Block(table, id_col, text_col, window)
+        block = _Block(table, window)
         at, anchors = block.anchors()
         values, counts = np.unique(anchors, return_counts=True)
         marked = np.zeros(len(block.first), bool)
@@ -215,7 +220,7 @@ def remove_repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "d
         return _dealt(key[0].as_py(), out["a"], out, buckets)
 
     def keep_rest(key, table, answers):
-        block = _Block(table, id_col, text_col, window)
+        block = _Block(table, window)
         starts, pairs = block.full()
         gone = starts[_repeats(pairs) | _among_pairs(pairs, _answered(answers, PAIR))]
         edge = np.zeros(len(block.first) + 1, np.int64)
@@ -224,14 +229,16 @@ def remove_repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "d
         kept = np.cumsum(edge)[:-1] == 0
         sums = np.concatenate(([0], np.cumsum(kept)))[block.offsets]
         lists = pa.ListArray.from_arrays(pa.array(sums, pa.int32()), block.words.filter(pa.array(kept)).cast(pa.string()))
-        text = pc.if_else(one_array(pc.is_valid(block.table.column(text_col))), pc.binary_join(lists, " "), None)
-        out = block.table.drop_columns(["__block"] if with_text else ["__block", text_col])
+        text = pc.if_else(one_array(pc.is_valid(block.table.column("text"))), pc.binary_join(lists, " "), None)
+        out = block.table.drop_columns(["__block", "id"] if with_text else ["__block", "id", "text"])
         out = out.append_column("kept_text", text).append_column("n_words", pa.array(np.diff(block.offsets)))
         return out.append_column("n_removed", pa.array(np.diff(block.offsets) - np.diff(sums)))
 
     blocks = dealt.groupBy("__block")
     shared = blocks.applyInArrow(send_anchors, sent).repartition(n, "__bucket").mapInArrow(_shared, answer).repartition(n, "__block")
     later = blocks.cogroup(shared.groupBy("__block")).applyInArrow(send_windows, sent).repartition(n, "__bucket").mapInArrow(_later, answer).repartition(n, "__block")
-    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if with_text or f.name != text_col]
-    schema = T.StructType([*fields, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return blocks.cogroup(later.groupBy("__block")).applyInArrow(keep_rest, schema)
+    fields = [f for f in dealt.schema if f.name == "row" or (with_text and f.name == "text")]
+    schema = T.StructType([*sorted(fields, key=lambda f: f.name != "text"), T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    out = blocks.cogroup(later.groupBy("__block")).applyInArrow(keep_rest, schema)
+    names = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if with_text or c != text_col]
+    return out.select(*names, "kept_text", "n_words", "n_removed")
