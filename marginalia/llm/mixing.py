@@ -18,7 +18,7 @@ Defined cases: null text or no words: size 0, takes 0. Null source: a source of
 last in order. Null id: drawn with the key of the empty id. Repeated rows: each counts;
 rows that tie on the edge key share what is left in proportion to their size. Very long
 texts: only their words are counted. Empty table: no rows. Other columns are passed
-through, those named like a result column are replaced.
+through, whatever their names; those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .common import checkpointed
 
 ROWS = 100
 BINS = 64
+#: Sources whose targets (under 100 bytes each, and their names) are broadcast.
+FEW_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,10 +73,11 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     holds sizes counted beforehand; without it the words of ``text_col`` are counted.
     """
     worth = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1.0)
-    docs = docs.drop(*({"size", "source_size", "target", "taken"} - {text_col, size_col}))
     size = word_count(F.col(text_col)) if size_col is None else F.coalesce(F.col(size_col), F.lit(0)).cast("long")
-    keyed = docs.withColumns({"size": size, "__key": -F.log(uniform(F.col(id_col), seed)) / worth})
-    light = checkpointed(keyed.select(F.col(source_col).alias("source"), "size", "__key"))
+    # a document's own columns travel in one, so that their names are free
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0)]).alias("row"), F.col(source_col).alias("__source"), size.alias("size"), (-F.log(uniform(F.col(id_col), seed)) / worth).alias("__key"))
+    light = checkpointed(keyed.select(F.col("__source").alias("source"), "size", "__key"))
     measures = [F.sum("size").alias("bin_size"), F.count(F.lit(1)).alias("n"), F.min("__key").alias("low"), F.max("__key").alias("high")]
     sources = checkpointed(light.groupBy("source").agg(*measures).withColumnRenamed("bin_size", "source_size"))
 
@@ -104,12 +107,14 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     near = near.select("source", F.col("__key").alias("edge_key"), "tied", (F.col("rest") - F.col("before")).alias("wanted"))
 
     goal = goal.alias("g").join(near.alias("n"), F.col("g.source").eqNullSafe(F.col("n.source")), "left")
-    goal = checkpointed(goal.select(F.col("g.source").alias("__source"), "source_size", "target", "epochs", "rest", "edge_key", "tied", "wanted"))
+    goal = checkpointed(goal.select(F.col("g.source").alias("of"), "source_size", "target", "epochs", "rest", "edge_key", "tied", "wanted"))
     part = (
         F.when(F.col("edge_key").isNull(), 0)
         .when(F.col("__key") < F.col("edge_key"), F.col("size"))
         .when(F.col("__key") == F.col("edge_key"), F.floor(F.col("wanted") * F.col("size") / F.col("tied")))
         .otherwise(0)
     )
-    out = keyed.join(goal, F.col(source_col).eqNullSafe(F.col("__source")))
-    return out.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).drop("__key", "__source", "epochs", "rest", "edge_key", "tied", "wanted")
+    # a source may hold any share of the documents, so they stay where they are
+    out = keyed.join(F.broadcast(goal) if goal.count() <= FEW_SOURCES else goal, F.col("__source").eqNullSafe(F.col("of")))
+    taken = (F.col("epochs") * F.col("size") + part).cast("long")
+    return out.select(*[F.col(f"row.`{c}`") for c in kept], "size", "source_size", "target", taken.alias("taken"))
