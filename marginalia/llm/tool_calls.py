@@ -20,7 +20,8 @@ Defined cases, in ``status``: ``text``; for calls ``answered``, ``unanswered``,
 missing call or in a circle; its level is null); for results ``linked`` and ``orphan``.
 Several results of one call are all linked. Broken JSON is text. Null text is serialised
 as null, null conversation ids are one conversation. Repeated messages: repeated calls are
-duplicates. Ties in place keep one order within a run. Very long texts are parsed and
+duplicates. Of different calls with one identifier in one place the first by digest of what
+they say counts, however the input is read. Very long texts are parsed and
 serialised whole, a row at a time. Other columns are not read, also those named like a
 result column. Empty table: no rows.
 """
@@ -36,6 +37,8 @@ from .common import checkpointed
 
 #: JSON type to the prefixes of Spark's names for variant types.
 TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"], "null": ["VOID"]}
+#: Tools and their parameters, which are broadcast.
+MOST_PARAMETERS = 100_000
 SPEC = "name string, params array<struct<param:string,type:string,required:boolean>>"
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
 
@@ -127,7 +130,9 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas, *, conv_col: str = "c
     every = events(messages, conv_col, turn_col, role_col, text_col)
     # null conversations are joined like any other
     every = every.withColumn("conv", F.struct(F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("k"), F.col("conv").isNull().alias("none")))
-    every = checkpointed(every.withColumn("id", F.monotonically_increasing_id()))
+    # ties in place are ordered by what the call says; equal calls are numbered, as it does not matter which is first
+    said = F.sha2(F.to_json(F.struct("role", "name", "arguments", "after")), 256)
+    every = checkpointed(every.withColumn("id", F.struct(F.when(F.col("kind") == "call", said).alias("said"), F.monotonically_increasing_id().alias("n"))))
     place = F.struct("turn", "part", "id")
     firsts = every.filter("kind = 'call' and call_id is not null").groupBy("conv", "call_id").agg(F.min(F.struct(place.alias("p"), "after")).alias("f"))
     firsts = checkpointed(firsts.select("conv", "call_id", F.col("f.p.turn").alias("turn"), F.col("f.p.id").alias("first"), F.col("f.after").alias("after")))
@@ -135,8 +140,12 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas, *, conv_col: str = "c
     calls = firsts.join(placed(firsts), ["conv", "call_id"], "left").join(answers, ["conv", "call_id"], "left").drop("turn", "after")
 
     rows = [(name, [(p, t, r) for p, (t, r) in sorted(params.items())]) for name, params in sorted(schemas.items())]
+    if sum(map(len, schemas.values())) + len(schemas) > MOST_PARAMETERS:
+        raise ValueError(f"more than {MOST_PARAMETERS} tools and parameters")
     specs = spark.createDataFrame(rows, SPEC)
-    out = every.join(calls, ["conv", "call_id"], "left").join(specs, "name", "left")
+    # only what has an identifier is joined by it: all else of a conversation would be one key
+    named = every.filter("call_id is not null").join(calls, ["conv", "call_id"], "left")
+    out = named.unionByName(every.filter("call_id is null"), allowMissingColumns=True).join(F.broadcast(specs), "name", "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     status = (
         F.when(call & F.col("call_id").isNull(), "no_id")
