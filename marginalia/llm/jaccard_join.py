@@ -45,8 +45,8 @@ MISSED = 1e-4
 CHUNK = 256
 #: Runs of words in a chunk.
 WEIGHT = 2_000_000
-#: Bytes of a run's hash in a set: two sets of a thousand runs share one by accident in one of 280 million comparisons.
-HASH = 6
+#: Bytes of a run's hash in a set.
+HASH = 8
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 
