@@ -153,7 +153,7 @@ def test_call_chains_are_layered(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, tiny, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "conversations"):
+    for t in ("documents", "pages", "labels", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
     expected = con.sql(queries.oracle_sql()[name])
     columns = sorted(expected.columns)

@@ -231,7 +231,7 @@ def test_quality_is_drawn_first(spark):
 
 def test_query_names(spark):
     names = [n for n in queries.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_items_without_an_id_are_leaks_too(spark):
