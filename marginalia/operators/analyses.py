@@ -10,17 +10,18 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from ..functions import scanners
-from ..functions.align import EQUAL, REPLACE, counts, distance, edit_blocks, edit_runs, matching_blocks
+from ..functions import batch_align, scanners
+from ..functions.align import EQUAL, REPLACE, Block, distance, edit_blocks, edit_runs
 from ..functions.text import excerpt, f1, line_array, quality_gain, safe_ratio, token_array, zero_safe_ratio
 from . import aggregate, relational
-from .metrics import list_function, pair_function, with_distance
+from .metrics import batch_function, batch_list_function, by_slices, list_function, with_distance
 
 KEY = ["view", "pipeline"]
 GONE = "∅"
@@ -38,15 +39,14 @@ def exploded(pairs: DataFrame, rows: Column, *keep: str) -> DataFrame:
 # -- word alignments -----------------------------------------------------------------
 
 
-def _confusions(ref: str, hyp: str):
-    for op, i, i2, j, j2 in matching_blocks(ref, hyp):
+def _confusions(a: str, b: str, blocks: list[Block]):
+    for op, i, i2, j, j2 in blocks:
         if op == REPLACE:
-            yield from ({"expected": a, "observed": b} for a, b in zip(ref[i:i2], hyp[j:j2]))
+            yield from ({"expected": x, "observed": y} for x, y in zip(a[i:i2], b[j:j2]))
 
 
-def _classes(ref: str, hyp: str):
-    a, b = ref.split(), hyp.split()
-    for op, i, i2, j, j2 in matching_blocks(a, b):
+def _classes(a: list[str], b: list[str], blocks: list[Block]):
+    for op, i, i2, j, j2 in blocks:
         if op == EQUAL:
             continue
         left, right = a[i:i2], b[j:j2]
@@ -62,28 +62,39 @@ def _tokens(text: str) -> list[str]:
     return [t.lower() for t in TOKENS.findall(text)]
 
 
-def _rewritten(ref: str, hyp: str):
+def _rewritten(a: list[str], b: list[str], blocks: list[Block]):
     """Each token of the reference with the form it was given; itself if kept."""
-    a, b = _tokens(ref), _tokens(hyp)
-    for op, i, i2, j, j2 in matching_blocks(a, b):
+    for op, i, i2, j, j2 in blocks:
         for n in range(i, i2):
             form = a[n] if op == EQUAL else b[j + n - i] if op == REPLACE and n - i < j2 - j else GONE
             yield {"token": a[n], "form": form, "kept": op == EQUAL}
 
 
-confusion_rows = list_function(_confusions, _strings("expected", "observed"))
-class_rows = list_function(_classes, pa.struct([("class", pa.string()), ("n", pa.int64())]))
-token_rows = list_function(_rewritten, pa.struct([("token", pa.string()), ("form", pa.string()), ("kept", pa.bool_())]))
+def matched(items: Callable[[str], Sequence], rows: Callable[[Sequence, Sequence, list[Block]], Iterable[dict]]):
+    """A function of a batch of pairs: ``rows`` of each pair's items and their longest-block alignment."""
+
+    def each(refs: list[str], hyps: list[str]):
+        left, right = ([items(t) for t in side] for side in (refs, hyps))
+        return map(rows, left, right, batch_align.matches(left, right))
+
+    return each
+
+
+confusion_rows = batch_list_function(matched(str, _confusions), _strings("expected", "observed"))
+class_rows = batch_list_function(matched(str.split, _classes), pa.struct([("class", pa.string()), ("n", pa.int64())]))
+token_rows = batch_list_function(matched(_tokens, _rewritten), pa.struct([("token", pa.string()), ("form", pa.string()), ("kept", pa.bool_())]))
 
 
 def confusions(pairs: DataFrame, k: int = 10) -> DataFrame:
-    """The most frequent character confusions of each pipeline."""
+    """The most frequent character confusions of each pipeline; equal texts have none."""
+    pairs = pairs.filter(F.col("ref") != F.col("hyp"))
     counted = exploded(pairs, confusion_rows(F.col("ref"), F.col("hyp")), *KEY).groupBy(*KEY, "expected", "observed").agg(F.count(F.lit(1)).alias("n"))
     return aggregate.top(counted, k, F.desc("n"), F.col("expected"), F.col("observed"), by=KEY)
 
 
 def taxonomy(pairs: DataFrame) -> DataFrame:
     """Errors of each class, and their share of the pipeline's."""
+    pairs = pairs.filter(F.col("ref") != F.col("hyp"))
     counted = exploded(pairs, class_rows(F.col("ref"), F.col("hyp")), *KEY).groupBy(*KEY, "class").agg(F.sum("n").alias("n"))
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*KEY)))
 
@@ -234,13 +245,7 @@ def missed_rare_tokens(pairs: DataFrame, most: int = 2, k: int = 20, tokens=toke
     return aggregate.collected_samples(_rare_counts(pairs, most, tokens, references).filter("kept < n"), KEY, "token", k)
 
 
-def _new_grams(ref: str, hyp: str, n: int = 3) -> tuple[int, int]:
-    known = {ref[i : i + n] for i in range(len(ref) - n + 1)}
-    grams = [hyp[i : i + n] for i in range(len(hyp) - n + 1)]
-    return len(grams), sum(g not in known for g in grams)
-
-
-new_grams = pair_function(_new_grams, "grams long, new long")
+new_grams = batch_function(lambda refs, hyps: list(batch_align.new_grams(batch_align.Pairs(refs, hyps))), ["grams", "new"])
 
 
 def hallucination(pairs: DataFrame) -> DataFrame:
@@ -386,28 +391,34 @@ def calibration(tokens: DataFrame, by: list[str]) -> DataFrame:
 CORRECTION = "raw_edits long, raw_total long, sys_edits long, sys_total long, sys_insertions long, change_edits long, change_total long, ref_length long, sys_length long, correct_before long, undone long"
 
 
-def _correction_row(ref: str, raw: str, sys: str) -> dict:
-    def edits(blocks) -> tuple[int, int, int]:
-        h, s, d, i = counts(blocks)
-        return s + d + i, h + s + d + i, i
-
-    def beside(a: list[str], b: list[str]) -> list[str | None]:
-        out: list[str | None] = [None] * len(a)
-        for op, i, i2, j, _ in edit_blocks(a, b):
-            if op in (EQUAL, REPLACE):
-                out[i:i2] = b[j : j + i2 - i]
-        return out
-
-    words = ref.split()
-    before, after = beside(words, raw.split()), beside(words, sys.split())
-    kept = [n for n, w in enumerate(words) if before[n] == w]
-    undone = [{"reference": words[n][:64], "corrected": (after[n] or GONE)[:64]} for n in kept if after[n] != words[n]]
-    result = edit_blocks(ref, sys)
-    raw_e, raw_t, _ = edits(edit_blocks(ref, raw))
-    sys_e, sys_t, sys_i = edits(result)
-    change_e, change_t, _ = edits(edit_blocks(raw, sys))
-    row = dict(zip((p.split()[0] for p in CORRECTION.split(", ")), (raw_e, raw_t, sys_e, sys_t, sys_i, change_e, change_t, len(ref), len(sys), len(kept), len(undone)), strict=True))
-    return row | {"runs": edit_runs(result), "samples": undone}
+def _beside(words: list[str], others: list[str], blocks: list[Block]) -> list[str | None]:
+    """What each word is aligned with."""
+    out: list[str | None] = [None] * len(words)
+    for op, i, i2, j, _ in blocks:
+        if op in (EQUAL, REPLACE):
+            out[i:i2] = others[j : j + i2 - i]
+    return out
+
+
+def correction_rows(refs: list[str], raws: list[str], fixed: list[str]) -> list[dict]:
+    """The measures of each triple; every two of its texts are aligned for the whole batch."""
+    align = lambda a, b: batch_align.edits(batch_align.Pairs(a, b))
+    steps = align(refs, fixed)
+    raw, result, change = align(refs, raws).counts(), steps.counts(), align(raws, fixed).counts()
+    total = lambda c: (c[:, 1:].sum(1), c.sum(1))
+    numbers = [*total(raw), *total(result), result[:, 3], *total(change)]
+    words, before, after = ([t.split() for t in side] for side in (refs, raws, fixed))
+    blocks = [batch_align.edit_blocks(words, side) for side in (before, after)]
+    out = []
+    for n, (a, b, c) in enumerate(zip(words, before, after, strict=True)):
+        was, now = _beside(a, b, blocks[0][n]), _beside(a, c, blocks[1][n])
+        kept = [k for k, w in enumerate(a) if was[k] == w]
+        undone = [{"reference": a[k][:64], "corrected": (now[k] or GONE)[:64]} for k in kept if now[k] != a[k]]
+        row = [*(int(x[n]) for x in numbers), len(refs[n]), len(fixed[n]), len(kept), len(undone)]
+        out.append(dict(zip((p.split()[0] for p in CORRECTION.split(", ")), row, strict=True)) | {"samples": undone})
+    for row, found in zip(out, steps.blocks(), strict=True):
+        row["runs"] = edit_runs(found)
+    return out
 
 
 _CORRECTION_KIND = pa.struct([*[(p.split()[0], pa.int64()) for p in CORRECTION.split(", ")], ("runs", pa.list_(pa.int64())), ("samples", pa.list_(_strings("reference", "corrected")))])
@@ -415,7 +426,7 @@ _CORRECTION_KIND = pa.struct([*[(p.split()[0], pa.int64()) for p in CORRECTION.s
 
 @F.arrow_udf(from_arrow_type(_CORRECTION_KIND))
 def correction_row(ref: pa.Array, raw: pa.Array, sys: pa.Array) -> pa.Array:
-    return pa.array([_correction_row(a, b, c) for a, b, c in zip(ref.to_pylist(), raw.to_pylist(), sys.to_pylist(), strict=True)], _CORRECTION_KIND)
+    return by_slices(lambda *texts: pa.array(correction_rows(*texts), _CORRECTION_KIND), ref, raw, sys)
 
 
 def correction_by_doc(triples: DataFrame) -> DataFrame:

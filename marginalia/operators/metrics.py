@@ -1,95 +1,86 @@
 """Document metrics: (ref, hyp) to a value and a weight.
 
 A metric is a pair of columns over ``ref``, ``hyp`` and, where a path through the edit
-matrix is needed, two structs that one Arrow function each computes for a pair:
-``chars`` and ``words``. Distances alone use the built-in. A value is null where the
+matrix is needed, two structs that one Arrow function each computes for a batch of pairs:
+``chars`` and ``words``, which hold what the chosen metrics read. Distances alone use the built-in. A value is null where the
 metric does not apply; a weight is what the value is a share of.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions import fixed_values as fixed
-from ..functions import scanners
-from ..functions.align import counts, distance, edit_blocks, positions_kept
+from ..functions import batch_align, scanners, word_index
 from ..functions.text import safe_ratio
 
-CHARS = "h long, s long, d long, i long, marks long, marks_kept long, glyphs long, glyphs_kept long, archaic long, archaic_kept long, archaic_out long, archaic_true long, grams long, grams_new long"
-WORDS = "h long, s long, d long, i long, n long, found long"
+#: What the structs hold, by what a metric reads of them.
+PARTS = {
+    "chars": ("h", "s", "d", "i"),
+    "marks": ("marks", "marks_kept"),
+    "glyphs": ("glyphs", "glyphs_kept"),
+    "archaic": ("archaic", "archaic_kept", "archaic_out", "archaic_true"),
+    "grams": ("grams", "grams_new"),
+    "words": ("h", "s", "d", "i"),
+    "found": ("found",),
+}
 SEQUENCES = "total long, strict long, value long"
 
 
-def _char_row(ref: str, hyp: str, archaic: frozenset[str]) -> tuple:
-    blocks = edit_blocks(ref, hyp)
-    kept = positions_kept(blocks)
-    swapped = positions_kept([(op, j, j2, i, i2) for op, i, i2, j, j2 in blocks])
-
-    def share(text: str, ok: np.ndarray, wanted: Callable[[str], bool]) -> tuple[int, int]:
-        which = {c for c in set(text) if wanted(c)}
-        at = [n for n, c in enumerate(text) if c in which]
-        return len(at), int(ok[at].sum()) if at else 0
-
-    grams = [hyp[n : n + 3] for n in range(len(hyp) - 2)]
-    known = {ref[n : n + 3] for n in range(len(ref) - 2)}
-    return (
-        *counts(blocks),
-        *share(ref, kept, scanners.is_diacritic_target),
-        *share(ref, kept, scanners.is_medieval_glyph),
-        *share(ref, kept, archaic.__contains__),
-        *share(hyp, swapped, archaic.__contains__),
-        len(grams),
-        sum(g not in known for g in grams),
-    )
+def _flagged(items: np.ndarray, wanted: Callable[[str], bool]) -> np.ndarray:
+    """Which characters are wanted; each different one is looked at once."""
+    different, place = np.unique(items, return_inverse=True)
+    return np.fromiter((wanted(chr(c)) for c in different), bool, len(different))[place]
 
 
-def _found_words(ref: list[str], hyp: list[str], most: int = 2) -> int:
-    """Words of the reference that take, in order, the first unused word within two edits.
+def _by_text(starts: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(flags)))
+    return sums[starts[1:]] - sums[starts[:-1]]
 
-    Which words are that close is looked up once for each two different ones; letters that
-    only one of two words has tell most apart.
-    """
-    letters = {w: sum({1 << (ord(c) % 61) for c in w}) for w in {*ref, *hyp}}
-    places: dict[str, list[int]] = {}
-    for n in range(len(hyp) - 1, -1, -1):
-        places.setdefault(hyp[n], []).append(n)
-    near: dict[str, list[list[int]]] = {}
-    found = 0
-    for word in ref:
-        if word not in near:
-            near[word] = [at for w, at in places.items() if w == word or (abs(len(word) - len(w)) <= most and (letters[word] ^ letters[w]).bit_count() <= 2 * most and _within(word, w, most))]
-        free = min((at for at in near[word] if at), key=lambda at: at[-1], default=None)
-        if free:
-            free.pop()
-            found += 1
-    return found
-
-
-def _within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most ``most``: only the band around the diagonal."""
-    if a == b:
-        return True
-    row = {j: j for j in range(most + 1)}
-    for i, x in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            new[j] = i if j == 0 else min(row.get(j, most + 1) + 1, new.get(j - 1, most + 1) + 1, row.get(j - 1, most + 1) + (b[j - 1] != x))
-        if min(new.values(), default=most + 1) > most:
-            return False
-        row = new
-    return row.get(len(b), most + 1) <= most
-
-
-def _word_row(ref: str, hyp: str) -> tuple:
-    a, b = ref.split(), hyp.split()
-    return (*counts(edit_blocks(a, b)), len(a), _found_words(a, b))
+
+def char_measures(refs: list[str], hyps: list[str], parts: Iterable[str], archaic: frozenset[str] = frozenset()) -> list[np.ndarray]:
+    """The columns of ``parts`` of all pairs, from one alignment of the whole batch."""
+    pairs, out = batch_align.Pairs(refs, hyps), []
+    steps = batch_align.edits(pairs) if set(parts) - {"grams"} else None
+    kept = cache(lambda side: steps.kept(side))
+
+    def share(side: int, wanted: Callable[[str], bool]) -> list[np.ndarray]:
+        flags = _flagged(pairs.items[side], wanted)
+        return [_by_text(pairs.starts[side], flags), _by_text(pairs.starts[side], flags & kept(side))]
+
+    for part in parts:
+        if part == "chars":
+            out += list(steps.counts().T)
+        elif part == "marks":
+            out += share(0, scanners.is_diacritic_target)
+        elif part == "glyphs":
+            out += share(0, scanners.is_medieval_glyph)
+        elif part == "archaic":
+            out += share(0, archaic.__contains__) + share(1, archaic.__contains__)
+        elif part == "grams":
+            out += batch_align.new_grams(pairs)
+    return out
+
+
+def word_measures(refs: list[str], hyps: list[str], parts: Iterable[str]) -> list:
+    """The columns of ``parts`` of all pairs, and the number of words of the reference."""
+    left, right = ([t.split() for t in side] for side in (refs, hyps))
+    out: list = []
+    for part in parts:
+        if part == "words":
+            out += list(batch_align.edits(batch_align.Pairs(left, right)).counts().T)
+        elif part == "found":
+            out.append(word_index.found_words(left, right))
+    return [*out, [len(x) for x in left]]
 
 
 def _sequence_row(ref: str, hyp: str) -> tuple:
@@ -97,26 +88,56 @@ def _sequence_row(ref: str, hyp: str) -> tuple:
     return tuple(sum(r[k] for r in rows) for k in ("n_total", "n_strict", "n_value"))
 
 
-def pair_function(row: Callable[[str, str], tuple], schema: str):
-    """An Arrow function over (ref, hyp) that returns a struct; null if either text is."""
-    names = [part.split()[0] for part in schema.split(", ")]
+#: Bytes of text that are aligned together.
+TOGETHER = 2_000_000
+
 
-    @F.arrow_udf(from_arrow_type(pa.struct([(n, pa.int64()) for n in names])))
+def by_slices(rows: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``rows`` of the values where no column is null, a slice of about ``TOGETHER`` bytes at a time; null elsewhere."""
+    there, sizes = np.ones(len(columns[0]), bool), np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        there &= np.asarray(c.is_valid())
+        sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    columns, ends, out, start = [c.filter(pa.array(there)) for c in columns], np.cumsum(sizes[there]), [], 0
+    while start < len(ends) or not out:
+        stop = max(start + 1, int(np.searchsorted(ends, TOGETHER + (ends[start - 1] if start else 0), side="right")))
+        out.append(rows(*(c.slice(start, stop - start).to_pylist() for c in columns)))
+        start = stop
+    return pa.concat_arrays(out).take(pa.array(np.cumsum(there) - 1, pa.int64(), mask=~there))
+
+
+def batch_function(measures: Callable[[list[str], list[str]], list], names: Sequence[str]):
+    """An Arrow function over (ref, hyp) whose struct's columns are found for a whole batch; null if either text is."""
+    kind = pa.struct([(n, pa.int64()) for n in names])
+
+    @F.arrow_udf(from_arrow_type(kind))
     def measure(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-        rows = [None if a is None or b is None else row(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)]
-        columns = [pa.array([r and r[k] for r in rows], pa.int64()) for k in range(len(names))]
-        return pa.StructArray.from_arrays(columns, names=names, mask=pa.array([r is None for r in rows]))
+        def rows(refs: list[str], hyps: list[str]) -> pa.Array:
+            columns = measures(refs, hyps) if refs else [[]] * len(names)
+            return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(kind))
+
+        return by_slices(rows, ref, hyp)
 
     return measure
 
 
+def pair_function(row: Callable[[str, str], tuple], schema: str):
+    """The same by a function of one pair."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    return batch_function(lambda a, b: list(zip(*map(row, a, b), strict=True)), names)
+
+
 def list_function(rows: Callable[[str, str], Iterable[dict]], kind: pa.DataType):
     """An Arrow function over (ref, hyp) that returns an array of structs, to be exploded."""
+    return batch_list_function(lambda a, b: map(rows, a, b), kind)
+
+
+def batch_list_function(rows: Callable[[list[str], list[str]], Iterable[Iterable[dict]]], kind: pa.DataType):
+    """The same by a function of all pairs of a batch."""
 
     @F.arrow_udf(from_arrow_type(pa.list_(kind)))
     def measure(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-        out = [None if a is None or b is None else list(rows(a, b)) for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)]
-        return pa.array(out, pa.list_(kind))
+        return by_slices(lambda refs, hyps: pa.array([list(x) for x in rows(refs, hyps)], pa.list_(kind)), ref, hyp)
 
     return measure
 
@@ -142,28 +163,28 @@ def _edit_rate(edits: Column, length: Column) -> Column:
     return F.when(length > 0, edits / length).when(edits == 0, 0.0).when(edits > 0, 1.0)
 
 
-#: Cells of a distance matrix, in a band, up to which the built-in is quicker than columns of bits.
-BAND_CELLS = 4_000_000
+#: Cells of a distance matrix, in a band, up to which the built-in is quicker than wavefronts.
+BAND_CELLS = 2_000
 
 
 @F.arrow_udf(from_arrow_type(pa.int64()))
-def _long_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    return pa.array([None if a is None or b is None else distance(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], pa.int64())
+def batch_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return by_slices(lambda a, b: pa.array(batch_align.distances(batch_align.Pairs(a, b)), pa.int64()), ref, hyp)
 
 
 def with_distance(rows: DataFrame, name: str, ref: Column, hyp: Column) -> DataFrame:
     """Adds the least edits between two texts.
 
-    Equal texts take none. The built-in looks in a band about the diagonal that is as wide
-    as one edit in sixteen characters; the few pairs further apart, and those too long for
-    it, go through columns of bits in Python.
+    Equal texts take none. Short ones are left to the built-in, in a band about the diagonal
+    as wide as one edit in sixteen characters; all others, and those further apart, go
+    through the wavefronts of a batch.
     """
     band = (F.length(ref) / 16).cast("int") + 8
     fits = F.length(ref).cast("long") * (2 * band + 1) <= BAND_CELLS
     near = F.when(ref == hyp, 0).when(fits, F.call_function("levenshtein", ref, hyp, band))
     rows = rows.withColumns({"__near": near, "__ref": ref, "__hyp": hyp})
     far = F.col("__near").isNull() | (F.col("__near") < 0)
-    rows = rows.withColumn(name, F.coalesce(F.when(~far, F.col("__near").cast("long")), _long_distance(F.when(far, F.col("__ref")), F.when(far, F.col("__hyp")))))
+    rows = rows.withColumn(name, F.coalesce(F.when(~far, F.col("__near").cast("long")), batch_distance(F.when(far, F.col("__ref")), F.when(far, F.col("__hyp")))))
     return rows.drop("__near", "__ref", "__hyp")
 
 
@@ -194,16 +215,16 @@ METRICS = {
         Metric("del_rate", False, "words", _rate(_col("words.d"), _col("words.n")), _col("words.n")),
         Metric("ins_rate", False, "words", _rate(_col("words.i"), _col("words.n")), _col("words.n")),
         Metric("cmer", False, "chars", lambda: F.coalesce(safe_ratio(_char_edits(), _char_total()), F.when(_char_total() == 0, 0.0)), _char_total),
-        Metric("diacritic_err", False, "chars", lambda: _share("chars.marks_kept", "chars.marks", True), _col("chars.marks")),
-        Metric("mufi_err", False, "chars", lambda: _share("chars.glyphs_kept", "chars.glyphs", True), _col("chars.glyphs")),
-        Metric("air", False, "chars", lambda: _share("chars.archaic_true", "chars.archaic_out", True), _col("chars.archaic_out")),
-        Metric("searchability", True, "words", lambda: _share("words.found", "words.n"), _col("words.n")),
-        Metric("hallucination", False, "chars", lambda: _share("chars.grams_new", "chars.grams"), _col("chars.grams")),
+        Metric("diacritic_err", False, "marks", lambda: _share("chars.marks_kept", "chars.marks", True), _col("chars.marks")),
+        Metric("mufi_err", False, "glyphs", lambda: _share("chars.glyphs_kept", "chars.glyphs", True), _col("chars.glyphs")),
+        Metric("air", False, "archaic", lambda: _share("chars.archaic_true", "chars.archaic_out", True), _col("chars.archaic_out")),
+        Metric("searchability", True, "found", lambda: _share("words.found", "words.n"), _col("words.n")),
+        Metric("hallucination", False, "grams", lambda: _share("chars.grams_new", "chars.grams"), _col("chars.grams")),
         Metric("numseq_strict", True, "seqs", lambda: _share("seqs.strict", "seqs.total"), _col("seqs.total")),
         Metric("numseq_value", True, "seqs", lambda: _share("seqs.value", "seqs.total"), _col("seqs.total")),
     )
 }
-HCPR = Metric("hcpr", True, "chars", lambda: _share("chars.archaic_kept", "chars.archaic"), _col("chars.archaic"))
+HCPR = Metric("hcpr", True, "archaic", lambda: _share("chars.archaic_kept", "chars.archaic"), _col("chars.archaic"))
 METRIC_PROFILES = {
     "standard": ("cer", "wer", "mer", "searchability", "hallucination", "air"),
     "essentiel": ("cer", "wer", "mer"),
@@ -232,11 +253,11 @@ def measured(pairs: DataFrame, needs: set[str], archaic: str = fixed.ARCHAIC_COR
     """The pairs with the structs that the metrics need, each computed once."""
     from ..functions.normalize import PROFILES
 
-    signs = frozenset(archaic)
-    if "chars" in needs:
-        pairs = pairs.withColumn("chars", pair_function(lambda a, b: _char_row(a, b, signs), CHARS)(F.col("ref"), F.col("hyp")))
-    if "words" in needs:
-        pairs = pairs.withColumn("words", pair_function(_word_row, WORDS)(F.col("ref"), F.col("hyp")))
+    signs, texts = frozenset(archaic), (F.col("ref"), F.col("hyp"))
+    if parts := [p for p in ("chars", "marks", "glyphs", "archaic", "grams") if p in needs]:
+        pairs = pairs.withColumn("chars", batch_function(lambda a, b: char_measures(a, b, parts, signs), [c for p in parts for c in PARTS[p]])(*texts))
+    if words := [p for p in ("words", "found") if p in needs]:
+        pairs = pairs.withColumn("words", batch_function(lambda a, b: word_measures(a, b, words), [*[c for p in words for c in PARTS[p]], "n"])(*texts))
     if "seqs" in needs:
         pairs = pairs.withColumn("seqs", pair_function(_sequence_row, SEQUENCES)(F.col("ref"), F.col("hyp")))
     if "nfc" in needs:

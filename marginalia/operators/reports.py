@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from ..functions.align import EQUAL, matching_blocks
+from ..functions.align import EQUAL, Block
+from ..functions.batch_align import matches
 from .aggregate import micro
+from .metrics import by_slices
 from .relational import leaders, small
 
 
@@ -89,9 +91,9 @@ def verdicts(means: DataFrame, tied: DataFrame, tested: DataFrame, level: float
 MARKED = pa.struct([("ref", pa.string()), ("hyp", pa.string())])
 
 
-def _marked(ref: str, hyp: str) -> dict[str, str]:
+def _marked(ref: str, hyp: str, blocks: list[Block]) -> dict[str, str]:
     left, right = [], []
-    for op, i, i2, j, j2 in matching_blocks(ref, hyp):
+    for op, i, i2, j, j2 in blocks:
         a, b = escape(ref[i:i2]), escape(hyp[j:j2])
         left.append(a if op == EQUAL or not a else f"<del>{a}</del>")
         right.append(b if op == EQUAL or not b else f"<ins>{b}</ins>")
@@ -101,7 +103,7 @@ def _marked(ref: str, hyp: str) -> dict[str, str]:
 @F.arrow_udf(from_arrow_type(MARKED))
 def marked_texts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """Both texts as HTML, what only one of them has marked as deleted or inserted."""
-    return pa.array([None if a is None or b is None else _marked(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], MARKED)
+    return by_slices(lambda refs, hyps: pa.array(list(map(_marked, refs, hyps, matches(refs, hyps))), MARKED), ref, hyp)
 
 
 def recent_history(history: DataFrame, k: int = 1000) -> DataFrame:

@@ -8,11 +8,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.functions import align, scanners
+from marginalia.functions import align, scanners, word_index
 from marginalia.functions.normalize import PROFILES, newline_preserved, profile_from
 from marginalia.operators import statistics
 from marginalia.operators.layout import box_overlap, entity_outcomes, image_measures, matched_boxes, position_map
-from marginalia.operators.metrics import _found_words, _within
 
 TEXT = st.text(alphabet="abcé ", max_size=30)
 
@@ -145,12 +144,12 @@ def test_word_pair_classes(a, b, name):
 @given(st.text("ab", max_size=6), st.text("ab", max_size=6))
 @settings(deadline=None)
 def test_words_within_two_edits(a, b):
-    assert _within(a, b, 2) == (align.distance(a, b) <= 2)
+    assert word_index._within(a, b) == (align.distance(a, b) <= 2)
 
 
 def test_found_words_take_the_first_free():
-    assert _found_words(["chat", "chat", "xyzzy"], ["chut", "abcdef"]) == 1
-    assert _found_words([], ["a"]) == 0
+    assert word_index.found_words([["chat", "chat", "xyzzy"], []], [["chut", "abcdef"], ["a"]]) == [1, 0]
+    assert word_index.found_words([], []) == []
 
 
 def test_critical_values():

@@ -314,11 +314,12 @@ def plain(value):
 def test_queries_against_sql(spark, tiny, sql, name):
     text = catalogue.oracle_sql()[name]
     columns = sorted(sql.sql(text).columns)
-    expected = sql.sql(f"SELECT {', '.join(columns)} FROM ({text})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    expected = sql.sql(f"SELECT {quoted} FROM ({text})").fetchall()
     got = catalogue.queries()[name](spark, tiny)
     assert sorted(got.columns) == columns
     rows = [tuple(float(v) if type(v).__name__ == "Decimal" else v for v in r) for r in expected]
-    assert sorted(tuple(map(plain, r)) for r in got.select(*columns).collect()) == sorted(tuple(map(plain, r)) for r in rows)
+    assert sorted(tuple(map(plain, r)) for r in got.select(*[f"`{c}`" for c in columns]).collect()) == sorted(tuple(map(plain, r)) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
