@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Mapping
+
+import ahocorasick
 
 from . import fixed_values as fixed
 from .align import edit_blocks, positions_kept
@@ -120,37 +123,95 @@ def _plain_word(text: str) -> bool:
     return text.isascii() and text.isalnum()
 
 
-def _mark_pattern(mark: str) -> str:
-    if "." in mark:
-        return f"(?:^|(?<=[{fixed.BEFORE_DOTTED}])){re.escape(mark)}(?=$|[{fixed.AFTER_DOTTED}])"
-    return rf"\b{re.escape(mark)}\b" if _plain_word(mark) else re.escape(mark)
+def _in_word(c: str) -> bool:
+    return c == "_" or c.isalnum()
+
 
+_BEFORE, _AFTER = (re.compile(f"[{signs}]").match for signs in (fixed.BEFORE_DOTTED, fixed.AFTER_DOTTED))
 
-_MARKS = [(mark, category, re.compile(_mark_pattern(mark))) for category, marks in fixed.ARCHIVES.items() for mark in marks]
-_DEVELOPED = {mark: [re.compile(rf"\b{re.escape(d)}\b" if _plain_word(d) else re.escape(d), re.IGNORECASE) for d in developed] for marks in fixed.ARCHIVES.values() for mark, developed in marks.items()}
+
+class MarkScanner:
+    """All marks and all their developed forms in one automaton each, so a text is read once, however many there are.
+
+    A mark with a dot stands between the start or an opening sign and the end or a closing
+    one, a plain word between word boundaries, any other mark anywhere. Of occurrences of one
+    mark that overlap the first counts; of marks that overlap the one that begins first, and
+    of those the longest. Developed forms are found in any case.
+    """
+
+    def __init__(self, marks: Mapping[str, Mapping[str, tuple[str, ...]]]) -> None:
+        self.marks = [(mark, category) for category, some in marks.items() for mark in some]
+        self.forms = [(mark, form.lower()) for some in marks.values() for mark, forms in some.items() for form in forms]
+        self.automata = self._automaton([m for m, _ in self.marks]), self._automaton([f for _, f in self.forms])
+
+    @staticmethod
+    def _automaton(texts: list[str]) -> ahocorasick.Automaton:
+        """Numbers of the texts by the texts; equal texts share an entry."""
+        numbers: dict[str, list[int]] = {}
+        for n, text in enumerate(texts):
+            numbers.setdefault(text, []).append(n)
+        out = ahocorasick.Automaton()
+        for text, some in numbers.items():
+            out.add_word(text, (len(text), some))
+        out.make_automaton()
+        return out
+
+    @staticmethod
+    def _stands(text: str, start: int, end: int, dotted: bool) -> bool:
+        before, after, found = text[start - 1 : start] if start else "", text[end : end + 1], text[start:end]
+        if dotted and "." in found:
+            return (not before or _BEFORE(before) is not None) and (not after or _AFTER(after) is not None)
+        return not _plain_word(found) or not (before and _in_word(before)) and not (after and _in_word(after))
+
+    def found(self, text: str) -> Counter:
+        """How often each mark is in the text."""
+        spans, last = [], {}
+        for at, (size, numbers) in self.automata[0].iter(text):
+            start, n = at + 1 - size, numbers[0]
+            if start >= last.get(n, 0) and self._stands(text, start, at + 1, True):
+                last[n] = at + 1
+                spans.append((start, -at - 1, n))
+        out, free = Counter(), 0
+        for start, end, n in sorted(spans):
+            if start >= free:
+                out[self.marks[n][0]] += 1
+                free = -end
+        return out
+
+    def developed(self, text: str) -> Counter:
+        """How often each mark is developed in the text, by any of its forms."""
+        text = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        out, last = Counter(), {}
+        for at, (size, numbers) in self.automata[1].iter(text):
+            start = at + 1 - size
+            if start >= last.get(numbers[0], 0) and self._stands(text, start, at + 1, False):
+                last[numbers[0]] = at + 1
+                out.update(self.forms[n][0] for n in numbers)
+        return out
+
+
+_ARCHIVES = MarkScanner(fixed.ARCHIVES)
 
 
 def archive_marks(text: str) -> Counter:
     """Abbreviations in a text; of those that overlap the first, and of those the longest."""
-    spans = sorted((m.start(), -m.end(), n) for n, (_, _, pattern) in enumerate(_MARKS) for m in pattern.finditer(text))
-    found, free = Counter(), 0
-    for start, end, n in spans:
-        if start >= free:
-            found[_MARKS[n][0]] += 1
-            free = -end
-    return found
+    return _ARCHIVES.found(text)
 
 
 def archive_counts(ref: str, hyp: str) -> list[dict]:
     """Per category of the reference: marks kept as such, or as such or developed."""
-    ours, theirs = archive_marks(ref), archive_marks(hyp)
+    ours = _ARCHIVES.found(ref)
+    if not ours:
+        return []
+    theirs, forms = _ARCHIVES.found(hyp), None
     out: dict[str, list[int]] = {}
-    for mark, category, _ in _MARKS:
+    for mark, category in _ARCHIVES.marks:
         if n := ours[mark]:
             kept = min(n, theirs[mark])
-            developed = sum(len(p.findall(hyp)) for p in _DEVELOPED[mark]) if kept < n else 0
+            if kept < n and forms is None:
+                forms = _ARCHIVES.developed(hyp)
             row = out.setdefault(category, [0, 0, 0])
-            for i, value in enumerate((n, kept, min(n, kept + developed))):
+            for i, value in enumerate((n, kept, min(n, kept + (forms[mark] if kept < n else 0)))):
                 row[i] += value
     return [{"marker": c, "n_total": a, "n_strict": b, "n_expanded": d} for c, (a, b, d) in out.items()]
 

@@ -130,6 +130,12 @@ def two_stage_triples(references: DataFrame, outputs: DataFrame) -> DataFrame:
     return rows.select("pipeline", "doc_id", "doc_pos", "ref", *[F.coalesce(c, F.lit("")).alias(c) for c in ("raw", "corrected")])
 
 
+def system_texts(references: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(pipeline, doc_id, doc_pos, ref, raw, corrected) of all pipelines, whether they correct or not; corrected is null where there is none."""
+    kinds = outputs.groupBy("pipeline", "doc_id").agg(*[F.max(F.when(F.col("artifact_type") == k, F.col("content"))).alias(c) for k, c in (("raw_text", "raw"), ("corrected_text", "corrected"))])
+    return references.crossJoin(small(outputs.select("pipeline").distinct())).join(kinds, ["pipeline", "doc_id"], "left")
+
+
 # -- measures across engines -----------------------------------------------------------
 
 CROSS_ENGINE: dict = {}

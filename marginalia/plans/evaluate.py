@@ -88,6 +88,16 @@ def pairs(documents: DataFrame, ground_truth: DataFrame, outputs: DataFrame, vie
     return out
 
 
+def _references(documents: DataFrame, ground_truth: DataFrame, views: Iterable[View]) -> DataFrame:
+    """(view, doc_id, ref): the prepared reference of each view and document."""
+    out = None
+    for view in views:
+        rows = documents.select("doc_id").join(references(ground_truth, view), "doc_id")
+        rows = rows.select(F.lit(view.name).alias("view"), "doc_id", prepare(F.col("ref"), view.profile, view.char_exclude).alias("ref"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @dataclass(frozen=True)
 class Run:
     pairs: DataFrame
@@ -155,6 +165,8 @@ def run(
     triples = reports.two_stage_triples(plain, outputs)
     lined = [v.name for v in views if newline_preserved(v.profile, v.char_exclude)]
     lines = analyses.aligned_lines(both.filter(F.col("view").isin(lined)))
+    # a row a view and document, so that the texts of all pipelines are not gathered for it
+    referenced = _references(documents, ground_truth, views)
     by_rank = statistics.mean_ranks(scored, ["view", "metric"])
     found = {
         "confusions": analyses.confusions(both),
@@ -163,7 +175,7 @@ def run(
         "taxonomy": analyses.taxonomy(both),
         "word_errors": analyses.word_errors(both),
         "modernisation": analyses.modernisation(both),
-        "rare_token_recall": analyses.rare_token_recall(both),
+        "rare_token_recall": analyses.rare_token_recall(both, references=referenced),
         "complementarity": analyses.complementarity(both),
         "divergence": analyses.jensen_shannon(analyses.taxonomy(both), ["view"], "pipeline", "class", "n"),
         "structured_data": analyses.structured_data(both),

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.text import plain_text
 from ..operators.layout import parse_entities
+from .history_store import History
 from .sinks import F_SCHEMA
 from .xml_layout import ROWS, layout_rows, layout_text
 
+#: Folders of one run's images.
+MOST_FOLDERS = 10_000
 #: Endings of reference files, the first that is there counts.
 REFERENCE_ENDINGS = (".gt.txt", ".txt", ".gt.xml", ".xml")
 IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".webp")
@@ -135,6 +138,19 @@ def dataset_pages(spark: SparkSession, path: str, limit: int | None = None, most
     return pages if limit is None else pages.limit(limit)
 
 
+def with_images(spark: SparkSession, units: DataFrame) -> DataFrame:
+    """The units (doc_id, image_uri, ...) with the bytes of their ``image``; null where there is none."""
+    folders = [r[0] for r in units.select(F.regexp_extract("image_uri", r"^(.*)/[^/]*$", 1).alias("f")).filter("f <> ''").distinct().limit(MOST_FOLDERS + 1).collect()]
+    if len(folders) > MOST_FOLDERS:
+        raise ValueError(f"images of a run lie in more than {MOST_FOLDERS} folders")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    files = spark.createDataFrame([], "file string, image binary")
+    if folders:
+        images = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{','.join(IMAGE_ENDINGS)}}}")
+        files = images.load(sorted(folders)).select(plain(F.col("path")).alias("file"), F.col("content").alias("image"))
+    return units.withColumn("file", plain(F.col("image_uri"))).join(files, "file", "left").drop("file", "image_uri")
+
+
 def read_result(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A table of a result that ``write_result`` wrote, with its columns and types."""
     lines = spark.read.text(path).select(F.from_json("value", "kind string, schema_version int, json string").alias("x")).select("x.*").filter(F.col("kind") == kind)
@@ -155,4 +171,6 @@ def page_stream(spark: SparkSession, path: str, limit: int | None = None, most_b
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.HISTORY).parquet(path)
+    """The records of a ``History``, or of a plain Parquet folder of them."""
+    rows = History(spark, path).latest()
+    return spark.read.schema(schema.HISTORY).parquet(path) if rows is None else rows.select(*[c.split()[0] for c in schema.HISTORY.split(", ")])

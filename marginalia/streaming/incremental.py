@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.aggregate import GROUP
 from ..operators.metrics import score
-from ..schema import OUTPUTS
+from ..schema import HISTORY_KEY, OUTPUTS
+from ..sources.history_store import History
 
 NEXT = {"PENDING": ("RUNNING", "CANCELLED"), "RUNNING": ("DONE", "FAILED", "CANCELLED")}
 
@@ -33,22 +34,17 @@ def running_micro(scores: DataFrame) -> DataFrame:
     return sums.withColumn("value", F.when(F.col("weight") > 0, F.col("edits") / F.col("weight")))
 
 
-def upsert_batches(records: DataFrame, path: str, checkpoint: str, key=("run_id", "pipeline", "view", "metric")) -> StreamingQuery:
-    """Each batch once, under its number; readers keep the record of the latest batch (``latest_records``)."""
+def upsert_batches(records: DataFrame, path: str, checkpoint: str, key=HISTORY_KEY, every: int = 20) -> StreamingQuery:
+    """Each batch once, under its number, into a ``History``; a replayed batch is the same batch."""
 
     def write(batch: DataFrame, number: int) -> None:
-        # of several records of a key the largest, so that a replay writes the same
-        rest = [c for c in batch.columns if c not in key]
-        batch = batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("r")).select(*key, "r.*")
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        History(batch.sparkSession, path, tuple(key), every=every).upsert(batch, number)
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_records(spark: SparkSession, path: str, key=("run_id", "pipeline", "view", "metric")) -> DataFrame:
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    names = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max(F.struct("batch", *[c for c in names if c != "batch"])).alias("r")).select(*key, *[f"r.{c}" for c in names if c != "batch"])
+def latest_records(spark: SparkSession, path: str, key=HISTORY_KEY) -> DataFrame | None:
+    return History(spark, path, tuple(key)).latest()
 
 
 def journal(events: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:

@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia import __main__ as cli
+from marginalia import schema
 from marginalia.functions.text import canonical_hash, days_since, iso_timestamp, lookalike, strip_invisible
 from marginalia.operators import analyses, layout, metrics, reports, statistics
 from marginalia.plans import evaluate, modules, resume
 from marginalia.sources import ingest, layout_writer, readers, runfile, sinks, xml_layout
+from marginalia.sources.history_store import History
 from marginalia.streaming import incremental
 
 RUN = """
@@ -59,19 +61,97 @@ def test_projections_by_source_come_before_the_default():
 
 
 def test_command_line(spark, tmp_path, capsys):
-    path = corpus_folder(tmp_path)
-    cli.main(["run", str(path), "-o", str(tmp_path / "a"), "--history", str(tmp_path / "history"), "--csv", str(tmp_path / "a.csv")])
-    spark.read.parquet(str(tmp_path / "history")).withColumns({"run_id": F.lit("later"), "completed_at": F.col("completed_at") + F.expr("interval 1 day")}).write.mode("append").parquet(str(tmp_path / "history2"))
-    spark.read.parquet(str(tmp_path / "history")).write.mode("append").parquet(str(tmp_path / "history2"))
-    back = readers.read_result(spark, str(tmp_path / "a"), "aggregates")
+    path, at = corpus_folder(tmp_path), lambda name: str(tmp_path / name)
+    cli.main(["run", str(path), "-o", at("a"), "--history", at("history"), "--csv", at("a.csv")])
+    back = readers.read_result(spark, at("a"), "aggregates")
     assert {(r.view, r.pipeline, r.metric): r.support for r in back.collect()} == {("text", "eng", "cer"): 2, ("text", "eng", "wer"): 2}
-    cli.main(["compare", str(tmp_path / "a"), str(tmp_path / "a")])
-    cli.main(["history", str(tmp_path / "history2"), "--pipeline", "eng"])
-    cli.main(["history", str(tmp_path / "history2"), "--threshold", "-1"])
-    out = capsys.readouterr().out
-    assert "value_a" in out and out.count("eng") >= 4
+    first = readers.read_history(spark, at("history")).collect()
+    # a rerun takes the place of the run of its name
+    cli.main(["run", str(path), "-o", at("a"), "--history", at("history"), "--version", "1"])
+    again = readers.read_history(spark, at("history")).collect()
+    assert len(first) == len(again) == 2 and {r.code_version for r in again} == {"1"}
+    later = readers.read_history(spark, at("history")).withColumns({"run_id": F.lit("later"), "completed_at": F.col("completed_at") + F.expr("interval 1 day"), "value": F.col("value") + 1})
+    History(spark, at("history")).upsert(later)
+    capsys.readouterr()
+    cli.main(["compare", at("a"), at("a")])
+    assert "value_a" in (out := capsys.readouterr().out) and out.count("eng") == 2
+    cli.main(["history", at("history"), "--pipeline", "eng"])
+    assert capsys.readouterr().out.count("eng") == 2
+    cli.main(["history", at("history")])
+    assert capsys.readouterr().out.count("eng") == 1
+    plain = readers.read_history(spark, at("history")).withColumn("metric", F.lit("searchability"))
+    plain.write.parquet(at("plain"))
+    cli.main(["history", at("plain"), "--metric", "searchability"])
+    assert "eng" not in capsys.readouterr().out  # more is better
     with pytest.raises(ValueError):
-        readers.read_result(spark, str(tmp_path / "a"), "nothing")
+        readers.read_result(spark, at("a"), "nothing")
+
+
+def test_command_line_prints_every_row(spark, capsys):
+    cli.printed(spark.range(2500).select(F.col("id"), F.when(F.col("id") > 0, "x").alias("t")))
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == 2501 and out[0] == "id\tt" and out[1] == "0\t" and out[-1] == "2499\tx"
+
+
+def test_command_line_resumes_and_takes_tables(spark, tmp_path):
+    (tmp_path / "corpus").mkdir()
+    path, at, corpus = corpus_folder(tmp_path / "corpus"), lambda name: str(tmp_path / name), tmp_path / "corpus"
+    for name in ("d1.png", "d2.png"):
+        (corpus / name).write_bytes(b"image " + name.encode())
+    rows = [("eng", d, 3600.0, 1_000_000, 0) for d in ("d1", "d2")]
+    spark.createDataFrame(rows, schema.USAGE).write.parquet(at("usage"))
+    (tmp_path / "tariffs.jsonl").write_text('{"pipeline": "eng", "per_million_in": 2.0, "per_million_out": 0, "per_page": 0.5}\n')
+    spark.createDataFrame([("d1", [float(i % 7) for i in range(64)], 8)], "doc_id string, pixels array<double>, width int").write.parquet(at("images"))
+    more = ["--resume-dir", at("units"), "--usage", at("usage"), "--tariffs", at("tariffs.jsonl"), "--images", at("images"), "--system-records", at("records"), "--language", "en"]
+    cli.main(["run", str(path), "-o", at("a"), *more])
+    cost = readers.read_result(spark, at("a"), "economics").first()
+    assert cost.pages == 2 and cost.cost == pytest.approx(2 * 0.08 + 2 * 2.0 + 2 * 0.5)
+    assert readers.read_result(spark, at("a"), "image_summary").first().n == 1
+    records = [json.loads(r.value) for r in spark.read.text(at("records")).collect()]
+    assert {r["document_metadata"]["document_id"]: (r["ocr_hypothesis"]["transcription_unit"], r["document_metadata"]["language"]) for r in records} == {"d1": ("un deus", "en"), "d2": ("trois", "en")}
+    # finished units are taken from the store, so what the folder holds now does not count
+    (corpus / "d1.eng.txt").write_text("quite another text")
+    cli.main(["run", str(path), "-o", at("b"), *more])
+    same = lambda name: sorted(map(tuple, readers.read_result(spark, at(name), "aggregates").collect()))
+    assert same("a") == same("b")
+    # another version of the code makes other units
+    cli.main(["run", str(path), "-o", at("c"), "--version", "2", *more])
+    assert same("c") != same("a")
+
+
+def test_demo(spark, tmp_path):
+    cli.main(["demo", "-o", str(tmp_path / "demo"), "--history", str(tmp_path / "h")])
+    found = readers.read_result(spark, str(tmp_path / "demo"), "aggregates").collect()
+    assert {r.view for r in found} == {"text", "heritage"} and {r.pipeline for r in found} == {"one", "two"}
+    assert {r.support for r in found if (r.view, r.metric) == ("text", "cer")} == {5}
+    assert readers.read_result(spark, str(tmp_path / "demo"), "correction").first().n_documents == 5
+    assert readers.read_result(spark, str(tmp_path / "demo"), "economics").count() == 2
+    assert readers.read_history(spark, str(tmp_path / "h")).count() > 0
+
+
+def test_history_store(spark, tmp_path):
+    """Replays and reruns change nothing, and the files a reader opens stay few."""
+    path = str(tmp_path / "store")
+    store = History(spark, path, buckets=2, every=4)
+    assert store.latest() is None
+    expected = {}
+    kinds = "run_id string, pipeline string, view string, metric string, value double"
+    for n in range(11):
+        rows = [(f"r{n % 5}", "p", "v", "m", float(n)), (f"r{n % 5}", "p", "v", "m", -1.0), (f"s{n}", "p", "v", "m", 0.5)]
+        store.upsert(spark.createDataFrame(rows, kinds), n)
+        expected |= {f"r{n % 5}": float(n), f"s{n}": 0.5}
+        assert {r.run_id: r.value for r in store.latest().collect()} == expected
+        assert len(store.latest().inputFiles()) <= 2 + 3 * 2
+    for n in (10, 9, 0):  # one that is a batch still, one of each side of a merge
+        rows = [(f"r{n % 5}", "p", "v", "m", float(n)), (f"s{n}", "p", "v", "m", 0.5)]
+        store.upsert(spark.createDataFrame(rows, kinds), n)
+    assert {r.run_id: r.value for r in store.latest().collect()} == expected
+    store.compact()
+    store.compact()
+    assert {r.run_id: r.value for r in store.latest().collect()} == expected
+    assert len(store.latest().inputFiles()) <= 2 and len(store._names("manifest")) == 1
+    store.upsert(spark.createDataFrame([("r0", "p", "v", "m", 99.0)], kinds))
+    assert {r.run_id: r.value for r in History(spark, path).latest().collect()} == expected | {"r0": 99.0}
 
 
 def test_results_come_back_as_written(spark, tmp_path):
@@ -178,6 +258,8 @@ def test_resume(spark, tmp_path):
     assert keyed.join(resume.unit_keys(units, "2", {"p": "{}"}), "unit_key").count() == 0
     outputs = keyed.filter("doc_id <> 'd3'").select("unit_key", "pipeline", "doc_id", F.lit("raw_text").alias("artifact_type"), F.when(F.col("doc_id") == "d1", "t").alias("content"))
     resume.save(outputs, str(tmp_path / "store"))
+    other = units.withColumn("image", F.when(F.col("doc_id") == "d1", F.lit(b"changed")).otherwise(F.col("image")))
+    assert {r.doc_id for r in keyed.join(resume.unit_keys(other, "1", {"p": "{}"}), "unit_key").select(keyed.doc_id).collect()} == {"d2"}
     done, left = resume.split(keyed, resume.finished(spark, str(tmp_path / "store")))
     assert [r.doc_id for r in done.collect()] == ["d1"] and sorted(r.doc_id for r in left.collect()) == ["d2", "d3"]
 
