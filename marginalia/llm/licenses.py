@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 from math import log, sqrt
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, one_array, slices, split_words
+from .common import checkpointed, one_array, slices, split_words, spread_join
 
 THRESHOLD = 0.8
 SPAN = 1.5
@@ -120,6 +121,9 @@ def _may_match(weights: Weights, texts, threshold: float) -> np.ndarray:
     return _reaching(weights, row, word, clean, len(texts), threshold, False)
 
 
+NO_WORDS: Mapping[str, float] = {}
+
+
 @dataclass(frozen=True)
 class Weights:
     """idf of words, and the templates as unit vectors; how many of them, the first, are notices.
@@ -159,14 +163,15 @@ class Weights:
     def idf_of(self, n: int) -> float:
         return 1 + log((1 + self.rows) / (1 + n))
 
-    def vector(self, tokens: list[str]) -> dict[str, float]:
-        v = {w: n * self.idf.get(w, self.unseen) for w, n in Counter(tokens).items()}
+    def vector(self, tokens: list[str], more: Mapping[str, float] = NO_WORDS) -> dict[str, float]:
+        v = {w: n * self.idf.get(w, more.get(w, self.unseen)) for w, n in Counter(tokens).items()}
         size = sqrt(sum(x * x for x in v.values()))
         return {w: x / size for w, x in v.items()}
 
-    def best(self, tokens: list[str]) -> tuple[float, str] | None:
+    def best(self, tokens: list[str], more: Mapping[str, float] = NO_WORDS) -> tuple[float, str] | None:
+        """The nearest template and its cosine; ``more`` has the idf of words that are in none."""
         scores = [0.0] * len(self.templates)
-        for w, x in sorted(self.vector(tokens).items()):
+        for w, x in sorted(self.vector(tokens, more).items()):
             for k, y in self.postings.get(w, ()):
                 scores[k] += x * y
         score, name = min((-x, name) for x, (name, _) in zip(scores, self.templates, strict=True))
@@ -241,27 +246,36 @@ def candidates(weights: Weights, threshold: float):
     return near
 
 
-def looked_up(weights: Weights, near: DataFrame) -> Weights:
-    """The weights with the idf of all words of the candidates (text)."""
-    idf = weights.idf
+def counted_words(weights: Weights, near: DataFrame) -> DataFrame:
+    """(__n, __words): the document frequencies of the words of each row's candidates that no template has.
+
+    Words and frequencies meet by a join, in which common words stay where they are.
+    """
+    known = frozenset(weights.idf)
 
     def others(batches):
         for batch in batches:
-            found = sorted({w for t in batch.column("text").to_pylist() for w in words(t or "")} - idf.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
+            rows, found = [], []
+            for n, text in zip(batch.column("__n").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                new = sorted(set(words(text or "")) - known)
+                rows += [n] * len(new)
+                found += new
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.string())], names=["__n", "word"])
 
-    more = weights.counted.join(near.mapInArrow(others, "word string").distinct(), "word").collect()
-    return replace(weights, idf=idf | {r["word"]: weights.idf_of(r["n"]) for r in more}, counted=None)
+    asked = near.select("__n", F.explode("__near.text").alias("text")).mapInArrow(others, "__n long, word string")
+    met = spread_join(checkpointed(asked), weights.counted, "word", "inner")
+    return met.groupBy("__n").agg(F.collect_set(F.struct("word", "n")).alias("__words"))
 
 
 def stated_license(weights: Weights, threshold: float):
-    """A scalar function from candidates to the license a text states: name, score, and whether the whole text is it."""
+    """A scalar function from candidates and their words' frequencies to the license a text states: name, score, and whether the whole text is it."""
 
     @F.arrow_udf("struct<name: string, score: double, whole: boolean>")
-    def state(near: pa.Array) -> pa.Array:
+    def state(near: pa.Array, counts: pa.Array) -> pa.Array:
         out = []
-        for some in near.to_pylist():
-            found = [(*weights.best(words(x["text"])), x["whole"]) for x in some or ()]
+        for some, known in zip(near.to_pylist(), counts.to_pylist(), strict=True):
+            more = {x["word"]: weights.idf_of(x["n"]) for x in known or ()}
+            found = [(*weights.best(words(x["text"]), more), x["whole"]) for x in some or ()]
             found = [(-score, name, whole) for score, name, whole in found if score >= threshold]
             score, name, _ = min(found, default=(None, None, False))
             out.append({"name": name, "score": score and -score, "whole": any(x[2] for x in found)})
@@ -272,10 +286,13 @@ def stated_license(weights: Weights, threshold: float):
 
 def scan_licenses(docs: DataFrame, weights: Weights, *, id_col: str = "doc_id", text_col: str = "text", path: Column, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with ``path``, ``stated``, ``score``, ``license``, ``from_dir`` and ``how`` (own, inherited or none)."""
-    near = candidates(replace(weights, counted=None), threshold)(F.col(text_col))
-    near = checkpointed(docs.select(id_col, path.alias("__path"), near.alias("__near")))
-    weights = looked_up(weights, near.select(F.explode("__near.text").alias("text")))
-    light = checkpointed(near.select(id_col, "__path", stated_license(weights, threshold)(F.col("__near")).alias("__found")))
+    local = replace(weights, counted=None)
+    near = candidates(local, threshold)(F.col(text_col))
+    near = checkpointed(docs.select(id_col, path.alias("__path"), near.alias("__near"), F.monotonically_increasing_id().alias("__n")))
+    some = F.size("__near") > 0
+    judged = near.filter(some).join(counted_words(weights, near.filter(some)), "__n", "left")
+    judged = judged.select(id_col, "__path", stated_license(local, threshold)(F.col("__near"), F.col("__words")).alias("__found"))
+    light = checkpointed(judged.unionByName(near.filter(~F.coalesce(some, F.lit(False))).select(id_col, "__path"), allowMissingColumns=True))
     steps = F.split("__path", "/")
     name = F.regexp_extract(F.lower(F.element_at(steps, -1)), r"^[a-z]*", 0)
     speaks = F.col("__found.name").isNotNull() & (F.col("__found.whole") | name.isin(*FILE_NAMES))
