@@ -431,10 +431,11 @@ def multiset_matching(spark, sf_dir):
     return rows.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_if("matched").alias("matched"))
 
 
-@query("SELECT c_nationkey AS nation, 'left' AS side FROM customer WHERE c_custkey % 7 = 0 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier) GROUP BY ALL UNION ALL SELECT s_nationkey, 'right' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 7 = 0) GROUP BY ALL")
+@query("SELECT DISTINCT c_custkey AS customer, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def unmatched_keys(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("nation"))
-    return relational.unmatched(a, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")), ["nation"])
+    """Customers without orders, and orders' customers that are not known."""
+    a, b = (table(spark, sf_dir, t).select(F.col(c).alias("customer")) for t, c in (("customer", "c_custkey"), ("orders", "o_custkey")))
+    return relational.unmatched(a, b, ["customer"])
 
 
 @query("SELECT p_partkey, CASE WHEN n > 1 THEN p_name || ' #' || n ELSE p_name END AS p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
@@ -490,14 +491,14 @@ def numeric_sequences(spark, sf_dir):
 @query(r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:[' || chr(39) || '’\-][\p{L}\p{M}\p{N}_]+)*'))::INT AS tokens, len(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:[' || chr(39) || '’\-][\p{L}\p{M}\p{N}_]+)*'), lambda t: lower(t))))::INT AS kinds,
   len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::INT AS words, (len(string_split(text, chr(10))) - (ends_with(text, chr(10)) OR text = '')::INT)::INT AS lines,
-  CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS head, ((length(text) - length(replace(text, 'en', ''))) / 2)::INT AS parts, CASE WHEN length(text) >= 3 THEN [substr(text, 1, 3)] ELSE [] END AS gram FROM d""")
+  CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS head, ((length(text) - length(replace(text, 'en', ''))) / 2)::INT AS parts, len(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))))::INT AS grams FROM d""")
 def text_functions(spark, sf_dir):
     """Tokens, words, lines, excerpts and n-grams of the texts as they are."""
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     tokens, t = token_array(F.col("text")), F.col("text")
-    grams = F.slice(F.array_distinct(char_ngrams(F.substring(t, 1, 50))), 1, 1)
-    return docs.select("doc_id", F.size(tokens).alias("tokens"), F.size(F.array_distinct(tokens)).alias("kinds"), F.size(word_array(t)).alias("words"), F.size(line_array(t)).alias("lines"), excerpt(t, 40).alias("head"), substring_count(t, "en").alias("parts"), grams.alias("gram"))
+    grams = F.size(F.array_distinct(char_ngrams(t)))
+    return docs.select("doc_id", F.size(tokens).alias("tokens"), F.size(F.array_distinct(tokens)).alias("kinds"), F.size(word_array(t)).alias("words"), F.size(line_array(t)).alias("lines"), excerpt(t, 40).alias("head"), substring_count(t, "en").alias("parts"), grams.alias("grams"))
 
 
 @query("WITH e AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), s AS (SELECT *, sum((before IS NULL OR epoch(ts) - epoch(before) >= 86400)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM e) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)))::BIGINT + 86400 AS ends, count(*) AS n FROM s GROUP BY user_id, nth")
@@ -690,14 +691,26 @@ def report_worst_first(spark, sf_dir):
     return reports.worst_first(derived.item_scores(spark, sf_dir), "wer").limit(60)
 
 
-@query("SELECT o_orderkey, replace(o_orderpriority, '-', '<del>-</del>') AS ref, replace(o_orderpriority, '-', '<ins>&amp;</ins>') AS hyp FROM orders WHERE o_orderpriority NOT LIKE '%NOT%'")
+@query("SELECT o_orderkey, replace(o_orderpriority, '-', '<del>-</del>') AS ref, replace(o_orderpriority, '-', '<ins>&amp;</ins>') AS hyp FROM orders")
 def report_marked_texts(spark, sf_dir):
     """Priorities of orders as texts; the hypothesis writes & for the hyphen."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderpriority not like '%NOT%'")
+    orders = table(spark, sf_dir, "orders")
     marked = reports.marked_texts(F.col("o_orderpriority"), F.replace("o_orderpriority", F.lit("-"), F.lit("&")))
     return orders.select("o_orderkey", marked.alias("m")).select("o_orderkey", "m.ref", "m.hyp")
 
 
+_ESCAPED = "replace(replace(replace(replace(replace(ref, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+# what stands between two commas is longest where it is, so texts are aligned place by place
+@query(f"WITH {LINES_SQL}, e AS (SELECT line_id, {_ESCAPED} AS t FROM lines) SELECT line_id, regexp_replace(t, ',+', '<del>\\0</del>', 'g') AS ref, replace(regexp_replace(t, ',+', '<ins>\\0</ins>', 'g'), ',', '·') AS hyp FROM e")
+def report_marked_lines(spark, sf_dir):
+    """Every line of the texts; the hypothesis has a dot for each comma."""
+    lines = derived.lines(spark, sf_dir).select(derived.line_id().alias("line_id"), "ref")
+    marked = reports.marked_texts(F.col("ref"), F.replace("ref", F.lit(","), F.lit("·")))
+    return lines.select("line_id", marked.alias("m")).select("line_id", "m.ref", "m.hyp")
+
+
 @query(f"WITH {ITEM_SCORES_SQL}, m AS (SELECT pipeline, metric, avg(value) AS value FROM s GROUP BY ALL) SELECT pipeline, metric, round(value, 6) AS value, round(max(value) OVER (PARTITION BY metric), 6) AS top, round(value / max(value) OVER (PARTITION BY metric), 6) AS bar FROM m")
 def report_bars(spark, sf_dir):
     means = derived.item_scores(spark, sf_dir).groupBy("pipeline", "metric").agg(F.avg("value").alias("value"))
@@ -734,12 +747,12 @@ b AS (SELECT l_returnflag AS pipeline, least(floor(l_discount * 100), 9)::INT AS
 e AS (SELECT pipeline, sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM b GROUP BY pipeline),
 k AS (SELECT l_returnflag AS pipeline, l_linestatus AS class, count(*) AS n FROM lineitem GROUP BY ALL),
 m AS (SELECT pipeline, first(class ORDER BY n DESC, class) AS commonest FROM k GROUP BY pipeline)
-SELECT pipeline, round(value, 6) AS value, support, v[1:5] AS worst, round(ece, 6) AS ece, commonest FROM c JOIN e USING (pipeline) JOIN m USING (pipeline)""")
+SELECT pipeline, round(value, 6) AS value, support, v[1:100] AS worst, round(ece, 6) AS ece, commonest FROM c JOIN e USING (pipeline) JOIN m USING (pipeline)""")
 def engine_profiles(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "pipeline")
     judged = items.select("pipeline", (F.col("l_discount") * 10).alias("confidence"), (F.col("l_quantity") > 25).cast("int").alias("correct"))
     classes = items.groupBy("pipeline", F.col("l_linestatus").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    return rounded(reports.engine_profiles(derived.item_scores(spark, sf_dir), analyses.calibration(judged, ["pipeline"]), classes, 5), "value", "ece")
+    return rounded(reports.engine_profiles(derived.item_scores(spark, sf_dir), analyses.calibration(judged, ["pipeline"]), classes), "value", "ece")
 
 
 _MATRIX_SQL = f"""{ITEM_SCORES_SQL},
@@ -778,9 +791,9 @@ def _runs(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(*keys).agg(F.max("ts").alias("completed_at"), F.max("value").alias("value"))
 
 
-@query(f"WITH {_RUNS_SQL} SELECT run_id, pipeline, view, metric, strftime(completed_at, '%Y-%m-%d %H:%M:%S') AS completed_at, value FROM h ORDER BY h.completed_at DESC, run_id, pipeline, view, metric LIMIT 100")
+@query(f"WITH {_RUNS_SQL} SELECT run_id, pipeline, view, metric, strftime(completed_at, '%Y-%m-%d %H:%M:%S') AS completed_at, value FROM h ORDER BY h.completed_at DESC, run_id, pipeline, view, metric LIMIT 1000")
 def history_recent(spark, sf_dir):
-    return reports.recent_history(_runs(spark, sf_dir), 100).withColumn("completed_at", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss"))
+    return reports.recent_history(_runs(spark, sf_dir)).withColumn("completed_at", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(f"WITH {_RUNS_SQL} SELECT DISTINCT view, metric FROM h")

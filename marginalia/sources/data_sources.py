@@ -11,7 +11,7 @@ the last file taken in, so each file is read once, and a batch that is run again
 same files. Paths are those of pyarrow's file systems (local, HDFS, object stores), which
 executors reach as the driver does.
 
-Writing takes layout rows with a ``doc_id``, a document's rows in one partition (see
+Writing takes layout rows (options ``kind``: alto or page, ``version`` and ``unit`` of ALTO, ``namespace`` of PAGE) with a ``doc_id``, a document's rows in one partition (see
 ``by_document``), and puts each document into a file of its name. A task writes beside the
 folder, and the files are moved there when all tasks are done, so a failed or repeated task
 leaves nothing. ``overwrite`` empties the folder of files of that ending first.
@@ -164,7 +164,8 @@ class Layouts(FileSource):
             yield (path, _name(path, ".xml"), *(_as_row(f.dataType, row.get(f.name)) for f in LAYOUT_ROW.fields))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return LayoutWriter(self.options["path"], self.options.get("kind", "alto"), schema, overwrite)
+        settings = {k: self.options[k] for k in ("version", "unit", "namespace") if k in self.options}
+        return LayoutWriter(self.options["path"], self.options.get("kind", "alto"), settings, schema, overwrite)
 
 
 def _as_row(kind: T.DataType, value):
@@ -239,12 +240,12 @@ class Written(WriterCommitMessage):
 class LayoutWriter(DataSourceWriter):
     """Documents as ALTO or PAGE files, one each."""
 
-    def __init__(self, path: str, kind: str, schema: T.StructType, overwrite: bool) -> None:
+    def __init__(self, path: str, kind: str, settings: dict[str, str], schema: T.StructType, overwrite: bool) -> None:
         if kind not in ("alto", "page"):
             raise ValueError(f"layouts are written as alto or page, not {kind!r}")
         if missing := {"doc_id", *(f.name for f in LAYOUT_ROW.fields)} - set(schema.names):
             raise ValueError(f"columns missing: {sorted(missing)}")
-        self.path, self.kind, self.overwrite = path, kind, overwrite
+        self.path, self.kind, self.settings, self.overwrite = path, kind, settings, overwrite
         self.beside = f"_writing-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Written:
@@ -262,7 +263,7 @@ class LayoutWriter(DataSourceWriter):
         return Written(tuple(names))
 
     def _file(self, system: fs.FileSystem, root: str, doc: str, rows: list[dict]) -> str:
-        text = (alto_text if self.kind == "alto" else page_text)(rows)
+        text = (alto_text if self.kind == "alto" else page_text)(rows, **self.settings)
         # under a name of its own, as a task may be run twice at a time
         name = f"{self.beside}/{uuid.uuid4().hex}/{doc}.xml"
         system.create_dir(f"{root}/{name.rpartition('/')[0]}", recursive=True)

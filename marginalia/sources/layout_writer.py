@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from ..schema import LAYOUT_ROW
 
-ALTO = "http://www.loc.gov/standards/alto/ns-v4#"
+# Name spaces of the formats; ALTO also goes without one.
+ALTO = {"v2": "http://www.loc.gov/standards/alto/ns-v2#", "v3": "http://www.loc.gov/standards/alto/ns-v3#", "v4": "http://www.loc.gov/standards/alto/ns-v4#", "none": None}
 PAGE = "http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"
 
 
@@ -38,8 +39,13 @@ def _sized(node: ET.Element, row: dict, width: str, height: str) -> None:
             node.set(name, str(value))
 
 
-def alto_text(rows: list[dict]) -> str:
-    root = ET.Element("alto", xmlns=ALTO)
+def alto_text(rows: list[dict], version: str = "v4", unit: str | None = None) -> str:
+    """Canonical XML of a version of ALTO; ``unit`` names what positions are measured in."""
+    if version not in ALTO:
+        raise ValueError(f"ALTO has the versions {', '.join(ALTO)}, not {version!r}")
+    root = ET.Element("alto", {"xmlns": ALTO[version]} if ALTO[version] else {})
+    if unit is not None:
+        ET.SubElement(ET.SubElement(root, "Description"), "MeasurementUnit").text = unit
     layout = ET.SubElement(root, "Layout")
     for n, page_rows in enumerate(_pages(rows), 1):
         page = ET.SubElement(layout, "Page", ID=f"page_{n}")
@@ -60,11 +66,12 @@ def alto_text(rows: list[dict]) -> str:
                     string = ET.SubElement(text, "String", CONTENT=word)
                     if sure and sure[0]["text"] == word:
                         string.set("WC", repr(sure.pop(0)["confidence"]))
-    return ET.tostring(root, encoding="unicode")
+    return ET.canonicalize(ET.tostring(root, encoding="unicode"))
 
 
-def page_text(rows: list[dict]) -> str:
-    root = ET.Element("PcGts", xmlns=PAGE)
+def page_text(rows: list[dict], namespace: str = PAGE) -> str:
+    """Canonical XML of PAGE in a name space."""
+    root = ET.Element("PcGts", xmlns=namespace)
     for page_rows in _pages(rows):
         page = ET.SubElement(root, "Page")
         _sized(page, page_rows[0], "imageWidth", "imageHeight")
@@ -85,18 +92,20 @@ def page_text(rows: list[dict]) -> str:
             for line in row["lines"] or ():
                 equivalent = ET.SubElement(ET.SubElement(node, "TextLine"), "TextEquiv")
                 ET.SubElement(equivalent, "Unicode").text = line
-    return ET.tostring(root, encoding="unicode")
+    return ET.canonicalize(ET.tostring(root, encoding="unicode"))
 
 
-def _writer(write: Callable[[list[dict]], str]):
+def layout_writer(write: Callable[..., str], **settings):
+    """An Arrow function from layout rows to a file's text by ``alto_text`` or ``page_text`` with their settings."""
+
     @F.arrow_udf(T.StringType())
     def text(rows: pa.Array) -> pa.Array:
-        return pa.array([None if r is None else write(r) for r in rows.to_pylist()], pa.string())
+        return pa.array([None if r is None else write(r, **settings) for r in rows.to_pylist()], pa.string())
 
     return text
 
 
-alto_column, page_column = _writer(alto_text), _writer(page_text)
+alto_column, page_column = layout_writer(alto_text), layout_writer(page_text)
 
 
 def gathered(regions: DataFrame, *by: str) -> DataFrame:

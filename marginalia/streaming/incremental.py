@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..operators.aggregate import GROUP
 from ..operators.metrics import score
@@ -59,21 +59,93 @@ def replay(journal_rows: DataFrame, job_id, after: int, job: str = "job_id") ->
     return journal_rows.filter((F.col(job) == job_id) & (F.col("seq") > after)).orderBy("seq")
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """State machine of jobs over a stream of (job_id, status): each accepted event with its number, others dropped."""
+def with_state_store(spark: SparkSession) -> None:
+    """Streams that keep state of their own need the store on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Jobs(StatefulProcessor):
+    """Status and number of the last event of each job; open jobs have a timer if idle ones are closed."""
+
+    def __init__(self, idle: int | None) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "status string, seq long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        status, seq, timer = self.job.get() if self.job.exists() else ("", 0, -1)
+        out = []
+        for new in pd.concat(rows).sort_values(["ts", "event_id"], kind="stable")["status"]:
+            if new in NEXT.get(status, ()) or (not status and new == "PENDING"):
+                status, seq = new, seq + 1
+                out.append((key[0], seq, new))
+        if self.idle is not None and out:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = -1
+            if status in NEXT:
+                timer = timerValues.getCurrentProcessingTimeInMs() + 1000 * self.idle
+                self.handle.registerTimer(timer)
+        self.job.update((status, seq, timer))
+        yield _events(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, seq, timer = self.job.get() if self.job.exists() else ("", 0, -1)
+        if timer != expiredTimerInfo.getExpiryTimeInMs() or status not in NEXT:
+            yield _events([])
+            return
+        self.job.update(("CANCELLED", seq + 1, -1))
+        yield _events([(key[0], seq + 1, "CANCELLED")])
+
+    def close(self) -> None:
+        pass
+
+
+def _events(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({"job_id": pd.Series([r[0] for r in rows], dtype="int64"), "seq": pd.Series([r[1] for r in rows], dtype="int64"), "status": pd.Series([r[2] for r in rows], dtype="object")})
+
+
+def job_states(events: DataFrame, idle: int | None = None) -> DataFrame:
+    """State machine of jobs over a stream of (job_id, status): each accepted event with its number, others dropped.
+
+    A job that is open and has had no accepted event for ``idle`` seconds of processing time
+    is cancelled by a timer. State is a row a job.
+    """
+    with_state_store(events.sparkSession)
+    mode = "None" if idle is None else "ProcessingTime"
+    return events.groupBy("job_id").transformWithStateInPandas(_Jobs(idle), "job_id long, seq long, status string", "Append", mode)
+
+
+class _Cache(StatefulProcessor):
+    """Keys that were asked for; each is forgotten by the store itself when its time is over."""
+
+    def __init__(self, key: str, ttl: int) -> None:
+        self.key, self.ttl = key, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "n long", 1000 * self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n = sum(len(frame) for frame in rows)
+        known = self.known.exists()
+        if not known:
+            self.known.update((n,))
+        yield pd.DataFrame({self.key: [key[0]], "hits": [n - (not known)], "missed": [not known]})
+
+    def close(self) -> None:
+        pass
+
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, seq = state.get if state.exists else ("", 0)
-        rows = []
-        for frame in frames:
-            for new in frame.sort_values(["ts", "event_id"], kind="stable")["status"]:
-                if new in NEXT.get(status, ()) or (not status and new == "PENDING"):
-                    status, seq = new, seq + 1
-                    rows.append((key[0], seq, new))
-        state.update((status, seq))
-        yield pd.DataFrame(rows, columns=["job_id", "seq", "status"])
+def cached(requests: DataFrame, key: str, ttl: int = 300) -> DataFrame:
+    """Of each batch of requests and each key: how many a cache answers, and whether it had to be filled.
 
-    return events.groupBy("job_id").applyInPandasWithState(advance, "job_id long, seq long, status string", "status string, seq long", "append", "NoTimeout")
+    An entry is forgotten ``ttl`` seconds of processing time after it was made.
+    """
+    with_state_store(requests.sparkSession)
+    kind = requests.schema[key].dataType.simpleString()
+    return requests.groupBy(key).transformWithStateInPandas(_Cache(key, ttl), f"`{key}` {kind}, hits long, missed boolean", "Append", "ProcessingTime")
 
 
 def rate_limited(requests: DataFrame, most: int, seconds: int = 60, key: str = "client", ts: str = "ts") -> DataFrame:

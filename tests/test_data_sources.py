@@ -66,7 +66,9 @@ def test_layouts_come_back_as_written(formats, tmp_path, kind):
     columns = ["doc_id", "page_width", "region_id", "parent_id", "depth", "dfs_pos", "leaf", "lines"] + ["bbox", "confidences", "region_type"] * (kind == "alto")
     same = lambda df: sorted(map(str, df.select(*columns).collect()))
     assert same(formats.read.format("layouts").load(out)) == same(rows)
-    data_sources.by_document(rows.filter("doc_id = 'd2'")).write.format("layouts").option("kind", kind).mode("overwrite").save(out)
+    more = {"version": "v2", "unit": "mm10"} if kind == "alto" else {"namespace": "urn:x"}
+    data_sources.by_document(rows.filter("doc_id = 'd2'")).write.format("layouts").option("kind", kind).options(**more).mode("overwrite").save(out)
+    assert all(x in open(f"{out}/d2.xml").read() for x in (("ns-v2", "mm10") if kind == "alto" else ("urn:x",)))
     assert sorted(os.listdir(out)) == ["d2.xml"]
 
 

@@ -2,6 +2,7 @@
 
 import io
 import json
+import xml.etree.ElementTree as ET
 import zipfile
 
 import pytest
@@ -219,6 +220,13 @@ ALTO = b"""<alto><Layout><Page WIDTH="100" HEIGHT="200"><PrintSpace>
 def test_layouts_come_back_as_written(spark):
     rows = xml_layout.parse(ALTO)
     assert xml_layout.parse(layout_writer.alto_text(rows).encode()) == rows
+    for version in ("v2", "v3", "v4", "none"):
+        text = layout_writer.alto_text(rows, version, "pixel")
+        assert xml_layout.parse(text.encode()) == rows and "<MeasurementUnit>pixel</MeasurementUnit>" in text
+        assert text == ET.canonicalize(text) and ('ns-' + version in text) == (version != "none")
+    with pytest.raises(ValueError, match="v5"):
+        layout_writer.alto_text(rows, "v5")
+    assert 'xmlns="urn:x"' in layout_writer.page_text(rows, "urn:x")
     again = xml_layout.parse(layout_writer.page_text(rows).encode())
     keep = ("region_id", "parent_id", "depth", "dfs_pos", "leaf", "lines", "page_width")
     assert [[r[k] for k in keep] for r in again] == [[r[k] for k in keep] for r in rows]
