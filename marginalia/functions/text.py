@@ -39,7 +39,12 @@ def line_array(text: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+    """Runs of n characters; characters are taken apart once, so the work is in proportion to the text."""
+    letters = grams = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    for k in range(1, n):
+        # beyond the end a letter is null, and so is the run
+        grams = F.zip_with(grams, F.slice(letters, F.lit(k + 1), F.length(text)), lambda x, y: F.concat(x, y))
+    return F.filter(grams, lambda x: x.isNotNull())
 
 
 def excerpt(text: Column, size: int = 160) -> Column:
