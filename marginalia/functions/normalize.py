@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, fields
 from functools import cached_property
 from pathlib import Path
@@ -19,12 +19,21 @@ import pyarrow as pa
 import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from . import fixed_values as fixed
 
 FORMS = ("none", "NFC", "NFD", "NFKC", "NFKD")
 SPACES = ("none", "intra_line", "flat")
-KEPT_CONTROLS = "\t\n\r\f\v"
+
+
+#: Runs of characters that may be invisible, or marks: what is not in them needs no look at its category.
+_MAYBE_INVISIBLE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\xad\u0600-\U0010ffff]+")
+_MAYBE_MARKS = re.compile("[\u0300-\U0010ffff]+")
+
+
+def _without(runs: re.Pattern, text: str, *categories: str) -> str:
+    return runs.sub(lambda m: "".join(c for c in m[0] if unicodedata.category(c) not in categories), text)
 
 
 @dataclass(frozen=True)
@@ -46,7 +55,7 @@ class Profile:
             raise ValueError(f"profile {self.name!r}: unknown form, white space or exclusion mode")
 
     def _form(self, text: str) -> str:
-        return text if self.unicode_form == "none" else unicodedata.normalize(self.unicode_form, text)
+        return text if self.unicode_form == "none" or text.isascii() else unicodedata.normalize(self.unicode_form, text)
 
     @cached_property
     def _excluded(self) -> dict[int, str | None]:
@@ -62,7 +71,7 @@ class Profile:
 
     def apply(self, text: str) -> str:
         if self.strip_invisible:
-            text = "".join(c for c in text if c in KEPT_CONTROLS or unicodedata.category(c) not in ("Cf", "Cc"))
+            text = _without(_MAYBE_INVISIBLE, text, "Cf", "Cc")
         text = self._form(text)
         if self.caseless:
             text = self._form(text.casefold())
@@ -72,8 +81,8 @@ class Profile:
             text = self._longest_first.sub(lambda m: self.table[m[0]], text)
         if self.non_word_to_space:
             text = re.sub(r"[^\w]", " ", text)
-        if self.strip_diacritics:
-            text = self._form("".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn"))
+        if self.strip_diacritics and not text.isascii():
+            text = self._form(_without(_MAYBE_MARKS, unicodedata.normalize("NFD", text), "Mn"))
         if self.whitespace == "flat":
             text = " ".join(text.split())
         elif self.whitespace == "intra_line":
@@ -90,6 +99,29 @@ class Profile:
         return normalised(text)
 
 
+_EFFECT = pa.struct([("profile", pa.string()), ("changed", pa.bool_()), ("chars", pa.int64())])
+#: Texts that are looked at together.
+ROWS = 256
+
+
+def effects(text: Column, profiles: Iterable[Profile]) -> Column:
+    """A row for each profile: whether it changes the text, and the characters left; the texts it makes are not kept."""
+    profiles = tuple(profiles)
+
+    @F.arrow_udf(from_arrow_type(pa.list_(_EFFECT)))
+    def measured(values: pa.Array) -> pa.Array:
+        parts = []
+        for start in range(0, max(1, len(values)), ROWS):
+            out = []
+            for v in values.slice(start, ROWS).to_pylist():
+                made = [(p.name, None if v is None else p.apply(v)) for p in profiles]
+                out.append([{"profile": n, "changed": m if m is None else m != v, "chars": m if m is None else len(m)} for n, m in made])
+            parts.append(pa.array(out, pa.list_(_EFFECT)))
+        return pa.concat_arrays(parts)
+
+    return measured(text)
+
+
 def profile_from(settings: Mapping, name: str = "custom") -> Profile:
     """A profile from settings; ``nfc`` (bool) and ``diplomatic`` are accepted for the form and the table."""
     known = {f.name for f in fields(Profile)}

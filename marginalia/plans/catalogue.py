@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.normalize import PROFILES, Profile
+from ..functions.normalize import PROFILES, Profile, effects
 from ..functions.text import ascii_tokens, canonical_hash, char_ngrams, excerpt, line_array, substring_count, token_array, word_array
 from ..operators import aggregate, analyses, layout, relational, reports, statistics
 from ..operators.metrics import HCPR, registry, score
@@ -635,16 +635,16 @@ SELECT profile, count(*) FILTER (WHERE out <> text) AS changed, sum(length(out))
 def lever_profiles(spark, sf_dir):
     """Profiles of one lever: how many texts each changes, and the characters left."""
     docs, names = table(spark, sf_dir, "documents").select("text"), ("nfc", "no_apostrophes", "flat_text", "minimal", "no_diacritics")
-    rows = docs.select("text", F.inline(F.array(*[F.struct(F.lit(n).alias("profile"), PROFILES[n].column(F.col("text")).alias("out")) for n in names])))
-    return rows.groupBy("profile").agg(F.count_if(F.col("out") != F.col("text")).alias("changed"), F.sum(F.length("out")).alias("chars"))
+    rows = docs.select(F.inline(effects(F.col("text"), [PROFILES[n] for n in names])))
+    return rows.groupBy("profile").agg(F.count_if("changed").alias("changed"), F.sum("chars").alias("chars"))
 
 
 @query()
 def normalisation_profiles(spark, sf_dir):
     """How many texts each profile changes."""
     docs = table(spark, sf_dir, "documents").select("text")
-    changed = [F.count_if(p.column(F.col("text")) != F.col("text")).alias(name) for name, p in PROFILES.items()]
-    return docs.agg(*changed)
+    rows = docs.select(F.inline(effects(F.col("text"), PROFILES.values())))
+    return rows.agg(*[F.count_if(F.col("changed") & (F.col("profile") == name)).alias(name) for name in PROFILES])
 
 
 @query("SELECT doc_id, regexp_replace(translate(replace(replace(text, 'æ', 'ae'), 'œ', 'oe'), 'ſ', 's'), '&', 'et', 'g') AS text FROM documents")

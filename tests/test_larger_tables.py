@@ -1,5 +1,8 @@
 """What makes work grow: how often functions run, what they are given, and what they hand on."""
 
+from pyspark.sql import functions as F
+
+from marginalia.functions import normalize
 from marginalia.functions.text import ascii_tokens, token_array
 from marginalia.operators import analyses
 
@@ -13,3 +16,10 @@ def test_token_functions_are_given_texts_and_run_once(spark):
     assert analyses.complementarity_by_doc(pairs, ascii_tokens).collect() == [("text", 1, 4, 3, 2)]
     for tokens in (ascii_tokens, token_array):
         assert {r.pipeline: (r.n, r.kept) for r in analyses.token_recall(pairs, tokens).collect()} == {"a": (4, 2), "b": (4, 2)}
+
+
+def test_effects_of_profiles_hand_on_no_texts(spark):
+    texts = spark.createDataFrame([(t,) for t in ("Été­ ſ", "plain", None)], "text string")
+    out = texts.select(F.inline(normalize.effects(F.col("text"), [normalize.PROFILES["nfc"], normalize.PROFILES["no_diacritics"]])))
+    assert "string" not in dict(out.drop("profile").dtypes).values()
+    assert {(r.profile, r.changed, r.chars) for r in out.collect()} == {("nfc", True, 5), ("nfc", False, 5), ("nfc", None, None), ("no_diacritics", True, 5), ("no_diacritics", False, 5), ("no_diacritics", None, None)}
