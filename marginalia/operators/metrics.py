@@ -92,15 +92,15 @@ def _sequence_row(ref: str, hyp: str) -> tuple:
 TOGETHER = 2_000_000
 
 
-def by_slices(rows: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
-    """``rows`` of the values where no column is null, a slice of about ``TOGETHER`` bytes at a time; null elsewhere."""
+def by_slices(rows: Callable[..., pa.Array], *columns: pa.Array, size: int = TOGETHER) -> pa.Array:
+    """``rows`` of the values where no column is null, a slice of about ``size`` bytes at a time; null elsewhere."""
     there, sizes = np.ones(len(columns[0]), bool), np.zeros(len(columns[0]), np.int64)
     for c in columns:
         there &= np.asarray(c.is_valid())
         sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
     columns, ends, out, start = [c.filter(pa.array(there)) for c in columns], np.cumsum(sizes[there]), [], 0
     while start < len(ends) or not out:
-        stop = max(start + 1, int(np.searchsorted(ends, TOGETHER + (ends[start - 1] if start else 0), side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, size + (ends[start - 1] if start else 0), side="right")))
         out.append(rows(*(c.slice(start, stop - start).to_pylist() for c in columns)))
         start = stop
     return pa.concat_arrays(out).take(pa.array(np.cumsum(there) - 1, pa.int64(), mask=~there))
@@ -169,7 +169,7 @@ BAND_CELLS = 2_000
 
 @F.arrow_udf(from_arrow_type(pa.int64()))
 def batch_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    return by_slices(lambda a, b: pa.array(batch_align.distances(batch_align.Pairs(a, b)), pa.int64()), ref, hyp)
+    return by_slices(lambda a, b: pa.array(batch_align.distances(batch_align.Pairs(a, b)), pa.int64()), ref, hyp, size=3 * TOGETHER)
 
 
 def with_distance(rows: DataFrame, name: str, ref: Column, hyp: Column) -> DataFrame:

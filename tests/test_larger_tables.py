@@ -1,12 +1,31 @@
 """What makes work grow: how often functions run, what they are given, and what they hand on."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from marginalia.functions import normalize
+from marginalia.functions import batch_align, normalize
+from marginalia.functions.align import distance, edit_blocks
 from marginalia.functions.text import ascii_tokens, token_array
 from marginalia.operators import analyses
 
 
+def test_near_and_straight_distances_take_no_wavefronts(monkeypatch):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdEFGH mnru") for _ in range(rnd.randrange(100, 400))) for _ in range(60)]
+    others = [[t.lower() for t in texts], [t.replace("u", "n").replace("rn", "m") for t in texts], [t[:50] + t[60:] for t in texts]]
+    pairs = [(a, b) for side in others for a, b in zip(texts, side, strict=True)]
+    monkeypatch.setattr(batch_align, "_Waves", None)
+    found = batch_align.distances(batch_align.Pairs(*map(list, zip(*pairs, strict=True))))
+    assert found.tolist() == [distance(list(a), list(b)) for a, b in pairs]
+
+
+def test_straight_pairs_are_aligned_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(batch_align, "_Waves", None)
+    texts = ["Aus dem Archiv", "abAB", "", "Q"]
+    assert batch_align.edit_blocks(texts, [t.lower() for t in texts]) == [edit_blocks(t, t.lower()) for t in texts]
+
+
 def test_token_functions_are_given_texts_and_run_once(spark):
     rows = [("text", p, d, r, h) for d, r in ((1, "en u En 3"), (2, "..."), (3, None)) for p, h in (("a", "en u"), ("b", "en n En"))]
     pairs = spark.createDataFrame(rows, "view string, pipeline string, doc_id int, ref string, hyp string")
