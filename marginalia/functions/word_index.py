@@ -179,7 +179,8 @@ def _within(a: str, b: str) -> bool:
 def found_words(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]]) -> list[int]:
     """Of each two lists of words, how many of the first take, in order, the first unused word of the second within two edits."""
     words = Vocabulary()
-    sides = [[words.coded(x) for x in side] for side in (refs, hyps)]
+    heads = _heads(refs, hyps)
+    sides = [[words.coded(x[n:] if len(a) > n < len(b) else ()) for n, x, a, b in zip(heads, side, refs, hyps, strict=True)] for side in (refs, hyps)]
     words.filed()
     out: list[int] = []
     first = 0
@@ -203,6 +204,23 @@ def found_words(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]]) ->
                 near.setdefault(x, []).append(y)
             out.append(_taken(sides[0][first + k].tolist(), sides[1][first + k].tolist(), near))
         first = last
+    return [n + rest for n, rest in zip(heads, out, strict=True)]
+
+
+def _heads(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]]) -> list[int]:
+    """With how many words two lists begin that are within two edits place by place: each of them takes the one in its place, as those before are used."""
+    known: dict[tuple[str, str], bool] = {}
+    out = []
+    for a, b in zip(refs, hyps, strict=True):
+        n = 0
+        for x, y in zip(a, b, strict=False):
+            if x != y:
+                if (fit := known.get((x, y))) is None:
+                    fit = known[x, y] = abs(len(x) - len(y)) <= MOST and _within(x, y)
+                if not fit:
+                    break
+            n += 1
+        out.append(n)
     return out
 
 

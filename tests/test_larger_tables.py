@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import batch_align, normalize
+from marginalia.functions import batch_align, normalize, word_index
 from marginalia.functions.align import distance, edit_blocks
 from marginalia.functions.text import ascii_tokens, token_array
 from marginalia.operators import analyses
@@ -42,3 +43,8 @@ def test_effects_of_profiles_hand_on_no_texts(spark):
     out = texts.select(F.inline(normalize.effects(F.col("text"), [normalize.PROFILES["nfc"], normalize.PROFILES["no_diacritics"]])))
     assert "string" not in dict(out.drop("profile").dtypes).values()
     assert {(r.profile, r.changed, r.chars) for r in out.collect()} == {("nfc", True, 5), ("nfc", False, 5), ("nfc", None, None), ("no_diacritics", True, 5), ("no_diacritics", False, 5), ("no_diacritics", None, None)}
+
+
+def test_words_in_place_are_not_filed(monkeypatch):
+    monkeypatch.setattr(word_index.Vocabulary, "meeting", lambda self, left, right: pytest.fail("looked up") if len(left[0]) else [left[0][:0]] * 3)
+    assert word_index.found_words([["ab", "corn", "x"], ["y"]], [["ab", "com", "x"], ["y", "z"]]) == [3, 1]
