@@ -106,6 +106,16 @@ def by_slices(rows: Callable[..., pa.Array], *columns: pa.Array, size: int = TOG
     return pa.concat_arrays(out).take(pa.array(np.cumsum(there) - 1, pa.int64(), mask=~there))
 
 
+def text_slices(batch: pa.RecordBatch, size: int = TOGETHER) -> Iterable[list[list]]:
+    """The columns of a batch of strings as lists, about ``size`` bytes at a time."""
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, size + (ends[start - 1] if start else 0), side="right")))
+        yield [c.slice(start, stop - start).to_pylist() for c in batch.columns]
+        start = stop
+
+
 def batch_function(measures: Callable[[list[str], list[str]], list], names: Sequence[str]):
     """An Arrow function over (ref, hyp) whose struct's columns are found for a whole batch; null if either text is."""
     kind = pa.struct([(n, pa.int64()) for n in names])

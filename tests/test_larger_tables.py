@@ -1,11 +1,12 @@
 """What makes work grow: how often functions run, what they are given, and what they hand on."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import batch_align, normalize, word_index
+from marginalia.functions import align, batch_align, normalize, word_index
 from marginalia.functions.align import distance, edit_blocks
 from marginalia.functions.text import ascii_tokens, token_array
 from marginalia.operators import analyses
@@ -48,3 +49,35 @@ def test_effects_of_profiles_hand_on_no_texts(spark):
 def test_words_in_place_are_not_filed(monkeypatch):
     monkeypatch.setattr(word_index.Vocabulary, "meeting", lambda self, left, right: pytest.fail("looked up") if len(left[0]) else [left[0][:0]] * 3)
     assert word_index.found_words([["ab", "corn", "x"], ["y"]], [["ab", "com", "x"], ["y", "z"]]) == [3, 1]
+
+
+def test_tokens_are_aligned_once_and_counted_in_the_task(spark):
+    rows = [("text", p, d, r, h) for d, (r, h) in enumerate([("Les roys sçavent", "les rois sçavent"), ("Du ROY, l’eau", "du roy, l’eau"), (None, "x"), ("le roy", "le")]) for p in ("a", "b")]
+    pairs = spark.createDataFrame(rows, "view string, pipeline string, doc_id int, ref string, hyp string")
+    for build in (analyses.modernisation, analyses.confusions, analyses.taxonomy):
+        plan = build(pairs)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan, plan
+    out = {(r.token, r.n_total, r.n_modernised, r.place, tuple(map(tuple, r.variants))) for r in analyses.modernisation(pairs).filter("pipeline = 'a'").collect()}
+    assert out == {("roys", 1, 1, 1, (("rois", 1),)), ("roy", 2, 1, 2, (("∅", 1),))}
+    forms = analyses.token_forms(pairs.filter("pipeline = 'b'"), kept=True)
+    assert {(r.token, r.form): r.n for r in forms.collect()} == {("les", None): 1, ("sçavent", None): 1, ("roys", "rois"): 1, ("du", None): 1, ("roy", None): 1, ("roy", "∅"): 1, ("l’eau", None): 1, ("le", None): 1}
+
+
+def test_equal_blocks_of_repetitive_texts_are_found_in_one_sweep(monkeypatch):
+    calls, longest = [], align._Matcher._longest
+    monkeypatch.setattr(align._Matcher, "_longest", lambda self, *part: calls.append(part) or longest(self, *part))
+    a = "Erteung " * 120
+    b = a.replace("u", "n")
+    found = batch_align.matches([a * 4, "same"], [b * 4, "same"])
+    assert len(calls) < 20 and found[1] == [("equal", 0, 4, 0, 4)]
+    assert "".join((a * 4)[i:i2] for op, i, i2, _, _ in found[0] if op == "equal") == "".join((b * 4)[j:j2] for op, _, _, j, j2 in found[0] if op == "equal")
+    assert align.matching_blocks(a, b) == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+def test_runs_are_sought_by_a_sample_of_grams(monkeypatch):
+    rnd, sizes, meeting = random.Random(4), [], batch_align._meeting
+    monkeypatch.setattr(batch_align, "_meeting", lambda left, right: sizes.append(len(left)) or meeting(left, right))
+    a = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(4000))
+    b = a[:1000] + "A" + a[1001:3000] + a[3002:]
+    assert batch_align.matches([a], [b])[0] == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    assert sizes[0] == 500 and sum(sizes[1:]) < 50
