@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from ..functions.align import DELETE, edit_blocks
+from ..functions import batch_align
+from ..functions.align import DELETE, Block, edit_blocks
 from .aggregate import first_samples
-from .metrics import with_distance
+from .metrics import TOGETHER, with_distance
 
 IOU = 0.5
 BOX = pa.list_(pa.float64())
@@ -71,6 +75,8 @@ def region_cer(ref: DataFrame, hyp: DataFrame, by: list[str]) -> DataFrame:
 # -- entities --------------------------------------------------------------------------
 
 ENTITIES = "struct<text:string,entities:array<struct<label:string,start:int,end:int,text:string>>>"
+KINDS = ("tp", "fp", "fn")
+LABEL_COUNTS = pa.struct([("label", pa.string()), *[(k, pa.int64()) for k in KINDS]])
 ENTITY_COUNTS = pa.list_(pa.struct([("label", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("start", pa.int64())]))
 
 
@@ -83,23 +89,47 @@ def parse_entities(content: Column) -> Column:
 
 def position_map(ref: str, hyp: str) -> list[int]:
     """For each place in the hypothesis, and its end, the place in the reference."""
+    return _positions(edit_blocks(ref, hyp), len(ref))
+
+
+def _positions(blocks: list[Block], end: int) -> list[int]:
     out: list[int] = []
-    for op, i, i2, j, j2 in edit_blocks(ref, hyp):
+    for op, i, i2, j, j2 in blocks:
         if op != DELETE:
             out += [min(i + k, i2) for k in range(j2 - j)]
-    return [*out, len(ref)]
+    return [*out, end]
+
+
+def _moved(blocks: list[Block], end: int, places: Iterable[int]) -> list[int]:
+    """``position_map`` at some places of the hypothesis, the last one for those beyond it."""
+    runs = [(j, i, i2) for op, i, i2, j, _ in blocks if op != DELETE]
+    starts, size = [j for j, _, _ in runs], blocks[-1][4] if blocks else 0
+    out = []
+    for place in places:
+        if place >= size:
+            out.append(end)
+        else:
+            j, i, i2 = runs[bisect_right(starts, place) - 1]
+            out.append(min(i + place - j, i2))
+    return out
 
 
 def entity_outcomes(ref: dict, hyp: dict, least: float = IOU) -> list[dict]:
     """Each entity as found, missed or spurious; spans of the hypothesis are first moved to the reference."""
-    place = position_map(ref["text"] or "", hyp["text"] or "")
-    last = len(place) - 1
+    return _outcomes(ref, hyp, edit_blocks(ref["text"] or "", hyp["text"] or ""), least)
+
+
+def _outcomes(ref: dict, hyp: dict, blocks: list[Block], least: float = IOU) -> list[dict]:
     spans = [(e["label"], e["start"], e["end"]) for e in ref["entities"]]
-    moved = [(e["label"], place[min(e["start"], last)], place[min(e["end"], last)]) for e in hyp["entities"]]
-    moved = [(label, a, max(a, b)) for label, a, b in moved]
+    places = _moved(blocks, len(ref["text"] or ""), [e[k] for e in hyp["entities"] for k in ("start", "end")])
+    moved = [(e["label"], a, max(a, b)) for e, a, b in zip(hyp["entities"], places[::2], places[1::2], strict=True)]
     links = []
+    # both sides by their starts, so that only spans that overlap are compared
+    order = sorted(range(len(moved)), key=lambda j: moved[j][1])
+    starts, widest = [moved[j][1] for j in order], max((b - a for _, a, b in moved), default=0)
     for i, (x, a, b) in enumerate(spans):
-        for j, (y, c, d) in enumerate(moved):
+        for j in order[bisect_left(starts, a - widest) : bisect_right(starts, b)] if least > 0 else range(len(moved)):
+            y, c, d = moved[j]
             shared = max(0, min(b, d) - max(a, c))
             union = b - a + d - c - shared
             if x.casefold() == y.casefold() and union > 0 and shared / union >= least:
@@ -113,16 +143,49 @@ def entity_outcomes(ref: dict, hyp: dict, least: float = IOU) -> list[dict]:
     return rows + [{"label": moved[j][0], "kind": "fp", "text": e["text"], "start": e["start"]} for j, e in enumerate(hyp["entities"]) if j not in right]
 
 
+def outcomes(refs: list[dict], hyps: list[dict]) -> list[list[dict]]:
+    """``entity_outcomes`` of a batch; only pairs with entities on both sides are aligned, all together.
+
+    Spans of a hypothesis meet none where the reference has no entities, and labels stay.
+    """
+    both = [n for n, (a, b) in enumerate(zip(refs, hyps, strict=True)) if a["entities"] and b["entities"]]
+    blocks: list[list[Block]] = [[] for _ in refs]
+    for n, found in zip(both, batch_align.edit_blocks([refs[n]["text"] or "" for n in both], [hyps[n]["text"] or "" for n in both]), strict=True):
+        blocks[n] = found
+    return list(map(_outcomes, refs, hyps, blocks))
+
+
+def _by_portions(ref: pa.Array, hyp: pa.Array) -> Iterable[list[dict] | None]:
+    none = {"text": "", "entities": []}
+    sizes = [pc.fill_null(pc.binary_length(pc.struct_field(c, "text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ref, hyp)]
+    for start, stop in batch_align.portions(sum(sizes) + 1, TOGETHER):
+        left, right = (c.slice(start, stop - start).to_pylist() for c in (ref, hyp))
+        there = [n for n, a in enumerate(left) if a is not None]
+        found = iter(outcomes([left[n] for n in there], [right[n] or none for n in there]))
+        yield from (None if a is None else next(found) for a in left)
+
+
 @F.arrow_udf(from_arrow_type(ENTITY_COUNTS))
 def entity_rows(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    none = {"text": "", "entities": []}
-    return pa.array([None if a is None else entity_outcomes(a, b or none) for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], ENTITY_COUNTS)
+    return pa.array(list(_by_portions(ref, hyp)), ENTITY_COUNTS)
+
+
+@F.arrow_udf(from_arrow_type(pa.list_(LABEL_COUNTS)))
+def entity_sums(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Entities of each label found, spurious and missed; a row a label, not an entity."""
+    out = []
+    for rows in _by_portions(ref, hyp):
+        counted: dict[str, list[int]] = {}
+        for r in rows or ():
+            counted.setdefault(r["label"], [0, 0, 0])[KINDS.index(r["kind"])] += 1
+        out.append([dict(zip(("label", *KINDS), (label, *n), strict=True)) for label, n in counted.items()])
+    return pa.array(out, pa.list_(LABEL_COUNTS))
 
 
 def entity_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, label, tp, fp, fn) from pairs of entity sets ``ref`` and ``hyp``."""
-    rows = pairs.select(*by, F.inline(entity_rows("ref", "hyp")))
-    return rows.groupBy(*by, "label").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")])
+    rows = pairs.select(*by, F.inline(entity_sums("ref", "hyp")))
+    return rows.groupBy(*by, "label").agg(*[F.sum(k).alias(k) for k in KINDS])
 
 
 def entity_samples(pairs: DataFrame, by: list[str], k: int = 10) -> DataFrame:
