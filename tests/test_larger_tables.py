@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import align, batch_align, normalize, word_index
 from marginalia.functions.align import distance, edit_blocks
 from marginalia.functions.text import ascii_tokens, token_array
-from marginalia.operators import analyses
+from marginalia.operators import analyses, layout
 
 
 def test_near_and_straight_distances_take_no_wavefronts(monkeypatch):
@@ -54,7 +54,7 @@ def test_words_in_place_are_not_filed(monkeypatch):
 def test_tokens_are_aligned_once_and_counted_in_the_task(spark):
     rows = [("text", p, d, r, h) for d, (r, h) in enumerate([("Les roys sçavent", "les rois sçavent"), ("Du ROY, l’eau", "du roy, l’eau"), (None, "x"), ("le roy", "le")]) for p in ("a", "b")]
     pairs = spark.createDataFrame(rows, "view string, pipeline string, doc_id int, ref string, hyp string")
-    for build in (analyses.modernisation, analyses.confusions, analyses.taxonomy):
+    for build in (analyses.modernisation, analyses.word_errors, analyses.confusions, analyses.taxonomy):
         plan = build(pairs)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan, plan
     out = {(r.token, r.n_total, r.n_modernised, r.place, tuple(map(tuple, r.variants))) for r in analyses.modernisation(pairs).filter("pipeline = 'a'").collect()}
@@ -81,3 +81,23 @@ def test_runs_are_sought_by_a_sample_of_grams(monkeypatch):
     b = a[:1000] + "A" + a[1001:3000] + a[3002:]
     assert batch_align.matches([a], [b])[0] == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
     assert sizes[0] == 500 and sum(sizes[1:]) < 50
+
+
+def test_entities_are_aligned_in_batches_and_only_where_both_sides_have_some(monkeypatch):
+    monkeypatch.setattr(layout, "edit_blocks", None)
+    seen, aligned = [], batch_align.edit_blocks
+    monkeypatch.setattr(batch_align, "edit_blocks", lambda a, b: seen.append(len(a)) or aligned(a, b))
+    one = lambda text, *spans: {"text": text, "entities": [{"label": "PER", "start": a, "end": b, "text": text[a:b]} for a, b in spans]}
+    refs = [one("le Roy dort", (3, 6)), one("Anne", (0, 4)), one("rien"), one("Anne et Jean", (0, 4), (8, 12))]
+    hyps = [one("oh le Roy dort", (6, 9)), one("anne"), one("Rien", (0, 4)), one("Anna et  Jean", (9, 13), (0, 4), (2, 3))]
+    found = [[(r["kind"], r["text"]) for r in rows] for rows in layout.outcomes(refs, hyps)]
+    assert seen == [2] and found == [[("tp", "Roy")], [("fn", "Anne")], [("fp", "Rien")], [("tp", "Anne"), ("tp", "Jean"), ("fp", "n")]]
+
+
+def test_lines_of_a_batch_are_measured_together(monkeypatch):
+    calls, distances = [], batch_align.distances
+    monkeypatch.setattr(batch_align, "distances", lambda pairs: calls.append(len(pairs)) or distances(pairs))
+    refs, hyps = ["un\ndeux\n\ntrois", "un", "", "\nx"], ["un\n\ntroiz", "um", "x", "y\nx"]
+    rows = analyses._line_rates(refs, hyps)
+    assert [[round(r["cer"], 6) for r in doc] for doc in rows] == [[0.0, 1.0, 0.0, 0.2], [0.5], [], [1.0, 0.0]] and len(calls) == 1
+    assert [r["place"] for r in rows[0]] == [0.0, 0.25, 0.5, 0.75]
