@@ -101,3 +101,18 @@ def test_lines_of_a_batch_are_measured_together(monkeypatch):
     rows = analyses._line_rates(refs, hyps)
     assert [[round(r["cer"], 6) for r in doc] for doc in rows] == [[0.0, 1.0, 0.0, 0.2], [0.5], [], [1.0, 0.0]] and len(calls) == 1
     assert [r["place"] for r in rows[0]] == [0.0, 0.25, 0.5, 0.75]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_distances_of_far_pairs_are_taken_together(seed, monkeypatch):
+    rnd = random.Random(seed)
+    text = lambda n: "".join(rnd.choice("abcdefgh ijk·é") for _ in range(n))
+    sizes = [1, 63, 64, 65, 128, 129, 200, 310]
+    left, right = ([text(rnd.choice(sizes)) for _ in range(80)] for _ in range(2))
+    want = [distance(a, b) for a, b in zip(left, right, strict=True)]
+    monkeypatch.setattr(batch_align, "distance", None)
+    monkeypatch.setattr(batch_align, "CELLS", 4_000_000 >> 4 * seed)
+    monkeypatch.setattr(batch_align, "FEW", 1)
+    if seed:
+        monkeypatch.setattr(batch_align, "_near", lambda middles, done: (done[:0], done[:0]))
+    assert batch_align.distances(batch_align.Pairs(left, right)).tolist() == want
