@@ -155,3 +155,54 @@ def test_signs_are_shared_out_by_text():
     assert marks.tolist() == [1, 0, 1] and kept.tolist() == [0, 0, 1]
     glyphs = metrics.char_measures(left, right, ["glyphs"])[0].tolist()
     assert glyphs == [sum(map(scanners.is_medieval_glyph, t)) for t in left]
+
+
+def in_place(seed):
+    """Texts whose letters are replaced one by one: by letters they lack (as capitals), by ones they have, by ones of neither side."""
+    rng = random.Random(seed)
+    left, right = [], []
+    for _ in range(200):
+        a = text(rng, rng.choice(["abAB", "abc ABC", "aBbb, .", "é🙂ſx,"]), rng.choice([0, 1, 4, 9, 16, 40]))
+        left.append(a)
+        right.append(rng.choice([str.lower, str.upper, lambda x: x.replace(",", "·"), lambda x: x.replace("B", "b").replace("A", "b")])(a))
+    return left, right
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_places_are_matched_as_the_standard_matcher_does(seed, monkeypatch):
+    if seed % 2:
+        monkeypatch.setattr(batch_align, "CELLS", 40)
+    left, right = in_place(seed)
+    for a, b in ((left, right), ([list(x) for x in left], [list(x) for x in right])):
+        assert batch_align.matches(a, b) == [SequenceMatcher(None, x, y, autojunk=False).get_opcodes() for x, y in zip(a, b, strict=True)]
+
+
+def test_a_segment_that_is_there_earlier_is_not_matched_in_place():
+    # "a" between the capitals is first in "Ba", whose B becomes a
+    left, right = ["xyBaCzz", "ba,ba", ""], ["xyaaczz", "ba·ba", ""]
+    assert not batch_align._first("xyaaczz", [0, 3, 5], [2, 4, 7])
+    assert batch_align._in_place(batch_align.Pairs(left, right))[0].tolist() == [False, True, False]
+    assert batch_align.matches(left, right) == [SequenceMatcher(None, x, y, autojunk=False).get_opcodes() for x, y in zip(left, right, strict=True)]
+
+
+def test_no_runs_are_sought_where_places_suffice(monkeypatch):
+    rng = random.Random(2)
+    left = [". ".join(text(rng, "abcdefghijklmnopqrst, ", 40).capitalize() for _ in range(20)) for _ in range(30)]
+    monkeypatch.setattr(batch_align, "_searched", None)
+    for right in (list(map(str.lower, left)), [x.replace(",", "·") for x in left]):
+        assert all("".join(a[i:i2] for op, i, i2, _, _ in m if op == "equal") == "".join(x for x, y in zip(a, b, strict=True) if x == y) for a, b, m in zip(left, right, batch_align.matches(left, right), strict=True))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_confusions_of_a_batch_are_those_of_each_pair(seed):
+    both = [batch(seed + 50), in_place(seed)]
+    left, right = (sum((x[side] for x in both), []) for side in (0, 1))
+    groups = [n % 3 for n in range(len(left))]
+    found = {(g, *row): n for g, row, n in analyses._confusions(groups, left, right)}
+    want = {}
+    for g, a, b in zip(groups, left, right, strict=True):
+        for op, i, i2, j, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            if op == "replace":
+                for x, y in zip(a[i:i2], b[j:j2]):
+                    want[g, x, y] = want.get((g, x, y), 0) + 1
+    assert found == want
