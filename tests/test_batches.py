@@ -206,3 +206,21 @@ def test_confusions_of_a_batch_are_those_of_each_pair(seed):
                 for x, y in zip(a[i:i2], b[j:j2]):
                     want[g, x, y] = want.get((g, x, y), 0) + 1
     assert found == want
+
+
+def test_repetitive_texts_are_resolved_in_few_sweeps(monkeypatch):
+    sweeps, after = [], batch_align._after
+    monkeypatch.setattr(batch_align, "_after", lambda *runs: sweeps.append(len(runs[0])) or after(*runs))
+    left, right = ["thun er " * 60, "ab1cd2" * 40], ["hn er" * 60, "ab3cd45" * 40]
+    assert batch_align.matches(left, right) == [SequenceMatcher(None, x, y, autojunk=False).get_opcodes() for x, y in zip(left, right, strict=True)]
+    assert len(sweeps) < 25
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_runs_taken_together_are_those_taken_in_turn(seed, monkeypatch):
+    rng = random.Random(seed)
+    if seed % 2:
+        monkeypatch.setattr(batch_align, "SMALL", 0)
+    left = ["".join(rng.choice(["un ", "the ", "x", "rn", "ab"]) for _ in range(rng.choice([5, 40, 120]))) for _ in range(60)]
+    right = [x.replace("u", "n").replace(" th", " ") if rng.random() < 0.5 else x[len(x) // 3 :].replace("rn", "m") + x[: len(x) // 3] for x in left]
+    assert batch_align.matches(left, right) == [SequenceMatcher(None, x, y, autojunk=False).get_opcodes() for x, y in zip(left, right, strict=True)]
