@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html import escape
 
 import pyarrow as pa
@@ -91,19 +92,31 @@ def verdicts(means: DataFrame, tied: DataFrame, tested: DataFrame, level: float
 MARKED = pa.struct([("ref", pa.string()), ("hyp", pa.string())])
 
 
-def _marked(ref: str, hyp: str, blocks: list[Block]) -> dict[str, str]:
+#: What ``escape`` replaces.
+SPECIAL = re.compile("[&<>\"']")
+
+
+def _marked(ref: str, hyp: str, blocks: list[Block]) -> tuple[str, str]:
     left, right = [], []
+    special = SPECIAL.search(ref) or SPECIAL.search(hyp)
     for op, i, i2, j, j2 in blocks:
-        a, b = escape(ref[i:i2]), escape(hyp[j:j2])
+        a, b = ref[i:i2], hyp[j:j2]
+        if special:
+            a, b = escape(a), escape(b)
         left.append(a if op == EQUAL or not a else f"<del>{a}</del>")
         right.append(b if op == EQUAL or not b else f"<ins>{b}</ins>")
-    return {"ref": "".join(left), "hyp": "".join(right)}
+    return "".join(left), "".join(right)
 
 
 @F.arrow_udf(from_arrow_type(MARKED))
 def marked_texts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """Both texts as HTML, what only one of them has marked as deleted or inserted."""
-    return by_slices(lambda refs, hyps: pa.array(list(map(_marked, refs, hyps, matches(refs, hyps))), MARKED), ref, hyp)
+
+    def rows(refs: list[str], hyps: list[str]) -> pa.Array:
+        sides = zip(*map(_marked, refs, hyps, matches(refs, hyps)), strict=True) if refs else ((), ())
+        return pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in sides], fields=list(MARKED))
+
+    return by_slices(rows, ref, hyp)
 
 
 def recent_history(history: DataFrame, k: int = 1000) -> DataFrame:

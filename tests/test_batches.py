@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from marginalia.functions import align, batch_align, scanners, word_index
-from marginalia.operators import analyses, metrics
+from marginalia.operators import analyses, metrics, reports
 
 
 def text(rng, letters, n):
@@ -224,3 +224,9 @@ def test_runs_taken_together_are_those_taken_in_turn(seed, monkeypatch):
     left = ["".join(rng.choice(["un ", "the ", "x", "rn", "ab"]) for _ in range(rng.choice([5, 40, 120]))) for _ in range(60)]
     right = [x.replace("u", "n").replace(" th", " ") if rng.random() < 0.5 else x[len(x) // 3 :].replace("rn", "m") + x[: len(x) // 3] for x in left]
     assert batch_align.matches(left, right) == [SequenceMatcher(None, x, y, autojunk=False).get_opcodes() for x, y in zip(left, right, strict=True)]
+
+
+def test_only_special_signs_are_escaped_and_marks_are_put_by_pair(spark):
+    rows = spark.createDataFrame([(1, "a,b", "a·b"), (2, "a<b, \"c'", "a<b· \"c'"), (3, "", ""), (4, None, "x"), (5, "ab", "")], "n int, ref string, hyp string")
+    found = {r.n: r.m and tuple(r.m) for r in rows.select("n", reports.marked_texts("ref", "hyp").alias("m")).collect()}
+    assert found == {1: ("a<del>,</del>b", "a<ins>·</ins>b"), 2: ("a&lt;b<del>,</del> &quot;c&#x27;", "a&lt;b<ins>·</ins> &quot;c&#x27;"), 3: ("", ""), 4: None, 5: ("<del>ab</del>", "")}
