@@ -1,17 +1,18 @@
 """Words of one text that are within two edits of words of another.
 
-Words of up to ``SHORT`` letters are met by hashing: a word is filed under every form that
-it has with up to two letters removed, and two words within two edits share such a form.
+Of short lines all words are held against each other by their lengths and letters, for many
+lines at a time. Words of longer ones meet by hashing: those of up to ``SHORT`` letters are filed under every form that
+they have with up to two letters removed, and two words within two edits share such a form.
 A longer word is filed under its thirds, one of which two edits leave as it is, if shifted
 by up to two letters. What meets is checked exactly, for each two different words of a
-batch once, in a band about the diagonal for many pairs at a time. So no text's words are
-all compared with all of another's.
+batch once, in a band about the diagonal for many pairs at a time. So no long text's words
+are all compared with all of another's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterable, Sequence
+from itertools import chain, combinations
 
 import numpy as np
 
@@ -21,6 +22,9 @@ SHORT = 24
 SIDE_BY_SIDE = 128
 #: Words of texts that are looked at together.
 TOGETHER = 60_000
+#: Different words of a line times those of the other, up to which all are held against each other, and how many of those together.
+ALL = 20_000
+BESIDE = 1_000_000
 #: Bits of a form's hash; a shared one only makes a pair that is then checked.
 FORM_BITS = 40
 U64 = np.uint64
@@ -34,19 +38,42 @@ class Vocabulary:
         self.numbers: dict[str, int] = {}
         self.words: list[str] = []
 
-    def coded(self, words: Sequence[str]) -> np.ndarray:
-        numbers, out = self.numbers, []
-        for word in words:
-            number = numbers.get(word)
-            if number is None:
-                number = numbers[word] = len(self.words)
-                self.words.append(word)
-            out.append(number)
+    def coded(self, words: Iterable[str]) -> np.ndarray:
+        known, numbers = len(self.words), self.numbers
+        out = [numbers.setdefault(word, len(numbers)) for word in words]
+        if len(numbers) > known:
+            self.words = list(numbers)
         return np.array(out, np.int64)
 
+    def measured(self) -> None:
+        """The lengths of all words, and their letters as 64 bits, which letters may share."""
+        self.lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        letters = np.frombuffer("".join(self.words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+        self.letters, full = np.zeros(len(self.words), U64), np.flatnonzero(self.lengths)
+        if len(full):
+            self.letters[full] = np.bitwise_or.reduceat(U64(1) << (letters & U64(63)), (np.cumsum(self.lengths) - self.lengths)[full])
+
+    def beside(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, word of a, word of b) of two sides' (line, word), in order of lines, whose lengths and letters do not tell them apart."""
+        size = 1 + max(int(x.max(initial=-1)) for x in (a[0], b[0]))
+        na, nb = (np.bincount(x, minlength=size) for x in (a[0], b[0]))
+        first, starts = np.repeat(np.cumsum(nb) - nb, na), nb[a[0]]
+        ends, out, low = np.cumsum(starts), [(a[0][:0],) * 3], 0
+        while low < len(ends):
+            high = max(low + 1, int(np.searchsorted(ends, BESIDE + (ends[low - 1] if low else 0), side="right")))
+            own, at = spread(first[low:high], first[low:high] + starts[low:high])
+            left, right = a[1][low + own], b[1][at]
+            keep = np.abs(self.lengths[left] - self.lengths[right]) <= MOST
+            own, left, right = own[keep], left[keep], right[keep]
+            x, y = self.letters[left], self.letters[right]
+            keep = (np.bitwise_count(x & ~y) <= MOST) & (np.bitwise_count(y & ~x) <= MOST)
+            out.append((a[0][low + own[keep]], left[keep], right[keep]))
+            low = high
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
     def filed(self) -> None:
         """The hashed forms of all words, those of a word from ``first`` on; words of one length are hashed together."""
-        self.lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.measured()
         forms = [np.empty(0, U64)] * len(self.words)
         for n in np.unique(self.lengths[self.lengths <= SHORT]).tolist():
             some = np.flatnonzero(self.lengths == n)
@@ -163,25 +190,41 @@ def _banded(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.
     return out
 
 
-def _within(a: str, b: str) -> bool:
-    """The same for one pair of long words, as far as it may still hold."""
-    row = {j: j for j in range(MOST + 1)}
-    for i, x in enumerate(a, 1):
-        new: dict[int, int] = {}
-        for j in range(max(0, i - MOST), min(len(b), i + MOST) + 1):
-            new[j] = i if j == 0 else min(row.get(j, MOST + 1) + 1, new.get(j - 1, MOST + 1) + 1, row.get(j - 1, MOST + 1) + (b[j - 1] != x))
-        if min(new.values(), default=MOST + 1) > MOST:
-            return False
-        row = new
-    return row.get(len(b), MOST + 1) <= MOST
+def _within(a: str, b: str, most: int = MOST) -> bool:
+    """The same for one pair of words: what they begin with is alike, then comes an edit."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    if not most:
+        return a == b
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    else:
+        return True
+    a, b = a[n:], b[n:]
+    return _within(a[1:], b[1:], most - 1) or _within(a[1:], b, most - 1) or _within(a, b[1:], most - 1)
 
 
 def found_words(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]]) -> list[int]:
     """Of each two lists of words, how many of the first take, in order, the first unused word of the second within two edits."""
+    out = _heads(refs, hyps)
+    rest = [n for n, (head, a, b) in enumerate(zip(out, refs, hyps, strict=True)) if len(a) > head < len(b)]
+    sides = [[side[n][out[n] :] for n in rest] for side in (refs, hyps)]
+    short = [len(a) * len(b) <= ALL for a, b in zip(*sides, strict=True)]
+    for kind in (True, False):
+        some = [n for n, x in enumerate(short) if x == kind]
+        for n, found in zip(some, _found(*([side[n] for n in some] for side in sides), kind) if some else (), strict=True):
+            out[rest[n]] += found
+    return out
+
+
+def _found(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]], short: bool) -> list[int]:
+    """The same of lines that are short or not."""
     words = Vocabulary()
-    heads = _heads(refs, hyps)
-    sides = [[words.coded(x[n:] if len(a) > n < len(b) else ()) for n, x, a, b in zip(heads, side, refs, hyps, strict=True)] for side in (refs, hyps)]
-    words.filed()
+    sides = [np.split(words.coded(chain.from_iterable(side)), np.cumsum([len(x) for x in side])[:-1]) for side in (refs, hyps)]
+    words.measured() if short else words.filed()
     out: list[int] = []
     first = 0
     while first < len(sides[0]):
@@ -192,19 +235,21 @@ def found_words(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]]) ->
             last += 1
         flat = [[np.unique(x) for x in side[first:last]] for side in sides]
         lines = [(np.repeat(np.arange(last - first), [len(x) for x in side]), np.concatenate(side)) for side in flat]
-        line, left, right = words.meeting(*lines)
+        line, left, right = words.beside(*lines) if short else words.meeting(*lines)
         n = len(words.words)
         pairs, place = np.unique(left * n + right, return_inverse=True)
         fit = words.within(pairs // max(1, n), pairs % max(1, n))[place]
-        order = np.flatnonzero(fit)[np.argsort(line[fit], kind="stable")]
-        left, right, at = left[order].tolist(), right[order].tolist(), np.searchsorted(line[order], np.arange(last - first + 1)).tolist()
+        # a run for each word of a line
+        line, left, right = line[fit], left[fit], right[fit]
+        order = np.lexsort((left, line))
+        line, left, right = line[order], left[order], right[order].tolist()
+        cut = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (left[1:] != left[:-1])))) if len(line) else line
+        at, left, cut = np.searchsorted(line[cut], np.arange(last - first + 1)).tolist(), left[cut].tolist(), [*cut.tolist(), len(line)]
         for k in range(last - first):
-            near: dict[int, list[int]] = {}
-            for x, y in zip(left[at[k] : at[k + 1]], right[at[k] : at[k + 1]], strict=True):
-                near.setdefault(x, []).append(y)
+            near = {left[m]: right[cut[m] : cut[m + 1]] for m in range(at[k], at[k + 1])}
             out.append(_taken(sides[0][first + k].tolist(), sides[1][first + k].tolist(), near))
         first = last
-    return [n + rest for n, rest in zip(heads, out, strict=True)]
+    return out
 
 
 def _heads(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]]) -> list[int]:
@@ -212,14 +257,15 @@ def _heads(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]]) -> list
     known: dict[tuple[str, str], bool] = {}
     out = []
     for a, b in zip(refs, hyps, strict=True):
-        n = 0
-        for x, y in zip(a, b, strict=False):
-            if x != y:
-                if (fit := known.get((x, y))) is None:
-                    fit = known[x, y] = abs(len(x) - len(y)) <= MOST and _within(x, y)
-                if not fit:
-                    break
-            n += 1
+        n = min(len(a), len(b))
+        if a != b:
+            for k, (x, y) in enumerate(zip(a, b, strict=False)):
+                if x != y:
+                    if (fit := known.get((x, y))) is None:
+                        fit = known[x, y] = _within(x, y)
+                    if not fit:
+                        n = k
+                        break
         out.append(n)
     return out
 
@@ -231,7 +277,10 @@ def _taken(a: list[int], b: list[int], near: dict[int, list[int]]) -> int:
     lists = {x: [places[y] for y in ys] for x, ys in near.items()}
     found = 0
     for x in a:
-        free = min((at for at in lists.get(x, ()) if at), key=lambda at: at[-1], default=None)
+        free, first = None, len(b)
+        for at in lists.get(x, ()):
+            if at and at[-1] < first:
+                free, first = at, at[-1]
         if free:
             free.pop()
             found += 1

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions import fixed_values as fixed
 from ..functions import batch_align, scanners, word_index
+from ..functions.normalize import PROFILES
 from ..functions.text import safe_ratio
 
 #: What the structs hold, by what a metric reads of them.
@@ -49,6 +50,16 @@ def _by_text(starts: np.ndarray, flags: np.ndarray) -> np.ndarray:
 
 def char_measures(refs: list[str], hyps: list[str], parts: Iterable[str], archaic: frozenset[str] = frozenset()) -> list[np.ndarray]:
     """The columns of ``parts`` of all pairs, from one alignment of the whole batch."""
+    parts = list(parts)
+    other = [n for n, (a, b) in enumerate(zip(refs, hyps, strict=True)) if a != b]
+    if len(other) < len(refs) and set(parts) <= {"chars", "grams"}:
+        # of equal texts nothing is to be found
+        sizes = np.fromiter(map(len, refs), np.int64, len(refs))
+        whole = {"h": sizes, "grams": np.maximum(sizes - 2, 0)}
+        out = [whole[c].copy() if c in whole else np.zeros(len(refs), np.int64) for p in parts for c in PARTS[p]]
+        for column, found in zip(out, char_measures([refs[n] for n in other], [hyps[n] for n in other], parts) if other else (), strict=False):
+            column[other] = found
+        return out
     pairs, out = batch_align.Pairs(refs, hyps), []
     steps = batch_align.edits(pairs) if set(parts) - {"grams"} else None
     kept = cache(lambda side: steps.kept(side))
@@ -67,22 +78,60 @@ def char_measures(refs: list[str], hyps: list[str], parts: Iterable[str], archai
         elif part == "archaic":
             out += share(0, archaic.__contains__) + share(1, archaic.__contains__)
         elif part == "grams":
-            out += batch_align.new_grams(pairs)
+            out += batch_align.new_grams(pairs, steps)
+    return out
+
+
+def word_edits(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
+    """Hits, substitutions, deletions and insertions of all pairs, as columns.
+
+    Lists of one length take as many edits as they have places that differ, if none of the
+    words there is on both sides; only the others are aligned.
+    """
+    out, others = np.zeros((4, len(left)), np.int64), []
+    for n, (a, b) in enumerate(zip(left, right, strict=True)):
+        if a == b:
+            out[0, n] = len(a)
+            continue
+        if len(a) == len(b):
+            off = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
+            if {x for x, _ in off}.isdisjoint([y for _, y in off]):
+                out[:2, n] = len(a) - len(off), len(off)
+                continue
+        others.append(n)
+    if others:
+        out[:, others] = batch_align.edits(batch_align.Pairs(*([side[n] for n in others] for side in (left, right)))).counts().T
     return out
 
 
 def word_measures(refs: list[str], hyps: list[str], parts: Iterable[str]) -> list:
     """The columns of ``parts`` of all pairs, and the number of words of the reference."""
-    left, right = ([t.split() for t in side] for side in (refs, hyps))
+    # engines mostly share a reference
+    split = cache(str.split)
+    left = [split(t) for t in refs]
+    right = [x if a == b else b.split() for x, a, b in zip(left, refs, hyps, strict=True)]
     out: list = []
     for part in parts:
         if part == "words":
-            out += list(batch_align.edits(batch_align.Pairs(left, right)).counts().T)
+            out += list(word_edits(left, right))
         elif part == "found":
             out.append(word_index.found_words(left, right))
     return [*out, [len(x) for x in left]]
 
 
+def nfc_measures(refs: list[str], hyps: list[str], shared: bool = False) -> list[list[int | None]]:
+    """Least edits of the composed texts, a long s read as s, and the length of the reference.
+
+    ``shared``: nothing of texts in printable ASCII, which are composed as they are.
+    """
+    out: list[list[int | None]] = [[None] * len(refs) for _ in range(2)]
+    some = [n for n, (a, b) in enumerate(zip(refs, hyps, strict=True)) if not (shared and all(t.isascii() and t.isprintable() for t in (a, b)))]
+    left, right = ([PROFILES["nfc"].apply(side[n]).replace("ſ", "s") for n in some] for side in (refs, hyps))
+    for n, a, edits in zip(some, left, batch_align.distances(batch_align.Pairs(left, right)).tolist() if some else (), strict=True):
+        out[0][n], out[1][n] = edits, len(a)
+    return out
+
+
 def _sequence_row(ref: str, hyp: str) -> tuple:
     rows = scanners.sequence_counts(ref, hyp)
     return tuple(sum(r[k] for r in rows) for k in ("n_total", "n_strict", "n_value"))
@@ -210,16 +259,12 @@ _char_total = lambda: F.col("chars.h") + _char_edits()
 _col = lambda name: lambda: F.col(name)
 
 
-def _plain(c: str) -> Column:
-    return F.replace(F.col(c), F.lit("ſ"), F.lit("s"))
-
-
 #: Registered by default; hcpr is there on request.
 METRICS = {
     m.name: m
     for m in (
         Metric("cer", False, "edits", lambda: _edit_rate(F.col("edits"), F.length("ref")), lambda: F.length("ref")),
-        Metric("cer_diplo", False, "nfc", lambda: _edit_rate(F.col("edits_nfc"), F.length("ref_nfc")), lambda: F.length("ref_nfc")),
+        Metric("cer_diplo", False, "nfc", lambda: _edit_rate(F.col("edits_nfc"), F.col("length_nfc")), lambda: F.col("length_nfc")),
         Metric("wer", False, "words", _rate(_word_edits, _col("words.n")), _col("words.n")),
         Metric("mer", False, "words", lambda: F.coalesce(safe_ratio(_word_edits(), _word_total()), F.when(_word_total() == 0, 0.0)), _word_total),
         Metric("del_rate", False, "words", _rate(_col("words.d"), _col("words.n")), _col("words.n")),
@@ -261,8 +306,6 @@ def chosen(names: Iterable[str], metrics: dict[str, Metric] | None = None) -> li
 
 def measured(pairs: DataFrame, needs: set[str], archaic: str = fixed.ARCHAIC_CORE) -> DataFrame:
     """The pairs with the structs that the metrics need, each computed once."""
-    from ..functions.normalize import PROFILES
-
     signs, texts = frozenset(archaic), (F.col("ref"), F.col("hyp"))
     if parts := [p for p in ("chars", "marks", "glyphs", "archaic", "grams") if p in needs]:
         pairs = pairs.withColumn("chars", batch_function(lambda a, b: char_measures(a, b, parts, signs), [c for p in parts for c in PARTS[p]])(*texts))
@@ -270,11 +313,15 @@ def measured(pairs: DataFrame, needs: set[str], archaic: str = fixed.ARCHAIC_COR
         pairs = pairs.withColumn("words", batch_function(lambda a, b: word_measures(a, b, words), [*[c for p in words for c in PARTS[p]], "n"])(*texts))
     if "seqs" in needs:
         pairs = pairs.withColumn("seqs", pair_function(_sequence_row, SEQUENCES)(F.col("ref"), F.col("hyp")))
+    if "chars" in needs:
+        pairs = pairs.withColumn("edits", _char_edits())
+    elif "edits" in needs:
+        pairs = with_distance(pairs, "edits", *texts)
     if "nfc" in needs:
-        pairs = pairs.withColumns({f"{c}_nfc": PROFILES["nfc"].column(F.col(c)) for c in ("ref", "hyp")})
-        pairs = with_distance(pairs, "edits_nfc", _plain("ref_nfc"), _plain("hyp_nfc"))
-    if "edits" in needs:
-        pairs = with_distance(pairs, "edits", F.col("ref"), F.col("hyp"))
+        shared = "edits" in pairs.columns
+        pairs = pairs.withColumn("nfc", batch_function(lambda a, b: nfc_measures(a, b, shared), ["edits", "length"])(*texts))
+        plain = [F.col("edits"), F.length("ref")] if shared else []
+        pairs = pairs.withColumns({"edits_nfc": F.coalesce("nfc.edits", *plain[:1]), "length_nfc": F.coalesce("nfc.length", *plain[1:])}).drop("nfc")
     return pairs
 
 

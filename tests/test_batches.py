@@ -230,3 +230,75 @@ def test_only_special_signs_are_escaped_and_marks_are_put_by_pair(spark):
     rows = spark.createDataFrame([(1, "a,b", "a·b"), (2, "a<b, \"c'", "a<b· \"c'"), (3, "", ""), (4, None, "x"), (5, "ab", "")], "n int, ref string, hyp string")
     found = {r.n: r.m and tuple(r.m) for r in rows.select("n", reports.marked_texts("ref", "hyp").alias("m")).collect()}
     assert found == {1: ("a<del>,</del>b", "a<ins>·</ins>b"), 2: ("a&lt;b<del>,</del> &quot;c&#x27;", "a&lt;b<ins>·</ins> &quot;c&#x27;"), 3: ("", ""), 4: None, 5: ("<del>ab</del>", "")}
+
+
+def engines(seed, size=60):
+    """Lines as engines spoil them: joined letters, confused ones, lost beginnings of words."""
+    rng = random.Random(seed)
+    words = ["the", "thin", "run", "corn", "urn", "unum", "horn", "a", "Nun", "then", "burnt", "though"]
+    left = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 6, 30]))) for _ in range(size)]
+    ways = [lambda x: x.replace("rn", "m"), lambda x: x.replace("u", "n").replace(" th", " "), lambda x: x.replace("m", "rn").replace("n", "nn"), str.lower]
+    return left, [rng.choice(ways)(x) for x in left]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pairs_by_surplus_are_aligned_as_each_pair_is(seed, monkeypatch):
+    if seed % 2:
+        monkeypatch.setattr(batch_align, "ALONE", 0)
+    if seed % 3 == 0:
+        monkeypatch.setattr(batch_align, "DENSE", 2)
+    if seed % 4 == 0:
+        monkeypatch.setattr(batch_align, "CELLS", 300)
+    left, right = (sum(x, []) for x in zip(engines(seed), batch(seed + 300), in_place(seed), strict=True))
+    for a, b in ((left, right), ([x.split() for x in left], [x.split() for x in right])):
+        want = [align.edit_blocks(x, y) for x, y in zip(a, b, strict=True)]
+        assert batch_align.edit_blocks(a, b) == want
+        assert batch_align.distances(batch_align.Pairs(a, b)).tolist() == [sum(align.counts(x)[1:]) for x in want]
+
+
+def test_no_wavefronts_where_one_side_has_more_items(monkeypatch):
+    left = ["burnt corn and the thin horn " * n for n in range(1, 80)]
+    monkeypatch.setattr(batch_align, "_Waves", None)
+    monkeypatch.setattr(batch_align, "_steps", None)
+    for right in ([x.replace("rn", "m") for x in left], [x.replace("u", "n").replace(" th", " ") for x in left]):
+        assert batch_align.edit_blocks(left, right) == [align.edit_blocks(x, y) for x, y in zip(left, right, strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_new_grams_are_sought_outside_equal_runs(seed, monkeypatch):
+    if seed % 2:
+        monkeypatch.setattr(batch_align, "SOUGHT", 1)
+    left, right = (sum(x, []) for x in zip(engines(seed), batch(seed), strict=True))
+    pairs = batch_align.Pairs(left, right)
+    for found, want in zip(batch_align.new_grams(pairs, batch_align.edits(pairs)), batch_align.new_grams(pairs), strict=True):
+        assert found.tolist() == want.tolist()
+    assert [x.tolist() for x in metrics.char_measures(left, right, ["chars", "grams"])] == [
+        *map(list, zip(*(align.counts(align.edit_blocks(a, b)) for a, b in zip(left, right, strict=True)), strict=True)),
+        *(x.tolist() for x in batch_align.new_grams(pairs)),
+    ]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_word_measures_are_those_of_each_pair(seed, monkeypatch):
+    monkeypatch.setattr(word_index, "ALL", (0, 40, 20_000)[seed % 3])
+    monkeypatch.setattr(word_index, "BESIDE", (10, 1_000_000)[seed % 2])
+    left, right = (sum(x, []) for x in zip(engines(seed), batch(seed), strict=True))
+    *counts, found, n = metrics.word_measures(left, right, ["words", "found"])
+    words = [(a.split(), b.split()) for a, b in zip(left, right, strict=True)]
+    assert list(zip(*(c.tolist() for c in counts), strict=True)) == [align.counts(align.edit_blocks(a, b)) for a, b in words]
+    assert found == [greedy(a, b) for a, b in words] and n == [len(a) for a, _ in words]
+
+
+def test_short_lines_are_not_filed_by_forms(monkeypatch):
+    monkeypatch.setattr(word_index.Vocabulary, "filed", None)
+    assert word_index.found_words([["though", "ab", "tough", "xyzzy"]], [["ongh", "ab", "tough", "qqqqq"]]) == [3]
+
+
+def test_forms_are_measured_once_where_they_change_nothing(spark):
+    rows = [("v", "p", 1, "corn", "com"), ("v", "p", 2, "café ſ", "café s"), ("v", "p", 3, None, "x"), ("v", "p", 4, "a​b", "ab"), ("v", "p", 5, "", "x")]
+    pairs = spark.createDataFrame(rows, "view string, pipeline string, doc_id long, ref string, hyp string")
+    names = ("cer", "cer_diplo", "cmer")
+    found = {(r.doc_id, r.metric): (r.value, r.weight) for r in metrics.score(pairs, names).collect()}
+    for name in ("cer", "cer_diplo"):
+        assert {k: v for k, v in found.items() if k[1] == name} == {(r.doc_id, r.metric): (r.value, r.weight) for r in metrics.score(pairs, (name,)).collect()}
+    assert found[1, "cer"] == found[1, "cer_diplo"] == (0.5, 4) and found[2, "cer_diplo"] == (0.0, 6) and found[3, "cer_diplo"] == (None, None) and found[4, "cer_diplo"] == (0.0, 2)
