@@ -1,6 +1,7 @@
 """Alignments and word searches of whole batches against those of one pair at a time."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -302,3 +303,46 @@ def test_forms_are_measured_once_where_they_change_nothing(spark):
     for name in ("cer", "cer_diplo"):
         assert {k: v for k, v in found.items() if k[1] == name} == {(r.doc_id, r.metric): (r.value, r.weight) for r in metrics.score(pairs, (name,)).collect()}
     assert found[1, "cer"] == found[1, "cer_diplo"] == (0.5, 4) and found[2, "cer_diplo"] == (0.0, 6) and found[3, "cer_diplo"] == (None, None) and found[4, "cer_diplo"] == (0.0, 2)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_corrections_in_columns_are_those_in_rows(seed):
+    rng = random.Random(seed)
+    refs, raws = (sum(x, []) for x in zip(engines(seed), batch(seed), strict=True))
+    fixed = [rng.choice([x, y, x.replace("u", "n"), spoilt(rng, x, "ab the", 3)]) for x, y in zip(refs, raws, strict=True)]
+    columns, runs = analyses.correction_columns(refs, raws, fixed)
+    rows = analyses.correction_rows(refs, raws, fixed)
+    names = [*analyses._SUMMED, *analyses.ABSORBED]
+    for n, row in enumerate(rows):
+        found = {c: int(x[n]) for c, x in zip(names, columns, strict=True)}
+        assert {c: found[c] for c in analyses._SUMMED} == {c: row[c] for c in analyses._SUMMED}
+        assert sorted(r["run"] for r in runs[n] for _ in range(r["times"])) == sorted(row["runs"])
+        want, had, has = (Counter(t[n].split()) for t in (refs, raws, fixed))
+        gaps = [(max(0, k - had[w]), max(0, k - has[w])) for w, k in want.items()]
+        assert [found[c] for c in analyses.ABSORBED] == [sum(f(a, b) for a, b in gaps) for f in (lambda a, b: a, lambda a, b: b, lambda a, b: max(0, a - b), lambda a, b: max(0, b - a), min)]
+    assert [len(x) for x in analyses.correction_columns([], [], [])[0]] == [0] * len(names)
+
+
+def test_a_correction_is_one_pass_over_the_triples(spark):
+    rows = [("p", "a b c", "A b c", "a b d"), ("p", "x", "x", "x"), ("p", "une rue", None, "nne rne"), ("q", "y", "y", None)]
+    triples = spark.createDataFrame([(p, str(n), n, *t) for n, (p, *t) in enumerate(rows)], "pipeline string, doc_id string, doc_pos int, ref string, raw string, corrected string")
+    out = analyses.correction(triples)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("numbers(") == 1
+    p, q = out.orderBy("pipeline").collect()
+    assert (p.n_documents, p.n_missing_raw, p.n_missing_corrected, p.no_change_rate) == (3, 1, 0, 2 / 3)
+    assert (p.edit_run_median, p.edit_run_max, p.edit_run_share) == (1.0, 1, 0.0) and (q.edit_run_max, q.n_missing_corrected, q.errors_after) == (1, 1, 1)
+    none = analyses.correction(triples.filter("doc_id = '1'")).first()
+    assert (none.edit_run_median, none.edit_run_max, none.edit_run_share, none.n_documents) == (None, None, None, 1)
+
+
+@pytest.mark.parametrize("times", [1, 400])
+def test_pairs_of_one_length_take_no_wavefronts_where_all_places_are_substituted(monkeypatch, times):
+    # n is on both sides where the sides differ, so nothing is known by counting
+    ref = "Nun und Nur unter Umen an der Burg " * times
+    monkeypatch.setattr(batch_align, "_Waves", None)
+    monkeypatch.setattr(batch_align, "_steps", None)
+    for left, right in (([ref.lower()], [ref.replace("u", "n")]), ([ref.lower()] * 20, [ref.replace("u", "n")] * 20)) if times == 1 else (([ref.lower()], [ref.replace("u", "n")]),):
+        off = sum(x != y for x, y in zip(left[0], right[0], strict=True))
+        assert batch_align.edits(batch_align.Pairs(left, right)).counts()[0].tolist() == [len(ref) - off, off, 0, 0]
+        if times == 1:
+            assert batch_align.edit_blocks(left, right) == [align.edit_blocks(x, y) for x, y in zip(left, right, strict=True)]
