@@ -155,10 +155,15 @@ def outcomes(refs: list[dict], hyps: list[dict]) -> list[list[dict]]:
     return list(map(_outcomes, refs, hyps, blocks))
 
 
+def _portions(ref: pa.Array, hyp: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of rows whose texts are looked at together."""
+    sizes = [pc.fill_null(pc.binary_length(pc.struct_field(c, "text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ref, hyp)]
+    return batch_align.portions(sum(sizes) + 1, TOGETHER)
+
+
 def _by_portions(ref: pa.Array, hyp: pa.Array) -> Iterable[list[dict] | None]:
     none = {"text": "", "entities": []}
-    sizes = [pc.fill_null(pc.binary_length(pc.struct_field(c, "text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ref, hyp)]
-    for start, stop in batch_align.portions(sum(sizes) + 1, TOGETHER):
+    for start, stop in _portions(ref, hyp):
         left, right = (c.slice(start, stop - start).to_pylist() for c in (ref, hyp))
         there = [n for n, a in enumerate(left) if a is not None]
         found = iter(outcomes([left[n] for n in there], [right[n] or none for n in there]))
@@ -170,16 +175,119 @@ def entity_rows(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return pa.array(list(_by_portions(ref, hyp)), ENTITY_COUNTS)
 
 
+#: Entities of one side of a pair times those of the other, up to which all are compared at once, and how many of those together.
+ALL = 10_000
+BESIDE = 1_000_000
+
+
+class _Spans:
+    """Entities of one side of a batch end to end: whose they are, labels as numbers, starts and ends."""
+
+    def __init__(self, side: pa.Array, names: dict[str | None, int]) -> None:
+        there, entities = side.is_valid(), pc.struct_field(side, "entities")
+        self.texts = pc.fill_null(pc.struct_field(side, "text"), "")
+        sizes = pc.fill_null(pc.if_else(there, pc.list_value_length(entities), 0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = entities.filter(pc.and_(there, entities.is_valid())).flatten()
+        labels = pc.struct_field(found, "label").dictionary_encode()
+        known = np.array([names.setdefault(x, len(names)) for x in labels.dictionary.to_pylist()] + [names.setdefault(None, len(names))], np.int64)
+        self.own, self.label = np.repeat(np.arange(len(sizes)), sizes), known[pc.fill_null(labels.indices, -1).to_numpy(zero_copy_only=False)]
+        self.start, self.end = (pc.struct_field(found, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+        self.sizes, self.first = sizes, np.cumsum(sizes) - sizes
+
+    def moved(self, ref: _Spans) -> None:
+        """Puts the starts and ends where they are in the texts of the reference, of pairs with entities on both sides."""
+        both = np.flatnonzero((self.sizes > 0) & (ref.sizes > 0))
+        left, right = (side.texts.take(pa.array(both)).to_pylist() for side in (ref, self))
+        number = np.full(len(self.sizes), -1)
+        number[both] = np.arange(len(both))
+        mine = np.flatnonzero(number[self.own] >= 0)
+        places = [x[mine] for x in (self.start, self.end)]
+        own = number[self.own[mine]]
+        size, last = (np.fromiter(map(len, side), np.int64, len(both)) for side in (right, left))
+        other = np.array([a != b for a, b in zip(left, right, strict=True)], bool)
+        out = [np.where(x >= size[own], last[own], x) for x in places]
+        if other.any():
+            some = np.flatnonzero(other)
+            pairs = batch_align.Pairs(*([side[n] for n in some.tolist()] for side in (left, right)))
+            steps = batch_align.edits(pairs)
+            runs = np.flatnonzero(steps.op != batch_align.DROP)
+            begins = pairs.starts[1][steps.pair[runs]] + steps.j[runs]
+            number = np.cumsum(other) - 1
+            for x, moved in zip(places, out, strict=True):
+                at = np.flatnonzero(other[own] & (x < size[own]))
+                base = pairs.starts[1][number[own[at]]]
+                run = runs[np.searchsorted(begins, base + x[at], side="right") - 1]
+                moved[at] = np.minimum(steps.i[run] + x[at] - steps.j[run], steps.i2[run])
+        self.start[mine], self.end[mine] = out[0], np.maximum(*out)
+
+
+def _links(ref: _Spans, hyp: _Spans, fold: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Entities of both sides that are taken for one another: those that share most first, then by place."""
+    many, parts, found = ref.sizes * hyp.sizes > ALL, [], []
+    each = np.where(many, 0, hyp.sizes)[ref.own]
+    for low, high in batch_align.portions(each, BESIDE):
+        which, at = batch_align.spans(hyp.first[ref.own[low:high]], each[low:high])
+        parts.append((low + which, at))
+    for n in np.flatnonzero(many).tolist():
+        # of many entities only those whose places overlap are compared
+        ours, theirs = (np.arange(side.first[n], side.first[n] + side.sizes[n]) for side in (ref, hyp))
+        theirs = theirs[np.argsort(hyp.start[theirs], kind="stable")]
+        widest = int((hyp.end - hyp.start)[theirs].max())
+        low = np.searchsorted(hyp.start[theirs], ref.start[ours] - widest)
+        which, at = batch_align.spans(low, np.maximum(np.searchsorted(hyp.start[theirs], ref.end[ours], side="right") - low, 0))
+        parts.append((ours[which], theirs[at]))
+    for i, j in parts:
+        shared = np.maximum(0, np.minimum(ref.end[i], hyp.end[j]) - np.maximum(ref.start[i], hyp.start[j]))
+        union = ref.end[i] - ref.start[i] + hyp.end[j] - hyp.start[j] - shared
+        part = shared / np.maximum(union, 1)
+        keep = (fold[ref.label[i]] == fold[hyp.label[j]]) & (union > 0) & (part >= least)
+        found.append((part[keep], i[keep], j[keep]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    part, i, j = map(np.concatenate, zip(*found, strict=True))
+    lone = (np.bincount(i, minlength=len(ref.own))[i] == 1) & (np.bincount(j, minlength=len(hyp.own))[j] == 1)
+    rest = np.flatnonzero(~lone)
+    rest = rest[np.lexsort((j[rest], i[rest], -part[rest], ref.own[i[rest]]))]
+    left, right, taken = set(), set(), []
+    for n, x, y in zip(rest.tolist(), i[rest].tolist(), j[rest].tolist(), strict=True):
+        if x not in left and y not in right:
+            left.add(x)
+            right.add(y)
+            taken.append(n)
+    taken = np.concatenate((np.flatnonzero(lone), np.array(taken, np.int64)))
+    return i[taken], j[taken]
+
+
+def _label_counts(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    """Of each pair a row for each label: its entities found, spurious and missed, as ``outcomes`` has them."""
+    there, names = refs.is_valid(), {}
+    ref, hyp = (_Spans(pc.if_else(there, side, pa.scalar(None, side.type)), names) for side in (refs, hyps))
+    hyp.moved(ref)
+    i, j = _links(ref, hyp, _folded(list(names)), IOU)
+    wide = max(1, len(names))
+    ours, theirs = (side.own * wide + side.label for side in (ref, hyp))
+    key, at = np.unique(np.concatenate((ours, theirs)), return_inverse=True)
+    ours, theirs = at[: len(ours)], at[len(ours) :]
+    count = lambda x: np.bincount(x, minlength=len(key))
+    tp = count(ours[i])
+    labels = pa.array(list(names), pa.string()).take(pa.array(key % wide))
+    counts = {"tp": tp, "fp": count(theirs) - count(theirs[j]), "fn": count(ours) - tp}
+    rows = pa.StructArray.from_arrays([labels, *(pa.array(counts[k], pa.int64()) for k in KINDS)], fields=list(LABEL_COUNTS))
+    ends = np.concatenate(([0], np.cumsum(np.bincount(key // wide, minlength=len(refs)))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, type=pa.list_(LABEL_COUNTS))
+
+
+def _folded(names: list[str | None]) -> np.ndarray:
+    """Labels that differ in case alone have one number."""
+    numbers: dict = {}
+    return np.array([numbers.setdefault(x if x is None else x.casefold(), len(numbers)) for x in names], np.int64)
+
+
 @F.arrow_udf(from_arrow_type(pa.list_(LABEL_COUNTS)))
 def entity_sums(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """Entities of each label found, spurious and missed; a row a label, not an entity."""
-    out = []
-    for rows in _by_portions(ref, hyp):
-        counted: dict[str, list[int]] = {}
-        for r in rows or ():
-            counted.setdefault(r["label"], [0, 0, 0])[KINDS.index(r["kind"])] += 1
-        out.append([dict(zip(("label", *KINDS), (label, *n), strict=True)) for label, n in counted.items()])
-    return pa.array(out, pa.list_(LABEL_COUNTS))
+    parts = [_label_counts(*(c.slice(start, stop - start) for c in (ref, hyp))) for start, stop in _portions(ref, hyp)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(LABEL_COUNTS))
 
 
 def entity_counts(pairs: DataFrame, by: list[str]) -> DataFrame:

@@ -562,9 +562,10 @@ def entity_scores(spark, sf_dir):
 
     def spans(text: str):
         words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\b([A-Z][a-z]+)\b"), 1))
-        start = lambda w: (F.position(w, F.col(text)) - 1).cast("int")
-        one = lambda w: F.struct(F.when(F.length(w) > 4, "PER").otherwise("LOC").alias("label"), start(w).alias("start"), (start(w) + F.length(w)).cast("int").alias("end"), w.alias("text"))
-        return F.struct(F.col(text).alias("text"), F.transform(words, one).alias("entities"))
+        # a word is looked for once
+        found = F.transform(words, lambda w: F.struct(w.alias("w"), (F.position(w, F.col(text)) - 1).cast("int").alias("start")))
+        one = lambda f: F.struct(F.when(F.length(f["w"]) > 4, "PER").otherwise("LOC").alias("label"), f["start"].alias("start"), (f["start"] + F.length(f["w"])).cast("int").alias("end"), f["w"].alias("text"))
+        return F.struct(F.col(text).alias("text"), F.transform(found, one).alias("entities"))
 
     pairs = rows.select("pipeline", spans("ref").alias("ref"), spans("hyp").alias("hyp"))
     return rounded(analyses.entity_scores(layout.entity_counts(pairs, ["pipeline"]), ["pipeline", "label"]), "precision", "recall", "f1")

@@ -7,9 +7,11 @@ from difflib import SequenceMatcher
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.functions import align, batch_align, scanners, word_index
-from marginalia.operators import analyses, metrics, reports
+from marginalia.operators import analyses, layout, metrics, reports
+from marginalia.plans import catalogue
 
 
 def text(rng, letters, n):
@@ -346,3 +348,39 @@ def test_pairs_of_one_length_take_no_wavefronts_where_all_places_are_substituted
         assert batch_align.edits(batch_align.Pairs(left, right)).counts()[0].tolist() == [len(ref) - off, off, 0, 0]
         if times == 1:
             assert batch_align.edit_blocks(left, right) == [align.edit_blocks(x, y) for x, y in zip(left, right, strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_entities_counted_in_columns_are_those_of_each_pair(seed, monkeypatch):
+    if seed % 2:
+        monkeypatch.setattr(layout, "ALL", 6)
+        monkeypatch.setattr(layout, "BESIDE", 5)
+    rng = random.Random(seed)
+    refs, hyps = (sum(x, []) for x in zip(engines(seed), batch(seed), strict=True))
+    hyps = [x if rng.random() < 0.3 else y for x, y in zip(refs, hyps, strict=True)]
+
+    def side(t):
+        spans = [(rng.choice(["PER", "per", "LOC", "Straße", "STRASSE"]), a, a + rng.choice([0, 1, 3, 9])) for a in (rng.randrange(len(t) + 3) for _ in range(rng.choice([0, 1, 3, 12])))]
+        return rng.choice([{"text": t, "entities": [{"label": x, "start": a, "end": b, "text": t[a:b]} for x, a, b in spans]}] * 9 + [None])
+
+    left, right = ([side(t) for t in texts] for texts in (refs, hyps))
+    kind = pa.struct([("text", pa.string()), ("entities", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])))])
+    a, b = (pa.array([None, *x, None], kind).slice(1, len(x)) for x in (left, right))
+    found = [{r["label"]: [r[k] for k in layout.KINDS] for r in rows} for rows in layout._label_counts(a, b).to_pylist()]
+    want = []
+    for x, y in zip(left, right, strict=True):
+        counted = {}
+        for r in layout.entity_outcomes(x, y or {"text": "", "entities": []}) if x else ():
+            counted.setdefault(r["label"], [0, 0, 0])[layout.KINDS.index(r["kind"])] += 1
+        want.append(counted)
+    assert found == want
+    assert layout._label_counts(a.slice(0, 0), b.slice(0, 0)).to_pylist() == []
+
+
+def test_entities_of_texts_are_not_turned_into_rows(spark, tiny, monkeypatch):
+    rows = spark.createDataFrame([("p", "Jean va", "Jean va")], "pipeline string, ref string, hyp string")
+    span = F.array(F.struct(F.lit("PER").alias("label"), F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit("Jean").alias("text")))
+    pairs = rows.select("pipeline", *[F.struct(F.col(c).alias("text"), span.alias("entities")).alias(c) for c in ("ref", "hyp")])
+    assert [tuple(r) for r in layout.entity_counts(pairs, ["pipeline"]).collect()] == [("p", "PER", 1, 0, 0)]
+    plan = catalogue.queries()["entity_scores"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("position(") == 2
