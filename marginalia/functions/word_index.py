@@ -12,6 +12,7 @@ are all compared with all of another's.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import lru_cache
 from itertools import chain, combinations
 
 import numpy as np
@@ -39,11 +40,10 @@ class Vocabulary:
         self.words: list[str] = []
 
     def coded(self, words: Iterable[str]) -> np.ndarray:
-        known, numbers = len(self.words), self.numbers
-        out = [numbers.setdefault(word, len(numbers)) for word in words]
-        if len(numbers) > known:
-            self.words = list(numbers)
-        return np.array(out, np.int64)
+        words, known = list(words), len(self.words)
+        self.words += [w for w in dict.fromkeys(words) if w not in self.numbers]
+        self.numbers.update(zip(self.words[known:], range(known, len(self.words)), strict=True))
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
     def measured(self) -> None:
         """The lengths of all words, and their letters as 64 bits, which letters may share."""
@@ -207,6 +207,10 @@ def _within(a: str, b: str, most: int = MOST) -> bool:
     return _within(a[1:], b[1:], most - 1) or _within(a[1:], b, most - 1) or _within(a, b[1:], most - 1)
 
 
+#: The same words meet again and again.
+_near = lru_cache(100_000)(_within)
+
+
 def found_words(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]]) -> list[int]:
     """Of each two lists of words, how many of the first take, in order, the first unused word of the second within two edits."""
     out = _heads(refs, hyps)
@@ -254,18 +258,14 @@ def _found(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]], short:
 
 def _heads(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]]) -> list[int]:
     """With how many words two lists begin that are within two edits place by place: each of them takes the one in its place, as those before are used."""
-    known: dict[tuple[str, str], bool] = {}
     out = []
     for a, b in zip(refs, hyps, strict=True):
         n = min(len(a), len(b))
         if a != b:
             for k, (x, y) in enumerate(zip(a, b, strict=False)):
-                if x != y:
-                    if (fit := known.get((x, y))) is None:
-                        fit = known[x, y] = _within(x, y)
-                    if not fit:
-                        n = k
-                        break
+                if x != y and not _near(x, y):
+                    n = k
+                    break
         out.append(n)
     return out
 
